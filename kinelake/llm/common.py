@@ -36,11 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
+def stored(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing.
+
+    Tables of large rows take a small ``row_group`` (bytes), as readers hold a group at a time.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

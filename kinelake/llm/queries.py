@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +22,40 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_token_files(spark, write_token_files(_table(spark, sf_dir, "documents"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_token_files)}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.decontamination import build_index, phrase_matches
+
+    index = build_index(_table(spark, sf_dir, "documents"))
+    return digest_matches(phrase_matches(index, _table(spark, sf_dir, "benchmark"), window=10))
+
+
+def digest_matches(found: DataFrame) -> DataFrame:
+    """Counts and digests of the matches of each document."""
+    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+
+    def cover(acc, m):
+        fresh = F.greatest(F.lit(0).cast("long"), m["stop"] - F.greatest(m["start"], acc["reach"]))
+        return F.struct((acc["n"] + fresh).alias("n"), F.greatest(acc["reach"], m["stop"]).alias("reach"))
+
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
+    return found.select(
+        "doc_id", "n_words",
+        F.aggregate(spans, zero, cover, lambda acc: acc["n"]).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("matches") > 0).alias("contaminated"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.language import held_out, identify, train_codes
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train_codes(docs.filter(~held_out()))
+    found = identify(docs.select("doc_id", "text"), model, with_text=False)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id)}
 ORACLE: dict[str, str] = {}
