@@ -10,6 +10,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.secrets import PATTERNS, labelled_samples, scan, train_models, written
+
+    docs = _table(spark, sf_dir, "documents")
+    found = scan(docs.select("doc_id", "text"), train_models(labelled_samples(docs))).drop("text")
+    base = F.filter("spans", lambda s: s["kind"] < len(PATTERNS))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)],
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
+def _of_kind(k: int):
+    return lambda s: s["kind"] == k
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinelake.llm.packing import pack_documents
 
@@ -57,5 +75,5 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id)}
 ORACLE: dict[str, str] = {}
