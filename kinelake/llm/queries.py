@@ -75,5 +75,39 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id)}
-ORACLE: dict[str, str] = {}
+def op8_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.archives import convert, read_back, to_arc
+
+    return read_back(convert(to_arc(_table(spark, sf_dir, "pages")), least=1000))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.chat import format_chats
+
+    chats = format_chats(_table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op8_warc_conversion, op9_chat_formatting)}
+ORACLE: dict[str, str] = {
+    "op8_warc_conversion": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM m""",
+    "op9_chat_formatting": """
+        WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM t),
+        p AS (SELECT a.conv_id, a.place, sha256(string_agg(sha256(b.role || chr(1) || b.text), ',' ORDER BY b.place)) AS h
+              FROM o a JOIN o b ON a.conv_id = b.conv_id AND b.place <= a.place GROUP BY a.conv_id, a.place),
+        w AS (SELECT conv_id, max(place) AS n, max_by(h, place) AS h FROM p GROUP BY conv_id),
+        k AS (SELECT n, h, min(conv_id) AS conv_id FROM w GROUP BY n, h),
+        proper AS (SELECT DISTINCT p.place AS n, p.h FROM p JOIN w USING (conv_id) WHERE p.place < w.n),
+        kept AS (SELECT k.conv_id, k.n FROM k ANTI JOIN proper USING (n, h)),
+        r AS (SELECT o.conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || mark(o.role) || chr(10) || mark(o.text) || '<|im_end|>' || chr(10), '' ORDER BY o.place) AS text
+              FROM o SEMI JOIN kept USING (conv_id) GROUP BY o.conv_id)
+        SELECT conv_id, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM r""".replace("mark(o.role)", "replace(replace(o.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')").replace("mark(o.text)", "replace(replace(o.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')"),
+}
