@@ -36,7 +36,9 @@ def labelled_samples(docs: DataFrame, words: int = 20_000, strings: int = 4_000,
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")).cast("binary"), 512)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")
     random = docs.sparkSession.range(strings).select(F.when(F.col("id") % 4 < 3, base64).otherwise(digest).alias("sample"), F.lit(1).alias("label"))
-    chosen = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).orderBy(F.xxhash64("text"), "text").limit(documents)
+    hashed = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
+    least = hashed.groupBy(F.pmod("h", F.lit(documents))).agg(F.min("h").alias("h"))
+    chosen = hashed.filter(F.col("h").isin([r["h"] for r in least.select("h").collect()])).select("text").distinct()
     word = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(words)
     low = F.lower("w")
     forms = F.array(F.col("w"), F.upper("w"), F.concat(low, F.lit("_"), low), F.concat(low, F.lit("-"), low), F.concat(low, F.lit("/"), low), F.concat(low, F.initcap("w")), F.concat(low, F.lit("="), low), F.concat(low, F.lit("_1"), F.lit("2")))
