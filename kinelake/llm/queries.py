@@ -88,7 +88,13 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op8_warc_conversion, op9_chat_formatting)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(_table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join)}
 ORACLE: dict[str, str] = {
     "op8_warc_conversion": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
