@@ -75,6 +75,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.neighbours import build_graph, search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return search(build_graph(vectors), queries, k=20)
+
+
 def op8_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinelake.llm.archives import convert, read_back, to_arc
 
@@ -94,7 +102,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join)}
 ORACLE: dict[str, str] = {
     "op8_warc_conversion": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
