@@ -28,6 +28,14 @@ def _of_kind(k: int):
     return lambda s: s["kind"] == k
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.licences import scan_licences, train_licences
+
+    docs = _table(spark, sf_dir, "documents")
+    families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
+    return scan_licences(docs, train_licences(docs)).select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"), F.array_join(families, ",").alias("families"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinelake.llm.packing import pack_documents
 
@@ -102,7 +110,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_licence_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join)}
 ORACLE: dict[str, str] = {
     "op8_warc_conversion": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
