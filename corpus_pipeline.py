@@ -3,14 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from kinelake.llm.common import stored
+from kinelake.llm.decontamination import build_index, phrase_matches
+from kinelake.llm.jaccard import jaccard_groups
+from kinelake.llm.language import identify, train_codes
+from kinelake.llm.packing import pack_documents
+from kinelake.llm.secrets import labelled_samples, redact, scan, train_models
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among ids. These are written first, so that Spark knows their size when it plans the join."""
+    return docs.join(stored(ids.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts, texts without a letter and ambiguous ones go."""
+    model = train_codes(docs)
+    return identify(docs, model).filter(~F.col("ambiguous")).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.9 of their 3-word shingles, directly or through others, that of the least doc_id.
+
+    Documents without words stay, and so do those without doc_id, which can't be told apart.
+    """
+    groups = jaccard_groups(docs, percent=90, width=3)
+    return _without(docs, groups.filter(F.col("component_id") != F.col("doc_id")))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of ten consecutive words (or all, if fewer) of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = phrase_matches(build_index(docs), items, window=10)
+    return _without(docs, found.filter(F.size("matches") > 0))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of each secret; n_chars counts what a changed text has then."""
+    table = train_models(labelled_samples(docs))
+    found = scan(docs, table).withColumn("__text", redact(F.col("text"), F.col("spans")))
+    changed = F.size("spans") > 0
+    out = found.withColumn("n_chars", F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("__text"))
+    return out.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces, packed into sequences of at most 4096 tokens."""
+    return pack_documents(docs, capacity=4096, end_id=1)
+
+
+STAGES = [("language_id", language), ("jaccard_join", near_copies), ("decontamination", benchmark_passages), ("secret_scan", secrets), ("packing", packing)]
+#: Markov models and tokenizers have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, name)
     return docs
