@@ -2,7 +2,7 @@
 
 A document's distinct shingles are hashed into groups. Documents that may be similar are first dealt into cells: with
 more groups than two similar sets can differ in elements, at least one group has the same elements in both, so
-(group, hash of its elements) is a cell's key and no pair is lost. Within a cell the counts of 64 groups are points of
+(group, hash of its elements) is a cell's key and no pair is lost. Within a cell the counts of 256 groups are points of
 an R-tree, the sum of coordinate minima bounds the overlap of nodes and points, and pairs that survive are verified on
 their whole sets.
 """
@@ -19,8 +19,8 @@ from kinelake.llm.common import LOWER, byte_class, mix, ragged, stored, text_blo
 from kinelake.llm.graph import components
 
 WORD = byte_class(lambda b: b not in (9, 10, 11, 12, 13, 32))
-#: Coordinates of a point.
-GROUPS = 64
+#: Coordinates of a point, and the greatest value of one; points beyond it are this value throughout.
+GROUPS, FULL = 256, 255
 #: Points of an R-tree's node, and of a block of a large cell.
 FANOUT, BLOCK = 16, 2048
 #: Bits of the filter that says which documents' sets are needed again; a full one lets more through, never fewer.
@@ -117,7 +117,9 @@ def count_vectors(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Counts of the sets' elements by group, as points."""
     n = len(bounds) - 1
     place = np.repeat(np.arange(n), np.diff(bounds)) * GROUPS + (mix(sets ^ _B) % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(place, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.uint32)
+    counts = np.bincount(place, minlength=n * GROUPS).reshape(n, GROUPS)
+    counts[counts.max(axis=1) >= FULL] = FULL
+    return counts.astype(np.uint8)
 
 
 def enough(overlap, total, percent: int):
@@ -125,13 +127,19 @@ def enough(overlap, total, percent: int):
     return (100 + percent) * overlap >= percent * total
 
 
+def _may(a: np.ndarray, b: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether points or nodes may hold similar sets; where both are full their coordinates tell nothing."""
+    bound = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return enough(bound, total, percent) | (bound == FULL * GROUPS)
+
+
 class RTree:
     """Points bulk-loaded in order of size and first coordinates; a node knows its greatest coordinates, sizes, and components."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray):
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
         self.levels = []
-        high, small, large = points[self.order].astype(np.int64), sizes[self.order], sizes[self.order]
+        high, small, large = points[self.order], sizes[self.order], sizes[self.order]
         low_c = high_c = component[self.order]
         while True:
             self.levels.append((high, small, large, low_c, high_c))
@@ -155,7 +163,7 @@ class RTree:
                 h1, s1, l1, c1, d1 = (v[x] for v in self.levels[min(level, len(self.levels) - 1)])
                 h2, s2, l2, c2, d2 = (v[y] for v in other.levels[min(level, len(other.levels) - 1)])
                 near = (100 * l1 >= percent * s2) & (100 * l2 >= percent * s1) & ~((c1 == d1) & (c2 == d2) & (c1 == c2))
-                near[near] = enough(np.minimum(h1[near], h2[near]).sum(axis=1), (s1 + s2)[near], percent)
+                near[near] = _may(h1[near], h2[near], (s1 + s2)[near], percent)
                 keep[part : part + (1 << 14)] = near
             if same:
                 keep &= a <= b if level else a < b
@@ -259,19 +267,22 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int
     return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "edges")
 
 
+def _points(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, GROUPS)
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) whose points allow similarity."""
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), np.uint32).reshape(-1, GROUPS).astype(np.int64) for k in (2, 3))
-            total = a.sum(axis=1) + b.sum(axis=1)
-            keep = enough(np.minimum(a, b).sum(axis=1), total, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            a, b = (_points(batch.column(k)) for k in (2, 3))
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_may(a, b, total, percent)))
 
-    with_a = pairs.join(points.select(F.col("class").alias("a"), F.col("point").alias("pa")), "a")
-    both = with_a.join(points.select(F.col("class").alias("b"), F.col("point").alias("pb")), "b")
-    return stored(both.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long"), "pairs")
+    with_a = pairs.join(points.select(F.col("class").alias("a"), F.col("point").alias("pa"), F.col("n").alias("na")), "a")
+    both = with_a.join(points.select(F.col("class").alias("b"), F.col("point").alias("pb"), F.col("n").alias("nb")), "b")
+    return stored(both.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long"), "pairs")
 
 
 def _within_cells(rows: DataFrame, percent: int) -> DataFrame:
@@ -305,7 +316,7 @@ def _within_cells(rows: DataFrame, percent: int) -> DataFrame:
 
 def _cell_pairs(table: pa.Table, first: np.ndarray, percent: int):
     x, y, own, node, component, n = (table.column(c).to_numpy() for c in ("x", "y", "own", "class", "component", "n"))
-    points = np.frombuffer(b"".join(p.as_py() for p in table.column("point")), np.uint32).reshape(-1, GROUPS)
+    points = _points(table.column("point"))
     bounds = np.append(first[first < table.num_rows], table.num_rows)
     size = np.diff(bounds)
     left, right = [], []
@@ -320,7 +331,7 @@ def _cell_pairs(table: pa.Table, first: np.ndarray, percent: int):
         total = n[a] + n[b]
         near = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (component[a] != component[b])
         a, b, total = a[near], b[near], total[near]
-        near = enough(np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64), total, percent)
+        near = _may(points[a], points[b], total, percent)
         left.append(a[near])
         right.append(b[near])
     for c in np.flatnonzero(~small).tolist():
@@ -352,8 +363,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, stars: in
     each other. Repeated rows and equal sets are one class from the start. Null doc_ids stay, and take the component of
     their class. An empty table gives no rows; other columns are ignored.
 
-    Each of ``stars`` rounds compares the classes of a cell with one of them, a different one each time, which joins
-    large groups without their pairs; R-trees then compare what is left of a cell in different components. All links
+    Each of ``stars`` rounds compares the classes of a cell with one of them, another one in each cell and round, which
+    joins large groups without their pairs; R-trees then compare what is left of a cell in different components. All links
     between different components are verified, so the components are exact.
     """
     all_docs = sketches(docs, percent, width)
@@ -362,7 +373,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, stars: in
     classes = stored(filled.groupBy(*fingerprint).agg(F.min("row").alias("class"), F.min("doc_id").alias("least")), "classes")
     chosen = filled.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
     heads = filled.select("row", "doc_id", "n", "f1", "f2").join(classes.select(F.col("class").alias("row")), "row", "left_semi").withColumnRenamed("row", "class")
-    points = chosen.select(F.col("row").alias("class"), "point")
+    points = chosen.select(F.col("row").alias("class"), "point", "n")
     # The cells of two classes or more: a count that combines before it is dealt, then a join whose large keys Spark splits.
     cells = chosen.select(F.explode("cells").alias("cell"), F.col("row").alias("class"))
     shared = cells.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("cell")
@@ -375,7 +386,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, stars: in
         else:
             known = members.join(labels.select(F.col("node").alias("class"), F.col("component").alias("c")), "class", "left").select("cell", "class", F.coalesce("c", "class").alias("component"))
         known = stored(known, "members") if labels is not None else known
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("class")).alias("h"), F.col("class").alias("class"), F.col("component").alias("component")))
+        lead = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("cell"), F.col("class")).alias("h"), F.col("class").alias("class"), F.col("component").alias("component")))
         split = known.groupBy("cell").agg(lead.alias("lead"), F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         if turn < stars:
             star = known.join(split.select("cell", "lead"), "cell").filter(F.col("component") != F.col("lead.component"))
