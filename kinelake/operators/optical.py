@@ -43,28 +43,39 @@ def align_nearest(video: DataFrame, optical: DataFrame, keys: list[str], video_r
 def estimate_offset(video: DataFrame, optical: DataFrame, video_rate: float, optical_rate: float, longest: float = 10.0) -> DataFrame:
     """trial_id, offset (seconds), r: the shift at which an angle's two recordings agree best.
 
-    Both (trial_id, pos, value) are brought to the lower rate and standardised; trials with fewer than ten common samples raise.
+    Both (trial_id, pos, value) are brought to the lower rate and standardised. Trials with fewer than ten samples of
+    either have no row; ``require_offsets`` turns these into an error.
     """
     rate = min(video_rate, optical_rate)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        which, value = table.column("which").to_numpy(), table.column("value").to_numpy().astype(float)
         sides = []
-        for t, r in ((left, video_rate), (right, optical_rate)):
-            v = K.fill_linear(t.sort_by("pos").column("value").to_numpy().astype(float))
-            n = int(len(v) * rate / r)
-            sides.append(np.interp(np.arange(n) / rate, np.arange(len(v)) / r, v) if n > 0 else v[:0])
+        for k, r in ((0, video_rate), (1, optical_rate)):
+            v = K.fill_linear(value[which == k])
+            sides.append(np.interp(np.arange(int(len(v) * rate / r)) / rate, np.arange(len(v)) / r, v) if len(v) else v)
         a, b = sides
         if min(len(a), len(b)) < 10:
-            raise SyncFailed("too few common samples")
+            return pa.table({"trial_id": table.column("trial_id")[:0], "offset": pa.array([], pa.float64()), "r": pa.array([], pa.float64())})
         a, b = ((v - v.mean()) / (v.std() or 1.0) for v in (a, b))
         lags = np.arange(-(len(a) - 1), len(b))
         r = np.correlate(b, a, "full") / min(len(a), len(b))
         near = np.abs(lags) <= longest * rate
         k = int(r[near].argmax())
-        return pa.table({"trial_id": left.column("trial_id")[:1], "offset": pa.array([float(lags[near][k] / rate)]), "r": pa.array([float(r[near][k])])})
+        return pa.table({"trial_id": table.column("trial_id")[:1], "offset": pa.array([float(lags[near][k] / rate)]), "r": pa.array([float(r[near][k])])})
 
     kind = dict(video.dtypes)["trial_id"]
-    return video.select("trial_id", "pos", "value").groupBy("trial_id").cogroup(optical.select("trial_id", "pos", "value").groupBy("trial_id")).applyInArrow(run, f"trial_id {kind}, offset double, r double")
+    both = [df.select("trial_id", "pos", F.col("value").cast("double").alias("value"), F.lit(k).alias("which")) for k, df in enumerate((video, optical))]
+    return both[0].unionByName(both[1]).groupBy("trial_id").applyInArrow(run, f"trial_id {kind}, offset double, r double")
+
+
+def require_offsets(trials: DataFrame, offsets: DataFrame) -> DataFrame:
+    """offsets, or an error that names trials without one."""
+    missing = trials.join(offsets, "trial_id", "left_anti").select("trial_id").limit(5).collect()
+    if missing:
+        raise SyncFailed(f"too few common samples in {', '.join(str(r[0]) for r in missing)}")
+    return offsets
 
 
 def error_metrics(pairs: DataFrame, keys: list[str], least: int = 3) -> DataFrame:

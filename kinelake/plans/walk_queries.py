@@ -167,7 +167,7 @@ def detection_matrix(spark: SparkSession, d: str) -> DataFrame:
     return out.select("trial_id", "name", "bin", r6("rate").alias("rate"))
 
 
-@_query(f"WITH {_PO}, q AS (SELECT trial_id, frame_idx, [" + ", ".join(f"round({c}, 6)" for n in ("NOSE LEFT_EYE RIGHT_EYE LEFT_EAR RIGHT_EAR LEFT_SHOULDER RIGHT_SHOULDER LEFT_ELBOW RIGHT_ELBOW LEFT_WRIST RIGHT_WRIST LEFT_HIP RIGHT_HIP LEFT_KNEE RIGHT_KNEE LEFT_ANKLE RIGHT_ANKLE").split() for c in (*_xy(n), _v(n))) + "][1:6] AS k, 51 AS n FROM po")
+@_query(f"WITH {_PO}, q AS (SELECT trial_id, frame_idx, [" + ", ".join(f"round({c}, 6)" for n in ("NOSE LEFT_EYE RIGHT_EYE LEFT_EAR RIGHT_EAR LEFT_SHOULDER RIGHT_SHOULDER LEFT_ELBOW RIGHT_ELBOW LEFT_WRIST RIGHT_WRIST LEFT_HIP RIGHT_HIP LEFT_KNEE RIGHT_KNEE LEFT_ANKLE RIGHT_ANKLE").split() for c in (*_xy(n), _v(n))) + "] AS k FROM po), n AS (SELECT trial_id, frame_idx, unnest(k) AS v, unnest(range(51)) AS i FROM q) SELECT trial_id, frame_idx, i::INT AS i, v FROM n")
 def keypoints_coco(spark: SparkSession, d: str) -> DataFrame:
     """Landmarks in the order of a keypoint format."""
     out = pose.keypoints(vector_pose(spark, d), "COCO")
