@@ -108,7 +108,8 @@ def filled_curve(curve: Column | str) -> Column:
     known = F.filter(F.transform(c, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: s["v"].isNotNull())
 
     def at(v: Column, i: Column) -> Column:
-        before = F.element_at(F.filter(known, lambda s: s["i"] < i), -1)
+        earlier = F.filter(known, lambda s: s["i"] < i)
+        before = F.get(earlier, F.size(earlier) - 1)
         after = F.get(F.filter(known, lambda s: s["i"] > i), F.lit(0))
         between = before["v"] + (after["v"] - before["v"]) * (i - before["i"]) / (after["i"] - before["i"])
         return F.coalesce(v, between, before["v"], after["v"])
