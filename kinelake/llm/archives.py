@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import new_path, stored
+from kinelake.llm.common import in_batches, new_path, stored
 from kinelake.llm.token_files import read_bytes, write_bytes
 
 # Fixed values of the ARC format: the fields of a record's header line by the version that the archive declares.
@@ -174,7 +174,7 @@ def to_arc(pages: DataFrame, date: str = "19990101000000") -> DataFrame:
                 yield _archive(held, part, made, date)
                 made += 1
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "name string, version int, content binary")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").transform(in_batches, run, "name string, version int, content binary")
 
 
 def _archive(held: list, part: int, made: int, date: str) -> pa.RecordBatch:
@@ -227,8 +227,8 @@ def convert(arcs: DataFrame, folder: str | None = None, least: int = 1000) -> Da
                     yield _known_batch(rows, {"member": pa.array(members, pa.binary())})
 
     content = arcs.select("content")
-    chosen = content.mapInArrow(digests, "page_id long, digest string").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    joined = content.mapInArrow(responses, f"{_KNOWN}, member binary").join(chosen.select("digest", "refers_to"), "digest", "left")
+    chosen = content.transform(in_batches, digests, "page_id long, digest string").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    joined = content.transform(in_batches, responses, f"{_KNOWN}, member binary").join(chosen.select("digest", "refers_to"), "digest", "left")
 
     def write(batches):
         from pyspark import TaskContext
@@ -253,7 +253,7 @@ def convert(arcs: DataFrame, folder: str | None = None, least: int = 1000) -> Da
         if held:
             yield flush()
 
-    return stored(joined.mapInArrow(write, "uri string"), "warc-files")
+    return stored(joined.transform(in_batches, write, "uri string"), "warc-files")
 
 
 def read_back(files: DataFrame) -> DataFrame:
@@ -279,4 +279,4 @@ def read_back(files: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return files.repartition(n, "uri").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartition(n, "uri").transform(in_batches, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

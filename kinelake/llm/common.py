@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+#: Bytes of an Arrow batch between Spark and Python, at most about; the session's setting if that is smaller.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +51,38 @@ def stored(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with bounded batches, in workers that give memory back."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+    def lean(batches):
+        release = _return_memory()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
+def _return_memory():
+    """Have large arrays returned to the system when they are freed; gives a function that returns the rest."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # from this size on, blocks are mapped by themselves
+    except (OSError, AttributeError):  # another C library: it keeps its ways
+        return pa.default_memory_pool().release_unused
+
+    def release():
+        pa.default_memory_pool().release_unused()
+        libc.malloc_trim(0)
+
+    return release
+
+
+def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a batch into runs of rows whose texts have about ``limit`` bytes; null texts count as empty.
 
     Yields (first row, data, starts, ends): data is the UTF-8 of the run's texts, row k's text is data[starts[k]:ends[k]].
@@ -78,17 +113,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: list[np.ndarray] = []
+#: Powers that are kept for the next block; longer tables are made anew.
+_KEPT_POWERS = (1 << 20) + (1 << 16)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for key, base in (("up", _BASE), ("down", inverse)):
-            table = np.full(n, base, np.uint64)
+    def made(size: int) -> list[np.ndarray]:
+        tables = []
+        for base in (_BASE, _INVERSE):
+            table = np.full(size, base, np.uint64)
             table[0] = 1
-            _powers[key] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
+            tables.append(np.multiply.accumulate(table))
+        return tables
+
+    if n > _KEPT_POWERS:
+        return tuple(made(n))
+    if not _powers:
+        _powers.extend(made(_KEPT_POWERS))
+    return tuple(_powers)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, byte_class, hash_words, ragged, stored, text_blocks, word_hashes, word_spans
+from kinelake.llm.common import LOWER, byte_class, hash_words, in_batches, ragged, stored, text_blocks, word_hashes, word_spans
 
 #: Bytes of words: ASCII digits and letters, and all bytes of longer characters.
 WORD = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 #: Text bytes of an index segment, about.
-SEGMENT_BYTES = 1 << 22
+SEGMENT_BYTES = 1 << 21
 #: Windows searched in one pass over the index; more are searched in several passes.
 BLOCK_WINDOWS = 200_000
 #: Postings looked up together.
@@ -101,7 +101,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 number += 1
 
     schema = "segment long, " + ", ".join(f"{p} binary" for p in _PARTS)
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, schema), "postings", 16 << 20)
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, build, schema), "postings", 16 << 20)
 
 
 def read_segment(row: dict) -> Segment:
@@ -231,7 +231,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10) -> Data
                     segment = read_segment(row)
                     yield from _rows(row["segment"], segment, own, all_docs)
 
-        return index.mapInArrow(run, schema)
+        return index.transform(in_batches, run, schema)
 
     found: list[DataFrame] = []
     rows = ((r["item_id"], r["text"]) for r in items.select(F.col("item_id").cast("long"), "text").toLocalIterator())
@@ -292,4 +292,4 @@ def proximity_matches(index: DataFrame, words: list[str], slop: int = 5) -> Data
                     at, doc = at[keep], doc[keep]
                 yield pa.record_batch([pa.array(np.full(len(at), row["segment"])), pa.array(doc), pa.array(s.doc_ids[doc], mask=s.doc_null[doc]), pa.array(at - s.doc_first[doc])], names=["segment", "place", "doc_id", "position"])
 
-    return index.mapInArrow(run, "segment long, place long, doc_id long, position long")
+    return index.transform(in_batches, run, "segment long, place long, doc_id long, position long")

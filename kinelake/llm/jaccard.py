@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, byte_class, mix, ragged, stored, text_blocks, word_hashes, word_spans
+from kinelake.llm.common import LOWER, byte_class, in_batches, mix, ragged, stored, text_blocks, word_hashes, word_spans
 from kinelake.llm.graph import components
 
 WORD = byte_class(lambda b: b not in (9, 10, 11, 12, 13, 32))
@@ -205,7 +205,7 @@ def sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 yield pa.record_batch([pa.array(row + np.arange(n)), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([p.tobytes() for p in points], pa.binary()), cells], names=["row", "doc_id", "n", "f1", "f2", "point", "cells"])
                 row += n
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, point binary, cells array<long>"), "sketches", 32 << 20)
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "row long, doc_id long, n long, f1 long, f2 long, point binary, cells array<long>"), "sketches", 32 << 20)
 
 
 def _needed(ids: DataFrame) -> np.ndarray:
@@ -250,7 +250,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int
                 yield pa.record_batch([batch.column(0).slice(first, len(starts)), pa.array(f1), pa.array(f2), pa.array(raw, pa.binary())], names=["doc_id", "f1", "f2", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    found = texts.mapInArrow(again, "doc_id long, f1 long, f2 long, set binary")
+    found = texts.transform(in_batches, again, "doc_id long, f1 long, f2 long, set binary")
     same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["f1"] == wanted["f1"]) & (found["f2"] == wanted["f2"])
     sets = stored(found.join(wanted, same).select("class", "set"), "sets", 32 << 20)
 
@@ -264,7 +264,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int
 
     with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "edges")
+    return stored(both.select("a", "b", "set_a", "set_b").transform(in_batches, check, "a long, b long"), "edges")
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -282,7 +282,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     with_a = pairs.join(points.select(F.col("class").alias("a"), F.col("point").alias("pa"), F.col("n").alias("na")), "a")
     both = with_a.join(points.select(F.col("class").alias("b"), F.col("point").alias("pb"), F.col("n").alias("nb")), "b")
-    return stored(both.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long"), "pairs")
+    return stored(both.select("a", "b", "pa", "pb", "na", "nb").transform(in_batches, run, "a long, b long"), "pairs")
 
 
 def _within_cells(rows: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +311,7 @@ def _within_cells(rows: DataFrame, percent: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from _cell_pairs(rest, np.array([0, rest.num_rows]), percent)
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*key).sortWithinPartitions(*key).transform(in_batches, run, "a long, b long")
 
 
 def _cell_pairs(table: pa.Table, first: np.ndarray, percent: int):

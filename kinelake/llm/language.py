@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinelake.llm.common import LOWER, text_blocks
+from kinelake.llm.common import LOWER, in_batches, text_blocks
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -89,7 +89,7 @@ def train_codes(docs: DataFrame, label: str = "lang", smoothing: float = 0.5) ->
             yield pa.record_batch([pa.array([name] * len(used), pa.string()), pa.array(used), pa.array(own[used])], names=["lang", "gram", "n"])
 
     labelled = docs.filter(F.col(label).isNotNull()).select("text", F.col(label).cast("string").alias("lang"))
-    sums = labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    sums = labelled.transform(in_batches, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     counts[sums["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int), sums["gram"].to_numpy(int)] = sums["n"]
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: CodeModel, lead: float = 0.2, with_text: bo
                 rows = rows if with_text else rows.drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=[*rows.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return kept.mapInArrow(predict, T.StructType([f for f in kept.schema.fields if with_text or f.name != "text"] + result))
+    return kept.transform(in_batches, predict, T.StructType([f for f in kept.schema.fields if with_text or f.name != "text"] + result))
 
 
 def _has_letter(data: np.ndarray) -> bool:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, byte_class, mix, text_blocks, word_hashes, word_spans
+from kinelake.llm.common import LOWER, byte_class, in_batches, mix, text_blocks, word_hashes, word_spans
 
 WORD = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 BUCKETS = 1 << 16
@@ -262,4 +262,4 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
                     notices[row].append(dict(zip(("paragraph", "family", "probability", "likeness"), rest, strict=True)))
                 yield pa.record_batch([batch.column(0).slice(first, len(starts)), pa.array(count, pa.int64()), pa.array(notices, pa.list_(kind))], names=["doc_id", "n_paragraphs", "notices"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_paragraphs long, notices array<struct<paragraph:long,family:string,probability:double,likeness:double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "doc_id long, n_paragraphs long, notices array<struct<paragraph:long,family:string,probability:double,likeness:double>>")

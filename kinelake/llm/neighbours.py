@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import stored
+from kinelake.llm.common import in_batches, stored
 
 #: Distinct vectors of a shard, about. A shard's graph and vectors are what one search task holds in memory.
 SHARD_VECTORS = 16_384
@@ -70,7 +70,7 @@ def build_graph(vectors: DataFrame, k: int = 24, sample: int = 12, rounds: int =
             code = np.clip(np.rint(np.column_stack([x, more]) * (127 / math.sqrt(top or 1))), -127, 127).astype(np.int8)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())], names=["shard", "node", "vec", "code"])
 
-    coded = heads.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "node", "embedding").mapInArrow(to_bytes, "shard long, node long, vec binary, code binary")
+    coded = heads.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "node", "embedding").transform(in_batches, to_bytes, "shard long, node long, vec binary, code binary")
     nodes = stored(coded.withColumn("place", F.row_number().over(place) - 1).withColumn("size", F.count("*").over(sizes)), "nodes")
     # The random beginning: the j-th neighbour of the node at place p is at a multiple of p plus a step.
     steps = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.pmod(F.col("place") + F.pmod(F.xxhash64("node", j), F.col("size") - 1) + 1, F.col("size")))
@@ -91,7 +91,7 @@ def build_graph(vectors: DataFrame, k: int = 24, sample: int = 12, rounds: int =
         around = ahead.union(behind).distinct().join(codes.join(worst, "u"), "u")
         own = codes.join(worst, "u").select(F.col("u").alias("v"), "u", "code", "worst")
         lists = around.select("v", "u", "code", "worst").union(own).groupBy("v").agg(F.collect_list(F.struct("u", "code", "worst")).alias("around"))
-        found = lists.select("around").mapInArrow(local, "a long, b long, sim float")
+        found = lists.select("around").transform(in_batches, local, "a long, b long, sim float")
         merged = graph.union(found).groupBy("a", "b").agg(F.max("sim").alias("sim"))
         graph = stored(merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"), "graph")
     back = Window.partitionBy("b").orderBy(F.desc("sim"), "a")
@@ -224,7 +224,7 @@ def search(index: GraphIndex, queries: DataFrame, k: int = 20, beam: int = 320,
                 score = np.einsum("nd,nd->n", vecs[found[r, c]], q[r])
                 yield pa.record_batch([pa.array(names[r]), pa.array(ids[found[r, c]]), pa.array(score)], names=["query_id", "node", "score"])
 
-    hits = pairs.mapInArrow(run, "query_id long, node long, score double")
+    hits = pairs.transform(in_batches, run, "query_id long, node long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     nodes = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     answers = nodes.join(index.members, "node").filter(F.col("vec_id") != F.col("query_id"))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import stored
+from kinelake.llm.common import in_batches, stored
 from kinelake.llm.tokens import default_vocabulary, encoded_blocks
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, part long, done boolean"
@@ -108,7 +108,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocab
         if held:
             yield from flush(pa.concat_tables(held), True)[0].to_batches()
 
-    level = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, SCHEMA), "packing")
+    level = stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, local, SCHEMA), "packing")
     finished = [level.filter("done")]
     height = 0
     parts = (level.filter("not done").agg(F.max("part")).first()[0] or 0) + 1

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import new_path, stored
+from kinelake.llm.common import in_batches, new_path, stored
 from kinelake.llm.tokens import default_vocabulary, encoded_blocks
 
 MAGIC = b"KLTOKEN1"
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
     steps = [k / parts for k in range(1, parts)]
     cuts = sorted(set((docs.select(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*map(F.lit, steps)), F.lit(20_000)).alias("c")).first()[0] if steps else None) or []))
     bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: F.col("doc_id") > c)) if cuts else F.lit(0)
-    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenise, "doc_id long, n long, packed binary")
+    coded = docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, tokenise, "doc_id long, n long, packed binary")
     ordered = stored(coded.withColumn("bucket", F.coalesce(bucket, F.lit(0))).repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("packed"), "packed"), "tokens")
 
     def count(batches):
@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     # At most one row per id of the vocabulary reaches the driver.
-    frequency = ordered.select("packed").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    frequency = ordered.select("packed").transform(in_batches, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_rank = frequency.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
     write_bytes(f"{folder}/ranks.bin", by_rank.astype("<u4").tobytes())
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 0, np.uint32)
@@ -184,7 +184,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
             yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
     # One short row per shard of some megabytes. A bucket was written in order into one file, which large files' readers share.
-    shards = ordered.select("doc_id", "packed", "bucket").mapInArrow(write, "bucket long, first_id long, name string, docs long, tokens long").toPandas()
+    shards = ordered.select("doc_id", "packed", "bucket").transform(in_batches, write, "bucket long, first_id long, name string, docs long, tokens long").toPandas()
     shards = shards.sort_values(["bucket", "first_id", "name"])
     manifest = {"vocabulary": path.rsplit("/", 1)[-1], "end_id": end_id, "shards": shards[["name", "docs", "tokens"]].to_dict("records")}
     write_bytes(f"{folder}/manifest.json", json.dumps(manifest).encode())
@@ -253,4 +253,4 @@ def _read(spark: SparkSession, folder: str, schema: str, last) -> DataFrame:
                     texts = [ids[bounds[j] : bounds[j + 1]] for j in range(own.start, own.stop)]
                     yield pa.record_batch([pa.array(doc_ids[own], mask=doc_ids[own] == NULL_ID), pa.array(start + bounds[own.start : own.stop]), pa.array(counts[own]), last(texts)], names=["doc_id", "start", "n_tokens", name])
 
-    return names.repartition(max(1, len(rows)), "name").mapInArrow(read, schema)
+    return names.repartition(max(1, len(rows)), "name").transform(in_batches, read, schema)

@@ -184,7 +184,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def encoded_blocks(batch: pa.RecordBatch, column: str, path: str, limit: int = 1 << 21):
+def encoded_blocks(batch: pa.RecordBatch, column: str, path: str, limit: int = 1 << 20):
     """Yields (first row, rows, ids, counts) for runs of rows of about ``limit`` bytes of text; null is empty."""
     for first, data, starts, ends in text_blocks(batch, column, limit):
         yield first, len(starts), *tokenizer(path).encode(data, starts, ends)
