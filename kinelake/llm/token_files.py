@@ -70,14 +70,14 @@ def write_bytes(uri: str, content: bytes) -> None:
     store, path = _open(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(temporary) as f:
+    with store.open_output_stream(temporary, compression=None) as f:
         f.write(content)
     store.move(temporary, path)
 
 
 def read_bytes(uri: str) -> bytes:
     store, path = _open(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
