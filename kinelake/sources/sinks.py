@@ -131,7 +131,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
             sizes = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = content.encode() if isinstance(content, str) else content
-                with store.open_output_stream(f"{root}/.{name}.tmp") as f:
+                with store.open_output_stream(f"{root}/.{name}.tmp", compression=None) as f:
                     f.write(data)
                 store.move(f"{root}/.{name}.tmp", f"{root}/{name}")
                 sizes.append(len(data))
