@@ -208,8 +208,8 @@ def sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "row long, doc_id long, n long, f1 long, f2 long, point binary, cells array<long>"), "sketches", 32 << 20)
 
 
-def _needed(ids: DataFrame) -> np.ndarray:
-    """A bit filter of hashed doc_ids, of fixed size."""
+def _bit_filter(places: DataFrame) -> np.ndarray:
+    """Which of the FILTER_BITS places (column place) occur, as packed bits; its size doesn't follow the input's."""
     chunk = 1 << 19
 
     def pack(table: pa.Table) -> pa.Table:
@@ -217,14 +217,38 @@ def _needed(ids: DataFrame) -> np.ndarray:
         bits[table.column("bit").to_numpy()] = True
         return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = ids.select(F.floor(place / chunk).alias("chunk"), (place % chunk).alias("bit")).distinct().groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect()
+    rows = places.select(F.floor(F.col("place") / chunk).alias("chunk"), (F.col("place") % chunk).alias("bit")).distinct().groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
         out[r["chunk"] * (chunk // 8) : (r["chunk"] + 1) * (chunk // 8)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _maybe(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _cell_members(chosen: DataFrame) -> DataFrame:
+    """cell, class: the cells of two classes or more. chosen: row, cells.
+
+    Cells are counted, which combines before they are dealt; then the few that are shared are found again by a filter
+    of fixed size, and those it lets through are joined to them.
+    """
+    shared = stored(chosen.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"), "shared")
+    bits = chosen.sparkSession.sparkContext.broadcast(_bit_filter(shared.select(F.col("cell").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            cells = lists.flatten().to_numpy()
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
+            keep = _maybe(bits.value, cells & (FILTER_BITS - 1))
+            yield pa.record_batch([pa.array(cells[keep]), pa.array(owner[keep])], names=["cell", "class"])
+
+    some = chosen.select("row", "cells").transform(in_batches, run, "cell long, class long")
+    return stored(some.join(shared, "cell", "left_semi"), "cells")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar, as stored edges.
 
@@ -234,12 +258,13 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int
     ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = stored(classes.join(ids, "class").select("class", "doc_id", "f1", "f2"), "wanted")
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_needed(wanted))  # 16 MB whatever the input
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = spark.sparkContext.broadcast(_bit_filter(wanted.select(hashed.alias("place"))))  # 16 MB whatever the input
 
     def again(batches):
         for batch in batches:
             place = batch.column(2).to_numpy()
-            rows = np.flatnonzero(bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+            rows = np.flatnonzero(_maybe(bits.value, place))
             if not len(rows):
                 continue
             batch = batch.take(pa.array(rows))
@@ -249,7 +274,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int
                 raw = [sets[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.record_batch([batch.column(0).slice(first, len(starts)), pa.array(f1), pa.array(f2), pa.array(raw, pa.binary())], names=["doc_id", "f1", "f2", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("place", hashed)
     found = texts.transform(in_batches, again, "doc_id long, f1 long, f2 long, set binary")
     same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["f1"] == wanted["f1"]) & (found["f2"] == wanted["f2"])
     sets = stored(found.join(wanted, same).select("class", "set"), "sets", 32 << 20)
@@ -354,7 +379,7 @@ def _cell_pairs(table: pa.Table, first: np.ndarray, percent: int):
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, stars: int = 2) -> DataFrame:
+def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: int = 2) -> DataFrame:
     """A row per document (doc_id, text): doc_id, n_shingles, component_id.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a set holds the distinct runs of ``width``
@@ -371,13 +396,12 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, stars: in
     filled = all_docs.filter("n > 0")
     fingerprint = ["f1", "f2", "n"]
     classes = stored(filled.groupBy(*fingerprint).agg(F.min("row").alias("class"), F.min("doc_id").alias("least")), "classes")
-    chosen = filled.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
-    heads = filled.select("row", "doc_id", "n", "f1", "f2").join(classes.select(F.col("class").alias("row")), "row", "left_semi").withColumnRenamed("row", "class")
+    # Copies are written first: Spark sends them to all tasks where they are few, and joins by shuffling where not.
+    copies = stored(filled.select("row", *fingerprint).join(classes, fingerprint).filter(F.col("row") != F.col("class")).select("row"), "copies")
+    chosen = filled.join(copies, "row", "left_anti")
+    heads = chosen.select(F.col("row").alias("class"), "doc_id", "f1", "f2")
     points = chosen.select(F.col("row").alias("class"), "point", "n")
-    # The cells of two classes or more: a count that combines before it is dealt, then a join whose large keys Spark splits.
-    cells = chosen.select(F.explode("cells").alias("cell"), F.col("row").alias("class"))
-    shared = cells.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("cell")
-    members = stored(cells.join(shared, "cell", "left_semi"), "cells")
+    members = _cell_members(chosen)
     labels = None
     edges = None
     for turn in range(stars + 1):

@@ -21,8 +21,8 @@ def shingles(text, width=3):
     return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def linked_components(rows, percent):
-    sets = [(i, shingles(t)) for i, t in rows]
+def linked_components(rows, percent, width=3):
+    sets = [(i, shingles(t, width)) for i, t in rows]
     parent = list(range(len(rows)))
 
     def find(k):
@@ -40,8 +40,8 @@ def linked_components(rows, percent):
     return sorted(((i, len(s), least.get(find(k)) if s else i) for k, (i, s) in enumerate(sets)), key=repr)
 
 
-def joined(spark, rows, percent=90, **columns):
-    out = jaccard.jaccard_groups(table(spark, rows, **columns).repartition(3), percent=percent, stars=columns.get("stars", 2))
+def joined(spark, rows, percent=90, width=3, **columns):
+    out = jaccard.jaccard_groups(table(spark, rows, **columns).repartition(3), percent=percent, width=width)
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()), key=repr)
 
 
@@ -74,13 +74,13 @@ def test_components_equal_brute_force(spark, copies):
 @pytest.mark.parametrize("percent", [60, 80, 100])
 def test_other_thresholds(spark, copies, percent):
     few = copies[:70]
-    assert joined(spark, few, percent) == linked_components(few, percent)
+    assert joined(spark, few, percent, 5) == linked_components(few, percent, 5)
 
 
 def test_trees_and_blocks_alone(spark, copies, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "FANOUT", 3)
-    out = jaccard.jaccard_groups(table(spark, copies), percent=90, stars=0)
+    out = jaccard.jaccard_groups(table(spark, copies), percent=90, width=3, stars=0)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()), key=repr) == linked_components(copies, 90)
 
 

@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path, awkward):
     assert {r["doc_id"] for r in after} == {i for i, _ in before} - {1, 2, 3, 301}
     before, after, _ = seen["jaccard_join"]
     kept = sorted((r["doc_id"] for r in after), key=repr)
-    assert kept == sorted((i for i, _, c in linked_components(before, 90) if i is None or c == i), key=repr)
+    assert kept == sorted((i for i, _, c in linked_components(before, 80, 5) if i is None or c == i), key=repr)
     before, after, _ = seen["decontamination"]
     assert sorted((r["doc_id"] for r in after), key=repr) == sorted((i for i, _, hit, _ in brute(before, [(1, item)]) if not hit), key=repr)
     before, after, _ = seen["secret_scan"]
