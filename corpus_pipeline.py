@@ -25,11 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.9 of their 3-word shingles, directly or through others, that of the least doc_id.
+    """Of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles, directly or through others, that of the least doc_id.
 
     Documents without words stay, and so do those without doc_id, which can't be told apart.
     """
-    groups = jaccard_groups(docs, percent=90, width=3)
+    groups = jaccard_groups(docs, percent=80, width=5)
     return _without(docs, groups.filter(F.col("component_id") != F.col("doc_id")))
 
 
