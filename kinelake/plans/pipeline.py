@@ -54,3 +54,18 @@ def _figures(cut: DataFrame, found: DataFrame, rates: DataFrame) -> DataFrame:
     """Spatiotemporal figures with each trial's own rate: events are brought to seconds, a rate of one."""
     in_seconds = found.join(rates, "trial_id").withColumn("frame", F.col("frame") / F.col("fps"))
     return analysis.spatiotemporal(cut, in_seconds, 1.0)
+
+
+def diagnose(poses: DataFrame, cut: DataFrame, kept: DataFrame, curves: DataFrame) -> DataFrame:
+    """trial_id, coverage, confidence, tail, prelude, n_cycles, n_kept, ankle_rom, warnings: what to doubt in a trial."""
+    hip = F.abs(pose.middle(pose.x("LEFT_HIP"), pose.x("RIGHT_HIP")))
+    seen = F.when(hip.isNotNull(), 1.0).otherwise(0.0)
+    own = poses.groupBy("trial_id").agg(F.avg(seen).alias("coverage"), F.avg("confidence").alias("confidence"), (F.percentile(hip, F.lit(0.95)) - F.percentile(hip, F.lit(0.05))).alias("reach"), F.min(F.when(hip.isNotNull(), F.col("pos"))).alias("prelude"))
+    counts = cut.groupBy("trial_id").agg(F.count("*").alias("n_cycles")).join(kept.groupBy("trial_id").agg(F.count("*").alias("n_kept")), "trial_id", "left")
+    ankle = curves.filter("joint = 'ankle'").groupBy("trial_id").agg(F.avg(F.array_max("curve") - F.array_min("curve")).alias("ankle_rom"))
+    j = own.join(counts, "trial_id", "left").join(ankle, "trial_id", "left").fillna(0, ["n_cycles", "n_kept"])
+    warn = F.array_compact(F.array(
+        F.when(F.col("coverage") < 0.8, F.format_string("hips seen in %.0f %% of frames", F.col("coverage") * 100)), F.when(F.col("confidence") < 0.5, F.format_string("mean confidence %.2f", "confidence")),
+        F.when(F.col("n_kept") < 3, F.format_string("%d cycles kept", "n_kept")), F.when(F.col("ankle_rom") > 60, F.format_string("ankle range %.0f degrees", "ankle_rom")), F.when(F.col("prelude") > 30, F.format_string("nobody in the first %d frames", "prelude")),
+    ))
+    return j.withColumn("warnings", warn)
