@@ -138,3 +138,63 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
 
     return files.select("name", "content").mapInArrow(run, "name string, bytes long")
+
+
+def build_c3d(labels: list[str], rate: float, frames: list[list[tuple[float, float, float] | None]]) -> bytes:
+    """A C3D file of floating-point markers in Intel order; missing points are at the origin with a negative residual."""
+    import struct
+
+    def text(values: list[str], width: int) -> bytes:
+        return b"".join(v.encode("ascii", "replace")[:width].ljust(width) for v in values)
+
+    def parameter(group: int, name: str, kind: int, dims: list[int], data: bytes) -> bytes:
+        body = struct.pack("<bB", kind, len(dims)) + bytes(dims) + data + b"\x00"
+        return struct.pack("<bb", len(name), group) + name.encode() + struct.pack("<h", 2 + len(body)) + body
+
+    head = struct.pack("<bb", 5, -1) + b"POINT" + struct.pack("<h", 3) + b"\x00"
+    body = b"".join([
+        head, parameter(1, "USED", 2, [], struct.pack("<h", len(labels))), parameter(1, "SCALE", 4, [], struct.pack("<f", -1.0)), parameter(1, "RATE", 4, [], struct.pack("<f", rate)),
+        parameter(1, "LABELS", -1, [32, len(labels)], text(labels, 32)), b"\x00\x00",
+    ])
+    blocks = -(-(len(body) + 4) // 512)
+    first = struct.pack("<BBHHHHHfHHf", 2, 80, len(labels), 0, 1, len(frames), 0, -1.0, 2 + blocks, 0, rate).ljust(512, b"\x00")
+    parameters = (struct.pack("<BBBB", 1, 80, blocks, 84) + body).ljust(512 * blocks, b"\x00")
+    points = b"".join(struct.pack("<4f", *(p or (0.0, 0.0, 0.0)), 0.0 if p else -1.0) for frame in frames for p in frame)
+    return first + parameters + points.ljust(-(-len(points) // 512) * 512, b"\x00")
+
+
+def c3d_files(pose: DataFrame, trials: DataFrame, names: list[str]) -> DataFrame:
+    """name, content: C3D files of landmarks (x forward, z up)."""
+    rate = trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps"))
+    cells = [c for n in names for c in (P.x(n).alias(f"{n}_x"), P.y(n).alias(f"{n}_y"))]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        xs = [(table.column(f"{n}_x").to_pylist(), table.column(f"{n}_y").to_pylist()) for n in names]
+        frames = [[None if a[k] is None or b[k] is None else (a[k], 0.0, 1.0 - b[k]) for a, b in xs] for k in range(table.num_rows)]
+        content = build_c3d(names, table.column("fps")[0].as_py(), frames)
+        return pa.table({"name": pa.array([f"{table.column('trial_id')[0].as_py()}.c3d"]), "content": pa.array([content], pa.binary())})
+
+    return pose.select("trial_id", "pos", *cells).join(rate, "trial_id").groupBy("trial_id").applyInArrow(run, "name string, content binary")
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, rows: int = 100_000) -> None:
+    """A workbook with a sheet per table, for a few trials' results; tables of more than ``rows`` rows are refused. Needs openpyxl."""
+    from openpyxl import Workbook
+
+    book = Workbook()
+    book.remove(book.active)
+    for name, df in sheets.items():
+        if df.limit(rows + 1).count() > rows:
+            raise ValueError(f"{name} has more than {rows} rows; write it as CSV")
+        sheet = book.create_sheet(name[:31])
+        sheet.append(df.columns)
+        for r in df.collect():
+            sheet.append([v if isinstance(v, (int, float, str, type(None))) else str(v) for v in r])
+    book.save(path)
+
+
+def moco_setup(trials: DataFrame, model: str = "scaled_model.osim") -> DataFrame:
+    """name, content: a tracking setup for each trial that follows its motion file."""
+    end = F.coalesce("meta.duration_s", F.lit(0.0))
+    return trials.select(F.concat("trial_id", F.lit("_moco.xml")).alias("name"), F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<OpenSimDocument Version="40000">\n  <MocoTrack name="'), "trial_id", F.lit(f'">\n    <model>{model}</model>\n    <states_reference>'), "trial_id", F.lit(".mot</states_reference>\n    <initial_time>0</initial_time>\n    <final_time>"), F.format_string("%.4f", end), F.lit("</final_time>\n  </MocoTrack>\n</OpenSimDocument>\n")).alias("content"))

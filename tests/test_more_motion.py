@@ -89,3 +89,16 @@ def test_grid(walk, poses):
     rows = {(r["variant"], r["trial_id"], r["side"], r["joint"]): r["rmse"] for r in out.collect()}
     assert rows["raw", "a", "left", "knee"] < rows["coarse", "a", "left", "knee"] < 20
     assert benchmark.wide_rows(out).count() == 4
+
+
+def test_c3d_round_trip(spark, walk, poses, tmp_path):
+    from kinelake.sources import sinks
+
+    files = sinks.c3d_files(poses, pivot.trials(walk), ["LEFT_HIP", "LEFT_KNEE"])
+    sinks.write_files(files, f"file://{tmp_path}/c3d").collect()
+    back = pivot.read_c3d(spark, f"file://{tmp_path}/c3d/*.c3d")
+    assert back.count() == 2 * 2 * 300
+    r = back.filter("trial_id = 'a' AND frame_idx = 7 AND name = 'LEFT_KNEE'").first()
+    x, y = poses.filter("trial_id = 'a' AND pos = 7").select(pose.x("LEFT_KNEE"), pose.y("LEFT_KNEE")).first()
+    assert (r["X"], r["Z"]) == pytest.approx((x, 1 - y), abs=1e-6)
+    assert sinks.moco_setup(pivot.trials(walk)).count() == 2
