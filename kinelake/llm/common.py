@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,7 +49,24 @@ def stored(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no later plan reads; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that are no longer referred to, rather than when the driver's heap fills."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:

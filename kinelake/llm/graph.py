@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import stored
+from kinelake.llm.common import discard, stored
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -21,7 +21,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         lower = labels.join(near, "node").select("node", "component", F.least("component", "m").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
         new = stored(lower.join(jump, "next", "left").select("node", F.col("component").alias("old"), F.least("next", F.coalesce("further", "next")).alias("component")), "labels")
+        discard(labels)
+        settled = new.filter(F.col("old") != F.col("component")).isEmpty()
         labels = new.select("node", "component")
-        if new.filter(F.col("old") != F.col("component")).isEmpty():
+        labels.stored_at = new.stored_at
+        if settled:
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")

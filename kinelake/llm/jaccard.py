@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, byte_class, in_batches, mix, ragged, stored, text_blocks, word_hashes, word_spans
+from kinelake.llm.common import LOWER, byte_class, discard, free_shuffles, in_batches, mix, ragged, stored, text_blocks, word_hashes, word_spans
 from kinelake.llm.graph import components
 
 WORD = byte_class(lambda b: b not in (9, 10, 11, 12, 13, 32))
@@ -48,15 +48,34 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width:
     return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _fingerprints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two sums of scrambled elements; sets are the same where both agree."""
+def _fingerprints(sets: np.ndarray, bounds: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A class number and a second number of each set: sums of scrambled elements. Sets are the same where both agree.
+
+    Classes go by the first alone; jaccard_groups makes sure that no two sets share it, and else takes another salt.
+    """
     sums = []
-    for salt in (_A, _B):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ salt), dtype=np.uint64)])
-        sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    for k in (_A + np.uint64(salt), _B):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ k), dtype=np.uint64)])
+        sums.append(mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
     return sums[0], sums[1]
 
 
+#: Bytes of an element when sets are compared; those of two sets that differ agree by chance once in 2 ** 40.
+ELEMENT = 5
+
+
+def _short(elements: np.ndarray) -> np.ndarray:
+    """Elements with their low bytes only, as rows of ELEMENT bytes."""
+    return np.ascontiguousarray(elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT])
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """The elements back."""
+    out = np.zeros((len(raw) // ELEMENT, 8), np.uint8)
+    out[:, :ELEMENT] = np.frombuffer(raw, np.uint8).reshape(-1, ELEMENT)
+    return out.reshape(-1).view("<u8")
+
+
 class Families:
     """Size classes and, for each, the number of groups that lets no similar pair pass unseen.
 
@@ -186,8 +205,8 @@ class RTree:
         return a0[row] + number // nb[row], b0[row] + number % nb[row]
 
 
-def sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """A stored row per document (doc_id, text): row, doc_id, n, f1, f2, point, cells."""
+def sketches(docs: DataFrame, percent: int, width: int, salt: int = 0) -> DataFrame:
+    """A stored row per document (doc_id, text): row, doc_id, n, class, second (number of the set), point, cells."""
     families = Families(percent)
 
     def run(batches):
@@ -198,14 +217,14 @@ def sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
             for first, data, starts, ends in text_blocks(batch, "text"):
                 sets, bounds = shingle_sets(data, starts, ends, width)
                 keys, key_bounds = cell_keys(sets, bounds, families)
-                f1, f2 = _fingerprints(sets, bounds)
+                f1, f2 = _fingerprints(sets, bounds, salt)
                 points = count_vectors(sets, bounds)
                 n = len(starts)
                 cells = pa.ListArray.from_arrays(pa.array(key_bounds, pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.record_batch([pa.array(row + np.arange(n)), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([p.tobytes() for p in points], pa.binary()), cells], names=["row", "doc_id", "n", "f1", "f2", "point", "cells"])
+                yield pa.record_batch([pa.array(row + np.arange(n)), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([p.tobytes() for p in points], pa.binary()), cells], names=["row", "doc_id", "n", "class", "second", "point", "cells"])
                 row += n
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "row long, doc_id long, n long, f1 long, f2 long, point binary, cells array<long>"), "sketches", 32 << 20)
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "row long, doc_id long, n long, class long, second long, point binary, cells array<long>"), "sketches", 32 << 20)
 
 
 def _bit_filter(places: DataFrame) -> np.ndarray:
@@ -229,7 +248,7 @@ def _maybe(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _cell_members(chosen: DataFrame) -> DataFrame:
-    """cell, class: the cells of two classes or more. chosen: row, cells.
+    """cell, class: the cells of two classes or more. chosen: class, cells.
 
     Cells are counted, which combines before they are dealt; then the few that are shared are found again by a filter
     of fixed size, and those it lets through are joined to them.
@@ -245,51 +264,57 @@ def _cell_members(chosen: DataFrame) -> DataFrame:
             keep = _maybe(bits.value, cells & (FILTER_BITS - 1))
             yield pa.record_batch([pa.array(cells[keep]), pa.array(owner[keep])], names=["cell", "class"])
 
-    some = chosen.select("row", "cells").transform(in_batches, run, "cell long, class long")
-    return stored(some.join(shared, "cell", "left_semi"), "cells")
+    some = chosen.select("class", "cells").transform(in_batches, run, "cell long, class long")
+    out = stored(some.join(shared, "cell", "left_semi"), "cells")
+    discard(shared)
+    return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame, percent: int, width: int, salt: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar, as stored edges.
 
-    Only the documents that pairs need are shingled again, found by a filter of fixed size; a set is dealt once to
-    each class and once to each pair.
+    Only the documents that pairs need are shingled again: filters of fixed size on doc_id and on the class find them.
+    A set is dealt once for each pair, with five bytes an element.
     """
     ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = stored(classes.join(ids, "class").select("class", "doc_id", "f1", "f2"), "wanted")
-    spark = docs.sparkSession
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = spark.sparkContext.broadcast(_bit_filter(wanted.select(hashed.alias("place"))))  # 16 MB whatever the input
+    wanted = stored(heads.join(ids, "class").select("class", "doc_id"), "wanted")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    share = docs.sparkSession.sparkContext.broadcast
+    by_id = share(_bit_filter(wanted.select(place.alias("place"))))  # 16 MB each, whatever the input
+    by_class = share(_bit_filter(wanted.select(F.col("class").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))))
 
     def again(batches):
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            rows = np.flatnonzero(_maybe(bits.value, place))
+            rows = np.flatnonzero(_maybe(by_id.value, batch.column(1).to_numpy()))
             if not len(rows):
                 continue
             batch = batch.take(pa.array(rows))
-            for first, data, starts, ends in text_blocks(batch, "text"):
+            for _, data, starts, ends in text_blocks(batch, "text"):
                 sets, bounds = shingle_sets(data, starts, ends, width)
-                f1, f2 = _fingerprints(sets, bounds)
-                raw = [sets[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.record_batch([batch.column(0).slice(first, len(starts)), pa.array(f1), pa.array(f2), pa.array(raw, pa.binary())], names=["doc_id", "f1", "f2", "set"])
+                number, _ = _fingerprints(sets, bounds, salt)
+                own = np.flatnonzero(_maybe(by_class.value, number & (FILTER_BITS - 1)) & (np.diff(bounds) > 0))
+                raw = [_short(sets[bounds[k] : bounds[k + 1]]).tobytes() for k in own.tolist()]
+                yield pa.record_batch([pa.array(number[own]), pa.array(raw, pa.binary())], names=["class", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("place", hashed)
-    found = texts.transform(in_batches, again, "doc_id long, f1 long, f2 long, set binary")
-    same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["f1"] == wanted["f1"]) & (found["f2"] == wanted["f2"])
-    sets = stored(found.join(wanted, same).select("class", "set"), "sets", 32 << 20)
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).select("text", place.alias("place"))
+    sets = stored(texts.transform(in_batches, again, "class long, set binary"), "sets", 32 << 20)
 
     def check(batches):
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                keep.append(k) if enough(len(np.intersect1d(s, t, assume_unique=True)), len(s) + len(t), percent) else None
+                s, t = _long(x.as_py()), _long(y.as_py())
+                if enough(len(np.intersect1d(s, t)), len(s) + len(t), percent):
+                    keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return stored(both.select("a", "b", "set_a", "set_b").transform(in_batches, check, "a long, b long"), "edges")
+    out = stored(both.select("a", "b", "set_a", "set_b").transform(in_batches, check, "a long, b long"), "edges")
+    by_id.destroy()
+    by_class.destroy()
+    discard(wanted, sets)
+    return out
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -392,45 +417,54 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: in
     joins large groups without their pairs; R-trees then compare what is left of a cell in different components. All links
     between different components are verified, so the components are exact.
     """
-    all_docs = sketches(docs, percent, width)
-    filled = all_docs.filter("n > 0")
-    fingerprint = ["f1", "f2", "n"]
-    classes = stored(filled.groupBy(*fingerprint).agg(F.min("row").alias("class"), F.min("doc_id").alias("least")), "classes")
+    spark = docs.sparkSession
+    salt = 0
+    while True:
+        all_docs = sketches(docs, percent, width, salt)
+        filled = all_docs.filter("n > 0")
+        # A class is one set: its second number and size are the same in all rows.
+        clash = filled.groupBy("class").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("second", "n") for f in (F.min, F.max)]).filter("min_second < max_second OR min_n < max_n")
+        if clash.isEmpty():
+            break
+        discard(all_docs)
+        salt += 1
+    classes = stored(filled.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "classes")
     # Copies are written first: Spark sends them to all tasks where they are few, and joins by shuffling where not.
-    copies = stored(filled.select("row", *fingerprint).join(classes, fingerprint).filter(F.col("row") != F.col("class")).select("row"), "copies")
+    copies = stored(filled.select("row", "class").join(classes.withColumnRenamed("row", "first"), "class").filter(F.col("row") != F.col("first")).select("row"), "copies")
     chosen = filled.join(copies, "row", "left_anti")
-    heads = chosen.select(F.col("row").alias("class"), "doc_id", "f1", "f2")
-    points = chosen.select(F.col("row").alias("class"), "point", "n")
+    heads = chosen.select("class", "doc_id")
+    points = chosen.select("class", "point", "n")
     members = _cell_members(chosen)
-    labels = None
-    edges = None
+    free_shuffles(spark)
+    labels = edges = None
     for turn in range(stars + 1):
         if labels is None:
             known = members.withColumn("component", F.col("class"))
         else:
-            known = members.join(labels.select(F.col("node").alias("class"), F.col("component").alias("c")), "class", "left").select("cell", "class", F.coalesce("c", "class").alias("component"))
-        known = stored(known, "members") if labels is not None else known
+            known = stored(members.join(labels.select(F.col("node").alias("class"), F.col("component").alias("c")), "class", "left").select("cell", "class", F.coalesce("c", "class").alias("component")), "members")
         lead = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("cell"), F.col("class")).alias("h"), F.col("class").alias("class"), F.col("component").alias("component")))
         split = known.groupBy("cell").agg(lead.alias("lead"), F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         if turn < stars:
             star = known.join(split.select("cell", "lead"), "cell").filter(F.col("component") != F.col("lead.component"))
-            pairs = star.select(F.least("class", F.col("lead.class")).alias("a"), F.greatest("class", F.col("lead.class")).alias("b")).distinct()
-            pairs = _bounded(pairs, points, percent)
+            pairs = _bounded(star.select(F.least("class", F.col("lead.class")).alias("a"), F.greatest("class", F.col("lead.class")).alias("b")).distinct(), points, percent)
         else:
-            rows = known.join(split.select("cell", "size"), "cell").join(chosen.select(F.col("row").alias("class"), "n", "point"), "class")
+            rows = known.join(split.select("cell", "size"), "cell").join(points, "class")
             pairs = stored(_within_cells(rows, percent).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        new = verified(docs, pairs, heads, percent, width)
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
-    out = all_docs.select("doc_id", "n", "f1", "f2")
+        if not pairs.isEmpty():
+            new = verified(docs, pairs, heads, percent, width, salt)
+            edges = new if edges is None else edges.union(new)
+            discard(labels)
+            labels = components(edges)
+        discard(known, pairs)
+        free_shuffles(spark)
+    discard(members, copies)
+    out = all_docs.select("doc_id", "n", "class")
     empty = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     if labels is None:
-        of_class = classes.select(*fingerprint, F.col("least").alias("component_id"))
+        of_class = classes.select("class", F.col("least").alias("component_id"))
     else:
         named = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        of_class = named.join(least, "component").select(*fingerprint, "component_id")
-    linked = out.filter("n > 0").join(of_class, fingerprint).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        of_class = named.join(least, "component").select("class", "component_id")
+    linked = out.filter("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionAll(empty)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import in_batches, stored
+from kinelake.llm.common import discard, free_shuffles, in_batches, stored
 
 #: Distinct vectors of a shard, about. A shard's graph and vectors are what one search task holds in memory.
 SHARD_VECTORS = 16_384
@@ -93,12 +93,15 @@ def build_graph(vectors: DataFrame, k: int = 24, sample: int = 12, rounds: int =
         lists = around.select("v", "u", "code", "worst").union(own).groupBy("v").agg(F.collect_list(F.struct("u", "code", "worst")).alias("around"))
         found = lists.select("around").transform(in_batches, local, "a long, b long, sim float")
         merged = graph.union(found).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-        graph = stored(merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"), "graph")
+        last, graph = graph, stored(merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"), "graph")
+        discard(last)
+        free_shuffles(vectors.sparkSession)
     back = Window.partitionBy("b").orderBy(F.desc("sim"), "a")
     reverse = graph.withColumn("r", F.row_number().over(back)).filter(F.col("r") <= k).select(F.col("b").alias("a"), F.col("a").alias("b"))
     linked = graph.select("a", "b").union(reverse).distinct().groupBy("a").agg(F.collect_list("b").alias("near"))
     full = nodes.select("shard", "node", "vec").join(linked.withColumnRenamed("a", "node"), "node", "left")
     packed = stored(full.groupBy("shard").applyInArrow(_pack, "shard long, ids binary, vecs binary, links binary, degree int"), "shards", 16 << 20)
+    discard(rows, graph)
     return GraphIndex(nodes.select("shard", "node", "vec"), ranked.select("node", "vec_id"), packed, width)
 
 
@@ -193,7 +196,7 @@ def greedy_search(vecs: np.ndarray, links: np.ndarray, queries: np.ndarray, star
     return np.where(ids == n, -1, ids), np.take_along_axis(sims, order, axis=1)
 
 
-def search(index: GraphIndex, queries: DataFrame, k: int = 20, beam: int = 320, block: int = 64) -> DataFrame:
+def search(index: GraphIndex, queries: DataFrame, k: int = 20, beam: int = 320, block: int = 256) -> DataFrame:
     """The k nearest found of each query (query_id, embedding), best first: query_id, rank, vec_id, score.
 
     Blocks of queries go through each shard by greedy graph search; the best ``k + 1`` nodes of all shards are put

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import in_batches, new_path, stored
+from kinelake.llm.common import discard, in_batches, new_path, stored
 from kinelake.llm.tokens import default_vocabulary, encoded_blocks
 
 MAGIC = b"KLTOKEN1"
@@ -185,6 +185,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
 
     # One short row per shard of some megabytes. A bucket was written in order into one file, which large files' readers share.
     shards = ordered.select("doc_id", "packed", "bucket").transform(in_batches, write, "bucket long, first_id long, name string, docs long, tokens long").toPandas()
+    discard(ordered)
     shards = shards.sort_values(["bucket", "first_id", "name"])
     manifest = {"vocabulary": path.rsplit("/", 1)[-1], "end_id": end_id, "shards": shards[["name", "docs", "tokens"]].to_dict("records")}
     write_bytes(f"{folder}/manifest.json", json.dumps(manifest).encode())
