@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,10 @@ def curve(joint: str, stratum: str = "adult") -> tuple[np.ndarray, np.ndarray]:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    """stratum, joint, p, mean, sd: 2424 rows."""
-    rows = [(stratum, joint, p, float(m), float(s)) for stratum in STRATA for joint in KEY_POINTS for p, (m, s) in enumerate(zip(*curve(joint, stratum), strict=True))]
-    return spark.createDataFrame(rows, "stratum string, joint string, p int, mean double, sd double")
+    """stratum, joint, p, mean, sd: 2424 rows, which the plan holds itself, so that Spark knows their size."""
+    curves = [(stratum, joint, *curve(joint, stratum)) for stratum in STRATA for joint in KEY_POINTS]
+    columns = {"stratum": [s for s, *_ in curves for _ in range(101)], "joint": [j for _, j, *_ in curves for _ in range(101)], "p": pa.array(list(range(101)) * len(curves), pa.int32()), "mean": np.concatenate([m for *_, m, _ in curves]), "sd": np.concatenate([s for *_, s in curves])}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def band(normative: DataFrame, n_sd: float = 1.0) -> DataFrame:

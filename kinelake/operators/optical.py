@@ -99,7 +99,7 @@ def event_errors(video: DataFrame, optical: DataFrame) -> DataFrame:
 
 def convention_table(spark: SparkSession) -> DataFrame:
     """convention, landmark, label, rank."""
-    return spark.createDataFrame([(c, n, label, k) for c, own in CONVENTIONS.items() for n, labels in own.items() for k, label in enumerate(labels)], "convention string, landmark string, label string, rank int")
+    return spark.createDataFrame(pa.Table.from_pylist([{"convention": c, "landmark": n, "label": label, "rank": k} for c, own in CONVENTIONS.items() for n, labels in own.items() for k, label in enumerate(labels)]))
 
 
 def detect_convention(labels: DataFrame, least: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ SPATIOTEMPORAL_RANGES = {
 
 def ranges(spark: SparkSession) -> DataFrame:
     """joint, phase, lo, hi."""
-    return spark.createDataFrame([(j, p, float(lo), float(hi)) for j, own in ANGLE_RANGES.items() for p, (lo, hi) in own.items()], "joint string, phase string, lo double, hi double")
+    return spark.createDataFrame(pa.Table.from_pylist([{"joint": j, "phase": p, "lo": float(lo), "hi": float(hi)} for j, own in ANGLE_RANGES.items() for p, (lo, hi) in own.items()]))
 
 
 def adjusted(table: DataFrame, age: int | None = None, speed: str | None = None) -> DataFrame:
