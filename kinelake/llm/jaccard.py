@@ -132,6 +132,26 @@ def cell_keys(sets: np.ndarray, bounds: np.ndarray, families: Families) -> tuple
     return keys[keep], np.concatenate([[0], np.cumsum(per_set)])
 
 
+def fine_vectors(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Counts by more groups, a power of two of between half a set's size and its size: points for pairs that coarser ones let pass."""
+    spread = mix(sets ^ _A)
+    out = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        groups = max(GROUPS, 1 << max(0, (e - s - 1).bit_length() - 1))
+        counts = np.bincount((spread[s:e] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        out.append((counts if counts.max() < FULL else np.full(groups, FULL)).astype(np.uint8).tobytes())
+    return out
+
+
+def _may_fine(a: bytes, b: bytes, total: int, percent: int) -> bool:
+    """Whether two fine points allow similarity; the finer one is folded onto the other."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.uint16) for v in (a, b))
+    if x.min() == FULL or y.min() == FULL:
+        return True
+    n = min(len(x), len(y))
+    return bool(enough(int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum()), total, percent))
+
+
 def count_vectors(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Counts of the sets' elements by group, as points."""
     n = len(bounds) - 1
@@ -206,7 +226,7 @@ class RTree:
 
 
 def sketches(docs: DataFrame, percent: int, width: int, salt: int = 0) -> DataFrame:
-    """A stored row per document (doc_id, text): row, doc_id, n, class, second (number of the set), point, cells."""
+    """A stored row per document (doc_id, text): row, doc_id, n, class, second (number of the set), point, fine, cells."""
     families = Families(percent)
 
     def run(batches):
@@ -221,10 +241,10 @@ def sketches(docs: DataFrame, percent: int, width: int, salt: int = 0) -> DataFr
                 points = count_vectors(sets, bounds)
                 n = len(starts)
                 cells = pa.ListArray.from_arrays(pa.array(key_bounds, pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.record_batch([pa.array(row + np.arange(n)), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([p.tobytes() for p in points], pa.binary()), cells], names=["row", "doc_id", "n", "class", "second", "point", "cells"])
+                yield pa.record_batch([pa.array(row + np.arange(n)), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(fine_vectors(sets, bounds), pa.binary()), cells], names=["row", "doc_id", "n", "class", "second", "point", "fine", "cells"])
                 row += n
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "row long, doc_id long, n long, class long, second long, point binary, cells array<long>"), "sketches", 32 << 20)
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "row long, doc_id long, n long, class long, second long, point binary, fine binary, cells array<long>"), "sketches", 32 << 20)
 
 
 def _bit_filter(places: DataFrame) -> np.ndarray:
@@ -321,18 +341,22 @@ def _points(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, GROUPS)
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose points allow similarity."""
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int, column: str) -> DataFrame:
+    """The distinct pairs (a, b) whose points (class, n, and point or fine) allow similarity, stored."""
 
     def run(batches):
         for batch in batches:
-            a, b = (_points(batch.column(k)) for k in (2, 3))
             total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(_may(a, b, total, percent)))
+            if column == "point":
+                keep = _may(_points(batch.column(2)), _points(batch.column(3)), total, percent)
+            else:
+                keep = np.array([_may_fine(x.as_py(), y.as_py(), n, percent) for x, y, n in zip(batch.column(2), batch.column(3), total.tolist(), strict=True)], bool)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    with_a = pairs.join(points.select(F.col("class").alias("a"), F.col("point").alias("pa"), F.col("n").alias("na")), "a")
-    both = with_a.join(points.select(F.col("class").alias("b"), F.col("point").alias("pb"), F.col("n").alias("nb")), "b")
-    return stored(both.select("a", "b", "pa", "pb", "na", "nb").transform(in_batches, run, "a long, b long"), "pairs")
+    with_a = pairs.join(points.select(F.col("class").alias("a"), F.col(column).alias("pa"), F.col("n").alias("na")), "a")
+    both = with_a.join(points.select(F.col("class").alias("b"), F.col(column).alias("pb"), F.col("n").alias("nb")), "b")
+    near = both.filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    return stored(near.select("a", "b", "pa", "pb", "na", "nb").transform(in_batches, run, "a long, b long"), "pairs")
 
 
 def _within_cells(rows: DataFrame, percent: int) -> DataFrame:
@@ -433,7 +457,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: in
     copies = stored(filled.select("row", "class").join(classes.withColumnRenamed("row", "first"), "class").filter(F.col("row") != F.col("first")).select("row"), "copies")
     chosen = filled.join(copies, "row", "left_anti")
     heads = chosen.select("class", "doc_id")
-    points = chosen.select("class", "point", "n")
+    points = chosen.select("class", "point", "fine", "n")
     members = _cell_members(chosen)
     free_shuffles(spark)
     labels = edges = None
@@ -446,10 +470,12 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: in
         split = known.groupBy("cell").agg(lead.alias("lead"), F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         if turn < stars:
             star = known.join(split.select("cell", "lead"), "cell").filter(F.col("component") != F.col("lead.component"))
-            pairs = _bounded(star.select(F.least("class", F.col("lead.class")).alias("a"), F.greatest("class", F.col("lead.class")).alias("b")).distinct(), points, percent)
+            pairs = _bounded(star.select(F.least("class", F.col("lead.class")).alias("a"), F.greatest("class", F.col("lead.class")).alias("b")).distinct(), points, percent, "point")
         else:
-            rows = known.join(split.select("cell", "size"), "cell").join(points, "class")
+            rows = known.join(split.select("cell", "size"), "cell").join(points.drop("fine"), "class")
             pairs = stored(_within_cells(rows, percent).distinct(), "pairs")
+        coarse, pairs = pairs, _bounded(pairs, points, percent, "fine")
+        discard(coarse)
         if not pairs.isEmpty():
             new = verified(docs, pairs, heads, percent, width, salt)
             edges = new if edges is None else edges.union(new)
