@@ -123,15 +123,17 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
                     own = np.frombuffer(raw[4 * at : 4 * (at + n)] + end, np.uint8).reshape(-1, 4)
                     out.append(squeeze.compress(np.ascontiguousarray(own.T).tobytes()))  # byte by byte: high bytes are alike
                     at += n
-                yield pa.record_batch([batch.column(0).slice(first, rows), pa.array(counts + 1), pa.array(out, pa.binary())], names=["doc_id", "n", "packed"])
+                ids_here = batch.column(0).slice(first, rows)
+                bucket = np.where(ids_here.is_null(), 0, np.searchsorted(cuts, pc.fill_null(ids_here, 0).to_numpy(), "left"))
+                yield pa.record_batch([ids_here, pa.array(counts + 1), pa.array(out, pa.binary()), pa.array(bucket, pa.int32())], names=["doc_id", "n", "packed", "bucket"])
 
     # Cut points of doc_id come from that column alone, so that texts are tokenised once.
     parts = max(1, docs.select("doc_id").rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    steps = [k / parts for k in range(1, parts)]
-    cuts = sorted(set((docs.select(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*map(F.lit, steps)), F.lit(20_000)).alias("c")).first()[0] if steps else None) or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: F.col("doc_id") > c)) if cuts else F.lit(0)
-    coded = docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, tokenise, "doc_id long, n long, packed binary")
-    ordered = stored(coded.withColumn("bucket", F.coalesce(bucket, F.lit(0))).repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("packed"), "packed"), "tokens")
+    steps = ", ".join(f"{k / parts:.9f}D" for k in range(1, parts))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.expr(f"percentile_approx(doc_id, array({steps}), {max(20_000, 4 * parts)})")).first()[0] if steps else None
+    cuts = np.unique(np.array(found or [], np.int64))
+    coded = docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, tokenise, "doc_id long, n long, packed binary, bucket int")
+    ordered = stored(coded.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("packed"), "packed"), "tokens")
 
     def count(batches):
         total = np.zeros(0, np.int64)
