@@ -237,7 +237,7 @@ def search(index: GraphIndex, queries: DataFrame, k: int = 20, beam: int = 320,
 
 def _with_shards(blocks: DataFrame, packed: DataFrame) -> DataFrame:
     """Every block of queries beside every shard: blocks are repeated by shard number, and joined to the shard by it."""
-    shards = [r["shard"] for r in packed.select("shard").collect()]  # one number for each 16384 vectors
-    number = F.array(*[F.lit(s).cast("long") for s in shards]) if shards else F.array().cast("array<long>")
+    last = packed.agg(F.max("shard")).first()[0]
+    number = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")) if last is not None else F.array().cast("array<long>")
     n = max(8, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return blocks.withColumn("shard", F.explode(number)).join(packed, "shard").repartition(n, "part", "shard")
