@@ -132,24 +132,38 @@ def cell_keys(sets: np.ndarray, bounds: np.ndarray, families: Families) -> tuple
     return keys[keep], np.concatenate([[0], np.cumsum(per_set)])
 
 
+#: The greatest count of a fine point's group, of which two share a byte.
+FINE_FULL = 15
+
+
 def fine_vectors(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Counts by more groups, a power of two of between half a set's size and its size: points for pairs that coarser ones let pass."""
+    """Counts by more groups, a power of two of between half a set's size and its size: points for pairs that coarser ones let pass.
+
+    Points with a count beyond FINE_FULL are that value throughout.
+    """
     spread = mix(sets ^ _A)
     out = []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         groups = max(GROUPS, 1 << max(0, (e - s - 1).bit_length() - 1))
         counts = np.bincount((spread[s:e] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-        out.append((counts if counts.max() < FULL else np.full(groups, FULL)).astype(np.uint8).tobytes())
+        counts = (counts if counts.max() < FINE_FULL else np.full(groups, FINE_FULL)).astype(np.uint8)
+        out.append((counts[: groups // 2] | counts[groups // 2 :] << 4).tobytes())
     return out
 
 
-def _may_fine(a: bytes, b: bytes, total: int, percent: int) -> bool:
+def _unpacked(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8)
+    return np.concatenate([x & 15, x >> 4])
+
+
+def _may_fine(x: np.ndarray, y: np.ndarray, total: int, percent: int) -> bool:
     """Whether two fine points allow similarity; the finer one is folded onto the other."""
-    x, y = (np.frombuffer(v, np.uint8).astype(np.uint16) for v in (a, b))
-    if x.min() == FULL or y.min() == FULL:
+    if x.min() == FINE_FULL or y.min() == FINE_FULL:
         return True
     n = min(len(x), len(y))
-    return bool(enough(int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum()), total, percent))
+    if len(x) != len(y):
+        x, y = (v.reshape(-1, n).sum(axis=0, dtype=np.uint16) for v in (x, y))
+    return bool(enough(int(np.minimum(x, y).sum(dtype=np.int64)), total, percent))
 
 
 def count_vectors(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -350,7 +364,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int, column: str) ->
             if column == "point":
                 keep = _may(_points(batch.column(2)), _points(batch.column(3)), total, percent)
             else:
-                keep = np.array([_may_fine(x.as_py(), y.as_py(), n, percent) for x, y, n in zip(batch.column(2), batch.column(3), total.tolist(), strict=True)], bool)
+                keep = np.array([_may_fine(_unpacked(x.as_py()), _unpacked(y.as_py()), n, percent) for x, y, n in zip(batch.column(2), batch.column(3), total.tolist(), strict=True)], bool)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     with_a = pairs.join(points.select(F.col("class").alias("a"), F.col(column).alias("pa"), F.col("n").alias("na")), "a")
