@@ -2,7 +2,7 @@
 
 A document's distinct shingles are hashed into groups. Documents that may be similar are first dealt into cells: with
 more groups than two similar sets can differ in elements, at least one group has the same elements in both, so
-(group, hash of its elements) is a cell's key and no pair is lost. Within a cell the counts of 256 groups are points of
+(group, hash of its elements) is a cell's key and no pair is lost. Within a cell the counts of 512 groups are points of
 an R-tree, the sum of coordinate minima bounds the overlap of nodes and points, and pairs that survive are verified on
 their whole sets.
 """
@@ -20,7 +20,7 @@ from kinelake.llm.graph import components
 
 WORD = byte_class(lambda b: b not in (9, 10, 11, 12, 13, 32))
 #: Coordinates of a point, and the greatest value of one; points beyond it are this value throughout.
-GROUPS, FULL = 256, 255
+GROUPS, FULL = 512, 127
 #: Points of an R-tree's node, and of a block of a large cell.
 FANOUT, BLOCK = 16, 2048
 #: Bits of the filter that says which documents' sets are needed again; a full one lets more through, never fewer.
@@ -144,7 +144,7 @@ def fine_vectors(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     spread = mix(sets ^ _A)
     out = []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        groups = max(GROUPS, 1 << max(0, (e - s - 1).bit_length() - 1))
+        groups = max(256, 1 << max(0, (e - s - 1).bit_length() - 1))
         counts = np.bincount((spread[s:e] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
         counts = (counts if counts.max() < FINE_FULL else np.full(groups, FINE_FULL)).astype(np.uint8)
         out.append((counts[: groups // 2] | counts[groups // 2 :] << 4).tobytes())
@@ -402,9 +402,19 @@ def _within_cells(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).transform(in_batches, run, "a long, b long")
 
 
+def _sharper(points: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows whose points allow similarity."""
+    keep = np.zeros(len(a), bool)
+    for part in range(0, len(a), 1 << 14):
+        x, y = a[part : part + (1 << 14)], b[part : part + (1 << 14)]
+        keep[part : part + (1 << 14)] = _may(points[x], points[y], n[x] + n[y], percent)
+    return a[keep], b[keep]
+
+
 def _cell_pairs(table: pa.Table, first: np.ndarray, percent: int):
     x, y, own, node, component, n = (table.column(c).to_numpy() for c in ("x", "y", "own", "class", "component", "n"))
     points = _points(table.column("point"))
+    half = points[:, : GROUPS // 2] + points[:, GROUPS // 2 :]  # fewer coordinates for most comparisons, all for what they let pass
     bounds = np.append(first[first < table.num_rows], table.num_rows)
     size = np.diff(bounds)
     left, right = [], []
@@ -419,23 +429,25 @@ def _cell_pairs(table: pa.Table, first: np.ndarray, percent: int):
         total = n[a] + n[b]
         near = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (component[a] != component[b])
         a, b, total = a[near], b[near], total[near]
-        near = _may(points[a], points[b], total, percent)
-        left.append(a[near])
-        right.append(b[near])
+        near = _may(half[a], half[b], total, percent)
+        a, b = _sharper(points, n, a[near], b[near], percent)
+        left.append(a)
+        right.append(b)
     for c in np.flatnonzero(~small).tolist():
         s = slice(bounds[c], bounds[c + 1])
         if x[s.start] == y[s.start]:
-            tree = RTree(points[s], n[s], component[s])
+            tree = RTree(half[s], n[s], component[s])
             a, b = tree.join(tree, percent)
         else:
             p = np.flatnonzero(own[s] == x[s.start])
             q = np.flatnonzero(own[s] == y[s.start])
             if not len(p) or not len(q):
                 continue
-            a, b = RTree(points[s][p], n[s][p], component[s][p]).join(RTree(points[s][q], n[s][q], component[s][q]), percent)
+            a, b = RTree(half[s][p], n[s][p], component[s][p]).join(RTree(half[s][q], n[s][q], component[s][q]), percent)
             a, b = p[a], q[b]
-        left.append(s.start + a)
-        right.append(s.start + b)
+        a, b = _sharper(points, n, s.start + a, s.start + b, percent)
+        left.append(a)
+        right.append(b)
     if left:
         a, b = node[np.concatenate(left)], node[np.concatenate(right)]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -497,8 +509,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: in
             labels = components(edges)
         discard(known, pairs)
         free_shuffles(spark)
-    discard(members, copies)
-    out = all_docs.select("doc_id", "n", "class")
+    out = stored(all_docs.select("doc_id", "n", "class"), "documents")  # all that the result reads later
+    discard(members, copies, all_docs)
     empty = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     if labels is None:
         of_class = classes.select("class", F.col("least").alias("component_id"))
