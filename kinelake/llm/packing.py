@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences by hierarchical residual packing."""
+"""Best-fit packing of token sequences: counts of lengths rise from the tasks, and the root packs the residuals of all."""
 
 from __future__ import annotations
 
@@ -7,55 +7,86 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm.common import in_batches, stored
 from kinelake.llm.tokens import default_vocabulary, encoded_blocks
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, part long, done boolean"
-ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("done", pa.bool_())])
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, place long"
+ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("place", pa.int64())])
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: Bits of a rank in the sort key of a rule; the length is above them.
+_RANK_BITS = 40
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-fit decreasing: each item's bin and offset there, and the bins' fills.
+def fit_counts(lengths: list[int], counts: list[int], capacity: int) -> tuple[np.ndarray, int]:
+    """Best-fit decreasing over counts of items by length, as rules, and the number of bins.
 
-    Open bins are kept by residual; a bit mask of the residuals in use finds the least that an item fits. Equal lengths
-    keep their order.
+    A rule is (key, rank, first, per, offset): from this rank among the items of its length on, bins from ``first`` on get
+    ``per`` items each, at ``offset``. Equal bins are kept as ranges; an item's best fit stays its best fit while it has
+    room, so a length fills range after range. A length splits two ranges at most, so the rules' number has a bound by
+    the capacity that the number of items doesn't move. Rules are in the order of their key, length and rank.
     """
-    bins = np.zeros(len(lengths), np.int64)
-    offsets = np.zeros(len(lengths), np.int64)
-    fills: list[int] = []
-    open_bins: dict[int, list[int]] = {}
-    mask = 0
-    for k in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[k])
-        fitting = mask >> n
-        if fitting:
-            left = n + (fitting & -fitting).bit_length() - 1
-            which = open_bins[left].pop()
-            if not open_bins[left]:
-                mask &= ~(1 << left)
-        else:
-            left, which = capacity, len(fills)
-            fills.append(0)
-        bins[k], offsets[k] = which, fills[which]
-        fills[which] += n
-        left -= n
-        if left:
-            open_bins.setdefault(left, []).append(which)
+    rules: list[tuple[int, int, int, int, int]] = []
+    ranges: dict[int, list[tuple[int, int]]] = {}
+    mask = bins = 0
+
+    def put(left: int, first: int, many: int) -> None:
+        nonlocal mask
+        if left and many:
+            ranges.setdefault(left, []).append((first, many))
             mask |= 1 << left
-    return bins, offsets, np.array(fills, np.int64)
 
+    for n, rest in sorted(zip(lengths, counts, strict=True), reverse=True):
+        rank = 0
+        while rest:
+            fitting = mask >> n
+            if fitting:
+                left = n + (fitting & -fitting).bit_length() - 1
+                first, many = ranges[left].pop()
+                if not ranges[left]:
+                    mask &= ~(1 << left)
+            else:
+                left, first, many = capacity, bins, -(-rest // (capacity // n))
+                bins += many
+            per = left // n
+            full = min(many, rest // per)
+            last = rest - full * per if full < many else 0  # items of a bin that isn't filled
+            rules.append((n << _RANK_BITS | rank, rank, first, per, capacity - left))
+            put(left - per * n, first, full)
+            if last:
+                put(left - last * n, first + full, 1)
+            put(left, first + full + bool(last), many - full - bool(last))
+            rank += full * per + last
+            rest -= full * per + last
+    return np.array(sorted(rules), np.int64).reshape(-1, 5), bins
+
+
+def placed(rules: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bin and the offset there of items by length and rank."""
+    which = np.searchsorted(rules[:, 0], lengths << _RANK_BITS | ranks, "right") - 1
+    _, rank, first, per, offset = rules[which].T
+    return first + (ranks - rank) // per, offset + (ranks - rank) % per * lengths
 
-def _settle(fills: np.ndarray, capacity: int, slack: int, carry: int, last: bool) -> np.ndarray:
-    """Which bins are done: nearly full ones, and beyond ``carry`` bins the fullest of the others; at the root all."""
-    done = fills >= capacity - slack
-    if last:
-        return np.ones(len(fills), bool)
-    if (rest := np.flatnonzero(~done)).size > carry:
-        done[rest[np.argsort(-fills[rest], kind="stable")[: rest.size - carry]]] = True
-    return done
+
+def ranks_within(lengths: np.ndarray) -> np.ndarray:
+    """Each item's number among those of its length, in order."""
+    order = np.argsort(lengths, kind="stable")
+    ordered = lengths[order]
+    out = np.empty(len(lengths), np.int64)
+    out[order] = np.arange(len(lengths)) - np.searchsorted(ordered, ordered)
+    return out
+
+
+def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit decreasing: each item's bin and offset there, and the bins' fills. Equal lengths keep their order."""
+    own, counts = np.unique(lengths, return_counts=True)
+    rules, n = fit_counts(own.tolist(), counts.tolist(), capacity)
+    bins, offsets = placed(rules, lengths, ranks_within(lengths))
+    fills = np.zeros(n, np.int64)
+    np.add.at(fills, bins, lengths)
+    return bins, offsets, fills
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, slack: int = 8, block: int = 65_536, fan_in: int = 8, carry: int = 16_384) -> DataFrame:
@@ -64,10 +95,11 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocab
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document's ids get ``end_id``
     appended; only documents longer than the capacity are cut, into pieces of the capacity and a rest.
 
-    Each task packs its pieces by best fit in blocks of ``block`` pieces and lets go of bins with at most ``slack`` free
-    tokens. What is left rises through a tree: each node takes the bins of ``fan_in`` nodes as items for another
-    round of best fit. A node passes on ``carry`` bins at most and releases fuller ones as they are, so a node's memory
-    has a bound that the input doesn't move; every piece is in exactly one sequence in any case.
+    Tasks number the pieces of each length; their counts, ``capacity`` values a task at most, are summed, and the driver
+    packs all pieces by best fit on these counts, whatever their order or number. A piece's sequence follows from its
+    length and rank: its number in its task, after all of the tasks before. Only rows without text are joined for that.
+    ``slack``, ``block``, ``fan_in`` and ``carry`` were bounds of packing by parts; no piece is settled early any more, and
+    they have no effect.
 
     Null or empty text is the end id alone; a null doc_id is kept; repeated rows and ids are packed each for itself
     (told apart by their place); an empty table gives no rows. Other columns of docs are ignored.
@@ -78,63 +110,31 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocab
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        made = 0
-        held: list[pa.Table] = []
-        waiting = 0
-
-        def flush(table: pa.Table, last: bool):
-            nonlocal made
-            out, n = _repack(table, capacity, slack, carry, False, (part << 32) + made, part)
-            made += n
-            if last:
-                return out, None
-            done = out.filter(out.column("done"))
-            return done, out.filter(pc.invert(out.column("done")))
-
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids_in = pc.fill_null(batch.column(0), 0).to_numpy()
             null_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for first, rows, ids, counts in encoded_blocks(batch, "text", path):
-                table = _pieces(ids_in[first : first + rows], null_id[first : first + rows], ids, counts, capacity, end_id, part)
-                held.append(table)
-                waiting += table.num_rows
-            if waiting >= block:
-                out, rest = flush(pa.concat_tables(held), False)
-                held, waiting = [rest], rest.num_rows
-                yield from out.to_batches()
-                if waiting >= block:  # bins of very many small pieces: they go as they are
-                    yield from rest.set_column(ARROW.get_field_index("done"), ARROW.field("done"), pa.array(np.ones(waiting, bool))).to_batches()
-                    held, waiting = [], 0
-        if held:
-            yield from flush(pa.concat_tables(held), True)[0].to_batches()
-
-    level = stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, local, SCHEMA), "packing")
-    finished = [level.filter("done")]
-    height = 0
-    parts = (level.filter("not done").agg(F.max("part")).first()[0] or 0) + 1
-    waiting = not level.filter("not done").isEmpty()
-    while waiting:
-        height += 1
-        parts = -(-parts // fan_in)
-        root, tag = parts == 1, height << 56
-
-        def merge(table: pa.Table) -> pa.Table:
-            part = table.column("part")[0].as_py()
-            order = [("sequence_id", "ascending"), ("offset", "ascending")]
-            return _repack(table.sort_by(order), capacity, slack, carry, root, tag + (part << 32), part)[0]
-
-        risen = level.filter("not done").withColumn("part", F.floor(F.col("part") / fan_in).cast("long"))
-        level = stored(risen.groupBy("part").applyInArrow(merge, SCHEMA), "packing")
-        finished.append(level.filter("done"))
-        waiting = not root
-    out = finished[0]
-    for more in finished[1:]:
-        out = out.unionAll(more)
-    return out.drop("part", "done")
-
-
-def _pieces(doc_ids: np.ndarray, null_id: np.ndarray, ids: np.ndarray, counts: np.ndarray, capacity: int, end_id: int, part: int) -> pa.Table:
-    """The pieces of a run of documents, each as a bin of its own."""
+                yield from _pieces(ids_in[first : first + rows], null_id[first : first + rows], ids, counts, capacity, end_id, part, seen).to_batches()
+
+    pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, local, SCHEMA), "packing")
+    counts = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "packing")
+    totals = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()
+    rules = docs.sparkSession.sparkContext.broadcast(fit_counts([r["length"] for r in totals], [r["n"] for r in totals], capacity)[0])
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
+
+    def place(batches):
+        for batch in batches:
+            sequence, offset = placed(rules.value, batch.column(3).to_numpy(), batch.column(5).to_numpy())
+            yield pa.record_batch([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return ranked.transform(in_batches, place, PACKED)
+
+
+def _pieces(doc_ids: np.ndarray, null_id: np.ndarray, ids: np.ndarray, counts: np.ndarray, capacity: int, end_id: int, part: int, seen: np.ndarray) -> pa.Table:
+    """The pieces of a run of documents, numbered by length after those ``seen``, which is brought forward."""
     docs, piece, start, length, crc = [], [], [], [], []
     at = 0
     end = np.array([end_id], "<u4").tobytes()
@@ -152,25 +152,7 @@ def _pieces(doc_ids: np.ndarray, null_id: np.ndarray, ids: np.ndarray, counts: n
     which = np.array(docs, np.int64)
     rows = len(which)
     none = null_id[which]
-    return pa.table([pa.array(np.where(none, 0, doc_ids[which]).astype(np.int64), mask=none), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(rows, -1, np.int64)), pa.array(np.zeros(rows, np.int64)), pa.array(np.full(rows, part, np.int64)), pa.array(np.zeros(rows, bool))], schema=ARROW)
-
-
-def _repack(table: pa.Table, capacity: int, slack: int, carry: int, last: bool, first_id: int, part: int) -> tuple[pa.Table, int]:
-    """One round of best fit over the bins of a table; pieces that aren't in a bin yet are bins by themselves."""
-    table = table.combine_chunks()
-    sequence = table.column("sequence_id").to_numpy()
-    offset = table.column("offset").to_numpy()
-    length = table.column("length").to_numpy()
-    if not len(sequence):
-        return table, 0
-    own = sequence < 0
-    key = np.where(own, -1 - np.arange(len(sequence)), sequence)
-    _, item = np.unique(key, return_inverse=True)
-    size = np.zeros(item.max() + 1, np.int64)
-    np.add.at(size, item, length)
-    bins, offsets, fills = best_fit(size, capacity)
-    done = _settle(fills, capacity, slack, carry, last)
-    new = {"sequence_id": pa.array(first_id + bins[item]), "offset": pa.array(offset + offsets[item]), "part": pa.array(np.full(len(item), part, np.int64)), "done": pa.array(done[bins[item]])}
-    for name, values in new.items():
-        table = table.set_column(table.schema.get_field_index(name), ARROW.field(name), values)
-    return table.select(ARROW.names).cast(ARROW), len(fills)
+    sizes = np.array(length, np.int64)
+    place = seen[sizes] + ranks_within(sizes)
+    seen += np.bincount(sizes, minlength=len(seen))
+    return pa.table([pa.array(np.where(none, 0, doc_ids[which]).astype(np.int64), mask=none), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(np.full(rows, part, np.int64)), pa.array(place)], schema=ARROW)

@@ -86,6 +86,15 @@ def test_packing(spark, awkward, options):
     assert used <= least * 1.15 + 1
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 20, "fan_in": 2, "carry": 5}])
+def test_packing_doesnt_depend_on_order(spark, options):
+    """Long documents in some tasks and short ones in others: a long and a short one fill a sequence."""
+    texts = [(k, "x " * (39 if k < 300 else 23)) for k in range(600)]
+    docs = table(spark, texts).repartitionByRange(4, "doc_id")
+    rows = packing.pack_documents(docs, capacity=64, **options).collect()
+    assert check_packing(rows, texts, 64) == (300, 300)
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(table(spark, [])).collect() == []
 
