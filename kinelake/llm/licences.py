@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, byte_class, in_batches, mix, text_blocks, word_hashes, word_spans
+from kinelake.llm.common import LOWER, byte_class, in_batches, mix, ragged, text_blocks, word_hashes, word_spans
 
 WORD = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 BUCKETS = 1 << 16
@@ -92,33 +92,35 @@ OTHERS = [
 
 @dataclass
 class LicenceModel:
-    """Classes (unknown first), their weights by feature bucket, biases, the temperature and the templates' features."""
+    """Classes (unknown first), their weights by feature bucket, biases, the temperature and the templates' features and words."""
 
     classes: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
     templates: list[tuple[str, np.ndarray]]
+    lengths: list[int]
 
 
-def paragraph_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all paragraphs (lines with a word): hashes of words and word pairs, their paragraph, the paragraphs' row and words."""
+def _line_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, their row, whether a line begins with them, and whether a run of lines without a wordless one between does."""
     low = LOWER[data]
     begin, end, first = word_spans(low, starts, ends, WORD)
     if not len(begin):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none.astype(bool), none.astype(bool)
     row = np.repeat(np.arange(len(starts)), np.diff(first))
     breaks = np.cumsum(low == 10)
     line = breaks[begin]
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])])
-    paragraph = np.cumsum(new) - 1
-    h = word_hashes(low, begin, end)
-    same = ~new[1:]
-    pairs = mix(h[:-1][same] * _STEP + h[1:][same])
-    features = np.concatenate([h, pairs])
-    owner = np.concatenate([paragraph, paragraph[1:][same]])
-    return features, owner, row[new], np.bincount(paragraph)
+    other = row[1:] != row[:-1]
+    new = np.concatenate([[True], other | (line[1:] != line[:-1])])
+    apart = np.concatenate([[True], other | (line[1:] > line[:-1] + 1)])
+    return word_hashes(low, begin, end), row, new, apart
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of each word with the next."""
+    return mix(h[:-1] * _STEP + h[1:])
 
 
 def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -210,44 +212,138 @@ def train_licences(docs: DataFrame, documents: int = 500, paragraphs: int = 4000
     full[used] = weights
     named = [(family, text) for family, own in TEMPLATES.items() for text in own]
     distinct = _matrix([t for _, t in named])[2]
-    return LicenceModel(classes, full, bias, min(losses, key=losses.get), [(f, d) for (f, _), d in zip(named, distinct, strict=True)])
+    lengths = [int(n) for n in np.bincount(_matrix([t for _, t in named])[1])]
+    return LicenceModel(classes, full, bias, min(losses, key=losses.get), [(f, d) for (f, _), d in zip(named, distinct, strict=True)], [(n + 1) // 2 for n in lengths])
+
+
+def _best_windows(at: np.ndarray, feature: np.ndarray, length: int, need: int) -> list[tuple[int, int, int]]:
+    """Words of windows of ``length`` with at least ``need`` distinct features: their number, first and last position; of overlapping windows the best."""
+    out: list[tuple[int, int, int]] = []
+    seen: dict[int, int] = {}
+    places, features, left = at.tolist(), feature.tolist(), 0
+    for place, f in zip(places, features, strict=True):
+        seen[f] = seen.get(f, 0) + 1
+        while place - places[left] >= length or seen[features[left]] > 1:
+            if seen[features[left]] == 1:
+                del seen[features[left]]
+            else:
+                seen[features[left]] -= 1
+            left += 1
+        if len(seen) >= need:
+            if not out or places[left] > out[-1][2]:
+                out.append((len(seen), places[left], place))
+            elif len(seen) > out[-1][0]:
+                out[-1] = (len(seen), places[left], place)
+    return out
+
+
+def _template_windows(model: LicenceModel, h: np.ndarray, pairs: np.ndarray, apart: np.ndarray, same: float) -> list[tuple[int, int, int, float]]:
+    """Template, first word, end and likeness of windows that hold at least the share ``same`` of a template's words and pairs.
+
+    Windows have half as many words again as the template, and cross the ends of lines but not lines without a word.
+    """
+    known = np.unique(np.concatenate([own for _, own in model.templates]))
+    inside = np.flatnonzero(~apart[1:])
+    which = np.concatenate([np.arange(len(h)), inside])
+    value = np.concatenate([h, pairs[inside]])
+    index = np.minimum(np.searchsorted(known, value), len(known) - 1)
+    hit = np.flatnonzero(known[index] == value)
+    hit = hit[np.argsort(which[hit], kind="stable")]
+    which, index = which[hit], index[hit]
+    spread = which + np.cumsum(apart)[which] * (4 * max(model.lengths))  # runs of lines are out of each other's reach
+    out = []
+    for t, ((_, own), words) in enumerate(zip(model.templates, model.lengths, strict=True)):
+        length, need = words + -(-words // 2), int(np.ceil(same * len(own) - 1e-9))
+        member = np.zeros(len(known), bool)
+        member[np.searchsorted(known, own)] = True
+        mine = np.flatnonzero(member[index])
+        if len(mine) < need:
+            continue
+        at = spread[mine]
+        dense = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < length)
+        if not len(dense):
+            continue
+        stop = np.searchsorted(at, at[dense] + length)
+        first = np.concatenate([[True], dense[1:] >= np.maximum.accumulate(stop)[:-1]])
+        last = np.append(np.flatnonzero(first)[1:], len(dense)) - 1
+        for a, b in zip(dense[first].tolist(), np.maximum.accumulate(stop)[last].tolist(), strict=True):
+            part = mine[a:b]
+            if len(np.unique(index[part])) < need:
+                continue
+            for n, begin, end in _best_windows(at[a:b], index[part], length, need):
+                word = which[part[np.searchsorted(at[a:b], begin)]]
+                out.append((t, int(word), int(word + end - begin) + 1, n / len(own)))
+    return out
 
 
 def classify(model: LicenceModel, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float = 0.5, same: float = 0.6):
-    """Row, paragraph number, family, probability and likeness of each confirmed paragraph, and the rows' paragraph counts.
+    """Row, paragraph number, family, probability and likeness of each confirmed notice, and the rows' paragraph counts.
 
-    A family is predicted where its calibrated probability is at least ``least`` and above the unknown class's; it is
-    confirmed where the paragraph holds at least the share ``same`` of the words and word pairs of one of its templates.
+    A paragraph is a line with a word. Notices are looked for in paragraphs and in windows of about a template's length
+    over successive ones, so that neither wrapping nor text around hides them; the paragraph is the one they begin in. A
+    family is predicted where its calibrated probability is at least ``least`` and above the unknown class's; it is
+    confirmed where the paragraph or window holds at least the share ``same`` of the words and word pairs of one of its
+    templates. Of notices with words in common the one with the largest share counts.
     """
-    features, owner, row, _ = paragraph_features(data, starts, ends)
+    h, row_of, new, apart = _line_words(data, starts, ends)
+    paragraph = np.cumsum(new) - 1
+    row = row_of[new]
     n = len(row)
     count = np.bincount(row, minlength=len(starts)) if n else np.zeros(len(starts), np.int64)
     found = []
-    if n:
+    if not n:
+        return found, count
+    pairs = _pairs(h)
+    together = ~new[1:]
+    features, owner = np.concatenate([h, pairs[together]]), np.concatenate([paragraph, paragraph[1:][together]])
+
+    def predicted(features: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         s = (_scores(features, owner, n, model.weights) + model.bias) / model.temperature
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
-        likely = np.flatnonzero((best > 0) & (p.max(axis=1) >= least))
-        first = np.concatenate([[0], np.cumsum(count)])
-        if len(likely):
-            wanted = np.isin(owner, likely)
-            own_features, own_owner = features[wanted], owner[wanted]
-            order = np.argsort(own_owner, kind="stable")
-            own_features, own_owner = own_features[order], own_owner[order]
-        for k in likely.tolist():
-            own = np.unique(own_features[np.searchsorted(own_owner, k) : np.searchsorted(own_owner, k, "right")])
-            family = model.classes[best[k]]
-            likeness = max(len(np.intersect1d(own, t, assume_unique=True)) / len(t) for f, t in model.templates if f == family)
-            if likeness >= same:
-                found.append((int(row[k]), int(k - first[row[k]]), family, float(p[k, best[k]]), likeness))
-    return found, count
+        return p.argmax(axis=1), p.max(axis=1)
+
+    begin = np.append(np.flatnonzero(new), len(h))
+    first = np.concatenate([[0], np.cumsum(count)])
+    notices: list[tuple[float, bool, int, int, str, float]] = []  # likeness, window, first word, end, family, probability
+    windows = _template_windows(model, h, pairs, apart, same)
+    if windows:
+        at = np.array([w[1] for w in windows])
+        size = np.array([w[2] for w in windows]) - at
+        each = np.arange(len(windows))
+        own_features = np.concatenate([h[ragged(at, size)], pairs[ragged(at, size - 1)]])
+        best, p = predicted(own_features, np.concatenate([np.repeat(each, size), np.repeat(each, size - 1)]), len(windows))
+        for (t, a, b, likeness), c, probability in zip(windows, best.tolist(), p.tolist(), strict=True):
+            if model.classes[c] == model.templates[t][0] and probability >= least:
+                notices.append((likeness, True, a, b, model.classes[c], probability))
+    within = {}
+    for likeness, _, a, b, family, _ in notices:
+        if paragraph[a] == paragraph[b - 1]:
+            key = (int(paragraph[a]), family)
+            within[key] = max(within.get(key, (0.0, a, b)), (likeness, a, b))
+    best, p = predicted(features, owner, n)
+    likely = np.flatnonzero((best > 0) & (p >= least))
+    for k in likely.tolist():
+        a, b = int(begin[k]), int(begin[k + 1])
+        own = np.unique(np.concatenate([h[a:b], pairs[a : b - 1]]))
+        family = model.classes[best[k]]
+        likeness = max(len(np.intersect1d(own, t, assume_unique=True)) / len(t) for f, t in model.templates if f == family)
+        if likeness >= same:
+            _, a, b = within.get((k, family), (0.0, a, b))  # leaves the words around to other notices
+            notices.append((likeness, False, a, b, family, float(p[k])))
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for likeness, _, a, b, family, probability in sorted(notices, key=lambda x: (-x[0], x[1], x[2] - x[3], x[2])):
+        spans = taken.setdefault(int(row_of[a]), [])
+        if all(b <= c or d <= a for c, d in spans):
+            spans.append((a, b))
+            found.append((int(row_of[a]), int(paragraph[a] - first[row_of[a]]), family, probability, likeness))
+    return sorted(found, key=lambda x: x[:2]), count
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """A row per document (doc_id, text): doc_id, n_paragraphs, and notices (paragraph, family, probability, likeness).
 
-    Paragraphs are lines with a word. Null and empty texts have none; repeated rows get equal rows; an empty table gives
+    Paragraphs are lines with a word; a notice over several is given with the first. Null and empty texts have none; repeated rows get equal rows; an empty table gives
     none; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65536 buckets by class

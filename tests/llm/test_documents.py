@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -157,3 +158,17 @@ def test_reworded_and_cut_notices(spark, licence_model):
     texts = {1: "This file is licensed under the Apache License, Version 2.0, by its authors", 2: "licensed under a license of the public library"}
     rows = {r["doc_id"]: [n["family"] for n in r["notices"]] for r in licences.scan_licences(table(spark, texts), licence_model).collect()}
     assert rows == {1: ["apache"], 2: []}
+
+
+@pytest.mark.parametrize("width", [60, 72, 80])
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_and_surrounded_notices(spark, licence_model, width, mark):
+    """Notices wrapped over lines, with comment marks, and in the middle of a long line; not across a blank line."""
+    own = [(f, t) for f in ("mit", "bsd", "apache", "gpl", "lgpl") for t in licences.TEMPLATES[f] if len(t) > 100]
+    texts = {k: "\n".join(mark + x for x in [words(8, k), "", *textwrap.wrap(t, width), "", words(8, k + 1)]) for k, (_, t) in enumerate(own)}
+    texts |= {100 + k: f"{words(150, k)} {t} {words(150, k + 1)}" for k, (_, t) in enumerate(own)}
+    texts[200] = "Permission is hereby granted,\n\nfree of charge,\n\nto any person obtaining a copy"
+    rows = {r["doc_id"]: r["notices"] for r in licences.scan_licences(table(spark, texts), licence_model).collect()}
+    assert {k: [n["family"] for n in rows[k]] for k in range(len(own))} == {k: [f] for k, (f, _) in enumerate(own)}
+    assert {k: [n["family"] for n in rows[100 + k]] for k in range(len(own))} == {k: [f] for k, (f, _) in enumerate(own)}
+    assert rows[0][0]["paragraph"] == 1 and rows[200] == []
