@@ -13,9 +13,14 @@ from kinelake.llm.packing import pack_documents
 from kinelake.llm.secrets import labelled_samples, redact, scan, train_models
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't among ids. These are written first, so that Spark knows their size when it plans the join."""
-    return docs.join(stored(ids.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a row key: a 64-bit hash of doc_id and text, on which alone stages decide. Null ids and repeated ones are told apart by text."""
+    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs whose row key isn't among rows. These are written first, so that Spark knows their size when it plans the join."""
+    return _keyed(docs).join(stored(rows.select("__row").distinct(), "dropped"), "__row", "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +32,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles, directly or through others, that of the least doc_id.
 
-    Documents without words stay, and so do those without doc_id, which can't be told apart.
+    Documents without words stay, and so do those without doc_id, of which none is the least, and all rows of the least doc_id.
     """
-    groups = jaccard_groups(docs, percent=80, width=5)
+    groups = jaccard_groups(_keyed(docs), percent=80, width=5, key="__row")
     return _without(docs, groups.filter(F.col("component_id") != F.col("doc_id")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of ten consecutive words (or all, if fewer) of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = phrase_matches(build_index(docs), items, window=10)
-    return _without(docs, found.filter(F.size("matches") > 0))
+    found = phrase_matches(build_index(_keyed(docs).select(F.col("__row").alias("doc_id"), "text")), items, window=10)
+    return _without(docs, found.filter(F.size("matches") > 0).select(F.col("doc_id").alias("__row")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,9 +239,10 @@ class RTree:
         return a0[row] + number // nb[row], b0[row] + number % nb[row]
 
 
-def sketches(docs: DataFrame, percent: int, width: int, salt: int = 0) -> DataFrame:
-    """A stored row per document (doc_id, text): row, doc_id, n, class, second (number of the set), point, fine, cells."""
+def sketches(docs: DataFrame, percent: int, width: int, salt: int = 0, key: str | None = None) -> DataFrame:
+    """A stored row per document (doc_id, text): row, doc_id, n, class, second (number of the set), point, fine, cells, and the column ``key`` of docs, a long, if given."""
     families = Families(percent)
+    carried = [key] if key else []
 
     def run(batches):
         from pyspark import TaskContext
@@ -255,10 +256,11 @@ def sketches(docs: DataFrame, percent: int, width: int, salt: int = 0) -> DataFr
                 points = count_vectors(sets, bounds)
                 n = len(starts)
                 cells = pa.ListArray.from_arrays(pa.array(key_bounds, pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.record_batch([pa.array(row + np.arange(n)), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(fine_vectors(sets, bounds), pa.binary()), cells], names=["row", "doc_id", "n", "class", "second", "point", "fine", "cells"])
+                yield pa.record_batch([pa.array(row + np.arange(n)), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(fine_vectors(sets, bounds), pa.binary()), cells, *[batch.column(2).slice(first, n) for _ in carried]], names=["row", "doc_id", "n", "class", "second", "point", "fine", "cells", *carried])
                 row += n
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, run, "row long, doc_id long, n long, class long, second long, point binary, fine binary, cells array<long>"), "sketches", 32 << 20)
+    schema = "row long, doc_id long, n long, class long, second long, point binary, fine binary, cells array<long>" + "".join(f", {c} long" for c in carried)
+    return stored(docs.select(F.col("doc_id").cast("long"), "text", *carried).transform(in_batches, run, schema), "sketches", 32 << 20)
 
 
 def _bit_filter(places: DataFrame) -> np.ndarray:
@@ -454,8 +456,8 @@ def _cell_pairs(table: pa.Table, first: np.ndarray, percent: int):
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: int = 2) -> DataFrame:
-    """A row per document (doc_id, text): doc_id, n_shingles, component_id.
+def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: int = 2, key: str | None = None) -> DataFrame:
+    """A row per document (doc_id, text): doc_id, n_shingles, component_id, and the column ``key`` of docs, a long, if given.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a set holds the distinct runs of ``width``
     words, or all words as one where there are fewer. Documents link where 100 * overlap >= percent * union;
@@ -470,7 +472,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: in
     spark = docs.sparkSession
     salt = 0
     while True:
-        all_docs = sketches(docs, percent, width, salt)
+        all_docs = sketches(docs, percent, width, salt, key)
         filled = all_docs.filter("n > 0")
         # A class is one set: its second number and size are the same in all rows.
         clash = filled.groupBy("class").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("second", "n") for f in (F.min, F.max)]).filter("min_second < max_second OR min_n < max_n")
@@ -509,14 +511,15 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: in
             labels = components(edges)
         discard(known, pairs)
         free_shuffles(spark)
-    out = stored(all_docs.select("doc_id", "n", "class"), "documents")  # all that the result reads later
+    carried = [key] if key else []
+    out = stored(all_docs.select("doc_id", "n", "class", *carried), "documents")  # all that the result reads later
     discard(members, copies, all_docs)
-    empty = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    empty = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *carried)
     if labels is None:
         of_class = classes.select("class", F.col("least").alias("component_id"))
     else:
         named = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         least = named.groupBy("component").agg(F.min("least").alias("component_id"))
         of_class = named.join(least, "component").select("class", "component_id")
-    linked = out.filter("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = out.filter("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *carried)
     return linked.unionAll(empty)

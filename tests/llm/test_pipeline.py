@@ -35,3 +35,15 @@ def test_stages(spark, tmp_path, awkward):
     before, after, columns = seen["packing"]
     check_packing(after, before, 4096)
     assert all(seen[n][2] == ["doc_id", "text", "lang", "source", "n_chars"] for n in list(seen)[:-1])
+
+
+def test_rows_are_dropped_by_themselves(spark, tmp_path):
+    """Passages are found without doc_id too, and a clean row stays whose doc_id a dropped row has."""
+    item = words(30, 4242)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clean, copied, other, null = words(60, 1), words(60, 2), words(60, 3), words(60, 4)
+    docs = table(spark, [(None, words(40, 7) + " " + item), (None, null), (1, copied), (2, copied), (2, other), (3, item), (3, clean)])
+    kept = pipeline.near_copies(spark, docs, f"file://{tmp_path}")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.filter("text NOT LIKE '%" + item + "'").collect()) == sorted([(0, null), (1, copied), (2, other), (3, clean)])
+    kept = pipeline.benchmark_passages(spark, docs, f"file://{tmp_path}")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, null), (1, copied), (2, copied), (2, other), (3, clean)])
