@@ -11,10 +11,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinelake.llm.secrets import PATTERNS, labelled_samples, scan, train_models, written
+    from kinelake.llm.secrets import PATTERNS, fit, labelled_samples, scan, written
 
     docs = _table(spark, sf_dir, "documents")
-    found = scan(docs.select("doc_id", "text"), train_models(labelled_samples(docs))).drop("text")
+    found = scan(docs.select("doc_id", "text"), *fit(labelled_samples(docs))).drop("text")
     base = F.filter("spans", lambda s: s["kind"] < len(PATTERNS))
     return found.select(
         "doc_id",
