@@ -1,16 +1,20 @@
-"""A corpus from documents to packed token sequences, stage by stage."""
+"""A corpus from documents to packed token sequences, stage by stage.
+
+All stages take empty tables, null values in any column, repeated rows and texts of any length. They read doc_id and text
+(secrets also n_chars) and hand on all other columns as they are, whatever their names; none is sampled or cut.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import stored
+from kinelake.llm.common import discard, stored
 from kinelake.llm.decontamination import build_index, phrase_matches
 from kinelake.llm.jaccard import jaccard_groups
 from kinelake.llm.language import identify, train_codes
 from kinelake.llm.packing import pack_documents
-from kinelake.llm.secrets import labelled_samples, redact, scan, train_models
+from kinelake.llm.secrets import fit, labelled_samples, redact, scan
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,12 +50,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of each secret; n_chars counts what a changed text has then."""
-    table = train_models(labelled_samples(docs))
-    found = scan(docs, table).withColumn("__text", redact(F.col("text"), F.col("spans")))
-    changed = F.size("spans") > 0
-    out = found.withColumn("n_chars", F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("__text"))
-    return out.select(docs.columns)
+    """All documents, with a mark in the place of each secret; n_chars counts what a changed text has then. Null texts stay null."""
+    found = scan(docs.select(F.struct("*").alias("row"), "text"), *fit(labelled_samples(docs)))
+    out = found.withColumn("clean", redact(F.col("text"), F.col("spans")))
+    changed = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name)
+            discard(before)
     return docs
