@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.llm.common import stored
+
 #: Turns of a conversation that are summed before blocks are.
 BLOCK_TURNS = 256
 _SUMS = ("h0", "h1", "h2", "h3")
@@ -43,7 +45,7 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     Of equal conversations the smallest conv_id stays. An anti-join drops those whose whole hash is the hash of a
     proper prefix of another. An empty table gives no rows.
     """
-    prefixes = prefix_hashes(turns)
+    prefixes = stored(prefix_hashes(turns), "prefixes")  # a row of numbers per turn, used three times
     length = prefixes.groupBy("conv_id").agg(F.max("place").alias("n_turns"), *[F.max_by(h, "place").alias(h) for h in _SUMS])
     whole = length.groupBy("n_turns", *_SUMS).agg(F.min("conv_id").alias("conv_id"))
     longer = prefixes.join(length.select("conv_id", "n_turns"), "conv_id").filter(F.col("place") < F.col("n_turns"))

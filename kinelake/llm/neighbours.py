@@ -14,16 +14,19 @@ from kinelake.llm.common import discard, free_shuffles, in_batches, stored
 
 #: Distinct vectors of a shard, about. A shard's graph and vectors are what one search task holds in memory.
 SHARD_VECTORS = 16_384
+#: Queries that go through a shard at a time, and pairs of a block and a shard that are made if queries allow it.
+STEP, TASKS = 256, 1024
 
 
 @dataclass
 class GraphIndex:
-    """nodes: shard, node, vec (float32 bytes); members: node, vec_id (its least ids); packed: a row per shard."""
+    """nodes: shard, node, vec (float64 bytes); members: node, vec_id (its ``keep`` least ids); packed: a row per shard."""
 
     nodes: DataFrame
     members: DataFrame
     packed: DataFrame
     width: int
+    keep: int
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def build_graph(vectors: DataFrame, k: int = 24, sample: int = 12, rounds: int =
     full = nodes.select("shard", "node", "vec").join(linked.withColumnRenamed("a", "node"), "node", "left")
     packed = stored(full.groupBy("shard").applyInArrow(_pack, "shard long, ids binary, vecs binary, links binary, degree int"), "shards", 16 << 20)
     discard(rows, graph)
-    return GraphIndex(nodes.select("shard", "node", "vec"), ranked.select("node", "vec_id"), packed, width)
+    return GraphIndex(nodes.select("shard", "node", "vec"), ranked.select("node", "vec_id"), packed, width, keep)
 
 
 def _offers(batch: pa.RecordBatch, offer: int) -> pa.RecordBatch:
@@ -196,16 +199,22 @@ def greedy_search(vecs: np.ndarray, links: np.ndarray, queries: np.ndarray, star
     return np.where(ids == n, -1, ids), np.take_along_axis(sims, order, axis=1)
 
 
-def search(index: GraphIndex, queries: DataFrame, k: int = 20, beam: int = 320, block: int = 256) -> DataFrame:
+def search(index: GraphIndex, queries: DataFrame, k: int = 20, beam: int = 320, block: int = 2048) -> DataFrame:
     """The k nearest found of each query (query_id, embedding), best first: query_id, rank, vec_id, score.
 
-    Blocks of queries go through each shard by greedy graph search; the best ``k + 1`` nodes of all shards are put
+    ``k`` is less than the index's ``keep``. Blocks of queries, of ``block`` at most about, and smaller where there are
+    few shards, meet each shard, which is dealt once for a block; they go through its graph by greedy search. The best ``k + 1`` nodes of all shards are put
     together, expanded to the ids of their equal vectors, and ranked by score (inner product of the original vectors in
     double precision), ties by the smaller id. A vector whose vec_id is the query_id is no answer. A query begins at its
     own node where its id is one. Unusable queries (see build_graph) and an empty index give no rows.
     """
+    if k >= index.keep:
+        raise ValueError(f"the index keeps {index.keep} ids of equal vectors; build it with keep > {k}")
     asked = usable(queries.select(F.col("query_id").alias("vec_id"), "embedding")).filter(F.size("embedding") == index.width)
-    parts = F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit((1 << 30) / max(1, -(-asked.count() // block)))).cast("long")
+    shards = index.packed.count()
+    least = -(-TASKS // max(1, shards))  # blocks that keep a cluster busy, if there are so many queries
+    n = asked.count()
+    parts = F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit((1 << 30) / max(1, -(-n // block), min(least, -(-n // STEP))))).cast("long")
     homes = index.members.select("vec_id", F.col("node").alias("home"))
     grouped = asked.join(homes, "vec_id", "left").select("vec_id", "embedding", "home").withColumn("part", parts)
     blocks = grouped.groupBy("part").agg(F.collect_list(F.struct("vec_id", "home", "embedding")).alias("queries"))  # some times ``block`` queries at most
@@ -221,11 +230,13 @@ def search(index: GraphIndex, queries: DataFrame, k: int = 20, beam: int = 320,
                 home = np.array([-1 if x["home"] is None else x["home"] for x in row["queries"]], np.int64)
                 q = np.array([x["embedding"] for x in row["queries"]], np.float64)
                 at = np.minimum(np.searchsorted(ids, home), len(ids) - 1)
-                found, _ = greedy_search(vecs, links, q, np.where(ids[at] == home, at, -1), max(beam, k + 2))
-                found = found[:, : 2 * k + 2]
-                r, c = np.nonzero(found >= 0)
-                score = np.einsum("nd,nd->n", vecs[found[r, c]], q[r])
-                yield pa.record_batch([pa.array(names[r]), pa.array(ids[found[r, c]]), pa.array(score)], names=["query_id", "node", "score"])
+                start = np.where(ids[at] == home, at, -1)
+                for s in range(0, len(q), STEP):  # a step's marks of what it has seen are a byte for each vector and query
+                    found, _ = greedy_search(vecs, links, q[s : s + STEP], start[s : s + STEP], max(beam, k + 2))
+                    found = found[:, : 2 * k + 2]
+                    r, c = np.nonzero(found >= 0)
+                    score = np.einsum("nd,nd->n", vecs[found[r, c]], q[s + r])
+                    yield pa.record_batch([pa.array(names[s + r]), pa.array(ids[found[r, c]]), pa.array(score)], names=["query_id", "node", "score"])
 
     hits = pairs.transform(in_batches, run, "query_id long, node long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")

@@ -134,6 +134,28 @@ def test_neighbours(spark, rng):
     assert {r["query_id"] for r in out} == set(range(0, 400, 20))
 
 
+def test_recall_over_several_shards(spark, rng, monkeypatch):
+    """Unstructured and clustered vectors over eight shards, all queries, against brute force."""
+    monkeypatch.setattr(neighbours, "SHARD_VECTORS", 250)
+    x = rng.normal(size=(2000, 24))
+    x[1000:] = x[rng.integers(0, 40, 1000)] + 0.1 * x[1000:]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = neighbours.build_graph(df)
+    assert index.packed.count() == 8
+    asked = df.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {}
+    for r in neighbours.search(index, asked, k=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(2000), -s))[:20].tolist()))
+    assert hits / (100 * 20) > 0.95
+    with pytest.raises(ValueError):
+        neighbours.search(index, asked, k=21)
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     for rows in ([], [(20, [1.0, 0.0])], [(20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [0.5, 0.5])]):
