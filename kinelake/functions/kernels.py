@@ -110,31 +110,29 @@ def moving_mean(x: np.ndarray, window: int = 5) -> np.ndarray:
         return (sums[high] - sums[low]) / (counts[high] - counts[low])
 
 
-def kalman_smooth(x: np.ndarray, process: float = 1e-3, noise: float = 1e-2) -> np.ndarray:
-    """Constant-velocity Kalman filter with a backward smoothing pass; missing values are predicted through."""
-    x = np.asarray(x, float)
-    known = np.flatnonzero(~np.isnan(x))
-    if not len(known):
-        return x.copy()
-    step = np.array([[1.0, 1.0], [0.0, 1.0]])
-    drift = process * np.array([[0.25, 0.5], [0.5, 1.0]])
+def kalman_smooth(x: np.ndarray, process: float = 1.0, noise: float = 1.0) -> np.ndarray:
+    """Kalman filter of a random walk that begins at the first value, with a backward smoothing pass.
+
+    Steps, observations and the beginning have the variances ``process``, ``noise`` and 1. Missing values are
+    interpolated first. Gains don't depend on the values, so they are worked out once.
+    """
+    x = fill_linear(np.asarray(x, float))
     n = len(x)
-    state, spread = np.array([x[known[0]], 0.0]), np.eye(2)
-    kept, kept_p, ahead, ahead_p = (np.zeros((n, *s)) for s in ((2,), (2, 2), (2,), (2, 2)))
+    if not n or np.isnan(x).all():
+        return x.copy()
+    gain, back, spread = np.empty(n), np.empty(n), 1.0
     for i in range(n):
-        if i:
-            state, spread = step @ state, step @ spread @ step.T + drift
-        ahead[i], ahead_p[i] = state, spread
-        if not np.isnan(x[i]):
-            gain = spread[:, 0] / (spread[0, 0] + noise)
-            state = state + gain * (x[i] - state[0])
-            spread = spread - np.outer(gain, spread[0])
-        kept[i], kept_p[i] = state, spread
-    out = kept.copy()
+        ahead = spread if i == 0 else spread + process
+        gain[i] = ahead / (ahead + noise)
+        spread = (1 - gain[i]) * ahead
+        back[i] = spread / (spread + process)
+    out = np.empty(n)
+    state = x[0]
+    for i in range(n):
+        state = out[i] = state + gain[i] * (x[i] - state)
     for i in range(n - 2, -1, -1):
-        gain = kept_p[i] @ step.T @ np.linalg.inv(ahead_p[i + 1])
-        out[i] = kept[i] + gain @ (out[i + 1] - ahead[i + 1])
-    return out[:, 0]
+        out[i] += back[i] * (out[i + 1] - out[i])
+    return out
 
 
 def lowess(y: np.ndarray, share: float = 0.1, rounds: int = 3) -> np.ndarray:

@@ -105,15 +105,30 @@ def regularity(tracks: DataFrame, keys: list[str], value: str, rate: float, shor
     return ranked.groupBy(*keys).agg(pick(1, "lag").alias("step_lag"), pick(1, "r").alias("step"), pick(2, "lag").alias("stride_lag"), pick(2, "r").alias("stride"))
 
 
-def harmonic_sums(tracks: DataFrame, keys: list[str], value: str, harmonics: int = 20, pos: str = "pos") -> DataFrame:
-    """keys, ratio: even over odd harmonics of the whole series, as sums over rows of each harmonic's sine and cosine."""
+def harmonic_ratio(tracks: DataFrame, keys: list[str], value: str, forward: bool = False, harmonics: int = 20, least: int = 30, rows: int = 60, pos: str = "pos") -> DataFrame:
+    """keys, ratio: even over odd harmonics of the whole series, or odd over even ones for the ``forward`` axis.
+
+    Missing values are interpolated. A series of fewer than ``rows`` rows, of fewer than ``least`` known values, or too
+    short to have so many harmonics has a null ratio, and so has one whose divisor is 0. Harmonics are sums over rows of
+    sines and cosines.
+    """
     every = Window.partitionBy(*keys)
-    x = tracks.select(*keys, (F.col(value) - F.avg(value).over(every)).alias("__v"), (2 * math.pi * F.col(pos) / F.count(value).over(every)).alias("__a"))
-    sums = x.groupBy(*keys).agg(*[c for k in range(1, harmonics + 1) for c in (F.sum(F.col("__v") * F.cos(k * F.col("__a"))).alias(f"c{k}"), F.sum(F.col("__v") * F.sin(k * F.col("__a"))).alias(f"s{k}"))])
+    whole = series.interpolate(tracks.select(*keys, pos, F.col(value).cast("double").alias("__x")), keys, "__x", "__v", pos)
+    counted = whole.withColumns({"__n": F.count("*").over(every), "__known": F.count("__x").over(every), "__k": F.row_number().over(every.orderBy(pos)) - 1})
+    x = counted.select(*keys, "__n", "__known", (F.col("__v") - F.avg("__v").over(every)).alias("__v"), (2 * math.pi * F.col("__k") / F.col("__n")).alias("__a"))
+    sums = x.groupBy(*keys).agg(F.first("__n").alias("__n"), F.first("__known").alias("__known"), *[c for k in range(1, harmonics + 1) for c in (F.sum(F.col("__v") * F.cos(k * F.col("__a"))).alias(f"c{k}"), F.sum(F.col("__v") * F.sin(k * F.col("__a"))).alias(f"s{k}"))])
     size = lambda k: F.hypot(f"c{k}", f"s{k}")
     even = sum((size(k) for k in range(2, harmonics + 1, 2)), F.lit(0.0))
     odd = sum((size(k) for k in range(1, harmonics + 1, 2)), F.lit(0.0))
-    return sums.select(*keys, F.when(odd > 1e-10, even / odd).otherwise(0.0).alias("ratio"))
+    enough = (F.col("__n") >= rows) & (F.col("__known") >= least) & (F.floor(F.col("__n") / 2) >= harmonics)
+    return sums.select(*keys, F.when(enough, C.safe_divide(*((odd, even) if forward else (even, odd)))).alias("ratio"))
+
+
+def harmonic_ratios(pose: DataFrame, landmark: str = "LEFT_ANKLE") -> DataFrame:
+    """trial_id, hr_ap, hr_vertical: harmonic ratios of a landmark's way forward and up and down."""
+    own = pose.select("trial_id", "pos", P.x(landmark).alias("x"), P.y(landmark).alias("y"))
+    ahead = harmonic_ratio(own, ["trial_id"], "x", forward=True).withColumnRenamed("ratio", "hr_ap")
+    return ahead.join(harmonic_ratio(own, ["trial_id"], "y").withColumnRenamed("ratio", "hr_vertical"), "trial_id")
 
 
 def scale(pose: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -169,10 +184,18 @@ def toe_clearance(cycles: DataFrame, toes: DataFrame, heels: DataFrame) -> DataF
 
 
 def arm_swing(arms: DataFrame) -> DataFrame:
-    """trial_id, left, right, si, coordination, reduced. arms: trial_id, left, right, hip (left hip flexion) per frame."""
+    """trial_id, left, right, si, coordination, reduced: reach of both arms, how it differs, and how the right arm goes against the left leg.
+
+    arms has trial_id, left and right (shoulder flexion) and hip (left hip flexion) per frame, and may have wrist_left
+    and wrist_right (x), whose reach in hundredths stands in for both sides where a shoulder is never known. Coordination
+    needs as many values of the right shoulder as of the hip. A mean reach under 10 is reduced.
+    """
     reach = lambda c: F.max(c) - F.min(c)
-    own = arms.groupBy("trial_id").agg(reach("left").alias("left"), reach("right").alias("right"), F.greatest(F.lit(0.0), -100.0 * F.corr("right", "hip")).alias("coordination"))
-    return own.withColumns({"si": C.symmetry_index("left", "right"), "reduced": (F.col("left") < 10) | (F.col("right") < 10)})
+    wrists = {s: reach(f"wrist_{s}") * 100.0 if f"wrist_{s}" in arms.columns else F.lit(None).cast("double") for s in ("left", "right")}
+    both = (F.count("left") > 0) & (F.count("right") > 0)
+    against = F.when((F.count("right") > 0) & (F.count("right") == F.count("hip")), F.greatest(F.lit(0.0), -100.0 * F.corr("right", "hip")))
+    own = arms.groupBy("trial_id").agg(*[F.when(both, reach(s)).otherwise(wrists[s]).alias(s) for s in ("left", "right")], against.alias("coordination"))
+    return own.withColumns({"si": C.symmetry_index("left", "right"), "reduced": (F.col("left") + F.col("right")) / 2 < 10})
 
 
 def speed_normalized(figures: DataFrame, gravity: float = 9.81) -> DataFrame:

@@ -58,7 +58,8 @@ def curves(cycles: DataFrame, angles: DataFrame, points: int = 101, least: int =
 
 def long_curves(curved: DataFrame) -> DataFrame:
     """trial_id, cycle_id, side, joint, p, value."""
-    return curved.select("trial_id", "cycle_id", "side", "joint", F.posexplode("curve").alias("p", "value"))
+    # An inner explode would have the optimizer push size(curve) > 0 below, and work out curves once more for each point.
+    return curved.select("trial_id", "cycle_id", "side", "joint", F.posexplode_outer("curve").alias("p", "value")).filter(F.col("p").isNotNull())
 
 
 def summary(curves_long: DataFrame) -> DataFrame:

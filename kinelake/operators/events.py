@@ -54,39 +54,60 @@ def zeni(s: Series, rate: float, least: float, cutoff: float) -> Found:
     return out
 
 
+def _unseen(v: np.ndarray) -> bool:
+    return bool(np.isnan(v).all())
+
+
+def _or_ankle(s: Series, side: str, part: str, axis: str) -> np.ndarray:
+    """A foot's landmark, or the ankle where a recording never has it, as with layouts that end there."""
+    own = s[f"{side}_{part}_{axis}"]
+    return s[f"{side}_ANKLE_{axis}"] if _unseen(own) else own
+
+
+def _spaced(at, rate: float, least: float, confidence: float) -> list[tuple[int, float]]:
+    return [(p, confidence) for p in K.thin(np.asarray(at).tolist(), max(1, int(least * rate)))]
+
+
+_SIDES = (("left", "LEFT"), ("right", "RIGHT"))
+
+
 def crossing(s: Series, rate: float, least: float, cutoff: float) -> Found:
-    """Contacts where the knees pass each other, lift-offs a tenth of the least cycle before."""
+    """Contacts where a knee passes the other one, and the other side's lift-off a tenth of the least cycle before."""
+    out: Found = {(side, kind): [] for side, _ in _SIDES for kind in ("hs", "to")}
+    if _unseen(s["LEFT_KNEE_x"]) or _unseen(s["RIGHT_KNEE_x"]):
+        return out
     d = _direction(s) * (_track(s, "LEFT_KNEE_x", rate, cutoff) - _track(s, "RIGHT_KNEE_x", rate, cutoff))
-    up = np.flatnonzero((d[:-1] <= 0) & (d[1:] > 0)) + 1
-    down = np.flatnonzero((d[:-1] >= 0) & (d[1:] < 0)) + 1
-    gap, early = int(least * rate), int(0.1 * least * rate)
-    out: Found = {}
-    for side, at in (("left", up), ("right", down)):
-        kept = K.thin(at.tolist(), gap)
-        out[side, "hs"] = [(p, 1.0) for p in kept]
-        out[side, "to"] = [(max(0, p - early), 1.0) for p in kept]
+    at = np.flatnonzero(d[:-1] * d[1:] < 0) + 1
+    at = at[at < len(d) - 1]
+    early = max(1, int(0.1 * least * rate))
+    for side, other, passes in (("left", "right", at[d[at] > d[at - 1]]), ("right", "left", at[d[at] <= d[at - 1]])):
+        out[side, "hs"] = _spaced(passes, rate, least, 0.8)
+        out[other, "to"] = _spaced(np.maximum(0, passes - early), rate, least, 0.7)
     return out
 
 
 def velocity(s: Series, rate: float, least: float, cutoff: float) -> Found:
-    """Contacts where the heel stops going down, lift-offs where the toe begins to go up."""
+    """Contacts where the heel stops going down, lift-offs where the toe does; heels are ankles, and toes heels, where they are never seen."""
     out: Found = {}
-    for side, name in (("left", "LEFT"), ("right", "RIGHT")):
-        for kind, part, sign in (("hs", "HEEL", 1.0), ("to", "FOOT_INDEX", 1.0)):
-            v = sign * np.gradient(_track(s, f"{name}_{part}_y", rate, cutoff)) * rate
-            at = np.flatnonzero((v[:-1] > 0) & (v[1:] <= 0)) + 1
-            out[side, kind] = [(p, 1.0) for p in K.thin(at.tolist(), int(least * rate))]
+    for side, name in _SIDES:
+        heel = _or_ankle(s, name, "HEEL", "y")
+        toe = heel if _unseen(s[f"{name}_FOOT_INDEX_y"]) else s[f"{name}_FOOT_INDEX_y"]
+        for kind, part in (("hs", heel), ("to", toe)):
+            v = np.gradient(K.lowpass(_held(part), cutoff, rate)) * rate
+            out[side, kind] = [] if _unseen(heel) else _spaced(np.flatnonzero((v[:-1] > 0) & (v[1:] <= 0)) + 1, rate, least, 0.75)
     return out
 
 
 def pelvis_velocity(s: Series, rate: float, least: float, cutoff: float) -> Found:
-    """Contacts and lift-offs where the heel's speed past the pelvis changes sign."""
-    pelvis = (_track(s, "LEFT_HIP_x", rate, cutoff) + _track(s, "RIGHT_HIP_x", rate, cutoff)) / 2
+    """Contacts and lift-offs where the filtered speed of the heel (or ankle) past the pelvis changes sign."""
     out: Found = {}
-    for side, name in (("left", "LEFT"), ("right", "RIGHT")):
-        v = np.gradient(_direction(s) * (_track(s, f"{name}_HEEL_x", rate, cutoff) - pelvis)) * rate
+    pelvis = (_held(s["LEFT_HIP_x"]) + _held(s["RIGHT_HIP_x"])) / 2
+    for side, name in _SIDES:
+        heel = _or_ankle(s, name, "HEEL", "x")
+        v = K.lowpass(np.gradient(K.lowpass(_direction(s) * (_held(heel) - pelvis), cutoff, rate)) * rate, cutoff, rate)
+        unseen = _unseen(heel) or _unseen(s["LEFT_HIP_x"]) or _unseen(s["RIGHT_HIP_x"])
         for kind, hits in (("hs", (v[:-1] > 0) & (v[1:] <= 0)), ("to", (v[:-1] < 0) & (v[1:] >= 0))):
-            out[side, kind] = [(p, 1.0) for p in K.thin((np.flatnonzero(hits) + 1).tolist(), int(least * rate))]
+            out[side, kind] = [] if unseen else _spaced(np.flatnonzero(hits) + 1, rate, least, 0.8)
     return out
 
 

@@ -315,19 +315,20 @@ def foot_progression(pose: DataFrame) -> DataFrame:
 
 
 def frontal_angles(pose: DataFrame) -> DataFrame:
-    """pelvis_list, hip_adduction and knee_valgus from x and depth; null without depth."""
+    """hip_abduction and knee_valgus of both sides, from x and depth; null where a depth is.
+
+    Abduction is the angle between the thigh and the axis of depth, valgus what thigh and shank lack of a straight line,
+    both without sign.
+    """
     z = lambda n: F.col("landmark_depths")[n]
 
     def hip(s: str) -> Column:
-        return F.degrees(F.atan2(z(f"{s}_KNEE") - z(f"{s}_HIP"), y(f"{s}_KNEE") - y(f"{s}_HIP"))) * (1.0 if s == "LEFT" else -1.0)
+        return C.angle_between(x(f"{s}_KNEE") - x(f"{s}_HIP"), z(f"{s}_KNEE") - z(f"{s}_HIP"), F.lit(0.0), F.lit(1.0))
 
     def valgus(s: str) -> Column:
-        shank = F.degrees(F.atan2(z(f"{s}_ANKLE") - z(f"{s}_KNEE"), y(f"{s}_ANKLE") - y(f"{s}_KNEE")))
-        thigh = F.degrees(F.atan2(z(f"{s}_KNEE") - z(f"{s}_HIP"), y(f"{s}_KNEE") - y(f"{s}_HIP")))
-        return (shank - thigh) * (1.0 if s == "LEFT" else -1.0)
+        return 180.0 - C.interior_angle(x(f"{s}_HIP"), z(f"{s}_HIP"), x(f"{s}_KNEE"), z(f"{s}_KNEE"), x(f"{s}_ANKLE"), z(f"{s}_ANKLE"))
 
-    across = F.sqrt(F.pow(x("RIGHT_HIP") - x("LEFT_HIP"), 2) + F.pow(z("RIGHT_HIP") - z("LEFT_HIP"), 2))
-    own = {"pelvis_list": F.degrees(F.atan2(y("RIGHT_HIP") - y("LEFT_HIP"), across))} | _sides(hip, "hip_adduction") | _sides(valgus, "knee_valgus")
+    own = _sides(hip, "hip_abduction") | _sides(valgus, "knee_valgus")
     return pose.select("trial_id", "frame_idx", "pos", *[c.alias(n) for n, c in own.items()])
 
 

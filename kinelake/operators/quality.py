@@ -50,11 +50,16 @@ def coherence(pose: DataFrame, angles: DataFrame, low: float = 0.5) -> DataFrame
 
 
 def treadmill(pose: DataFrame) -> DataFrame:
-    """trial_id, treadmill, confidence: hips that range over less than a tenth of the picture."""
+    """trial_id, treadmill, confidence: whether the hips range over less than a tenth of the picture.
+
+    Confidence falls with the range from 1, to a half at least where the variance is small too; one sign alone gives a
+    half, and none what is left of 1 as the range exceeds a tenth. Fewer than two frames with both hips tell nothing: 0.
+    """
     hx = P.middle(P.x("LEFT_HIP"), P.x("RIGHT_HIP"))
-    own = pose.select("trial_id", hx.alias("hx")).groupBy("trial_id").agg((F.max("hx") - F.min("hx")).alias("reach"), F.var_pop("hx").alias("var"))
-    sure = C.clip(0.5 * (1.0 - F.col("reach") / 0.10) + F.when(F.col("var") < 0.005, 0.5).otherwise(0.0), 0.0, 1.0)
-    return own.select("trial_id", (F.col("reach") < 0.10).alias("treadmill"), F.when(F.col("reach") < 0.10, sure).otherwise(C.clip(F.col("reach") / 0.3, 0.0, 1.0)).alias("confidence"))
+    own = pose.select("trial_id", hx.alias("hx")).groupBy("trial_id").agg((F.max("hx") - F.min("hx")).alias("reach"), F.var_pop("hx").alias("var"), F.count("hx").alias("n"))
+    stays, steady = F.col("reach") < 0.10, F.col("var") < 0.005
+    sure = F.when(F.col("n") < 2, 0.0).when(stays & steady, F.greatest(F.lit(0.5), 1.0 - F.col("reach") / 0.10)).when(stays | steady, 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - (F.col("reach") - 0.10) / 0.10))
+    return own.select("trial_id", ((F.col("n") >= 2) & stays).alias("treadmill"), sure.alias("confidence"))
 
 
 def other_people(pose: DataFrame, jump: float = 0.30, mean_jump: float = 0.15) -> DataFrame:
@@ -70,11 +75,17 @@ def other_people(pose: DataFrame, jump: float = 0.30, mean_jump: float = 0.15) -
 
 
 def sagittal_alignment(pose: DataFrame, limit: float = 15.0) -> DataFrame:
-    """trial_id, degrees, aligned: how far the walk leaves the picture's plane, from the hips' width over the femur."""
-    wide = F.abs(P.x("LEFT_HIP") - P.x("RIGHT_HIP"))
-    femur = (C.distance(P.x("LEFT_HIP"), P.y("LEFT_HIP"), P.x("LEFT_KNEE"), P.y("LEFT_KNEE")) + C.distance(P.x("RIGHT_HIP"), P.y("RIGHT_HIP"), P.x("RIGHT_KNEE"), P.y("RIGHT_KNEE"))) / 2
-    own = pose.select("trial_id", C.safe_divide(wide, femur).alias("r")).groupBy("trial_id").agg(F.degrees(F.asin(F.least(F.lit(1.0), F.avg("r")))).alias("degrees"))
-    return own.withColumn("aligned", F.col("degrees") <= limit)
+    """trial_id, ratio, degrees, aligned, confidence: how far the walk leaves the picture's plane.
+
+    The ratio is the mean distance of the hips over the femurs' mean length, its arc sine the angle, and confidence the
+    share of frames that have it. Trials without any count as aligned, with 0 for the rest.
+    """
+    length = lambda a, b: C.distance(P.x(a), P.y(a), P.x(b), P.y(b))
+    femur = (length("LEFT_HIP", "LEFT_KNEE") + length("RIGHT_HIP", "RIGHT_KNEE")) / 2
+    ratio = F.when(femur >= 1e-6, length("LEFT_HIP", "RIGHT_HIP") / femur)
+    own = pose.select("trial_id", ratio.alias("r")).groupBy("trial_id").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("ratio"), (F.count("r") / F.count("*")).alias("confidence"))
+    own = own.withColumn("degrees", F.degrees(F.asin(F.least(F.lit(1.0), F.col("ratio")))))
+    return own.select("trial_id", "ratio", "degrees", (F.col("degrees") < limit).alias("aligned"), "confidence")
 
 
 def bounding_box(pose: DataFrame, width: int, height: int, padding: float = 0.15) -> DataFrame:

@@ -30,18 +30,64 @@ SPATIOTEMPORAL_RANGES = {
 }
 
 
+# How far ranges reach further down and up, by stratum, joint and phase.
+WIDER = {
+    "elderly": {
+        ("hip", "full"): (5, 0), ("hip", "stance"): (5, 0),
+        ("knee", "full"): (0, 5), ("knee", "swing"): (0, 5),
+        ("ankle", "full"): (5, 5),
+        ("trunk", "full"): (5, 5), ("pelvis", "full"): (5, 5),
+        ("pelvis_list", "full"): (2, 2), ("hip_adduction", "full"): (2, 2), ("knee_valgus", "full"): (2, 2),
+    },
+    "pediatric": {
+        ("hip", "full"): (5, 5), ("hip", "stance"): (5, 5),
+        ("knee", "full"): (5, 10), ("knee", "swing"): (5, 10),
+        ("ankle", "full"): (5, 5),
+        ("trunk", "full"): (3, 3), ("pelvis", "full"): (3, 3),
+        ("pelvis_list", "full"): (3, 3), ("hip_adduction", "full"): (3, 3), ("knee_valgus", "full"): (3, 3),
+    },
+}
+# Ranges that a stratum has of its own.
+STRATUM_RANGES = {
+    "elderly": {"cadence_steps_per_min": (60, 130), "stride_time_mean_s": (0.9, 1.8), "step_time_mean_s": (0.45, 0.9)},
+    "pediatric": {"cadence_steps_per_min": (100, 170), "stride_time_mean_s": (0.6, 1.3), "step_time_mean_s": (0.3, 0.65)},
+}
+# Shifts of the lower and the upper bound, and the least lower and greatest upper one that they may give.
+SHIFTS = {
+    "F": {"cadence_steps_per_min": (5, 5, -1e9, 1e9), "stride_time_mean_s": (-0.05, -0.05, -1e9, 1e9), "step_time_mean_s": (-0.02, -0.02, -1e9, 1e9)},
+    "slow": {"cadence_steps_per_min": (-20, -10, 40, 1e9), "stride_time_mean_s": (0.1, 0.3, -1e9, 1e9), "step_time_mean_s": (0.05, 0.15, -1e9, 1e9)},
+    "fast": {"cadence_steps_per_min": (10, 20, -1e9, 200), "stride_time_mean_s": (-0.15, -0.1, 0.4, 1e9), "step_time_mean_s": (-0.08, -0.05, 0.2, 1e9)},
+}
+
+
 def ranges(spark: SparkSession) -> DataFrame:
     """joint, phase, lo, hi."""
     return spark.createDataFrame(pa.Table.from_pylist([{"joint": j, "phase": p, "lo": float(lo), "hi": float(hi)} for j, own in ANGLE_RANGES.items() for p, (lo, hi) in own.items()]))
 
 
-def adjusted(table: DataFrame, age: int | None = None, speed: str | None = None) -> DataFrame:
-    """Ranges widened for children and slow walkers, and narrowed in reach for the old."""
-    more = 5.0 if age is not None and age < 18 else 0.0
-    more += {"slow": 2.0, "fast": 5.0}.get(speed or "", 0.0)
-    middle, half = (F.col("lo") + F.col("hi")) / 2, (F.col("hi") - F.col("lo")) / 2
-    half = half * 0.9 if age is not None and age >= 65 else half
-    return table.withColumns({"lo": middle - half - more, "hi": middle + half + more})
+def adjusted(spark: SparkSession, age: int | None = None) -> DataFrame:
+    """joint, phase, lo, hi: the usual ranges, widened for children (under 18) and the old (from 65)."""
+    more = WIDER.get(_stratum(age), {})
+    rows = []
+    for joint, own in ANGLE_RANGES.items():
+        for phase, (lo, hi) in own.items():
+            below, above = more.get((joint, phase), (0, 0))
+            rows.append({"joint": joint, "phase": phase, "lo": float(lo - below), "hi": float(hi + above)})
+    return spark.createDataFrame(pa.Table.from_pylist(rows))
+
+
+def _stratum(age: int | None) -> str:
+    return "adult" if age is None else "pediatric" if age < 18 else "elderly" if age >= 65 else "adult"
+
+
+def spatiotemporal_ranges(age: int | None = None, sex: str | None = None, speed: str | None = None) -> dict[str, tuple[float, float]]:
+    """Ranges by parameter for a stratum, shifted for women and for slow or fast walking."""
+    out = {k: (float(lo), float(hi)) for k, (lo, hi) in (SPATIOTEMPORAL_RANGES | STRATUM_RANGES.get(_stratum(age), {})).items()}
+    for shifts in (SHIFTS.get((sex or "").upper(), {}), SHIFTS.get((speed or "").lower(), {})):
+        for name, (low, high, least, most) in shifts.items():
+            lo, hi = out[name]
+            out[name] = (max(least, lo + low), min(most, hi + high))
+    return out
 
 
 def severity(share: Column) -> Column:
@@ -76,7 +122,7 @@ def check_cadence(events: DataFrame, low: float = 80.0, high: float = 140.0) ->
     return gaps.filter((F.col("n") >= 3) & ~F.col("cadence").between(low, high)).select("trial_id", "cadence")
 
 
-def check_spatiotemporal(figures: DataFrame) -> DataFrame:
-    """trial_id, parameter, value, lo, hi of figures (a column per parameter) outside their range."""
-    rows = [F.struct(F.lit(k).alias("parameter"), F.col(k).cast("double").alias("value"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for k, (lo, hi) in SPATIOTEMPORAL_RANGES.items() if k in figures.columns]
+def check_spatiotemporal(figures: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """trial_id, parameter, value, lo, hi of figures (a column per parameter) outside their range, adults' by default."""
+    rows = [F.struct(F.lit(k).alias("parameter"), F.col(k).cast("double").alias("value"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for k, (lo, hi) in (ranges or SPATIOTEMPORAL_RANGES).items() if k in figures.columns]
     return figures.select("trial_id", F.explode(F.array(*rows)).alias("r")).select("trial_id", "r.*").filter(~F.col("value").between(F.col("lo"), F.col("hi")))

@@ -83,9 +83,14 @@ def wavelet_denoise(spark: SparkSession, d: str) -> DataFrame:
     return signals.wavelet(_tracks(spark, d)).select("trial_id", "pos", r6("x").alias("x"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_S}, n AS (SELECT trial_id, max(pos) AS last FROM s GROUP BY trial_id),
+    f(trial_id, pos, m, p) AS (SELECT trial_id, pos, value, 0.5::DOUBLE FROM s WHERE pos = 0
+        UNION ALL SELECT s.trial_id, s.pos, m + (p + 1) / (p + 2) * (value - m), (p + 1) / (p + 2) FROM f JOIN s ON s.trial_id = f.trial_id AND s.pos = f.pos + 1),
+    b(trial_id, pos, x) AS (SELECT f.trial_id, f.pos, f.m FROM f JOIN n ON n.trial_id = f.trial_id AND n.last = f.pos
+        UNION ALL SELECT f.trial_id, f.pos, f.m + f.p / (f.p + 1) * (b.x - f.m) FROM b JOIN f ON f.trial_id = b.trial_id AND f.pos = b.pos - 1)
+    SELECT trial_id::VARCHAR AS trial_id, pos, round(x, 6) + 0 AS x FROM b""")
 def kalman_smooth(spark: SparkSession, d: str) -> DataFrame:
-    """Constant-velocity smoothing."""
+    """A random walk's filter and its backward pass."""
     return signals.kalman(_tracks(spark, d)).select("trial_id", "pos", r6("x").alias("x"))
 
 
@@ -170,9 +175,11 @@ def detect_events(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def estimate_offset(spark: SparkSession, d: str) -> DataFrame:
-    """The shift between two recordings of one signal."""
+    """The shift between two recordings of one signal, of which the second begins later by a trial's own number of rows and is noisy."""
     a = event_series(spark, d).select("trial_id", "pos", "value")
-    return optical.estimate_offset(a, a.withColumn("pos", F.col("pos") + 0), RATE, RATE, 5.0).select("trial_id", r6("offset").alias("offset"), r6("r").alias("r"))
+    shift = F.col("trial_id") % 4
+    b = a.filter(F.col("pos") >= shift).select("trial_id", (F.col("pos") - shift).alias("pos"), (F.col("value") + 5.0 * F.sin(F.col("pos") * 12.9898)).alias("value"))
+    return optical.estimate_offset(a, b, RATE, RATE, 5.0).select("trial_id", r6("offset").alias("offset"), r6("r").alias("r"))
 
 
 @_query(f"""WITH RECURSIVE {_S}, r(trial_id, pos, ema) AS (SELECT trial_id, pos, value FROM s WHERE pos = 0 UNION ALL SELECT s.trial_id, s.pos, 0.3::DOUBLE * value + 0.7::DOUBLE * ema FROM r JOIN s ON s.trial_id = r.trial_id AND s.pos = r.pos + 1) SELECT trial_id, pos, round(ema, 6) AS ema FROM r""")

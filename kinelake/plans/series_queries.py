@@ -190,7 +190,7 @@ def resample_101(spark: SparkSession, d: str) -> DataFrame:
     """Curves of 64 points at 101."""
     from kinelake.functions.columns import resample
 
-    return vector_curves(spark, d).select("cycle_id", F.posexplode(resample("curve", 101)).alias("p", "v")).select("cycle_id", "p", r6("v").alias("value"))
+    return vector_curves(spark, d).select("cycle_id", F.posexplode_outer(resample("curve", 101)).alias("p", "v")).filter("p IS NOT NULL").select("cycle_id", "p", r6("v").alias("value"))
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -229,12 +229,20 @@ def regularity_index(spark: SparkSession, d: str) -> DataFrame:
     return out.select("trial_id", "step_lag", r6("step").alias("step"), "stride_lag", r6("stride").alias("stride"))
 
 
-@_query(f"""WITH {_S}, c AS (SELECT trial_id, value - avg(value) OVER x AS v, 2 * pi() * pos / count(*) OVER x AS a FROM s WINDOW x AS (PARTITION BY trial_id)),
-    k AS (SELECT trial_id, k, sqrt(power(sum(v * cos(k * a)), 2) + power(sum(v * sin(k * a)), 2)) AS size FROM c, range(1, 11) t(k) GROUP BY trial_id, k)
-    SELECT trial_id, round(sum(CASE WHEN k % 2 = 0 THEN size ELSE 0 END) / sum(CASE WHEN k % 2 = 1 THEN size ELSE 0 END), 6) + 0 AS ratio FROM k GROUP BY trial_id""")
+@_query(f"""WITH {_S}, g AS (SELECT trial_id, pos, CASE WHEN pos % 9 <> 4 THEN value END AS v FROM s),
+    i AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN pos END) OVER x AS p0, min(CASE WHEN v IS NOT NULL THEN pos END) OVER y AS p1 FROM g
+          WINDOW x AS (PARTITION BY trial_id ORDER BY pos ROWS UNBOUNDED PRECEDING), y AS (PARTITION BY trial_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    f AS (SELECT i.trial_id, i.pos, CASE WHEN i.v IS NOT NULL THEN i.v WHEN p0 IS NULL THEN b.v WHEN p1 IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (i.pos - p0) / (p1 - p0) END AS v, i.v IS NOT NULL AS known
+          FROM i LEFT JOIN g a ON a.trial_id = i.trial_id AND a.pos = p0 LEFT JOIN g b ON b.trial_id = i.trial_id AND b.pos = p1),
+    c AS (SELECT trial_id, v - avg(v) OVER x AS v, 2 * pi() * pos / count(*) OVER x AS a, count(*) OVER x AS n, sum(known::INT) OVER x AS m FROM f WINDOW x AS (PARTITION BY trial_id)),
+    k AS (SELECT trial_id, k, any_value(n) AS n, any_value(m) AS m, sqrt(power(sum(v * cos(k * a)), 2) + power(sum(v * sin(k * a)), 2)) AS size FROM c, range(1, 11) t(k) GROUP BY trial_id, k),
+    r AS (SELECT trial_id, any_value(n) >= 30 AND any_value(m) >= 20 AS ok, sum(CASE WHEN k % 2 = 0 THEN size END) AS even, sum(CASE WHEN k % 2 = 1 THEN size END) AS odd FROM k GROUP BY trial_id)
+    SELECT trial_id, CASE WHEN ok THEN round(even / odd, 6) + 0 END AS vertical, CASE WHEN ok THEN round(odd / even, 6) + 0 END AS forward FROM r""")
 def harmonic_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Even over odd harmonics, as sums of sines and cosines."""
-    return analysis.harmonic_sums(event_series(spark, d), T, "value", 10).select("trial_id", r6("ratio").alias("ratio"))
+    """Even over odd harmonics, and for the way forward odd over even, of series with gaps."""
+    rows = event_series(spark, d).select("trial_id", "pos", F.when(F.col("pos") % 9 != 4, F.col("value")).alias("value"))
+    ratio = lambda forward: analysis.harmonic_ratio(rows, T, "value", forward, 10, 20, 30).select("trial_id", r6("ratio").alias("forward" if forward else "vertical"))
+    return ratio(False).join(ratio(True), "trial_id")
 
 
 @_query(f"""WITH {_S}, e AS (SELECT trial_id, avg(value) OVER x AS m, CASE WHEN count(value) OVER y >= 3 THEN stddev_pop(value) OVER y END AS sd, max(value) OVER x - min(value) OVER x AS reach, pos FROM s WINDOW x AS (PARTITION BY trial_id), y AS (PARTITION BY trial_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT trial_id, pos, coalesce(sd > 0.2 * reach, false) AS moving FROM e""")

@@ -119,16 +119,58 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_score(vector_pose(spark, d)).select("trial_id", *[r6(c).alias(c) for c in ("detection", "confidence", "gap", "jitter", "score")])
 
 
-@_query(f"WITH {_PO}, q AS (SELECT trial_id, max({_HX}) - min({_HX}) AS reach, var_pop({_HX}) AS v FROM po GROUP BY trial_id) SELECT trial_id, reach < 0.10 AS treadmill, round(CASE WHEN reach < 0.10 THEN greatest(0, least(1, 0.5 * (1 - reach / 0.10) + CASE WHEN v < 0.005 THEN 0.5 ELSE 0 END)) ELSE greatest(0, least(1, reach / 0.3)) END, 6) AS confidence FROM q")
+@_query(f"""WITH {_PO}, q AS (SELECT trial_id, max({_HX}) - min({_HX}) AS reach, var_pop({_HX}) AS v, count({_HX}) AS n FROM po GROUP BY trial_id)
+    SELECT trial_id, n >= 2 AND reach < 0.10 AS treadmill,
+           round(CASE WHEN n < 2 THEN 0 WHEN reach < 0.10 AND v < 0.005 THEN greatest(0.5, least(1, 1 - reach / 0.10)) WHEN reach < 0.10 OR v < 0.005 THEN 0.5 ELSE greatest(0, 1 - (reach - 0.10) / 0.10) END, 6)::DOUBLE AS confidence FROM q""")
 def treadmill_detection(spark: SparkSession, d: str) -> DataFrame:
     """Whether the hips stay in place."""
     return quality.treadmill(vector_pose(spark, d)).select("trial_id", "treadmill", r6("confidence").alias("confidence"))
 
 
-@_query(f"WITH {_PO}, q AS (SELECT trial_id, abs({_sub('LEFT_HIP', 'RIGHT_HIP')[0]}) / ((sqrt(power({_sub('LEFT_HIP', 'LEFT_KNEE')[0]}, 2) + power({_sub('LEFT_HIP', 'LEFT_KNEE')[1]}, 2)) + sqrt(power({_sub('RIGHT_HIP', 'RIGHT_KNEE')[0]}, 2) + power({_sub('RIGHT_HIP', 'RIGHT_KNEE')[1]}, 2))) / 2) AS r FROM po), a AS (SELECT trial_id, degrees(asin(least(1.0, avg(r)))) AS g FROM q GROUP BY trial_id) SELECT trial_id, round(g, 6) AS degrees, g <= 15 AS aligned FROM a")
+def _length(a: str, b: str) -> str:
+    dx, dy = _sub(a, b)
+    return f"sqrt(power({dx}, 2) + power({dy}, 2))"
+
+
+@_query(f"""WITH {_PO}, q AS (SELECT trial_id, {_length('LEFT_HIP', 'RIGHT_HIP')} AS wide, ({_length('LEFT_HIP', 'LEFT_KNEE')} + {_length('RIGHT_HIP', 'RIGHT_KNEE')}) / 2 AS femur FROM po),
+    a AS (SELECT trial_id, coalesce(avg(wide / femur) FILTER (femur >= 1e-6), 0) AS r, count(*) FILTER (femur >= 1e-6) / count(*) AS share FROM q GROUP BY trial_id)
+    SELECT trial_id, round(r, 6) AS ratio, round(degrees(asin(least(1.0, r))), 6) AS degrees, degrees(asin(least(1.0, r))) < 15 AS aligned, round(share, 6) AS confidence FROM a""")
 def sagittal_alignment(spark: SparkSession, d: str) -> DataFrame:
     """How far the walk leaves the picture's plane."""
-    return quality.sagittal_alignment(vector_pose(spark, d)).select("trial_id", r6("degrees").alias("degrees"), "aligned")
+    out = quality.sagittal_alignment(vector_pose(spark, d))
+    return out.select("trial_id", *[r6(c).alias(c) for c in ("ratio", "degrees", "confidence")], "aligned")
+
+
+@_query(f"""WITH {_PO}, a AS (SELECT trial_id, pos, 60 * {_xy('LEFT_SHOULDER')[0]} AS l, CASE WHEN trial_id % 3 > 0 THEN 60 * {_xy('RIGHT_SHOULDER')[0]} END AS r, 60 * {_xy('LEFT_HIP')[0]} AS h, {_xy('LEFT_WRIST')[0]} AS wl, {_xy('RIGHT_WRIST')[0]} AS wr FROM po),
+    g AS (SELECT trial_id, count(l) > 0 AND count(r) > 0 AS known, max(l) - min(l) AS l, max(r) - min(r) AS r, 100 * (max(wl) - min(wl)) AS wl, 100 * (max(wr) - min(wr)) AS wr, count(r) AS n, count(h) AS m, corr(r, h) AS c FROM a GROUP BY trial_id),
+    s AS (SELECT trial_id, CASE WHEN known THEN l ELSE wl END AS l, CASE WHEN known THEN r ELSE wr END AS r, CASE WHEN n > 0 AND n = m THEN greatest(0, -100 * c) END AS c FROM g)
+    SELECT trial_id, round(l, 6) AS "left", round(r, 6) AS "right", round(c, 6) + 0 AS coordination, (l + r) / 2 < 10 AS reduced FROM s""")
+def arm_swing(spark: SparkSession, d: str) -> DataFrame:
+    """Reach of the arms, by shoulders or else wrists."""
+    p = vector_pose(spark, d)
+    arms = p.select("trial_id", (pose.x("LEFT_SHOULDER") * 60).alias("left"), F.when(F.col("trial_id") % 3 > 0, pose.x("RIGHT_SHOULDER") * 60).alias("right"), (pose.x("LEFT_HIP") * 60).alias("hip"), pose.x("LEFT_WRIST").alias("wrist_left"), pose.x("RIGHT_WRIST").alias("wrist_right"))
+    return analysis.arm_swing(arms).select("trial_id", *[r6(c).alias(c) for c in ("left", "right", "coordination")], "reduced")
+
+
+def _z(name: str) -> str:
+    return f"e[{VECTOR_LANDMARKS.index(name) + 1}]"
+
+
+def _frontal(a: str, b: str) -> tuple[str, str]:
+    return _sub(a, b)[0], f"({_z(a)} - {_z(b)})"
+
+
+_FRONTAL = ", ".join(f"round({_between(_frontal(f'{s}_KNEE', f'{s}_HIP'), ('0', '1'))}, 6) AS hip_abduction_{s[0]}, round(180 - {_between(_frontal(f'{s}_HIP', f'{s}_KNEE'), _frontal(f'{s}_ANKLE', f'{s}_KNEE'))}, 6) AS knee_valgus_{s[0]}" for s in ("LEFT", "RIGHT"))
+
+
+@_query(f"WITH {_PO} SELECT trial_id, frame_idx, {_FRONTAL} FROM po")
+def frontal_angles(spark: SparkSession, d: str) -> DataFrame:
+    """Thigh and knee in the plane of x and depth."""
+    depths = F.map_from_arrays(F.array(*map(F.lit, VECTOR_LANDMARKS)), F.array(*[pose.x(n) * 0 + F.get("e", F.lit(k)) for k, n in enumerate(VECTOR_LANDMARKS)]))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 20).alias("trial_id"), (F.col("vec_id") % 20).cast("int").alias("frame_idx"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    p = vector_pose(spark, d).join(e, ["trial_id", "frame_idx"]).withColumn("landmark_depths", depths)
+    out = pose.frontal_angles(p)
+    return out.select("trial_id", "frame_idx", *[r6(c).alias(c) for c in out.columns if c.startswith(("hip", "knee"))])
 
 
 @_query(f"WITH {_PO}, l AS (SELECT trial_id, unnest([{', '.join(_xy(n)[0] for n in VECTOR_LANDMARKS)}]) AS x, unnest([{', '.join(_xy(n)[1] for n in VECTOR_LANDMARKS)}]) AS y FROM po), q AS (SELECT trial_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM l GROUP BY trial_id) SELECT trial_id, greatest(0, least(1920, round((x0 - 0.15 * (x1 - x0)) * 1920)))::INT AS \"left\", greatest(0, least(1080, round((y0 - 0.15 * (y1 - y0)) * 1080)))::INT AS top, greatest(0, least(1920, round((x1 + 0.15 * (x1 - x0)) * 1920)))::INT AS \"right\", greatest(0, least(1080, round((y1 + 0.15 * (y1 - y0)) * 1080)))::INT AS bottom FROM q")

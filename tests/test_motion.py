@@ -156,8 +156,13 @@ def test_validation(spark):
     values = spark.createDataFrame([("t", "left", "knee", v) for v in (10.0, 90.0, 95.0)], "trial_id string, side string, joint string, value double")
     r = validation.check_angles(values, validation.ranges(spark)).first()
     assert (r["severity"], r["outside"]) == ("critical", pytest.approx(200 / 3))
-    wider = validation.adjusted(validation.ranges(spark), age=10).filter("joint = 'knee' AND phase = 'full'").first()
-    assert (wider["lo"], wider["hi"]) == (-10, 80)
+    wider = validation.adjusted(spark, age=10).filter("joint = 'knee' AND phase = 'full'").first()
+    assert (wider["lo"], wider["hi"]) == (-10, 85)
+    old = {(r["joint"], r["phase"]): (r["lo"], r["hi"]) for r in validation.adjusted(spark, age=70).collect()}
+    assert old["hip", "full"] == (-25, 50) and old["knee", "swing"] == (20, 80) and old["ankle", "stance"] == (-15, 20) and old["knee_valgus", "full"] == (-7, 17)
+    assert validation.spatiotemporal_ranges(70, "F", "slow")["cadence_steps_per_min"] == (45, 125)
+    assert validation.spatiotemporal_ranges(8, speed="fast")["step_time_mean_s"] == (pytest.approx(0.22), pytest.approx(0.6))
+    assert validation.spatiotemporal_ranges(speed="fast")["cadence_steps_per_min"] == (90, 160)
     contacts = spark.createDataFrame([("t", "hs", float(i)) for i in range(4)], "trial_id string, kind string, time double")
     assert validation.check_cadence(contacts).first()["cadence"] == 60
 
