@@ -1,4 +1,4 @@
-"""Corrections of angles: perspective, drift, and mean biases over the cycle."""
+"""Corrections of angles: perspective, drift, and mean biases over the cycle; and of landmarks: their bias by phase."""
 
 from __future__ import annotations
 
@@ -100,3 +100,83 @@ def apply_landmark_bias(tracks: DataFrame, phases: DataFrame, model: DataFrame,
     at = F.least(F.floor(F.col("phase") * bins), F.lit(bins - 1)).cast("int")
     joined = tracks.join(phases, ["trial_id", "frame_idx"], "left").withColumn("bin", at).join(model.drop("n"), ["name", "bin"], "left")
     return joined.withColumns({"x": F.col("x") - F.coalesce("dx", F.lit(0.0)), "y": F.col("y") - F.coalesce("dy", F.lit(0.0))}).select(tracks.columns)
+
+
+# Landmarks whose bias is learnt if none are named.
+CORRECTABLE = ("LEFT_KNEE", "RIGHT_KNEE", "LEFT_ANKLE", "RIGHT_ANKLE", "LEFT_HEEL", "RIGHT_HEEL", "LEFT_FOOT_INDEX", "RIGHT_FOOT_INDEX")
+
+
+def anchored(pose: DataFrame, trials: DataFrame) -> DataFrame:
+    """trial_id, frame_idx, pos, mx, my, thigh, direction: the hips' middle, the length from there to the knees' middle, and the way of walking.
+
+    The direction is the sign of the hips' way from a quarter of a second before to one after, within the recording;
+    null where it is under 1e-5 or unknown. All are null without hips and knees, or where the thigh has no length.
+    """
+    mx, my = (P.middle(f("LEFT_HIP"), f("RIGHT_HIP")) for f in (P.x, P.y))
+    kx, ky = (P.middle(f("LEFT_KNEE"), f("RIGHT_KNEE")) for f in (P.x, P.y))
+    thigh = C.distance(mx, my, kx, ky)
+    half = F.greatest(F.lit(1), F.floor(0.25 * F.coalesce("meta.fps", F.lit(30.0)))).cast("int")
+    own = pose.select("trial_id", "frame_idx", "pos", *[F.when(thigh >= 1e-6, c).alias(n) for n, c in (("mx", mx), ("my", my), ("thigh", thigh))])
+    own = own.join(trials.select("trial_id", half.alias("half")), "trial_id").withColumn("last", F.max("pos").over(P.trial()))
+    own = own.withColumns({"before": F.greatest(F.lit(0), F.col("pos") - F.col("half")), "after": F.least(F.col("last"), F.col("pos") + F.col("half"))})
+    at = lambda name, out: own.select("trial_id", F.col("pos").alias(name), F.col("mx").alias(out))
+    both = own.join(at("before", "x0"), ["trial_id", "before"], "left").join(at("after", "x1"), ["trial_id", "after"], "left")
+    way = F.col("x1") - F.col("x0")
+    return both.select("trial_id", "frame_idx", "pos", "mx", "my", "thigh", F.when(F.abs(way) >= 1e-5, F.signum(way)).alias("direction"))
+
+
+def anchored_landmarks(pose: DataFrame, trials: DataFrame, names: tuple[str, ...] = CORRECTABLE) -> DataFrame:
+    """trial_id, frame_idx, pos, name, fx, fy: landmarks from the hips' middle, in thighs and with x forward; no row where either is unknown."""
+    long = P.to_long(pose).filter(F.col("name").isin(*names)).select("trial_id", "frame_idx", "name", "x", "y")
+    joined = long.join(anchored(pose, trials), ["trial_id", "frame_idx"])
+    out = joined.select("trial_id", "frame_idx", "pos", "name", ((F.col("x") - F.col("mx")) / F.col("thigh") * F.col("direction")).alias("fx"), ((F.col("y") - F.col("my")) / F.col("thigh")).alias("fy"))
+    return out.filter(F.col("fx").isNotNull() & F.col("fy").isNotNull())
+
+
+def fit_landmark_bias(video: DataFrame, video_trials: DataFrame, optical: DataFrame, optical_trials: DataFrame, phases: DataFrame, offsets: DataFrame, bins: int = 10, names: tuple[str, ...] = CORRECTABLE) -> DataFrame:
+    """name, bin, dx, dy, n: a landmark's mean distance from an optical recording's, by phase of its side's cycle.
+
+    Both recordings are poses of the same trial_id; phases has trial_id, side, frame_idx and phase, offsets trial_id and
+    offset (seconds that the optical recording's clock is ahead). A video frame meets the optical sample nearest in time.
+    """
+    rate = lambda t, name, usual: t.select("trial_id", F.coalesce("meta.fps", F.lit(usual)).alias(name))
+    side = F.when(F.col("name").startswith("LEFT"), "left").otherwise("right")
+    mine = anchored_landmarks(video, video_trials, names).join(rate(video_trials, "fps", 30.0), "trial_id").join(offsets, "trial_id").join(rate(optical_trials, "ofps", 200.0), "trial_id")
+    mine = mine.withColumns({"at": F.rint((F.col("frame_idx") / F.col("fps") + F.col("offset")) * F.col("ofps")).cast("int"), "side": side}).join(phases, ["trial_id", "side", "frame_idx"])
+    theirs = anchored_landmarks(optical, optical_trials, names).select("trial_id", F.col("pos").alias("at"), "name", F.col("fx").alias("ox"), F.col("fy").alias("oy"))
+    pairs = mine.join(theirs, ["trial_id", "at", "name"]).select("name", "phase", (F.col("fx") - F.col("ox")).alias("dx"), (F.col("fy") - F.col("oy")).alias("dy"))
+    return landmark_bias(pairs, bins)
+
+
+def filled_bias(model: DataFrame, bins: int) -> DataFrame:
+    """name, bin, dx, dy for all bins: missing ones interpolated around the cycle. The model is a small table, a row per landmark and bin."""
+    every = model.select("name").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    whole = every.join(model.select("name", "bin", "dx", "dy"), ["name", "bin"], "left")
+    thrice = whole.withColumn("turn", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("pos", F.col("bin") + F.col("turn") * bins)
+    for c in ("dx", "dy"):
+        thrice = series.interpolate(thrice, ["name"], c, c)
+    return thrice.filter("turn = 0").select("name", "bin", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dx", "dy")])
+
+
+def remove_landmark_bias(pose: DataFrame, trials: DataFrame, phases: DataFrame, model: DataFrame, bins: int = 10) -> DataFrame:
+    """Landmarks less the model's bias at their side's phase, brought back to the picture by the thigh and the way of walking.
+
+    The bias is interpolated between bins around the cycle; the thigh is a median over half a second. Frames outside
+    cycles, without hips and knees, or where the way is unknown stay, and so do landmarks that the model lacks.
+    """
+    whole = filled_bias(model, bins)
+    after = whole.select("name", F.pmod(F.col("bin") - 1, F.lit(bins)).alias("bin"), F.col("dx").alias("dx1"), F.col("dy").alias("dy1"))
+    curve = whole.join(after, ["name", "bin"])
+    fps = trials.select("trial_id", F.greatest(F.lit(1), F.floor(0.25 * F.coalesce("meta.fps", F.lit(30.0)))).cast("int").alias("half"))
+    at = anchored(pose, trials).join(fps, "trial_id")
+    near = at.select("trial_id", "thigh", F.explode(F.sequence(F.col("pos") - F.col("half"), F.col("pos") + F.col("half"))).alias("pos")).groupBy("trial_id", "pos").agg(F.median("thigh").alias("scale"))
+    at = at.join(near, ["trial_id", "pos"]).filter(F.col("direction").isNotNull() & F.col("scale").isNotNull()).select("trial_id", "frame_idx", "scale", "direction")
+    where = F.col("phase") * bins
+    shift = phases.join(at, ["trial_id", "frame_idx"]).withColumns({"bin": F.pmod(F.floor(where), F.lit(bins)).cast("int"), "w": where - F.floor(where)}).join(curve, "bin")
+    shift = shift.filter(F.col("name").startswith("LEFT_") == (F.col("side") == "left"))
+    bent = lambda c: (1 - F.col("w")) * F.col(c) + F.col("w") * F.col(f"{c}1")
+    entry = F.struct("name", F.struct((bent("dx") * F.col("direction") * F.col("scale")).alias("x"), (bent("dy") * F.col("scale")).alias("y")).alias("p"))
+    moves = shift.groupBy("trial_id", "frame_idx").agg(F.map_from_entries(F.collect_list(entry)).alias("__by"))  # a few landmarks a frame
+    own = pose.join(moves, ["trial_id", "frame_idx"], "left")
+    moved = F.transform_values("landmarks", lambda k, p: F.struct((p["x"] - F.coalesce(F.col("__by")[k]["x"], F.lit(0.0))).alias("x"), (p["y"] - F.coalesce(F.col("__by")[k]["y"], F.lit(0.0))).alias("y"), p["visibility"].alias("visibility")))
+    return own.withColumn("landmarks", F.when(F.col("__by").isNull(), F.col("landmarks")).otherwise(moved)).select(pose.columns)

@@ -67,6 +67,12 @@ def summary(curves_long: DataFrame) -> DataFrame:
     return curves_long.groupBy("trial_id", "side", "joint", "p").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n_cycles"))
 
 
+def mean_curves(curved: DataFrame) -> DataFrame:
+    """trial_id, side, joint, curve: the mean curve over cycles."""
+    points = F.array_sort(F.collect_list(F.struct("p", "mean")))  # as many as a curve has points
+    return summary(long_curves(curved)).groupBy("trial_id", "side", "joint").agg(F.transform(points, lambda x: x["mean"]).alias("curve"))
+
+
 def ensemble(summaries: DataFrame) -> DataFrame:
     """Over trials: side, joint, p, mean of means, their deviation, mean deviation within, trials and cycles."""
     return summaries.groupBy("side", "joint", "p").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std_between"), F.avg("std").alias("std_within"), F.count("*").alias("n_trials"), F.sum("n_cycles").alias("n_cycles"))
@@ -78,13 +84,37 @@ def phase_by_frame(cycles: DataFrame) -> DataFrame:
     return rows.groupBy("trial_id", "side", "frame_idx").agg(F.max_by("phase", "cycle_id").alias("phase"))
 
 
-def dominant_direction(cycles: DataFrame, positions: DataFrame) -> DataFrame:
-    """The cycles of the larger group by sign of displacement; equal groups: those to the right.
+def dominant_direction(cycles: DataFrame, positions: DataFrame, curves: DataFrame | None = None) -> DataFrame:
+    """The cycles of the larger group by sign of displacement; of equal groups that of the larger mean knee curve, or to the right.
 
-    positions: trial_id, frame_idx, x.
+    positions: trial_id, frame_idx, x (the hips' middle). Cycles that move by less than 1e-5, or at whose ends x is
+    unknown, belong to neither; a trial without either group keeps all its cycles.
     """
     at = lambda f, name: positions.select("trial_id", F.col("frame_idx").alias(f), F.col("x").alias(name))
-    signed = cycles.join(at("start_frame", "__a"), ["trial_id", "start_frame"]).join(at("end_frame", "__b"), ["trial_id", "end_frame"]).withColumn("__d", F.when(F.col("__b") >= F.col("__a"), 1).otherwise(-1))
-    size = signed.groupBy("trial_id", "__d").agg(F.count("*").alias("__n"))
-    best = size.groupBy("trial_id").agg(F.max(F.struct("__n", "__d")).alias("m")).select("trial_id", F.col("m.__d").alias("__d"))
-    return signed.join(best, ["trial_id", "__d"], "left_semi").select(cycles.columns)
+    signed = cycles.join(at("start_frame", "__a"), ["trial_id", "start_frame"], "left").join(at("end_frame", "__b"), ["trial_id", "end_frame"], "left")
+    way = F.col("__b") - F.col("__a")
+    signed = signed.withColumn("__d", F.when(way >= 1e-5, 1).when(way <= -1e-5, -1))
+    if curves is not None:
+        knee = curves.filter("joint = 'knee'").select("trial_id", "cycle_id", (F.aggregate("curve", F.lit(0.0), lambda a, v: a + v) / F.size("curve")).alias("__k"))
+        signed = signed.join(knee, ["trial_id", "cycle_id"], "left")
+    else:
+        signed = signed.withColumn("__k", F.lit(0.0))
+    size = signed.filter(F.col("__d").isNotNull()).groupBy("trial_id", "__d").agg(F.count("*").alias("__n"), F.coalesce(F.avg("__k"), F.lit(float("-inf"))).alias("__k"))
+    best = size.groupBy("trial_id").agg(F.max(F.struct("__n", "__k", "__d")).alias("m")).select("trial_id", F.col("m.__d").alias("__best"))
+    return signed.join(best, "trial_id", "left").filter(F.col("__best").isNull() | (F.col("__d") == F.col("__best"))).select(cycles.columns)
+
+
+def flexion_positive(curves: DataFrame) -> DataFrame:
+    """Curves with knees whose mean is positive, and hips that are more flexed at contact than in the middle, by trial and side.
+
+    Where the knee's mean over a side's cycles is negative its knee and hip curves change sign; where the hip's mean curve
+    then is lower over its first 15 points than from 40 to 59 the hip's do.
+    """
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
+    every = Window.partitionBy("trial_id", "side")
+    of = lambda joint, value: F.avg(F.when(F.col("joint") == joint, value)).over(every)
+    whole = F.size("curve") == 101
+    out = curves.withColumns({"__knee": of("knee", mean("curve")), "__hip": of("hip", F.when(whole, mean(F.slice("curve", 1, 15)) - mean(F.slice("curve", 41, 20))))})
+    first = F.when(F.col("__knee") < 0, -1.0).otherwise(1.0)
+    sign = F.when(F.col("joint") == "knee", first).when(F.col("joint") == "hip", first * F.when(first * F.col("__hip") < 0, -1.0).otherwise(1.0)).otherwise(1.0)
+    return out.withColumn("__s", sign).withColumn("curve", F.when(F.col("__s") < 0, F.transform("curve", lambda v: -v)).otherwise(F.col("curve"))).select(curves.columns)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +168,117 @@ def correct_side_labels(pose: DataFrame) -> DataFrame:
     return swap_sides(marked.withColumn("__swap", (F.col("__odd") == 1) != most), F.col("__swap")).drop("__h", "__k", "__flip", "__odd", "__swap")
 
 
+def with_points(pose: DataFrame, points: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Landmarks of these names moved to other coordinates where they are seen; their visibility stays."""
+    held = {f"__{n}_{a}": c for n, xy in points.items() for a, c in zip("xy", xy, strict=True)}
+
+    def moved(k: Column, p: Column) -> Column:
+        out = p
+        for n in points:
+            out = F.when(k == n, _point(F.col(f"__{n}_x"), F.col(f"__{n}_y"), p["visibility"])).otherwise(out)
+        return out
+
+    return pose.withColumns(held).withColumn("landmarks", _entries(moved)).drop(*held)
+
+
+# Segments whose right side takes the left one's length, in this order.
+SEGMENT_PAIRS = (("SHOULDER", "ELBOW"), ("ELBOW", "WRIST"), ("HIP", "KNEE"), ("KNEE", "ANKLE"), ("ANKLE", "HEEL"))
+
+
+def match_sides(pose: DataFrame, first: int | None = None) -> DataFrame:
+    """Right segments scaled by one factor a trial, so that their median length is that of the left.
+
+    Segments follow each other outwards, each from where the last one has moved its end. Medians are over all frames, or
+    the ``first`` ones. A segment without a length on either side stays. Meant for symmetric bodies only.
+    """
+    out, early = pose, F.col("pos") < first if first else F.lit(True)
+    right = {n: (x(f"RIGHT_{n}"), y(f"RIGHT_{n}")) for pair in SEGMENT_PAIRS for n in pair}
+    out = out.withColumns({f"__r{n}_{a}": c for n, xy in right.items() for a, c in zip("xy", xy, strict=True)})
+    for a, b in SEGMENT_PAIRS:
+        ax, ay, bx, by = (F.col(f"__r{n}_{c}") for n in (a, b) for c in "xy")
+        left = C.distance(x(f"LEFT_{a}"), y(f"LEFT_{a}"), x(f"LEFT_{b}"), y(f"LEFT_{b}"))
+        m, n = (F.median(F.when(early, d)).over(trial()) for d in (left, C.distance(ax, ay, bx, by)))
+        out = out.withColumns({"__m": m, "__n": n})
+        scale = F.when((F.col("__m") > 0) & (F.col("__n") > 0), F.col("__m") / F.col("__n")).otherwise(1.0)
+        out = out.withColumns({f"__r{b}_x": F.coalesce(ax + (bx - ax) * scale, bx), f"__r{b}_y": F.coalesce(ay + (by - ay) * scale, by)})
+    ends = {f"RIGHT_{b}": (F.col(f"__r{b}_x"), F.col(f"__r{b}_y")) for _, b in SEGMENT_PAIRS}
+    return with_points(out, ends).select(pose.columns)
+
+
+# Pairs whose sides are told apart, and which pair each is checked against.
+SIDE_PAIRS = ("HIP", "KNEE", "ANKLE", "HEEL", "FOOT_INDEX", "SHOULDER")
+SIDE_CHAIN = (("KNEE", "HIP"), ("ANKLE", "KNEE"), ("HEEL", "ANKLE"), ("FOOT_INDEX", "HEEL"))
+
+
+def _pair_swaps(left: np.ndarray, right: np.ndarray, seen_l: np.ndarray, seen_r: np.ndarray, ratio: float, apart: float, drop: float) -> np.ndarray:
+    """In which frames a pair's sides are exchanged: after an odd number of frames where exchanging them would shorten both ways enough.
+
+    Where both are seen less than they have been of late, twice the ratio is enough. An odd number of such frames loses the
+    least certain one. More than half of the frames can't be exchanged.
+    """
+    known = ~np.isnan(left).any(axis=1) & ~np.isnan(right).any(axis=1)
+    gap = ((left - right) ** 2).sum(axis=1)
+    found, usual, last = [], np.ones(2), -1
+    for i in np.flatnonzero(known).tolist():
+        usual = 0.1 * np.array([seen_l[i], seen_r[i]]) + 0.9 * usual
+        if gap[i] < apart * apart:
+            continue
+        if last >= 0:
+            stay = ((left[i] - left[last]) ** 2).sum() + ((right[i] - right[last]) ** 2).sum()
+            swap = ((right[i] - left[last]) ** 2).sum() + ((left[i] - right[last]) ** 2).sum()
+            dim = seen_l[i] < usual[0] - drop and seen_r[i] < usual[1] - drop
+            if stay > 0 and swap / stay < (2 * ratio if dim else ratio):
+                found.append((i, swap / stay))
+        last = i
+    if len(found) % 2:
+        found.remove(max(found, key=lambda f: f[1]))
+    turns = np.zeros(len(left), np.int64)
+    turns[[i for i, _ in found]] = 1
+    odd = np.cumsum(turns) % 2 == 1
+    return ~odd if odd.sum() > len(odd) / 2 else odd
+
+
+def correct_pair_labels(pose: DataFrame, ratio: float = 0.25, apart: float = 0.03, drop: float = 0.25) -> DataFrame:
+    """Sides exchanged pair by pair, where only some landmarks of a frame have them the wrong way round.
+
+    Pairs are followed one by one through a trial; then each joint of a leg goes to the side whose next inner joint it is
+    nearer to, in at most three rounds. Trials are the groups of a grouped map, as a pair's state goes on from frame to
+    frame; it takes only the pairs' coordinates, and gives the names that are exchanged.
+    """
+    names = [f"{s}_{n}" for n in SIDE_PAIRS for s in ("LEFT", "RIGHT")]
+    wide = pose.select("trial_id", "frame_idx", "pos", *[c for n in names for c in (x(n).alias(f"{n}_x"), y(n).alias(f"{n}_y"), F.when(F.isnan(F.col("landmarks")[n]["visibility"]), 0.0).otherwise(visibility(n)).alias(f"{n}_v"))])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        xy = {n: np.column_stack([table.column(f"{n}_{a}").to_numpy().astype(float) for a in "xy"]) for n in names}
+        seen = {n: table.column(f"{n}_v").to_numpy().astype(float) for n in names}
+        swapped = {}
+        for n in SIDE_PAIRS:
+            a, b = f"LEFT_{n}", f"RIGHT_{n}"
+            swapped[n] = _pair_swaps(xy[a], xy[b], seen[a], seen[b], ratio, apart, drop)
+            xy[a], xy[b] = (np.where(swapped[n][:, None], q, p) for p, q in ((xy[a], xy[b]), (xy[b], xy[a])))
+        for _ in range(3):
+            changed = 0
+            for child, parent in SIDE_CHAIN:
+                cl, cr, pl, pr = (xy[f"{s}_{n}"] for n in (child, parent) for s in ("LEFT", "RIGHT"))
+                far = lambda p, q: ((p - q) ** 2).sum(axis=1)
+                cross = far(cl, pr) + far(cr, pl) < far(cl, pl) + far(cr, pr)  # never where one is missing
+                swapped[child] = swapped[child] ^ cross
+                xy[f"LEFT_{child}"], xy[f"RIGHT_{child}"] = np.where(cross[:, None], cr, cl), np.where(cross[:, None], cl, cr)
+                changed += int(cross.sum())
+            if not changed:
+                break
+        lists = [[n for n in SIDE_PAIRS if swapped[n][k]] for k in range(table.num_rows)]
+        return pa.table({"trial_id": table.column("trial_id"), "frame_idx": table.column("frame_idx"), "exchanged": pa.array(lists, pa.list_(pa.string()))})
+
+    kind = dict(pose.dtypes)
+    found = wide.groupBy("trial_id").applyInArrow(run, f"trial_id {kind['trial_id']}, frame_idx {kind['frame_idx']}, exchanged array<string>")
+    other = lambda k: F.when(k.startswith("LEFT_"), F.regexp_replace(k, "^LEFT_", "RIGHT_")).otherwise(F.regexp_replace(k, "^RIGHT_", "LEFT_"))
+    own = pose.join(found, ["trial_id", "frame_idx"])
+    own = own.withColumn("landmarks", F.when(F.size("exchanged") > 0, F.transform_keys("landmarks", lambda k, v: F.when(F.array_contains(F.col("exchanged"), F.regexp_replace(k, "^(LEFT|RIGHT)_", "")), other(k)).otherwise(k))).otherwise(F.col("landmarks")))
+    return own.select(pose.columns)
+
+
 def estimate_feet(pose: DataFrame, share: float = 0.25) -> DataFrame:
     """Heels and toes that are missing, put at a share of the shank's length behind and ahead of the ankle."""
     parts = {}
@@ -224,15 +337,24 @@ def knee(side: str) -> Column:
     return F.when(ax * by - ay * bx <= 0, flexion).otherwise(-flexion)
 
 
+def toe(side: str) -> tuple[Column, Column]:
+    """The middle of the big and the small toe where a layout has both, else the foot's index."""
+    big, small = f"{side}_BIG_TOE", f"{side}_SMALL_TOE"
+    seen = x(big).isNotNull() & y(big).isNotNull() & x(small).isNotNull() & y(small).isNotNull()
+    return F.when(seen, middle(x(big), x(small))).otherwise(x(f"{side}_FOOT_INDEX")), F.when(seen, middle(y(big), y(small))).otherwise(y(f"{side}_FOOT_INDEX"))
+
+
 def ankle(side: str) -> Column:
     """Dorsiflexion from the shank and the foot's axis (from the ankle where there is no heel)."""
-    fx, fy = x(f"{side}_FOOT_INDEX") - F.coalesce(x(f"{side}_HEEL"), x(f"{side}_ANKLE")), y(f"{side}_FOOT_INDEX") - F.coalesce(y(f"{side}_HEEL"), y(f"{side}_ANKLE"))
+    tx, ty = toe(side)
+    fx, fy = tx - F.coalesce(x(f"{side}_HEEL"), x(f"{side}_ANKLE")), ty - F.coalesce(y(f"{side}_HEEL"), y(f"{side}_ANKLE"))
     return 90.0 - C.angle_between(x(f"{side}_KNEE") - x(f"{side}_ANKLE"), y(f"{side}_KNEE") - y(f"{side}_ANKLE"), fx, fy)
 
 
 def ankle_from_heel(side: str) -> Column:
     """Dorsiflexion from the line between heel and knee, without the ankle."""
-    return 90.0 - C.angle_between(x(f"{side}_KNEE") - x(f"{side}_HEEL"), y(f"{side}_KNEE") - y(f"{side}_HEEL"), x(f"{side}_FOOT_INDEX") - x(f"{side}_HEEL"), y(f"{side}_FOOT_INDEX") - y(f"{side}_HEEL"))
+    tx, ty = toe(side)
+    return 90.0 - C.angle_between(x(f"{side}_KNEE") - x(f"{side}_HEEL"), y(f"{side}_KNEE") - y(f"{side}_HEEL"), tx - x(f"{side}_HEEL"), ty - y(f"{side}_HEEL"))
 
 
 def _sides(f: Callable[[str], Column], name: str) -> dict[str, Column]:
@@ -310,7 +432,7 @@ def extended_angles(pose: DataFrame) -> DataFrame:
 
 def foot_progression(pose: DataFrame) -> DataFrame:
     """Degrees of each foot's axis above the horizontal."""
-    own = _sides(lambda s: F.degrees(F.atan2(-(y(f"{s}_FOOT_INDEX") - y(f"{s}_HEEL")), x(f"{s}_FOOT_INDEX") - x(f"{s}_HEEL"))), "foot_angle")
+    own = _sides(lambda s: F.degrees(F.atan2(-(toe(s)[1] - y(f"{s}_HEEL")), toe(s)[0] - x(f"{s}_HEEL"))), "foot_angle")
     return pose.select("trial_id", "frame_idx", "pos", *[c.alias(n) for n, c in own.items()])
 
 
@@ -348,6 +470,30 @@ def correct_ankle_swaps(pose: DataFrame, angles: DataFrame, threshold: float = 8
     return out.drop("__a_L", "__b_L", "__a_R", "__b_R")
 
 
+def correct_ankle_projection(pose: DataFrame, angles: DataFrame, flat: float = 0.012, least: int = 10) -> DataFrame:
+    """Ankle angles less what an ankle landmark that slides along the foot adds to them.
+
+    t is the ankle's place along the line from heel to toe. While the foot is flat (heel and toe within ``flat``) the true
+    angle hardly changes, so its slope over t's distance from its median is the landmark's doing and is taken out of all
+    frames. Sides with fewer than ``least`` places, or angles of a flat foot, stay as they are.
+    """
+    out = angles
+    for s, side in (("L", "LEFT"), ("R", "RIGHT")):
+        tx, ty = toe(side)
+        hx, hy = x(f"{side}_HEEL"), y(f"{side}_HEEL")
+        fx, fy = tx - hx, ty - hy
+        length = fx * fx + fy * fy
+        t = F.when((F.sqrt(length) >= 1e-6) & x(f"{side}_KNEE").isNotNull(), ((x(f"{side}_ANKLE") - hx) * fx + (y(f"{side}_ANKLE") - hy) * fy) / length)
+        placed = pose.select("trial_id", "frame_idx", t.alias("__t"), (F.abs(fy) < flat).alias("__flat"))
+        out = out.join(placed, ["trial_id", "frame_idx"], "left")
+        out = out.withColumn("__d", F.median("__t").over(trial()) - F.col("__t"))
+        steady = F.col("__flat") & F.col("__d").isNotNull() & F.col(f"ankle_{s}").isNotNull()
+        d, a = F.when(steady, F.col("__d")), F.when(steady, F.col(f"ankle_{s}"))
+        slope = F.when((F.count("__t").over(trial()) >= least) & (F.count(d).over(trial()) >= least) & (F.stddev_pop(d).over(trial()) >= 1e-8), F.covar_pop(a, d).over(trial()) / F.var_pop(d).over(trial()))
+        out = out.withColumn(f"ankle_{s}", F.col(f"ankle_{s}") - F.coalesce(slope * F.col("__d"), F.lit(0.0))).drop("__t", "__flat", "__d")
+    return out.select(angles.columns)
+
+
 def angles_long(angles: DataFrame) -> DataFrame:
     """trial_id, frame_idx, pos, side, joint, value; trunk and pelvis belong to both sides."""
     rows = [F.struct(F.lit(side).alias("side"), F.lit(joint).alias("joint"), F.col(column).alias("value")) for s, side in (("L", "left"), ("R", "right")) for joint, column in (("hip", f"hip_{s}"), ("knee", f"knee_{s}"), ("ankle", f"ankle_{s}"), ("trunk", "trunk_angle"), ("pelvis", "pelvis_tilt")) if column in angles.columns]

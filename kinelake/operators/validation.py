@@ -126,3 +126,33 @@ def check_spatiotemporal(figures: DataFrame, ranges: dict[str, tuple[float, floa
     """trial_id, parameter, value, lo, hi of figures (a column per parameter) outside their range, adults' by default."""
     rows = [F.struct(F.lit(k).alias("parameter"), F.col(k).cast("double").alias("value"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for k, (lo, hi) in (ranges or SPATIOTEMPORAL_RANGES).items() if k in figures.columns]
     return figures.select("trial_id", F.explode(F.array(*rows)).alias("r")).select("trial_id", "r.*").filter(~F.col("value").between(F.col("lo"), F.col("hi")))
+
+
+def caveats(trials: DataFrame) -> DataFrame:
+    """trial_id, parameter, severity, description: what to bear in mind with a trial's results, from what is known of it."""
+    note = lambda when, parameter, text: F.when(when, F.struct(F.lit(parameter).alias("parameter"), F.lit("info").alias("severity"), F.lit(text).alias("description")))
+    height = F.col("subject.height_m")
+    notes = F.array_compact(F.array(
+        note(F.coalesce(F.col("extraction.treadmill"), F.lit(False)), "treadmill_context", "On a treadmill, lengths and speeds from the way through the picture come out too small."),
+        note(height.isNull() | (height == 0), "calibration", "Without the subject's height, lengths and speeds have no unit and can't be compared between subjects or sessions."),
+        note(F.lit(True), "pathology_screening", "Patterns found by rule are hints for screening, to be read with a clinical examination."),
+    ))
+    return trials.select("trial_id", F.explode(notes).alias("n")).select("trial_id", "n.*")
+
+
+# Published accuracy by pose model, as mean error in pixels and share of correct key points at 0.05.
+MODEL_ACCURACY = {
+    "mediapipe": (5.0, 0.92),
+    "yolo": (4.0, 0.94),
+    "vitpose": (3.0, 0.96),
+    "sapiens": (2.5, 0.97),
+    "rtmw": (3.5, 0.95),
+    "mmpose": (3.0, 0.96),
+    "hrnet": (3.0, 0.96),
+}
+
+
+def model_accuracy(trials: DataFrame) -> DataFrame:
+    """trial_id, model, mae_px, pck_05: the accuracy published for each trial's pose model, null where there is none."""
+    known = F.create_map(*[c for m, (e, k) in MODEL_ACCURACY.items() for c in (F.lit(m), F.struct(F.lit(e).alias("mae_px"), F.lit(k).alias("pck_05")))])
+    return trials.select("trial_id", F.col("extraction.model").alias("model"), known[F.col("extraction.model")].alias("a")).select("trial_id", "model", "a.mae_px", "a.pck_05")

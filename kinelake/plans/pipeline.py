@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.operators import analysis, cycles, events, normative, pose, quality, scores, signals, validation
+from kinelake.functions import columns as C
+from kinelake.operators import analysis, corrections, cycles, events, normative, pose, quality, scores, signals, validation
 from kinelake.sources import pivot, settings
 
 
@@ -28,26 +30,73 @@ class Results:
     sdi: DataFrame
     violations: DataFrame
     quality: DataFrame
+    report: DataFrame
+    diagnosis: DataFrame
+    phases: DataFrame
 
+    def release(self) -> None:
+        """Give back what run keeps."""
+        for df in (self.poses, self.angles, self.events, self.cycles, self.curves):
+            df.unpersist()
 
-def run(documents: DataFrame, options: dict | None = None) -> Results:
-    """All stages over documents (see sources.pivot); options are merged over the defaults. Rates are the trials' own."""
+
+def run(documents: DataFrame, options: dict | None = None, keep: bool = True) -> Results:
+    """All stages over documents (see sources.pivot); options are merged over the defaults. Rates are the trials' own.
+
+    Tables that later ones read several times are worked out once and kept, in memory and on disk, until ``release`` is
+    called; without ``keep`` each result is a plan from the documents on.
+    """
+    held = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
     o = settings.merged(settings.DEFAULTS, options or {})
     trials = pivot.trials(documents)
     raw = pivot.poses(documents)
     tracks = pose.to_long(raw)
-    clean = pose.to_pose(signals.normalize(tracks, o["normalize"]["steps"], o["normalize"]["gap_max"]))
+    clean = held(pose.to_pose(signals.normalize(tracks, o["normalize"]["steps"], o["normalize"]["gap_max"])))
     angles = pose.canonicalize_signs(pose.compute_angles(clean, **o["angles"]))
-    found = events.detect_events(clean, trials, **o["events"])
+    if o["corrections"]["ankle_projection"]:
+        angles = pose.correct_ankle_projection(clean, angles)
+    if o["corrections"]["drift"]:
+        angles = corrections.detrend_angles(angles)
+    angles = held(angles)
+    found = held(events.detect_events(clean, trials, **o["events"]))
     rates = trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps"))
-    cut = cycles.segment(found.join(rates, "trial_id"), F.col("fps"), o["cycles"]["shortest"], o["cycles"]["longest"])
-    curves = cycles.curves(cut, pose.angles_long(angles), o["cycles"]["points"])
+    cut = held(cycles.segment(found.join(rates, "trial_id"), F.col("fps"), o["cycles"]["shortest"], o["cycles"]["longest"]))
+    curves = held(cycles.curves(cut, pose.angles_long(angles), o["cycles"]["points"]))
+    everything = cut
+    if o["corrections"]["one_direction"]:
+        cut = cycles.dominant_direction(cut, clean.select("trial_id", "frame_idx", pose.middle(pose.x("LEFT_HIP"), pose.x("RIGHT_HIP")).alias("x")), curves)
+        cut = held(cut)
+        curves = cycles.flexion_positive(curves.join(cut.select("trial_id", "cycle_id"), ["trial_id", "cycle_id"], "left_semi"))
+        curves = held(curves)
     summary = cycles.summary(cycles.long_curves(curves))
     figures = analysis.variability(cut).join(_figures(cut, found, rates), "trial_id", "full_outer").join(analysis.symmetry(cut, analysis.rom_table(curves)), "trial_id", "full_outer")
     norm = normative.table(documents.sparkSession).filter(F.col("stratum") == o["scores"]["stratum"]).filter(F.col("joint").isin("hip", "knee", "ankle", "trunk"))
     gvs = scores.variable_scores(summary, norm)
     gps = scores.profile_score(gvs)
-    return Results(trials, clean, angles, found, cut, curves, summary, figures, gvs, gps, scores.deviation_index(gps, norm), validation.check_angles(pose.angles_long(angles), validation.ranges(documents.sparkSession)), quality.quality_score(raw))
+    limits = validation.ranges(documents.sparkSession)
+    return Results(
+        trials, clean, angles, found, cut, curves, summary, figures, gvs, gps, scores.deviation_index(gps, norm), validation.check_angles(pose.angles_long(angles), limits), quality.quality_score(raw),
+        report(figures, clean, trials, found, cut, curves), diagnose(raw, trials, everything, cut, curves), validation.check_phases(curves, cut, limits),
+    )
+
+
+def report(figures: DataFrame, poses: DataFrame, trials: DataFrame, found: DataFrame, cut: DataFrame, curves: DataFrame) -> DataFrame:
+    """A row per trial with all figures: spatiotemporal, symmetry, variability, harmonics, steps, speed, flags, patterns, and their short names.
+
+    Lengths are in metres where the subject's height is known, else in units of the picture's width.
+    """
+    subjects = trials.select("trial_id", "subject.height_m", F.lit(None).cast("double").alias("femur_mm"), F.lit(None).cast("double").alias("foot_mm"))
+    scaled = poses.join(analysis.scale(poses, subjects), "trial_id")
+    ankles = scaled.select("trial_id", "frame_idx", F.explode(F.array(*[F.struct(F.lit(s.lower()).alias("side"), (pose.x(f"{s}_ANKLE") * F.col("scale")).alias("x")) for s in ("LEFT", "RIGHT")])).alias("a")).select("trial_id", "frame_idx", "a.*")
+    by_side = lambda df, value: df.groupBy("trial_id").pivot("side", ["left", "right"]).agg(F.first(value)).select("trial_id", *[F.col(s).alias(f"{value}_{s}") for s in ("left", "right")])
+    speed = analysis.walking_speed(cut, ankles).filter("side = 'overall'").select("trial_id", F.col("speed").alias("speed_mean"))
+    signs = analysis.patterns(cycles.mean_curves(curves)).groupBy("trial_id").agg(F.array_sort(F.collect_list(F.struct("pattern", "side", "severity"))).alias("patterns"))  # at most three a side
+    out = figures
+    for part in (analysis.harmonic_ratios(poses), by_side(analysis.step_lengths(found, ankles), "step_length"), speed, analysis.flags(figures), signs):
+        out = out.join(part, "trial_id", "left")
+    stance = F.array_compact(F.array("stance_pct_left", "stance_pct_right"))
+    mean = F.when(F.size(stance) > 0, F.aggregate(stance, F.lit(0.0), lambda a, v: a + v) / F.size(stance))
+    return out.withColumns({"cadence": F.col("cadence_steps_per_min"), "speed": F.col("speed_mean"), "stance_pct": mean})
 
 
 def _figures(cut: DataFrame, found: DataFrame, rates: DataFrame) -> DataFrame:
@@ -56,16 +105,32 @@ def _figures(cut: DataFrame, found: DataFrame, rates: DataFrame) -> DataFrame:
     return analysis.spatiotemporal(cut, in_seconds, 1.0)
 
 
-def diagnose(poses: DataFrame, cut: DataFrame, kept: DataFrame, curves: DataFrame) -> DataFrame:
-    """trial_id, coverage, confidence, tail, prelude, n_cycles, n_kept, ankle_rom, warnings: what to doubt in a trial."""
-    hip = F.abs(pose.middle(pose.x("LEFT_HIP"), pose.x("RIGHT_HIP")))
-    seen = F.when(hip.isNotNull(), 1.0).otherwise(0.0)
-    own = poses.groupBy("trial_id").agg(F.avg(seen).alias("coverage"), F.avg("confidence").alias("confidence"), (F.percentile(hip, F.lit(0.95)) - F.percentile(hip, F.lit(0.05))).alias("reach"), F.min(F.when(hip.isNotNull(), F.col("pos"))).alias("prelude"))
-    counts = cut.groupBy("trial_id").agg(F.count("*").alias("n_cycles")).join(kept.groupBy("trial_id").agg(F.count("*").alias("n_kept")), "trial_id", "left")
+def diagnose(poses: DataFrame, trials: DataFrame, cut: DataFrame, kept: DataFrame, curves: DataFrame) -> DataFrame:
+    """trial_id, n_frames, coverage, confidence, distortion, n_left, n_right, n_dropped, ankle_rom, warnings: what to doubt in a trial.
+
+    Distortion is how much of its greatest apparent length the left thigh loses, from percentiles, where over 30 frames
+    show it. A first second in which that length hardly changes can serve for calibration.
+    """
+    thigh = C.distance(pose.x("LEFT_HIP"), pose.y("LEFT_HIP"), pose.x("LEFT_KNEE"), pose.y("LEFT_KNEE"))
+    own = poses.join(trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps")), "trial_id").select("trial_id", "pos", "confidence", "fps", F.size("landmarks").alias("seen"), thigh.alias("thigh"))
+    first = F.row_number().over(Window.partitionBy("trial_id", F.col("thigh").isNull()).orderBy("pos"))
+    early = F.when(F.col("thigh").isNotNull() & (first <= F.floor("fps")), F.col("thigh"))
+    own = own.withColumn("early", early).groupBy("trial_id").agg(
+        F.count("*").alias("n_frames"), F.avg(F.when(F.col("seen") > 0, 1.0).otherwise(0.0)).alias("coverage"), F.avg("confidence").alias("confidence"),
+        F.when(F.count("thigh") > 30, (F.percentile("thigh", F.lit(0.95)) - F.percentile("thigh", F.lit(0.05))) / (F.percentile("thigh", F.lit(0.95)) + 1e-9)).alias("distortion"),
+        F.when((F.count("*") > 60) & (F.count("early") > 10), F.stddev_pop("early") / (F.avg("early") + 1e-9)).alias("unrest"),
+    )
+    side = lambda s: F.count(F.when(F.col("side") == s, 1))
+    counts = cut.groupBy("trial_id").agg(F.count("*").alias("n_cut")).join(kept.groupBy("trial_id").agg(F.count("*").alias("n_kept"), side("left").alias("n_left"), side("right").alias("n_right")), "trial_id", "left")
     ankle = curves.filter("joint = 'ankle'").groupBy("trial_id").agg(F.avg(F.array_max("curve") - F.array_min("curve")).alias("ankle_rom"))
-    j = own.join(counts, "trial_id", "left").join(ankle, "trial_id", "left").fillna(0, ["n_cycles", "n_kept"])
+    j = own.join(counts, "trial_id", "left").join(ankle, "trial_id", "left").fillna(0, ["n_cut", "n_kept", "n_left", "n_right"]).withColumn("n_dropped", F.col("n_cut") - F.col("n_kept"))
     warn = F.array_compact(F.array(
-        F.when(F.col("coverage") < 0.8, F.format_string("hips seen in %.0f %% of frames", F.col("coverage") * 100)), F.when(F.col("confidence") < 0.5, F.format_string("mean confidence %.2f", "confidence")),
-        F.when(F.col("n_kept") < 3, F.format_string("%d cycles kept", "n_kept")), F.when(F.col("ankle_rom") > 60, F.format_string("ankle range %.0f degrees", "ankle_rom")), F.when(F.col("prelude") > 30, F.format_string("nobody in the first %d frames", "prelude")),
+        F.when(F.col("coverage") < 0.8, F.format_string("tracking: landmarks in %.0f %% of frames", F.col("coverage") * 100)),
+        F.when(F.col("confidence") < 0.6, F.format_string("tracking: mean confidence %.2f", "confidence")),
+        F.when(F.col("distortion") > 0.35, F.format_string("perspective: the thigh's apparent length varies by %.0f %%", F.col("distortion") * 100)),
+        F.when(F.col("unrest") < 0.02, "calibration: the first second is still and can serve as neutral pose"),
+        F.when(F.col("n_dropped") > 0, F.format_string("direction: %d cycles against the main direction left out", "n_dropped")),
+        *[F.when(F.col(f"n_{s}") < 3, F.format_string(f"cycles: %d on the {s}", f"n_{s}")) for s in ("left", "right")],
+        F.when((F.col("ankle_rom") < 8) | (F.col("ankle_rom") > 60), F.format_string("ankle: mean range of %.0f degrees", "ankle_rom")),
     ))
-    return j.withColumn("warnings", warn)
+    return j.withColumn("warnings", warn).drop("unrest", "n_cut", "n_kept")

@@ -11,6 +11,7 @@ DEFAULTS: dict = {
     "angles": {"method": "sagittal_vertical_axis", "factor": 0.8, "calibrate": True},
     "events": {"method": "zeni", "least": 0.4, "cutoff": 6.0},
     "cycles": {"shortest": 0.4, "longest": 2.5, "points": 101},
+    "corrections": {"ankle_projection": False, "drift": False, "one_direction": True},
     "scores": {"stratum": "adult"},
 }
 

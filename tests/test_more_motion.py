@@ -79,8 +79,9 @@ def test_figures_tables(spark, walk, poses):
     own = analysis.spatiotemporal(cut, found, 30.0)
     text = figures.report(own, analysis.flags(own), scores.profile_score(gvs), "fr").filter("name = 'a.md'").first()["content"]
     assert text.startswith("# a\n") and "Paramètres" in text
-    d = pipeline.diagnose(poses, cut, cut, curves).filter("trial_id = 'a'").first()
-    assert d["coverage"] == 1 and d["warnings"] == []
+    d = pipeline.diagnose(poses, pivot.trials(walk), cut, cut.filter("cycle_id > 0"), curves).filter("trial_id = 'a'").first()
+    assert d["coverage"] == 1 and d["confidence"] == pytest.approx(0.9) and d["n_dropped"] == 1
+    assert any(w.startswith("direction: 1 ") for w in d["warnings"]) and not any(w.startswith("tracking") for w in d["warnings"])
 
 
 def test_grid(walk, poses):
