@@ -1,6 +1,7 @@
 """Binary token files: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
-A data set is a folder that holds ``ranks.bin`` (the ids by falling frequency, unsigned 32-bit), shards and a manifest.
+A data set is a folder that holds ``ranks.bin`` (the ids by falling frequency, unsigned 32-bit), shards, a Parquet table
+``shards`` of their names, sizes and first tokens, and a manifest.
 A shard has, after the magic and four little-endian 64-bit numbers (documents, tokens, control bytes, data bytes):
 document ids (signed 64-bit; the smallest value stands for null), token counts (unsigned 64-bit), one control byte for
 four tokens (two bits each: bytes of its rank less one), and the ranks' bytes, least significant first.
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm.common import discard, in_batches, new_path, stored
@@ -28,6 +29,8 @@ MAGIC = b"KLTOKEN1"
 NULL_ID = -(1 << 63)
 #: Tokens of a shard, about; a shard is what one reader holds in memory.
 SHARD_TOKENS = 1 << 22
+#: Ranges of doc_id that documents are dealt into, at most, and ids that are sampled for each to choose the ranges.
+BUCKETS, SAMPLE = 1 << 14, 64
 #: By control byte, the bytes of its four ranks.
 WIDTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -104,7 +107,8 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
     """Write the token ids of documents (doc_id, text) in ascending doc_id order; returns the folder's URI.
 
     Every text is tokenised once and whole, and ``end_id`` closes it. Null or empty text is the end id alone. Null
-    doc_ids come first; equal ids are ordered by their ids' bytes, so repeated rows stay as repeated documents. An
+    doc_ids come first; equal ids are ordered by a hash of their texts, so repeated rows stay as repeated documents, and
+    an id of very many rows is dealt to several tasks. An
     empty table gives a data set without shards. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
@@ -123,17 +127,18 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
                     own = np.frombuffer(raw[4 * at : 4 * (at + n)] + end, np.uint8).reshape(-1, 4)
                     out.append(squeeze.compress(np.ascontiguousarray(own.T).tobytes()))  # byte by byte: high bytes are alike
                     at += n
-                ids_here = batch.column(0).slice(first, rows)
-                bucket = np.where(ids_here.is_null(), 0, np.searchsorted(cuts, pc.fill_null(ids_here, 0).to_numpy(), "left"))
-                yield pa.record_batch([ids_here, pa.array(counts + 1), pa.array(out, pa.binary()), pa.array(bucket, pa.int32())], names=["doc_id", "n", "packed", "bucket"])
-
-    # Cut points of doc_id come from that column alone, so that texts are tokenised once.
-    parts = max(1, docs.select("doc_id").rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    steps = ", ".join(f"{k / parts:.9f}D" for k in range(1, parts))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.expr(f"percentile_approx(doc_id, array({steps}), {max(20_000, 4 * parts)})")).first()[0] if steps else None
-    cuts = np.unique(np.array(found or [], np.int64))
-    coded = docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches, tokenise, "doc_id long, n long, packed binary, bucket int")
-    ordered = stored(coded.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("packed"), "packed"), "tokens")
+                ids_here, mark = batch.column(0).slice(first, rows), batch.column(2).slice(first, rows)
+                bucket = _bucket(cuts, pc.fill_null(ids_here, NULL_ID).to_numpy(), mark.to_numpy())
+                yield pa.record_batch([ids_here, mark, pa.array(out, pa.binary()), pa.array(bucket, pa.int32())], names=["doc_id", "mark", "packed", "bucket"])
+
+    # Cut points of doc_id come from a sample of that column alone, so that texts are tokenised once.
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"))
+    parts = min(BUCKETS, max(1, ids.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    every = max(1, ids.count() // (SAMPLE * parts))
+    some = np.sort(np.array([r[0] for r in ids.filter(F.rand(7) * every < 1).collect()], np.int64))  # about SAMPLE * parts numbers
+    cuts = some[np.arange(1, parts) * len(some) // parts] if len(some) else some
+    coded = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).transform(in_batches, tokenise, "doc_id long, mark long, packed binary, bucket int")
+    ordered = stored(coded.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "mark", "packed"), "tokens")
 
     def count(batches):
         total = np.zeros(0, np.int64)
@@ -185,15 +190,27 @@ def write_token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None =
             frame = pd.DataFrame(rows, columns=["bucket", "first_id", "name", "docs", "tokens"])
             yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
-    # One short row per shard of some megabytes. A bucket was written in order into one file, which large files' readers share.
-    shards = ordered.select("doc_id", "packed", "bucket").transform(in_batches, write, "bucket long, first_id long, name string, docs long, tokens long").toPandas()
-    discard(ordered)
-    shards = shards.sort_values(["bucket", "first_id", "name"])
-    manifest = {"vocabulary": path.rsplit("/", 1)[-1], "end_id": end_id, "shards": shards[["name", "docs", "tokens"]].to_dict("records")}
-    write_bytes(f"{folder}/manifest.json", json.dumps(manifest).encode())
+    # A short row per shard, in a table. Only the buckets' totals, at most BUCKETS, reach the driver.
+    shards = stored(ordered.select("doc_id", "packed", "bucket").transform(in_batches, write, "bucket long, first_id long, name string, docs long, tokens long"), "written")
+    totals = sorted((r["bucket"], r["n"]) for r in shards.groupBy("bucket").agg(F.sum("tokens").alias("n")).collect())
+    begins = dict(zip((b for b, _ in totals), accumulate([0, *(n for _, n in totals)]), strict=False))
+    begin = spark.createDataFrame(list(begins.items()), "bucket long, begin long")
+    before = Window.partitionBy("bucket").orderBy("first_id", "name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (F.col("begin") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).alias("start")
+    shards.join(F.broadcast(begin), "bucket").select("name", "docs", "tokens", starts).write.parquet(f"{folder}/shards")
+    discard(ordered, shards)
+    about = {"vocabulary": path.rsplit("/", 1)[-1], "end_id": end_id, "tokens": sum(n for _, n in totals)}
+    write_bytes(f"{folder}/manifest.json", json.dumps(about).encode())
     return folder
 
 
+def _bucket(cuts: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The buckets of documents, in the order of id and mark. An id that is several cuts has as many buckets, by its marks."""
+    low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    part = (mark.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+    return low + (part * np.maximum(high - low, 1).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
 def _unpack(batch: pa.RecordBatch):
     import zstandard
 
@@ -239,10 +256,8 @@ def digest_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, folder: str, schema: str, last) -> DataFrame:
-    manifest = json.loads(read_bytes(f"{folder}/manifest.json"))
-    starts = np.concatenate([[0], np.cumsum([s["tokens"] for s in manifest["shards"]])]).tolist()
-    rows = [(s["name"], int(starts[k])) for k, s in enumerate(manifest["shards"])]
-    names = spark.createDataFrame(rows, "name string, start long")
+    names = spark.read.parquet(f"{folder}/shards").select("name", "start")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = schema.rsplit(",", 1)[1].split()[0]
 
     def read(batches):
@@ -256,4 +271,4 @@ def _read(spark: SparkSession, folder: str, schema: str, last) -> DataFrame:
                     texts = [ids[bounds[j] : bounds[j + 1]] for j in range(own.start, own.stop)]
                     yield pa.record_batch([pa.array(doc_ids[own], mask=doc_ids[own] == NULL_ID), pa.array(start + bounds[own.start : own.stop]), pa.array(counts[own]), last(texts)], names=["doc_id", "start", "n_tokens", name])
 
-    return names.repartition(max(1, len(rows)), "name").transform(in_batches, read, schema)
+    return names.repartition(parts, "name").transform(in_batches, read, schema)

@@ -123,6 +123,17 @@ def test_token_files_of_nothing(spark):
     assert token_files.digest_token_files(spark, token_files.write_token_files(table(spark, []))).collect() == []
 
 
+def test_ids_of_many_rows_are_dealt_to_several_buckets(rng):
+    cuts = np.array([3, 7, 7, 7, 7, 9])
+    ids, mark = rng.integers(0, 12, 5000), rng.integers(-(1 << 63), 1 << 63, 5000)
+    ids[::2] = 7
+    bucket = token_files._bucket(cuts, ids, mark)
+    order = np.lexsort((mark, ids))
+    assert (np.diff(bucket[order]) >= 0).all()
+    assert set(bucket[ids == 7].tolist()) == {1, 2, 3, 4} and np.bincount(bucket[ids == 7]).max() < 1000
+    assert set(bucket[ids > 9].tolist()) == {6} and set(bucket[ids <= 3].tolist()) == {0}
+
+
 def test_damaged_shards_are_refused():
     shard = token_files._shard([1], [3], np.array([0, 1, 300], np.uint32))
     ids, counts, tokens_ = token_files.read_shard(shard, np.arange(400, dtype=np.uint32))
