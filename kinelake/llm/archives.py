@@ -8,14 +8,16 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from datetime import datetime, timezone
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import in_batches, new_path, stored
+from kinelake.llm.common import FILTER_BITS, bit_filter, discard, in_batches, maybe, new_path, stored
 from kinelake.llm.token_files import read_bytes, write_bytes
 
 # Fixed values of the ARC format: the fields of a record's header line by the version that the archive declares.
@@ -196,64 +198,94 @@ def convert(arcs: DataFrame, folder: str | None = None, least: int = 1000) -> Da
 
     Of records with equal payloads of at least ``least`` bytes that of the largest page_id becomes the response, the
     others revisit it; all others are responses. A null page_id revisits, unless no record of its payload has an id.
-    Records repeated with that largest id stay responses. Empty input gives no file.
+    Records repeated with that largest id stay responses. Empty input gives no file. Archives are parsed twice, for digests
+    and for records; only records that may have equals are dealt by digest with their bodies.
     """
     spark = arcs.sparkSession
     folder = folder or new_path(spark, "warc")
+    content = stored(arcs.select("content"), "arcs", 32 << 20)  # read twice
 
     def digests(batches):
         for batch in batches:
-            for content in batch.column(0):
+            for archive in batch.column(0):
                 rows = []
-                for r in read_arc(content.as_py()):
+                for r in read_arc(archive.as_py()):
                     fields, payload = split_http(r["block"])
-                    if len(payload) >= least and "x-page-id" in fields:
-                        rows.append((int(fields["x-page-id"]), _digest(payload)))
+                    if len(payload) >= least:
+                        rows.append((int(fields["x-page-id"]) if "x-page-id" in fields else None, _digest(payload)))
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["page_id", "digest"])
 
+    # Digests that occur more than once, and a filter of fixed size that tells nearly all other records apart.
+    counted = content.transform(in_batches, digests, "page_id long, digest string").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    repeated = stored(counted.filter("n > 1").select("digest", "refers_to"), "repeated")
+    bits = spark.sparkContext.broadcast(bit_filter(repeated.select(F.crc32(F.col("digest").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))))
+
+    class Files:
+        """Members gathered into files of a task."""
+
+        def __init__(self):
+            from pyspark import TaskContext
+
+            self.part, self.kind, self.held, self.size, self.made = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], [], 0, 0
+
+        def add(self, member: bytes) -> list[str]:
+            self.held.append(member)
+            self.size += len(member)
+            return self.flush() if self.size >= ARCHIVE_BYTES else []
+
+        def flush(self) -> list[str]:
+            if not self.held:
+                return []
+            uri = f"{folder}/part-{self.part:06d}-{self.made:05d}-{self.kind}.warc.gz"
+            write_bytes(uri, b"".join(self.held))
+            self.held, self.size, self.made = [], 0, self.made + 1
+            return [uri]
+
+    def written(uris: list[str]) -> pa.RecordBatch:
+        empty = {k: None for k in ("page_id", "url", "date", "digest", "bytes")}
+        return _known_batch([empty] * len(uris), {"member": pa.array([None] * len(uris), pa.binary()), "uri": pa.array(uris, pa.string())})
+
     def responses(batches):
+        """Records without an equal are written here and now; the others go on with their bodies."""
+        files = Files()
         for batch in batches:
-            for content in batch.column(0):
-                rows, members, size = [], [], 0
-                for r in read_arc(content.as_py()):
+            for archive in batch.column(0):
+                rows, members, size, uris = [], [], 0, []
+                for r in read_arc(archive.as_py()):
                     whole, known = warc_response(r)
+                    member = gzip.compress(whole, 6, mtime=0)
+                    if known["bytes"] < least or not maybe(bits.value, np.array([zlib.crc32(known["digest"].encode()) & (FILTER_BITS - 1)]))[0]:
+                        uris += files.add(member)
+                        continue
                     rows.append(known)
-                    members.append(gzip.compress(whole, 6, mtime=0))
-                    size += len(members[-1])
+                    members.append(member)
+                    size += len(member)
                     if size >= 1 << 20:
-                        yield _known_batch(rows, {"member": pa.array(members, pa.binary())})
+                        yield _known_batch(rows, {"member": pa.array(members, pa.binary()), "uri": pa.array([None] * len(rows), pa.string())})
                         rows, members, size = [], [], 0
                 if rows:
-                    yield _known_batch(rows, {"member": pa.array(members, pa.binary())})
+                    yield _known_batch(rows, {"member": pa.array(members, pa.binary()), "uri": pa.array([None] * len(rows), pa.string())})
+                if uris:
+                    yield written(uris)
+        yield written(files.flush())
 
-    content = arcs.select("content")
-    chosen = content.transform(in_batches, digests, "page_id long, digest string").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    joined = content.transform(in_batches, responses, f"{_KNOWN}, member binary").join(chosen.select("digest", "refers_to"), "digest", "left")
+    first = stored(content.transform(in_batches, responses, f"{_KNOWN}, member binary, uri string"), "records", 32 << 20)
+    joined = first.filter("uri IS NULL").drop("uri").join(repeated, "digest", "left")
 
     def write(batches):
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        held, size, made = [], 0, 0
-
-        def flush():
-            nonlocal held, size, made
-            uri = f"{folder}/part-{task.partitionId():06d}-{made:05d}-{uuid.uuid4().hex[:12]}.warc.gz"
-            write_bytes(uri, b"".join(held))
-            held, size, made = [], 0, made + 1
-            return pa.record_batch([pa.array([uri])], names=["uri"])
-
+        files = Files()
         for batch in batches:
             for r in batch.to_pylist():
-                revisit = r["bytes"] >= least and r["refers_to"] is not None and r["refers_to"] != r["page_id"]
-                held.append(gzip.compress(warc_revisit(r, r["refers_to"]), 6, mtime=0) if revisit else r["member"])
-                size += len(held[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return stored(joined.transform(in_batches, write, "uri string"), "warc-files")
+                revisit = r["refers_to"] is not None and r["refers_to"] != r["page_id"]
+                uris = files.add(gzip.compress(warc_revisit(r, r["refers_to"]), 6, mtime=0) if revisit else r["member"])
+                if uris:
+                    yield pa.record_batch([pa.array(uris, pa.string())], names=["uri"])
+        yield pa.record_batch([pa.array(files.flush(), pa.string())], names=["uri"])
+
+    out = stored(joined.transform(in_batches, write, "uri string").union(first.filter("uri IS NOT NULL").select("uri")), "warc-files")
+    bits.destroy()
+    discard(content, repeated, first)
+    return out
 
 
 def read_back(files: DataFrame) -> DataFrame:

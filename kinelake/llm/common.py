@@ -13,8 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+#: Bits of the filter that says which keys occur; a full one lets more through, never fewer.
+FILTER_BITS = 1 << 27
 #: Bytes of an Arrow batch between Spark and Python, at most about; the session's setting if that is smaller.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -100,6 +103,26 @@ def _return_memory():
     return release
 
 
+def bit_filter(places: DataFrame) -> np.ndarray:
+    """Which of the FILTER_BITS places (column place) occur, as packed bits; its size doesn't follow the input's."""
+    chunk = 1 << 19
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(chunk, bool)
+        bits[table.column("bit").to_numpy()] = True
+        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    rows = places.select(F.floor(F.col("place") / chunk).alias("chunk"), (F.col("place") % chunk).alias("bit")).distinct().groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        out[r["chunk"] * (chunk // 8) : (r["chunk"] + 1) * (chunk // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def maybe(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a batch into runs of rows whose texts have about ``limit`` bytes; null texts count as empty.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, byte_class, discard, free_shuffles, in_batches, mix, ragged, stored, text_blocks, word_hashes, word_spans
+from kinelake.llm.common import FILTER_BITS, LOWER, bit_filter, byte_class, discard, free_shuffles, in_batches, maybe, mix, ragged, stored, text_blocks, word_hashes, word_spans
 from kinelake.llm.graph import components
 
 WORD = byte_class(lambda b: b not in (9, 10, 11, 12, 13, 32))
@@ -28,8 +28,6 @@ GROUPS, FULL = 512, 127
 FANOUT, BLOCK = 16, 2048
 #: Elements of the sets of a block, about, and coordinates of the points that are made of whole sets in a task.
 ELEMENTS, FINE = 1 << 21, 4096
-#: Bits of the filter that says which documents' sets are needed again; a full one lets more through, never fewer.
-FILTER_BITS = 1 << 27
 #: Bins that count shingles by their first bits, and those of a chunk that is summed by itself.
 BIN_BITS, CHUNK = 22, 1 << 14
 _A, _B, _C, _D = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -281,26 +279,6 @@ def sketches(docs: DataFrame, percent: int, width: int, salt: int = 0, key: str
     return out
 
 
-def _bit_filter(places: DataFrame) -> np.ndarray:
-    """Which of the FILTER_BITS places (column place) occur, as packed bits; its size doesn't follow the input's."""
-    chunk = 1 << 19
-
-    def pack(table: pa.Table) -> pa.Table:
-        bits = np.zeros(chunk, bool)
-        bits[table.column("bit").to_numpy()] = True
-        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    rows = places.select(F.floor(F.col("place") / chunk).alias("chunk"), (F.col("place") % chunk).alias("bit")).distinct().groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        out[r["chunk"] * (chunk // 8) : (r["chunk"] + 1) * (chunk // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _maybe(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _cell_members(chosen: DataFrame) -> DataFrame:
     """cell, class, rank: the cells of two classes or more; rank is the share, in 255ths, of the class's cells that are such. chosen: class, cells.
 
@@ -309,14 +287,14 @@ def _cell_members(chosen: DataFrame) -> DataFrame:
     """
     shared = stored(chosen.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"), "shared")
     place = F.col("cell").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = chosen.sparkSession.sparkContext.broadcast(_bit_filter(shared.select(place.alias("place"))))
+    bits = chosen.sparkSession.sparkContext.broadcast(bit_filter(shared.select(place.alias("place"))))
 
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             cells = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-            keep = _maybe(bits.value, cells & (FILTER_BITS - 1))
+            keep = maybe(bits.value, cells & (FILTER_BITS - 1))
             rank = 255 * np.bincount(owner[keep], minlength=len(lists)) // np.maximum(1, np.bincount(owner, minlength=len(lists)))
             yield pa.record_batch([pa.array(cells[keep]), pa.array(batch.column(0).to_numpy()[owner[keep]]), pa.array(rank[owner[keep]])], names=["cell", "class", "rank"])
 
@@ -335,19 +313,19 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, heads: DataFrame, width: in
     wanted = stored(heads.join(classes.distinct(), "class").select("class", "doc_id"), "wanted")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     share = docs.sparkSession.sparkContext.broadcast
-    by_id = share(_bit_filter(wanted.select(place.alias("place"))))  # 16 MB each, whatever the input
-    by_class = share(_bit_filter(wanted.select(F.col("class").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))))
+    by_id = share(bit_filter(wanted.select(place.alias("place"))))  # 16 MB each, whatever the input
+    by_class = share(bit_filter(wanted.select(F.col("class").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))))
 
     def again(batches):
         for batch in batches:
-            rows = np.flatnonzero(_maybe(by_id.value, batch.column(1).to_numpy()))
+            rows = np.flatnonzero(maybe(by_id.value, batch.column(1).to_numpy()))
             if not len(rows):
                 continue
             batch = batch.take(pa.array(rows))
             for _, data, starts, ends in text_blocks(batch, "text"):
                 sets, bounds = shingle_sets(data, starts, ends, width)
                 number, _ = _fingerprints(sets, bounds, salt)
-                own = np.flatnonzero(_maybe(by_class.value, number & (FILTER_BITS - 1)) & (np.diff(bounds) > 0))
+                own = np.flatnonzero(maybe(by_class.value, number & (FILTER_BITS - 1)) & (np.diff(bounds) > 0))
                 raw = [sets[bounds[k] : bounds[k + 1]].astype("<u8").tobytes() for k in own.tolist()]
                 yield pa.record_batch([pa.array(number[own]), pa.array(raw, pa.binary())], names=["class", "set"])
 
