@@ -158,3 +158,19 @@ def test_the_whole_recipe(spark):
     assert rows["a"]["speed"] > 0 and rows["a"]["hr_ap"] > 0 and rows["a"]["stance_pct"] is not None
     assert {"flags", "patterns", "step_length_left", "stride_time_mean_s", "overall_si", "cycle_duration_cv"} <= set(out.report.columns)
     assert out.diagnosis.count() == 2 and "trial_id" in out.phases.columns
+
+
+def test_names_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    import kinelake
+    from kinelake import cli
+
+    assert all(callable(getattr(kinelake, n)) for n in kinelake.__all__) and "detect_events" in dir(kinelake)
+    with pytest.raises(AttributeError):
+        kinelake.nothing_of_the_kind
+    assert cli.main(["choices"]) == 0
+    assert "zeni" in capsys.readouterr().out
+    (tmp_path / "a.json").write_text(json.dumps(walking(240, trial="a")))
+    assert cli.main(["analyze", f"file://{tmp_path}/a.json"]) == 0
+    assert "cadence" in capsys.readouterr().out
