@@ -60,10 +60,28 @@ def variability(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("trial_id").agg(C.cv("duration").alias("cycle_duration_cv"), C.cv("stance_pct").alias("stance_cv"))
 
 
-def stride_variability(cycles: DataFrame, events: DataFrame, rate: float) -> DataFrame:
-    """trial_id, stride_time_cv, step_time_cv."""
-    steps = contacts(events).filter(F.col("side") != F.col("next_side")).groupBy("trial_id").agg(C.cv((F.col("next_frame") - F.col("frame")) / float(rate)).alias("step_time_cv"))
-    return cycles.groupBy("trial_id").agg(C.cv("duration").alias("stride_time_cv")).join(steps, "trial_id", "left")
+def stride_variability(cycles: DataFrame, events: DataFrame, rate: float, poses: DataFrame | None = None, curves: DataFrame | None = None) -> DataFrame:
+    """trial_id, stride_time_cv, step_time_cv; with poses step_length_cv of both sides, with curves rom_cv of joints and sides.
+
+    A step is a contact after one of the other side; its length is how far its ankle is from where it was at that one.
+    Figures of fewer than two values are 0.
+    """
+    steps = contacts(events).filter(F.col("side") != F.col("next_side"))
+    own = [steps.groupBy("trial_id").agg(C.cv((F.col("next_frame") - F.col("frame")) / float(rate)).alias("step_time_cv"))]
+    if poses is not None:
+        at = poses.select("trial_id", F.col("frame_idx").cast("long").alias("frame"), P.x("LEFT_ANKLE").alias("l"), P.x("RIGHT_ANKLE").alias("r"))
+        then = at.select("trial_id", F.col("frame").alias("next_frame"), F.col("l").alias("next_l"), F.col("r").alias("next_r"))
+        both = steps.withColumns({"frame": F.col("frame").cast("long"), "next_frame": F.col("next_frame").cast("long")}).join(at, ["trial_id", "frame"]).join(then, ["trial_id", "next_frame"])
+        far = {s: F.when(F.col("next_side") == s, F.abs(F.col(f"next_{s[0]}") - F.col(s[0]))) for s in ("left", "right")}
+        own.append(both.groupBy("trial_id").agg(*[C.cv(v).alias(f"step_length_cv_{s}") for s, v in far.items()]))
+    if curves is not None:
+        reach = F.array_max("curve") - F.array_min("curve")
+        one = lambda j, s: F.when((F.col("joint") == j) & (F.col("side") == s), reach)
+        own.append(curves.groupBy("trial_id").agg(*[C.cv(one(j, s)).alias(f"rom_cv_{j}_{s}") for s in ("left", "right") for j in ("hip", "knee", "ankle")]))
+    out = cycles.groupBy("trial_id").agg(C.cv("duration").alias("stride_time_cv"))
+    for more in own:
+        out = out.join(more, "trial_id", "left")
+    return out.fillna(0.0, [c for c in out.columns if c.endswith("_cv") or "_cv_" in c])
 
 
 def clinical_markers(curves: DataFrame) -> DataFrame:
@@ -199,10 +217,14 @@ def arm_swing(arms: DataFrame) -> DataFrame:
 
 
 def speed_normalized(figures: DataFrame, gravity: float = 9.81) -> DataFrame:
-    """Froude number, and speed, cadence and stride without dimension, of trial_id, height_m, speed, cadence, stride_length."""
+    """Froude number, and speed, cadence and stride without dimension, of trial_id, height_m, speed, cadence, stride_length.
+
+    cadence is in steps a minute, and half of it the strides that are scaled. Without a speed above 0 its figures are null.
+    """
     leg = 0.53 * F.col("height_m")
     pace = F.sqrt(F.lit(gravity) * leg)
-    return figures.select("trial_id", (F.col("speed") * F.col("speed") / (gravity * leg)).alias("froude"), (F.col("speed") / pace).alias("speed_n"), (F.col("cadence") / 60.0 * F.sqrt(leg / gravity)).alias("cadence_n"), (F.col("stride_length") / leg).alias("stride_n"))
+    speed = F.when(F.col("speed") > 0, F.col("speed"))
+    return figures.select("trial_id", (speed * speed / (gravity * leg)).alias("froude"), (speed / pace).alias("speed_n"), (F.when(F.col("cadence") > 0, F.col("cadence")) / 120.0 * F.sqrt(leg / gravity)).alias("cadence_n"), (F.col("stride_length") / leg).alias("stride_n"))
 
 
 def _bounded(value: Column) -> Column:
@@ -246,7 +268,7 @@ def antalgic(cycles: DataFrame) -> DataFrame:
 
 def parkinsonian(figures: DataFrame) -> DataFrame:
     """trial_id, signs, detected: two or more of small ankle excursion, small arm swing and high cadence."""
-    signs = F.array_compact(F.array(F.when(F.col("ankle_excursion") < 0.08, "short_steps"), F.when(F.col("arm_swing") < 10, "reduced_arm_swing"), F.when(F.col("cadence") > 130, "high_cadence")))
+    signs = F.array_compact(F.array(F.when(F.col("ankle_excursion") < 0.08, "short_stride"), F.when(F.col("arm_swing") < 10, "reduced_arm_swing"), F.when(F.col("cadence") > 130, "festination")))
     return figures.select("trial_id", signs.alias("signs"), (F.size(signs) >= 2).alias("detected"))
 
 

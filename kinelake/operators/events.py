@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinelake.exceptions import UnknownName
 from kinelake.functions import kernels as K
 from kinelake.functions import series
+from kinelake.operators import cycles
 from kinelake.operators import pose as P
 from kinelake.schemas import EVENTS
 
@@ -214,13 +215,36 @@ def alternation(events: DataFrame) -> DataFrame:
     return pairs.groupBy("trial_id").agg(F.count("*").alias("n"), F.avg(F.col("changes").cast("int")).alias("share"))
 
 
-def validate_events(events: DataFrame, cycles: DataFrame) -> DataFrame:
-    """trial_id, issues: what is implausible of cycle durations, stances and alternation."""
-    checks = cycles.groupBy("trial_id").agg(F.avg("duration").alias("d"), F.avg("stance_pct").alias("s"))
-    joined = checks.join(alternation(events), "trial_id", "full_outer")
-    issues: list[Column] = [
-        F.when((F.col("d") < 0.4) | (F.col("d") > 2.5), F.format_string("cycle duration %.2f s", "d")),
-        F.when((F.col("s") < 35) | (F.col("s") > 80), F.format_string("stance %.1f %%", "s")),
-        F.when(F.col("share") < 0.8, F.format_string("sides alternate in %.0f %% of contacts", F.col("share") * 100)),
-    ]
-    return joined.select("trial_id", F.array_compact(F.array(*issues)).alias("issues"))
+def validate_events(events: DataFrame, rate: Column | float) -> DataFrame:
+    """trial_id, valid, issues, n_valid_left, n_valid_right: what is implausible of each trial's contacts and lift-offs.
+
+    A side has to have both kinds. Its cycles, from contact to contact, last 0.4 to 2.5 s, and a lift-off within one comes
+    after 30 to 80 % of it; the others count as valid. Where both sides have contacts, no more than half of all
+    follow one of their own side. Trials are those of events; rate is a number or a column of events.
+    """
+    every = cycles.segment(events, rate, 0.0, float("inf"))
+    kinds = {f"__{k}_{s}": F.count_if((F.col("kind") == k) & (F.col("side") == s)) for s in ("left", "right") for k in ("hs", "to")}
+    have = events.groupBy("trial_id").agg(*[c.alias(n) for n, c in kinds.items()])
+    d, share = F.col("duration"), F.col("stance_pct")
+    at = F.concat(F.col("side"), F.lit(" cycle at frame "), F.col("start_frame").cast("string"), F.lit(": "))
+    issue = (
+        F.when(d < 0.4, F.concat(at, F.format_string("%.2f s, under 0.4", d))).when(d > 2.5, F.concat(at, F.format_string("%.2f s, over 2.5", d)))
+        .when(share < 30, F.concat(at, F.format_string("stance %.1f %%, under 30", share))).when(share > 80, F.concat(at, F.format_string("stance %.1f %%, over 80", share)))
+    )
+    judged = every.select("trial_id", "side", "start_frame", issue.alias("issue"))
+    one = lambda s: F.count_if((F.col("side") == s) & F.col("issue").isNull())
+    listed = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == s) & F.col("issue").isNotNull(), F.struct("start_frame", "issue")))), lambda r: r["issue"])
+    found = judged.groupBy("trial_id").agg(*[f(s).alias(f"__{n}_{s}") for s in ("left", "right") for n, f in (("n", one), ("issues", listed))])
+    w = Window.partitionBy("trial_id").orderBy("frame", "side")
+    same = events.filter("kind = 'hs'").select("trial_id", (F.lag("side").over(w) == F.col("side")).alias("s")).groupBy("trial_id").agg(F.count_if("s").alias("__same"))
+    out = have.join(found, "trial_id", "left").join(same, "trial_id", "left")
+    none = F.array().cast("array<string>")
+    parts = []
+    for s in ("left", "right"):
+        lacks = F.when(F.col(f"__hs_{s}") == 0, F.array(F.lit(f"no contacts on the {s}"))).when(F.col(f"__to_{s}") == 0, F.array(F.lit(f"no lift-offs on the {s}")))
+        parts.append(F.coalesce(lacks, F.col(f"__issues_{s}"), none))
+    turns = (F.col("__hs_left") > 0) & (F.col("__hs_right") > 0) & (F.col("__same") > 0.5 * (F.col("__hs_left") + F.col("__hs_right")))
+    parts.append(F.when(turns, F.array(F.concat(F.lit("sides don't alternate: "), F.col("__same").cast("string"), F.lit(" contacts follow one of their side")))).otherwise(none))
+    valid = lambda s: F.when((F.col(f"__hs_{s}") > 0) & (F.col(f"__to_{s}") > 0), F.coalesce(f"__n_{s}", F.lit(0))).otherwise(0).alias(f"n_valid_{s}")
+    out = out.withColumn("issues", F.concat(*parts))
+    return out.select("trial_id", (F.size("issues") == 0).alias("valid"), "issues", valid("left"), valid("right"))

@@ -415,18 +415,23 @@ def canonicalize_signs(angles: DataFrame) -> DataFrame:
 
 
 def extended_angles(pose: DataFrame) -> DataFrame:
-    """Head, shoulders, elbows and sagittal pelvis per frame."""
+    """Head, shoulders, elbows and sagittal pelvis per frame, in degrees.
+
+    The head's angle is that of the nose over the ears against the trunk, with the sign of their turn; shoulders are the
+    upper arms' angles from the hanging trunk, without sign; elbows are 0 when straight; the pelvis leans forward positive.
+    """
     tx, ty = trunk_vector()
-    sx, sy = middle(x("LEFT_SHOULDER"), x("RIGHT_SHOULDER")), middle(y("LEFT_SHOULDER"), y("RIGHT_SHOULDER"))
-    ex, ey = middle(x("LEFT_EAR"), x("RIGHT_EAR")), middle(y("LEFT_EAR"), y("RIGHT_EAR"))
+    hx, hy = x("NOSE") - middle(x("LEFT_EAR"), x("RIGHT_EAR")), y("NOSE") - middle(y("LEFT_EAR"), y("RIGHT_EAR"))
+    head = C.angle_between(hx, hy, -tx, -ty)
+    lean = C.angle_between(-tx, -ty, F.lit(0.0), F.lit(-1.0))
 
     def shoulder(s: str) -> Column:
-        return C.wrap180(C.signed_angle(tx, ty, x(f"{s}_ELBOW") - x(f"{s}_SHOULDER"), y(f"{s}_ELBOW") - y(f"{s}_SHOULDER")))
+        return C.angle_between(x(f"{s}_ELBOW") - x(f"{s}_SHOULDER"), y(f"{s}_ELBOW") - y(f"{s}_SHOULDER"), tx, ty)
 
     def elbow(s: str) -> Column:
         return 180.0 - C.interior_angle(x(f"{s}_SHOULDER"), y(f"{s}_SHOULDER"), x(f"{s}_ELBOW"), y(f"{s}_ELBOW"), x(f"{s}_WRIST"), y(f"{s}_WRIST"))
 
-    own = {"head_angle": C.signed_angle(-tx, -ty, ex - sx, ey - sy)} | _sides(shoulder, "shoulder_flex") | _sides(elbow, "elbow_flex") | {"pelvis_sagittal_tilt": F.degrees(F.atan2(tx, ty))}
+    own = {"head_angle": F.when(hy * tx - hx * ty >= 0, head).otherwise(-head)} | _sides(shoulder, "shoulder_flex") | _sides(elbow, "elbow_flex") | {"pelvis_sagittal_tilt": F.when(-tx >= 0, lean).otherwise(-lean)}
     return pose.select("trial_id", "frame_idx", "pos", *[c.alias(n) for n, c in own.items()])
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import columns as C
 from kinelake.operators import pose as P
-from kinelake.schemas import SEGMENTS
 
 
 def quality_score(pose: DataFrame, detected: float = 0.3) -> DataFrame:
@@ -29,24 +28,53 @@ def penalty(z):
     return F.when(z > 2, C.clip(1.0 - (z - 2.0) / 4.0, 0.0, 1.0)).otherwise(1.0)
 
 
-def coherence(pose: DataFrame, angles: DataFrame, low: float = 0.5) -> DataFrame:
+# Segments and landmarks whose changes between frames count.
+STEADY_SEGMENTS = [
+    ("LEFT_HIP", "LEFT_KNEE"), ("RIGHT_HIP", "RIGHT_KNEE"), ("LEFT_KNEE", "LEFT_ANKLE"), ("RIGHT_KNEE", "RIGHT_ANKLE"),
+    ("LEFT_ANKLE", "LEFT_HEEL"), ("RIGHT_ANKLE", "RIGHT_HEEL"), ("LEFT_HIP", "RIGHT_HIP"),
+]
+STEADY_LANDMARKS = [
+    "LEFT_HIP", "RIGHT_HIP", "LEFT_KNEE", "RIGHT_KNEE", "LEFT_ANKLE", "RIGHT_ANKLE", "LEFT_HEEL", "RIGHT_HEEL", "LEFT_FOOT_INDEX", "RIGHT_FOOT_INDEX",
+]
+
+
+def coherence(pose: DataFrame, angles: DataFrame | None = None, low: float = 0.5) -> DataFrame:
     """trial_id, frame_idx, segment, velocity, angle, score, is_low: how plausible each frame is after the one before.
 
-    The score weighs changes of segment lengths 0.40, of the hips' speed 0.35 and of knee angles 0.25. The first frame is 1.
+    The score weighs changes of segment lengths 0.40 (of segments with a median of 0.05 at least), of the landmark that
+    moves most 0.35 and of knee angles 0.25 (one mean and deviation for both knees), each by its worst z-score in the
+    trial. Changes that a trial has two or fewer of are judged against none. The first frame is 1. Knees come from
+    the landmarks, or from ``angles`` (knee_L, knee_R) where given.
     """
     w, every = Window.partitionBy("trial_id").orderBy("pos"), P.trial()
-    legs = [s for s in SEGMENTS if s[2][:5] in ("femur", "tibia")]
-    own = pose.select("trial_id", "frame_idx", "pos", P.middle(P.x("LEFT_HIP"), P.x("RIGHT_HIP")).alias("hx"), P.middle(P.y("LEFT_HIP"), P.y("RIGHT_HIP")).alias("hy"), *[C.distance(P.x(a), P.y(a), P.x(b), P.y(b)).alias(n) for a, b, n in legs])
-    own = own.join(angles.select("trial_id", "frame_idx", "knee_L", "knee_R"), ["trial_id", "frame_idx"], "left")
-    change = {f"__{n}": F.when(F.median(n).over(every) >= 0.05, F.abs(F.col(n) - F.lag(n).over(w))) for _, _, n in legs}
-    change |= {"__v": F.hypot(F.col("hx") - F.lag("hx").over(w), F.col("hy") - F.lag("hy").over(w)), "__kl": F.abs(F.col("knee_L") - F.lag("knee_L").over(w)), "__kr": F.abs(F.col("knee_R") - F.lag("knee_R").over(w))}
-    own = own.withColumns(change)
-    z = lambda c: C.safe_divide(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every))
-    parts = {"segment": F.greatest(*[F.coalesce(z(f"__{n}"), F.lit(0.0)) for _, _, n in legs]), "velocity": F.coalesce(z("__v"), F.lit(0.0)), "angle": F.greatest(F.coalesce(z("__kl"), F.lit(0.0)), F.coalesce(z("__kr"), F.lit(0.0)))}
-    own = own.withColumns({n: penalty(c) for n, c in parts.items()})
-    first = F.lag("pos").over(w).isNull()
-    score = F.when(first, 1.0).otherwise(0.40 * F.col("segment") + 0.35 * F.col("velocity") + 0.25 * F.col("angle"))
-    return own.withColumn("score", score).select("trial_id", "frame_idx", *parts, "score", (F.col("score") < low).alias("is_low"))
+    knee = lambda s: C.interior_angle(P.x(f"{s}_HIP"), P.y(f"{s}_HIP"), P.x(f"{s}_KNEE"), P.y(f"{s}_KNEE"), P.x(f"{s}_ANKLE"), P.y(f"{s}_ANKLE"))
+    lengths = {f"__s{k}": C.distance(P.x(a), P.y(a), P.x(b), P.y(b)) for k, (a, b) in enumerate(STEADY_SEGMENTS)}
+    points = {f"__{a}{k}": c for k, n in enumerate(STEADY_LANDMARKS) for a, c in (("x", P.x(n)), ("y", P.y(n)))}
+    knees = {} if angles is not None else {"knee_L": knee("LEFT"), "knee_R": knee("RIGHT")}
+    own = pose.select("trial_id", "frame_idx", "pos", *[c.alias(n) for n, c in (lengths | points | knees).items()])
+    if angles is not None:
+        own = own.join(angles.select("trial_id", "frame_idx", "knee_L", "knee_R"), ["trial_id", "frame_idx"], "left")
+    step = lambda c: F.col(c) - F.lag(c).over(w)
+    change = {f"{c}d": F.when(F.median(c).over(every) >= 0.05, F.abs(step(c))) for c in lengths}
+    moved = F.array_max(F.array(F.lit(0.0), *[F.hypot(step(f"__x{k}"), step(f"__y{k}")) for k in range(len(STEADY_LANDMARKS))]))
+    own = own.withColumns(change | {"__v": F.when(F.lag("pos").over(w).isNotNull(), moved), "__l": F.abs(step("knee_L")), "__r": F.abs(step("knee_R"))})
+    n = F.count("__l").over(every) + F.count("__r").over(every)
+    own = own.withColumn("__m", (F.coalesce(F.sum("__l").over(every), F.lit(0.0)) + F.coalesce(F.sum("__r").over(every), F.lit(0.0))) / n)
+    off = lambda c: F.coalesce(F.sum((F.col(c) - F.col("__m")) * (F.col(c) - F.col("__m"))).over(every), F.lit(0.0))
+    spread = F.sqrt((off("__l") + off("__r")) / n) + 1e-10
+
+    def against(c: str):
+        known = F.count(c).over(every) > 2
+        return (F.col(c) - F.when(known, F.avg(c).over(every)).otherwise(0.0)) / F.when(known, F.stddev_pop(c).over(every) + 1e-10).otherwise(1e-10)
+
+    z = {
+        "segment": F.greatest(F.lit(0.0), *[against(c) for c in change]),
+        "velocity": F.when((F.count("__v").over(every) > 2) & (F.stddev_pop("__v").over(every) > 1e-10), against("__v")),
+        "angle": F.when(n > 2, F.greatest(F.lit(0.0), (F.col("__l") - F.col("__m")) / spread, (F.col("__r") - F.col("__m")) / spread)),
+    }
+    own = own.withColumns({c: penalty(v) for c, v in z.items()})
+    score = 0.40 * F.col("segment") + 0.35 * F.col("velocity") + 0.25 * F.col("angle")
+    return own.withColumn("score", score).select("trial_id", "frame_idx", *z, "score", (F.col("score") < low).alias("is_low"))
 
 
 def treadmill(pose: DataFrame) -> DataFrame:
@@ -65,12 +93,12 @@ def treadmill(pose: DataFrame) -> DataFrame:
 def other_people(pose: DataFrame, jump: float = 0.30, mean_jump: float = 0.15) -> DataFrame:
     """trial_id, frame_idx, reason: frames where landmarks leap or confidence dips alone, as when the tracker changes person."""
     w = Window.partitionBy("trial_id").orderBy("pos")
-    names = ["NOSE", "LEFT_SHOULDER", "RIGHT_SHOULDER", "LEFT_HIP", "RIGHT_HIP", "LEFT_ANKLE", "RIGHT_ANKLE"]
-    own = pose.select("trial_id", "frame_idx", "pos", "confidence", *[c for n in names for c in (P.x(n).alias(f"{n}_x"), P.y(n).alias(f"{n}_y"))])
+    names = ["NOSE", "LEFT_SHOULDER", "RIGHT_SHOULDER", "LEFT_HIP", "RIGHT_HIP"]
+    own = pose.select("trial_id", "frame_idx", "pos", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), *[c for n in names for c in (P.x(n).alias(f"{n}_x"), P.y(n).alias(f"{n}_y"))])
     leap = F.array_compact(F.array(*[F.hypot(F.col(f"{n}_x") - F.lag(f"{n}_x").over(w), F.col(f"{n}_y") - F.lag(f"{n}_y").over(w)) for n in names]))
     own = own.withColumns({"leap": leap, "before": F.lag("confidence").over(w), "after": F.lead("confidence").over(w)})
     mean = C.safe_divide(F.aggregate("leap", F.lit(0.0), lambda a, v: a + v), F.size("leap"))
-    reason = F.when((F.array_max("leap") > jump) | (mean > mean_jump), "jump").when((F.col("confidence") < 0.3) & (F.col("before") > 0.5) & (F.col("after") > 0.5), "dip")
+    reason = F.when((F.array_max("leap") > jump) | (mean > mean_jump), "jump").when((F.col("confidence") < 0.3) & (F.col("before") > 0.7) & (F.col("after") > 0.7), "dip")
     return own.select("trial_id", "frame_idx", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
