@@ -65,7 +65,27 @@ def savgol_interior(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("n", n).filter((F.col("pos") >= 3) & (F.col("pos") < F.col("n") - 3)).select("trial_id", "pos", r6("x").alias("x"))
 
 
-@_query()
+_Z2 = _B[2] - _A[2]
+_Z1 = _B[1] - _A[1] + _Z2
+
+
+def _pass(name: str, rows: str, order: str) -> str:
+    """A recursive table of one direction of the filter, from rest at its first value."""
+    b0, b1, b2, a1, a2 = (f"{c!r}::DOUBLE" for c in (*_B, *_A[1:]))
+    y0, y = f"({b0} * v + {_Z1!r}::DOUBLE * v)", f"({b0} * v + z1)"
+    return f"""{name}(trial_id, i, y, z1, z2) AS (SELECT trial_id, i, {y0}, {b1} * v + {_Z2!r}::DOUBLE * v - {a1} * {y0}, {b2} * v - {a2} * {y0} FROM {rows} WHERE i = {order}
+        UNION ALL SELECT w.trial_id, w.i, {y}, {b1} * v + z2 - {a1} * {y}, {b2} * v - {a2} * {y} FROM {name} r JOIN {rows} w ON w.trial_id = r.trial_id AND w.i = r.i + 1)"""
+
+
+@_query(f"""WITH RECURSIVE {_S}, n AS (SELECT trial_id, count(*) AS n, min_by(value, pos) AS first, max_by(value, pos) AS last FROM s GROUP BY trial_id),
+    wide AS (SELECT s.trial_id, pos + 9 AS i, value AS v FROM s JOIN n USING (trial_id) WHERE n > 9
+        UNION ALL SELECT s.trial_id, 9 - pos, 2 * first - value FROM s JOIN n USING (trial_id) WHERE n > 9 AND pos BETWEEN 1 AND 9
+        UNION ALL SELECT s.trial_id, 2 * (n - 1) - pos + 9, 2 * last - value FROM s JOIN n USING (trial_id) WHERE n > 9 AND pos BETWEEN n - 10 AND n - 2),
+    {_pass("ahead", "wide", "0")},
+    turned AS (SELECT trial_id, n + 17 - i AS i, y AS v FROM ahead JOIN n USING (trial_id)),
+    {_pass("back", "turned", "0")}
+    SELECT trial_id::VARCHAR AS trial_id, n + 8 - i AS pos, round(y, 6) + 0 AS x FROM back JOIN n USING (trial_id) WHERE n + 8 - i BETWEEN 0 AND n - 1
+    UNION ALL SELECT s.trial_id::VARCHAR, pos, round(value, 6) + 0 FROM s JOIN n USING (trial_id) WHERE n <= 9""")
 def butterworth_zero_phase(spark: SparkSession, d: str) -> DataFrame:
     """The low-pass forward and backward."""
     return signals.butterworth(_tracks(spark, d), 1.0, 2, RATE).select("trial_id", "pos", r6("x").alias("x"))
@@ -145,7 +165,13 @@ def morlet_dominant(spark: SparkSession, d: str) -> DataFrame:
     return analysis.time_frequency(_as_text(_long(spark, d)), RATE, "cwt", 0.1, 2.0, 20).select("trial_id", r6("dominant").alias("dominant"))
 
 
-@_query()
+@_query(f"""WITH {_S}, n AS (SELECT trial_id, count(*) AS n, avg(value) AS m, (2 ** greatest(3, least(8, floor(log2(count(*) // 4)))))::INT AS g FROM s GROUP BY trial_id HAVING count(*) >= 8),
+    u AS (SELECT s.trial_id, pos, value - m AS v, g FROM s JOIN n USING (trial_id)),
+    fr AS (SELECT trial_id, g, t, k FROM (SELECT *, unnest(range(0, ceil(n / (g / 2))::INT + 1)) AS t FROM n), range(0, 129) q(k) WHERE k <= g / 2 AND k * {RATE}::DOUBLE / g BETWEEN 0.1 AND 2.0),
+    c AS (SELECT fr.trial_id, fr.g, t, k, sum(v * w * cos(2 * pi() * k * j / fr.g)) AS re, sum(v * w * sin(2 * pi() * k * j / fr.g)) AS im
+        FROM (SELECT fr.*, j, 0.5 - 0.5 * cos(2 * pi() * j / g) AS w FROM fr, range(0, 256) z(j) WHERE j < g) fr JOIN u ON u.trial_id = fr.trial_id AND u.pos = t * (fr.g // 2) + j - fr.g // 2 GROUP BY ALL),
+    pw AS (SELECT trial_id, g, k, sum(re * re + im * im) AS power FROM c GROUP BY ALL)
+    SELECT trial_id::VARCHAR AS trial_id, round(max_by(k * {RATE}::DOUBLE / g, power), 6) AS dominant FROM pw GROUP BY trial_id""")
 def stft_dominant(spark: SparkSession, d: str) -> DataFrame:
     """Dominant frequency of short windows."""
     return analysis.time_frequency(_as_text(_long(spark, d)), RATE, "stft", 0.1, 2.0).select("trial_id", r6("dominant").alias("dominant"))
@@ -173,7 +199,11 @@ def detect_events(spark: SparkSession, d: str) -> DataFrame:
     return events.detect_events(p, trials, "zeni", least=0.5, cutoff=1.5)
 
 
-@_query()
+@_query(f"""WITH {_S}, a0 AS (SELECT trial_id, pos, value FROM s), b0 AS (SELECT trial_id, pos - trial_id % 4 AS pos, value + 5 * sin(pos * 12.9898) AS value FROM s WHERE pos >= trial_id % 4),
+    na AS (SELECT trial_id, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM a0 GROUP BY trial_id), nb AS (SELECT trial_id, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM b0 GROUP BY trial_id),
+    a AS (SELECT trial_id, pos, (value - m) / sd AS v, n FROM a0 JOIN na USING (trial_id)), b AS (SELECT trial_id, pos, (value - m) / sd AS v, n FROM b0 JOIN nb USING (trial_id)),
+    c AS (SELECT a.trial_id, b.pos - a.pos AS k, sum(a.v * b.v) / any_value(least(a.n, b.n)) AS r FROM a JOIN b ON a.trial_id = b.trial_id AND b.pos - a.pos BETWEEN -20 AND 20 WHERE least(a.n, b.n) >= 10 GROUP BY ALL)
+    SELECT trial_id, round(max_by(k / {RATE}::DOUBLE, r), 6) + 0 AS "offset", round(max(r), 6) + 0 AS r FROM c GROUP BY trial_id""")
 def estimate_offset(spark: SparkSession, d: str) -> DataFrame:
     """The shift between two recordings of one signal, of which the second begins later by a trial's own number of rows and is noisy."""
     a = event_series(spark, d).select("trial_id", "pos", "value")
