@@ -284,6 +284,18 @@ def knee_frequency(cutoffs: np.ndarray, residuals: np.ndarray, tolerance: float
 # ---------------------------------------------------------------- peaks and lags
 
 
+def _valleys(x: np.ndarray) -> np.ndarray:
+    """For each value the lowest since the last one that is higher, itself included, in one pass."""
+    out, open_ = [], []
+    for v in x.tolist():
+        low = v
+        while open_ and open_[-1][0] <= v:
+            low = min(low, open_.pop()[1])
+        open_.append((v, low))
+        out.append(low)
+    return np.array(out)
+
+
 def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Positions and prominences of peaks.
 
@@ -305,19 +317,16 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tup
     peaks = np.array(peaks, int)
     if distance > 1 and len(peaks):
         keep = np.ones(len(peaks), bool)
-        for k in np.argsort(x[peaks], kind="stable")[::-1]:
+        at = peaks.tolist()
+        for k in np.argsort(x[peaks], kind="stable")[::-1].tolist():
             if keep[k]:
-                near = np.abs(peaks - peaks[k]) < distance
-                near[k] = False
-                keep &= ~near
+                for way in (-1, 1):
+                    j = k + way
+                    while 0 <= j < len(at) and abs(at[j] - at[k]) < distance:
+                        keep[j] = False
+                        j += way
         peaks = peaks[keep]
-    heights = np.zeros(len(peaks))
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(x > x[p])
-        left, right = higher[higher < p], higher[higher > p]
-        low = x[(left[-1] + 1 if len(left) else 0) : p + 1].min()
-        high = x[p : (right[0] if len(right) else n)].min()
-        heights[k] = x[p] - max(low, high)
+    heights = x[peaks] - np.maximum(_valleys(x)[peaks], _valleys(x[::-1])[::-1][peaks])
     good = heights >= prominence
     return peaks[good], heights[good]
 
