@@ -13,7 +13,7 @@ _NAMES = {
     "operators.corrections": "correct_perspective correct_bias detrend_angles fit_landmark_bias remove_landmark_bias merge_landmark_bias smooth_landmark_bias",
     "operators.scores": "variable_scores profile_score deviation_index movement_profile",
     "operators.validation": "ranges adjusted spatiotemporal_ranges check_angles check_phases check_spatiotemporal check_cadence caveats model_accuracy",
-    "operators.quality": "quality_score coherence treadmill other_people sagittal_alignment bounding_box visible_span detection_matrix",
+    "operators.quality": "quality_score coherence treadmill other_people sagittal_alignment bounding_box person_extent visible_span detection_matrix",
     "operators.optical": "estimate_offset",
     "plans.pipeline": "run diagnose report",
     "exceptions": "InvalidData UnknownName",

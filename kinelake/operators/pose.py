@@ -138,10 +138,15 @@ def center_on_torso(pose: DataFrame) -> DataFrame:
 
 
 def align_skeleton(pose: DataFrame, size: float | None = None) -> DataFrame:
-    """Origin at the middle of the hips, in hundredths of the trial's median distance from shoulders to ankles (or ``size``)."""
-    cx, cy = middle(x("LEFT_HIP"), x("RIGHT_HIP")), middle(y("LEFT_HIP"), y("RIGHT_HIP"))
-    tall = C.distance(middle(x("LEFT_SHOULDER"), x("RIGHT_SHOULDER")), middle(y("LEFT_SHOULDER"), y("RIGHT_SHOULDER")), middle(x("LEFT_ANKLE"), x("RIGHT_ANKLE")), middle(y("LEFT_ANKLE"), y("RIGHT_ANKLE")))
-    marked = pose.withColumns({"__cx": cx, "__cy": cy, "__t": tall}).withColumn("__s", F.lit(size) if size else F.median("__t").over(trial()))
+    """Origin at the mean of the shoulders and hips that are known, in hundredths of the trial's median distance from left shoulder to left ankle (or ``size``)."""
+    corners = [f"{s}_{n}" for n in ("SHOULDER", "HIP") for s in ("LEFT", "RIGHT")]
+
+    def mean(axis: Callable[[str], Column]) -> Column:
+        known = F.array_compact(F.array(*[axis(n) for n in corners]))
+        return C.safe_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known))
+
+    tall = C.distance(x("LEFT_SHOULDER"), y("LEFT_SHOULDER"), x("LEFT_ANKLE"), y("LEFT_ANKLE"))
+    marked = pose.withColumns({"__cx": mean(x), "__cy": mean(y), "__t": tall}).withColumn("__s", F.lit(float(size)) if size else F.median("__t").over(trial()))
     return marked.withColumn("landmarks", _entries(lambda _, p: _point(C.safe_divide(C.clean(p["x"]) - F.col("__cx"), F.col("__s")) * 100.0, C.safe_divide(C.clean(p["y"]) - F.col("__cy"), F.col("__s")) * 100.0, p["visibility"]))).drop("__cx", "__cy", "__t", "__s")
 
 
@@ -152,9 +157,9 @@ def walking_direction(pose: DataFrame) -> DataFrame:
 
 
 def facing(pose: DataFrame) -> DataFrame:
-    """trial_id, direction: right where the nose is ahead of the ears' middle in the median, else left."""
+    """trial_id, direction: left where the nose is behind the ears' middle in the median, or never seen with both, else right."""
     d = x("NOSE") - middle(x("LEFT_EAR"), x("RIGHT_EAR"))
-    return pose.select("trial_id", d.alias("d")).groupBy("trial_id").agg(F.median("d").alias("d")).select("trial_id", F.when(F.col("d") > 0, "right").otherwise("left").alias("direction"))
+    return pose.select("trial_id", d.alias("d")).groupBy("trial_id").agg(F.median("d").alias("d")).select("trial_id", F.when(F.col("d") >= 0, "right").otherwise("left").alias("direction"))
 
 
 def correct_side_labels(pose: DataFrame) -> DataFrame:
@@ -280,20 +285,22 @@ def correct_pair_labels(pose: DataFrame, ratio: float = 0.25, apart: float = 0.0
 
 
 def estimate_feet(pose: DataFrame, share: float = 0.25) -> DataFrame:
-    """Heels and toes that are missing, put at a share of the shank's length behind and ahead of the ankle."""
+    """Heels and toes that are missing, put about the ankle by a foot's length that is a share of the shank's.
+
+    The heel goes on along the shank by 0.3 and down by 0.1 of it, the toe back across by half and down by 0.15, both
+    within the picture, with visibility 0.5. A side without knee or ankle, or with both in one place, has none made.
+    """
     parts = {}
     for s in ("LEFT", "RIGHT"):
         kx, ky, ax, ay = x(f"{s}_KNEE"), y(f"{s}_KNEE"), x(f"{s}_ANKLE"), y(f"{s}_ANKLE")
         dx, dy = ax - kx, ay - ky
         length = F.sqrt(dx * dx + dy * dy)
-        down = C.safe_divide(dy, length)
-        across = C.safe_divide(dx, length)
-        reach = share * length
-        parts[f"{s}_HEEL"] = (ax - 0.35 * reach * down + 0.3 * reach * across, ay + 0.35 * reach * across + 0.3 * reach * down)
-        parts[f"{s}_FOOT_INDEX"] = (ax + reach * down, ay - reach * across + 0.3 * reach * down)
+        foot = F.when(length > 0, share * length)
+        parts[f"{s}_HEEL"] = (ax + 0.3 * foot * dx / length, ay + 0.3 * foot * dy / length + 0.1 * foot)
+        parts[f"{s}_FOOT_INDEX"] = (ax - 0.5 * foot * dx / length, ay + 0.15 * foot)
     made = F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*[_point(C.clip(a, 0.0, 1.0), C.clip(b, 0.0, 1.0), F.lit(0.5)) for a, b in parts.values()]))
     seen = F.map_filter("landmarks", lambda k, p: ~(k.endswith("HEEL") | k.endswith("FOOT_INDEX")) | (C.clean(p["x"]).isNotNull() & C.clean(p["y"]).isNotNull()))
-    return pose.withColumns({"__made": made, "__seen": seen}).withColumn("landmarks", F.map_concat("__seen", F.map_filter("__made", lambda k, p: ~F.array_contains(F.map_keys("__seen"), k)))).drop("__made", "__seen")
+    return pose.withColumns({"__made": made, "__seen": seen}).withColumn("landmarks", F.map_concat("__seen", F.map_filter("__made", lambda k, p: p["x"].isNotNull() & ~F.array_contains(F.map_keys("__seen"), k)))).drop("__made", "__seen")
 
 
 # ------------------------------------------------------------ joint angles
@@ -409,7 +416,7 @@ def canonicalize_signs(angles: DataFrame) -> DataFrame:
         turn = F.when(F.avg(f"knee_{s}").over(trial()) < 0, -1.0).otherwise(1.0)
         out = out.withColumn("__t", turn).withColumns({f"knee_{s}": F.col(f"knee_{s}") * F.col("__t"), f"hip_{s}": F.col(f"hip_{s}") * F.col("__t")})
         out = out.withColumns({"__r": F.row_number().over(Window.partitionBy("trial_id").orderBy(F.desc_nulls_last(f"knee_{s}"), "pos")), "__n": F.count(f"knee_{s}").over(trial())})
-        top = F.col("__r") <= F.greatest(F.lit(5), F.floor(F.col("__n") / 10))
+        top = F.col(f"knee_{s}").isNotNull() & (F.col("__r") <= F.greatest(F.lit(5), F.floor(F.col("__n") / 10)))
         out = out.withColumn("__h", F.avg(F.when(top, F.col(f"hip_{s}"))).over(trial())).withColumn(f"hip_{s}", F.when(F.col("__h") < 0, -F.col(f"hip_{s}")).otherwise(F.col(f"hip_{s}")))
     return out.drop("__t", "__r", "__n", "__h")
 

@@ -125,6 +125,15 @@ def bounding_box(pose: DataFrame, width: int, height: int, padding: float = 0.15
     return own.select("trial_id", whole(F.col("x0") - px, width).alias("left"), whole(F.col("y0") - py, height).alias("top"), whole(F.col("x1") + px, width).alias("right"), whole(F.col("y1") + py, height).alias("bottom"))
 
 
+def person_extent(pose: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """trial_id, selected, n_frames, x0, y0, x1, y1: in how many frames a person is seen (within ``box``, if given), and the box of all their landmarks."""
+    inside = lambda p: C.clean(p["x"]).between(box[0], box[2]) & C.clean(p["y"]).between(box[1], box[3]) if box else C.clean(p["x"]).isNotNull() & C.clean(p["y"]).isNotNull()
+    own = pose.select("trial_id", F.filter(F.map_values("landmarks"), lambda p: F.coalesce(inside(p), F.lit(False))).alias("p"))
+    edge = lambda pick, axis: pick(F.transform("p", lambda q: q[axis]))
+    out = own.groupBy("trial_id").agg(F.count_if(F.size("p") > 0).alias("n_frames"), F.min(edge(F.array_min, "x")).alias("x0"), F.min(edge(F.array_min, "y")).alias("y0"), F.max(edge(F.array_max, "x")).alias("x1"), F.max(edge(F.array_max, "y")).alias("y1"))
+    return out.select("trial_id", (F.col("n_frames") > 0).alias("selected"), "n_frames", "x0", "y0", "x1", "y1")
+
+
 def visible_span(pose: DataFrame, margin: float = 0.02, seen: float = 0.3) -> DataFrame:
     """Frames between the first and the last in which all leg landmarks are well inside the picture and seen."""
     names = [f"{s}_{n}" for s in ("LEFT", "RIGHT") for n in ("HIP", "KNEE", "ANKLE")]

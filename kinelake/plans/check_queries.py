@@ -9,8 +9,8 @@ from kinelake.functions.columns import r6
 from kinelake.operators import analysis, cycles, degradation, events, pose, quality
 from kinelake.operators.quality import STEADY_LANDMARKS, STEADY_SEGMENTS
 from kinelake.plans.series_queries import _CY, _VC, RATE
-from kinelake.plans.walk_queries import _PO, _TR, _ankle, _between, _mid, _sub, _v, _xy
-from kinelake.sources.driver_tables import gait_events, vector_curves, vector_pose
+from kinelake.plans.walk_queries import _PO, _TR, _ankle, _between, _knee, _mid, _sub, _v, _xy
+from kinelake.sources.driver_tables import VECTOR_LANDMARKS, gait_events, vector_curves, vector_pose
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -178,3 +178,67 @@ def classic_hips(spark: SparkSession, d: str) -> DataFrame:
     """Hips as the angle between trunk and thigh."""
     out = pose.compute_angles(vector_pose(spark, d), "sagittal_classic", factor=1.0, calibrate=False)
     return out.select("trial_id", "frame_idx", r6("hip_L").alias("hip_L"), r6("hip_R").alias("hip_R"))
+
+
+_CORNERS = ["LEFT_SHOULDER", "RIGHT_SHOULDER", "LEFT_HIP", "RIGHT_HIP"]
+_MEAN = tuple(f"(({' + '.join(_xy(n)[k] for n in _CORNERS)}) / 4)" for k in (0, 1))
+
+
+@_query(f"WITH {_PO}, a AS (SELECT *, median({_far(_xy('LEFT_SHOULDER'), _xy('LEFT_ANKLE'))}) OVER (PARTITION BY trial_id) AS tall FROM po) SELECT trial_id, frame_idx, " + ", ".join(f'round(({_xy(n)[k]} - {_MEAN[k]}) / tall * 100, 6) + 0 AS "{n}_{a}"' for n in _VIEW for k, a in enumerate("xy")) + " FROM a")
+def aligned_skeleton(spark: SparkSession, d: str) -> DataFrame:
+    """Landmarks about the trunk, in hundredths of the body."""
+    return _viewed(pose.align_skeleton(vector_pose(spark, d)), _VIEW)
+
+
+def _viewed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select("trial_id", "frame_idx", *[r6(c).alias(f"{n}_{a}") for n in names for a, c in (("x", pose.x(n)), ("y", pose.y(n)))])
+
+
+_FEET = ["LEFT_HEEL", "LEFT_FOOT_INDEX", "RIGHT_HEEL", "RIGHT_FOOT_INDEX"]
+
+
+def _made_foot(name: str) -> tuple[str, str]:
+    """The place of a heel or toe that is made from the shank, where the frame's number is even."""
+    s = name.split("_")[0]
+    (dx, dy), (ax, ay) = _sub(f"{s}_ANKLE", f"{s}_KNEE"), _xy(f"{s}_ANKLE")
+    shank = _far(_xy(f"{s}_ANKLE"), _xy(f"{s}_KNEE"))
+    foot = f"({shank} * 0.25)"
+    made = (f"{ax} + {dx} / {shank} * {foot} * 0.3", f"{ay} + {dy} / {shank} * {foot} * 0.3 + {foot} * 0.1") if name.endswith("HEEL") else (f"{ax} - {dx} / {shank} * {foot} * 0.5", f"{ay} + {foot} * 0.15")
+    return tuple(f"CASE WHEN frame_idx % 2 = 0 THEN greatest(0, least(1, {m})) ELSE {c} END" for m, c in zip(made, _xy(name), strict=True))
+
+
+@_query(f"WITH {_PO} SELECT trial_id, frame_idx, " + ", ".join(f'round({c}, 6) + 0 AS "{n}_{a}"' for n in _FEET for a, c in zip("xy", _made_foot(n), strict=True)) + " FROM po")
+def estimated_feet(spark: SparkSession, d: str) -> DataFrame:
+    """Heels and toes made for every other frame, which has none."""
+    p = vector_pose(spark, d)
+    bare = F.map_filter("landmarks", lambda k, v: ~k.isin(_FEET))
+    return _viewed(pose.estimate_feet(p.withColumn("landmarks", F.when(F.col("frame_idx") % 2 == 0, bare).otherwise(F.col("landmarks")))), _FEET)
+
+
+@_query(f"WITH {_PO} SELECT trial_id, CASE WHEN median({_HEAD[0]}) < 0 THEN 'left' ELSE 'right' END AS direction FROM po GROUP BY trial_id")
+def facing(spark: SparkSession, d: str) -> DataFrame:
+    """Which way faces look."""
+    return pose.facing(vector_pose(spark, d))
+
+
+_INSIDE = ", ".join(f"CASE WHEN {_xy(n)[0]} BETWEEN 0.4 AND 0.9 AND {_xy(n)[1]} BETWEEN 0.45 AND 0.8 THEN {{'x': {_xy(n)[0]}, 'y': {_xy(n)[1]}}} END" for n in VECTOR_LANDMARKS)
+
+
+@_query(f"""WITH {_PO}, l AS (SELECT trial_id, frame_idx, unnest([{_INSIDE}]) AS p FROM po)
+    SELECT trial_id, count(p) > 0 AS selected, count(DISTINCT CASE WHEN p IS NOT NULL THEN frame_idx END) AS n_frames, round(min(p.x), 6) AS x0, round(min(p.y), 6) AS y0, round(max(p.x), 6) AS x1, round(max(p.y), 6) AS y1 FROM l GROUP BY trial_id""")
+def person_extent(spark: SparkSession, d: str) -> DataFrame:
+    """The person within a part of the picture."""
+    out = quality.person_extent(vector_pose(spark, d), (0.4, 0.45, 0.9, 0.8))
+    return out.select("trial_id", "selected", "n_frames", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@_query(f"""WITH {_PO}, a AS (SELECT trial_id, frame_idx, pos, {', '.join(f'{_knee(s)} AS k{s[0]}, {_classic(s)} AS h{s[0]}' for s in ('LEFT', 'RIGHT'))}, count(*) OVER (PARTITION BY trial_id) AS n FROM po),
+    b AS (SELECT trial_id, frame_idx, pos, n, {', '.join(f'CASE WHEN avg(k{s}) OVER t < 0 THEN -k{s} ELSE k{s} END AS k{s}, CASE WHEN avg(k{s}) OVER t < 0 THEN -h{s} ELSE h{s} END AS h{s}' for s in 'LR')} FROM a WINDOW t AS (PARTITION BY trial_id)),
+    c AS (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY trial_id ORDER BY k{s} DESC, pos) AS r{s}' for s in 'LR')} FROM b),
+    m AS (SELECT trial_id, {', '.join(f'avg(h{s}) FILTER (r{s} <= greatest(5, n // 10)) AS m{s}' for s in 'LR')} FROM c GROUP BY trial_id)
+    SELECT trial_id, frame_idx, {', '.join(f'round(k{s}, 6) + 0 AS knee_{s}, round(CASE WHEN m{s} < 0 THEN -h{s} ELSE h{s} END, 6) + 0 AS hip_{s}' for s in 'LR')} FROM c JOIN m USING (trial_id)""")
+def canonical_signs(spark: SparkSession, d: str) -> DataFrame:
+    """Knees that flex upward, and hips with them."""
+    own = vector_pose(spark, d).select("trial_id", "frame_idx", "pos", *[f(side).alias(f"{n}_{side[0]}") for side in ("LEFT", "RIGHT") for n, f in (("knee", pose.knee), ("hip", pose.hip_interior))])
+    out = pose.canonicalize_signs(own)
+    return out.select("trial_id", "frame_idx", *[r6(c).alias(c) for c in ("knee_L", "hip_L", "knee_R", "hip_R")])
