@@ -110,7 +110,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_licence_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.infilling import fill_in_middle, restore
+
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    made = fill_in_middle(_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_licence_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join, op13_fill_in_middle)}
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TOKENS = "regexp_extract_all(" + _LOW + r", '[^\x20\x09-\x0D]+')"
@@ -156,4 +164,14 @@ ORACLE: dict[str, str] = {
         r AS (SELECT o.conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || mark(o.role) || chr(10) || mark(o.text) || '<|im_end|>' || chr(10), '' ORDER BY o.place) AS text
               FROM o SEMI JOIN kept USING (conv_id) GROUP BY o.conv_id)
         SELECT conv_id, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM r""".replace("mark(o.role)", "replace(replace(o.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')").replace("mark(o.text)", "replace(replace(o.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')"),
+    "op13_fill_in_middle": """
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (SELECT *, len(u) AS n, ('0x' || s[1:8])::UBIGINT AS h1, ('0x' || s[9:16])::UBIGINT AS h2, ('0x' || s[25:32])::UBIGINT AS h4 FROM u),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
 }
