@@ -110,6 +110,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.merkle import leaf_digest, manifest, verify
+
+    more = F.col("n_chars").cast("decimal(20,0)") + 1  # a count that was tampered with, in the documents that 7 divides the checksum of
+    tampered = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text"))
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, tampered)
+    found = verify(manifest(_table(spark, sf_dir, "documents"), claim=claim))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    proof = F.array_join(F.transform("proof", lambda d: F.lower(F.hex(d))), "")
+    return found.select("doc_id", text("leaf"), text("subroot"), text("root"), F.sha2(proof.cast("binary"), 256).alias("proof_sha256"), text("folded_root"), "verified")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinelake.llm.infilling import fill_in_middle, restore
 
@@ -118,10 +130,14 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_licence_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_licence_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join, op12_merkle_manifest, op13_fill_in_middle)}
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TOKENS = "regexp_extract_all(" + _LOW + r", '[^\x20\x09-\x0D]+')"
+_COUNTED = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+#: crc32 of an id's digits, a bit at a time.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))))"""
 ORACLE: dict[str, str] = {
     "op5_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
@@ -164,6 +180,28 @@ ORACLE: dict[str, str] = {
         r AS (SELECT o.conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || mark(o.role) || chr(10) || mark(o.text) || '<|im_end|>' || chr(10), '' ORDER BY o.place) AS text
               FROM o SEMI JOIN kept USING (conv_id) GROUP BY o.conv_id)
         SELECT conv_id, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM r""".replace("mark(o.role)", "replace(replace(o.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')").replace("mark(o.text)", "replace(replace(o.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')"),
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, {_COUNTED.format("doc_id")} || {_COUNTED.format("source")} || {_COUNTED.format("lang")} AS head, {_COUNTED.format("text")} AS tail FROM documents),
+        v AS (SELECT doc_id, lang, sha256(head || {_COUNTED.format("n_chars")} || tail) AS leaf, sha256(head || {_COUNTED.format("(n_chars + 1)")} || tail) AS other FROM d),
+        l AS (SELECT doc_id, lang, leaf, CASE WHEN crc(doc_id::VARCHAR) % 7 = 0 THEN other ELSE leaf END AS claim,
+                     row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS w FROM v),
+        n(lang, lev, i, d, w) AS (SELECT lang, 0, i, leaf, w FROM l
+            UNION ALL SELECT lang, any_value(lev) + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value(w + 1) // 2 FROM n WHERE w > 1 GROUP BY lang, i // 2),
+        s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS k FROM n WHERE w = 1),
+        t(lev, i, d, w) AS (SELECT 0, j, subroot, k FROM s
+            UNION ALL SELECT any_value(lev) + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value(w + 1) // 2 FROM t WHERE w > 1 GROUP BY i // 2),
+        c(doc_id, leaf, lang, j, lev, i, w, top, d, proof) AS (
+            SELECT doc_id, leaf, l.lang, j, 0, i, w, w = 1, claim, '' FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang
+            UNION ALL SELECT c.doc_id, c.leaf, c.lang, c.j, c.lev + 1, c.i // 2, (c.w + 1) // 2, (c.w + 1) // 2 = 1,
+                   sha256(CASE WHEN c.i % 2 = 0 THEN c.d || coalesce(n.d, '') ELSE n.d || c.d END), c.proof || coalesce(n.d, '')
+            FROM c LEFT JOIN n ON n.lang IS NOT DISTINCT FROM c.lang AND n.lev = c.lev AND n.i = xor(c.i, 1) WHERE NOT c.top),
+        f(doc_id, leaf, lang, lev, i, w, d, proof) AS (
+            SELECT c.doc_id, c.leaf, c.lang, 0, c.j, s.k, c.d, c.proof FROM c JOIN s ON c.lang IS NOT DISTINCT FROM s.lang WHERE c.top
+            UNION ALL SELECT f.doc_id, f.leaf, f.lang, f.lev + 1, f.i // 2, (f.w + 1) // 2,
+                   sha256(CASE WHEN f.i % 2 = 0 THEN f.d || coalesce(t.d, '') ELSE t.d || f.d END), f.proof || coalesce(t.d, '')
+            FROM f LEFT JOIN t ON t.lev = f.lev AND t.i = xor(f.i, 1) WHERE f.w > 1)
+        SELECT f.doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, f.d AS folded_root, f.d = r.d AS verified
+        FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang, (SELECT d FROM t WHERE w = 1) r WHERE f.w = 1""".replace("crc(doc_id::VARCHAR)", _CRC),
     "op13_fill_in_middle": """
         WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
         h AS (SELECT *, len(u) AS n, ('0x' || s[1:8])::UBIGINT AS h1, ('0x' || s[9:16])::UBIGINT AS h2, ('0x' || s[25:32])::UBIGINT AS h4 FROM u),
