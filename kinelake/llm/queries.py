@@ -110,6 +110,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
+def op11_exact_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinelake.llm.inner_products import top_products
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinelake.llm.merkle import leaf_digest, manifest, verify
 
@@ -130,7 +137,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_licence_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join, op12_merkle_manifest, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_licence_scan, op3_best_fit_packing, op4_token_files, op5_decontamination, op6_language_id, op7_nearest_neighbours, op8_warc_conversion, op9_chat_formatting, op10_jaccard_join, op11_exact_top_products, op12_merkle_manifest, op13_fill_in_middle)}
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TOKENS = "regexp_extract_all(" + _LOW + r", '[^\x20\x09-\x0D]+')"
@@ -180,6 +187,12 @@ ORACLE: dict[str, str] = {
         r AS (SELECT o.conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || mark(o.role) || chr(10) || mark(o.text) || '<|im_end|>' || chr(10), '' ORDER BY o.place) AS text
               FROM o SEMI JOIN kept USING (conv_id) GROUP BY o.conv_id)
         SELECT conv_id, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM r""".replace("mark(o.role)", "replace(replace(o.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')").replace("mark(o.text)", "replace(replace(o.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')"),
+    "op11_exact_top_products": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
     "op12_merkle_manifest": f"""
         WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, {_COUNTED.format("doc_id")} || {_COUNTED.format("source")} || {_COUNTED.format("lang")} AS head, {_COUNTED.format("text")} AS tail FROM documents),
         v AS (SELECT doc_id, lang, sha256(head || {_COUNTED.format("n_chars")} || tail) AS leaf, sha256(head || {_COUNTED.format("(n_chars + 1)")} || tail) AS other FROM d),
