@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -153,27 +154,9 @@ def byte_class(keep) -> np.ndarray:
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-#: Powers that are kept for the next block; longer tables are made anew.
-_KEPT_POWERS = (1 << 20) + (1 << 16)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def made(size: int) -> list[np.ndarray]:
-        tables = []
-        for base in (_BASE, _INVERSE):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        return tables
-
-    if n > _KEPT_POWERS:
-        return tuple(made(n))
-    if not _powers:
-        _powers.extend(made(_KEPT_POWERS))
-    return tuple(_powers)
+#: Multipliers of the hash of words (those of XXH64), and the bytes up to which words are hashed side by side.
+_P1, _P2, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -203,12 +186,88 @@ def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: n
     return begin, end, np.append(np.searchsorted(begin, starts), len(begin))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as an integer; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _lanes(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes of spans of which ``left`` bytes are left, without what follows them."""
+    lane = eights[at].astype(np.uint64)
+    few = left < 8
+    lane[few] &= (np.uint64(1) << (left[few] * 8).astype(np.uint64)) - np.uint64(1)
+    return lane
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of data: a polynomial over its bytes by prefix sums, scrambled with its length."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each span of data: eight bytes after the other go through multiplications and rotations, as in XXH64.
+
+    Longer spans get the first bytes of their BLAKE2 digest.
+    """
+    length = end - begin
+    h = length.astype(np.uint64) * _P5 + _P1
+    eights = _eights(data)
+    which, at, left = np.arange(len(begin)), begin, length
+    if len(long := np.flatnonzero(length > SHORT)):
+        which = np.flatnonzero(length <= SHORT)
+        at, left = begin[which], length[which]
+    while len(which):
+        own = h[which] ^ _turned(_lanes(eights, at, left) * _P2, 31) * _P1
+        h[which] = _turned(own, 27) * _P1 + _P4
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
+
+
+def same_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span at the place ``other``, which has its hash.
+
+    Hashes of spans of one length up to eight bytes differ if the spans do, as each step can be undone.
+    """
+    length = end - begin
+    same = length == length[other]
+    eights = _eights(data)
+    which = np.flatnonzero(same & (length > 8) & (other != np.arange(len(other))))
+    long = which[length[which] > SHORT]
+    which = which[length[which] <= SHORT]
+    at, with_, left = begin[which], begin[other[which]], length[which]
+    while len(which):
+        same[which] &= _lanes(eights, at, left) == _lanes(eights, with_, left)
+        more = left > 8
+        which, at, with_, left = which[more], at[more] + 8, with_[more] + 8, left[more] - 8
+    for k in long.tolist():
+        same[k] = np.array_equal(data[begin[k] : end[k]], data[begin[other[k]] : end[other[k]]])
+    return same
+
+
+def coded_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the spans by their bytes, and for each number its hash and the place of its first span.
+
+    Numbers go by hashes; spans whose bytes aren't those of their number's first span get numbers of their own.
+    """
+    coded = pa.array(word_hashes(data, begin, end)).dictionary_encode()
+    which, hashes = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    first = np.zeros(len(hashes), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    clash = np.flatnonzero(~same_words(data, begin, end, first[which]))
+    if len(clash):
+        which, own, more = which.copy(), {}, []
+        for k in clash.tolist():
+            word = data[begin[k] : end[k]].tobytes()
+            if word not in own:
+                own[word] = len(hashes) + len(own)
+                more.append(k)
+            which[k] = own[word]
+        hashes = np.concatenate([hashes, word_hashes(data, begin[more], end[more])])
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return which, hashes, first
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

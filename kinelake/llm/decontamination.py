@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, byte_class, hash_words, in_batches, ragged, stored, text_blocks, word_hashes, word_spans
+from kinelake.llm.common import LOWER, byte_class, coded_words, hash_words, in_batches, ragged, stored, text_blocks, word_spans
 
 #: Bytes of words: ASCII digits and letters, and all bytes of longer characters.
 WORD = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -46,12 +46,12 @@ class Segment:
         """The words' term numbers, -1 for those that don't occur; the words themselves are compared."""
         if not len(self.terms):
             return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        found = np.where(self.terms[at] == hashes, at, -1)
-        for k in np.flatnonzero(found >= 0).tolist():
-            own = self.text[self.text_first[found[k]] : self.text_first[found[k] + 1]]
-            if own.tobytes() != words[k]:
-                found[k] = -1
+        found = np.full(len(words), -1, np.int64)
+        low, high = np.searchsorted(self.terms, hashes), np.searchsorted(self.terms, hashes, "right")
+        for k in np.flatnonzero(low < high).tolist():
+            for t in range(low[k], high[k]):  # different words with one hash are terms beside each other
+                if self.text[self.text_first[t] : self.text_first[t + 1]].tobytes() == words[k]:
+                    found[k] = t
         return found
 
     def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -65,12 +65,11 @@ def make_segment(doc_ids: np.ndarray, doc_null: np.ndarray, data: np.ndarray, st
     """The index of the documents whose texts are data[starts:ends]."""
     low = LOWER[data]
     begin, end, doc_first = word_spans(low, starts, ends, WORD)
-    coded = pa.array(word_hashes(low, begin, end)).dictionary_encode()
-    values = coded.dictionary.to_numpy()
-    order = np.argsort(values)
+    which, values, _ = coded_words(low, begin, end)
+    order = np.argsort(values, kind="stable")
     rank = np.empty(len(values), np.uint64)
     rank[order] = np.arange(len(values), dtype=np.uint64)
-    keys = rank[coded.indices.to_numpy()] << np.uint64(32) | np.arange(len(begin), dtype=np.uint64) if len(begin) else np.zeros(0, np.uint64)
+    keys = rank[which] << np.uint64(32) | np.arange(len(begin), dtype=np.uint64) if len(begin) else np.zeros(0, np.uint64)
     keys.sort()
     positions = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     term_first = np.searchsorted(keys, np.arange(len(values) + 1, dtype=np.uint64) << np.uint64(32))

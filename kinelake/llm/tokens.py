@@ -9,7 +9,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from kinelake.llm.common import LOWER, ragged, text_blocks, word_hashes
+from kinelake.llm.common import LOWER, coded_words, ragged, text_blocks
 
 #: Word parts whose ids are remembered by a worker; beyond it the cache starts anew. It bounds memory only.
 CACHE_WORDS = 1_000_000
@@ -73,6 +73,8 @@ class WordTokenizer:
         self.slot = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.text = np.zeros(0, np.uint8)
+        self.text_first = np.zeros(1, np.int64)
 
     @staticmethod
     def _merges_within_runs(spec: dict) -> bool:
@@ -133,37 +135,44 @@ class WordTokenizer:
         begin, end = edge[:-1], edge[1:]
         used = kind[begin] != _SPACE
         begin, end = begin[used], end[used]
-        coded = pa.array(word_hashes(low, begin, end)).dictionary_encode()
-        which = coded.indices.to_numpy()
-        slot = self._slots(coded.dictionary.to_numpy(), low, begin, end, which)[which]
+        which, hashes, first = coded_words(low, begin, end)
+        slot = self._slots(hashes, low, begin[first], end[first])[which]
         each = self.first[slot + 1] - self.first[slot]
         before = np.concatenate([[0], np.cumsum(each)])
         run = np.append(np.searchsorted(begin, starts), len(begin))
         return self.ids[ragged(self.first[slot], each)], before[run[1:]] - before[run[:-1]]
 
-    def _slots(self, hashes: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """The slots of distinct runs, by their hashes; runs not seen before are encoded."""
+    def _slots(self, hashes: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slots of distinct runs; runs not seen before are encoded. A known run has the hash and the bytes."""
         if len(self.known) + len(hashes) > CACHE_WORDS:
             self._forget()
         at = np.searchsorted(self.known, hashes)
-        seen = np.zeros(len(hashes), bool)
-        inside = at < len(self.known)
-        seen[inside] = self.known[at[inside]] == hashes[inside]
-        fresh = np.flatnonzero(~seen)
+        out = np.full(len(hashes), -1, np.int64)
+        inside = np.flatnonzero(at < len(self.known))
+        inside = inside[self.known[at[inside]] == hashes[inside]]
+        slot = self.slot[at[inside]]
+        length = end[inside] - begin[inside]
+        fits = length == self.text_first[slot + 1] - self.text_first[slot]
+        inside, slot, length = inside[fits], slot[fits], length[fits]
+        differs = low[ragged(begin[inside], length)] != self.text[ragged(self.text_first[slot], length)]
+        wrong = np.zeros(len(inside), bool)
+        wrong[np.repeat(np.arange(len(inside)), length)[differs]] = True
+        out[inside[~wrong]] = slot[~wrong]
+        fresh = np.flatnonzero(out < 0)
         if len(fresh):
-            sample = np.zeros(len(hashes), np.int64)
-            sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-            made = [self._run(low[begin[k] : end[k]].tobytes()) for k in sample[fresh].tolist()]
+            made = [self._run(low[begin[k] : end[k]].tobytes()) for k in fresh.tolist()]
             length = np.array([len(x) for x in made])
-            slots = len(self.first) - 1 + np.arange(len(fresh))
+            out[fresh] = slots = len(self.first) - 1 + np.arange(len(fresh))
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(length.sum()))])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(length)])
+            size = end[fresh] - begin[fresh]
+            self.text = np.concatenate([self.text, low[ragged(begin[fresh], size)]])
+            self.text_first = np.concatenate([self.text_first, self.text_first[-1] + np.cumsum(size)])
             order = np.argsort(hashes[fresh])
             place = np.searchsorted(self.known, hashes[fresh][order])
             self.known = np.insert(self.known, place, hashes[fresh][order])
             self.slot = np.insert(self.slot, place, slots[order])
-            at = np.searchsorted(self.known, hashes)
-        return self.slot[at]
+        return out
 
     def _run(self, run: bytes) -> list[int]:
         if run[0] < 128 and run.isalnum() and run.isascii():
