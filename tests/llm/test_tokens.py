@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinelake.llm import packing, token_files, tokens
-from tests.llm.conftest import table, words
+from tests.llm.conftest import SCHEMA, table, words
 
 PATH = tokens.default_vocabulary()
 PARTS = ["don't", "l'eau", "I'LL", "'s", " ", "\n", "<|endoftext|>", "<|x|>", "é", "É", "é", "Σ", "ς", "İ", "ß", "ẞ", "1", "23", "½", "…", "—", "!!", "$$", "a", "Zz", "中", " ", "\x1c", "\x00", "\x7f", "ﬁ", "한", "ᅡ", "_", "ǅ", "ª", "µ", "١"]
@@ -77,7 +77,31 @@ def check_packing(rows, texts, capacity):
     return len(at), -(-sum(x[4] for x in expected) // capacity)
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 20, "fan_in": 2, "carry": 5}])
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 50), st.integers(1, 30)), max_size=30, unique_by=lambda x: x[:2]), st.integers(0, 8), st.integers(0, 20))
+def test_a_node_accounts_for_all_items(items, slack, whole):
+    """Each item is in one range; sequences hold items beside each other without gaps, and so do bins that rise."""
+    child, fill, count = (np.array([x[k] for x in items], np.int64) for k in range(3))
+    rules, rises, sequences = packing.pack_node(child, fill, count, 50, slack, max(whole, slack))
+    seen, inside, alone = set(), {}, set()
+    for kind, c, f, first, n, to_fill, to, phase, per, offset in rules:
+        for i in range(n):
+            assert (c, f, first + i) not in seen
+            seen.add((c, f, first + i))
+            inside.setdefault((kind, to_fill, to + (phase + i) // per), []).append((offset + (phase + i) % per * f, f))
+    assert seen == {(c, f, i) for c, f, n in items for i in range(n)}
+    for (kind, to_fill, _), own in inside.items():
+        ends = np.cumsum([f for _, f in sorted(own)])
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1].tolist()]
+        assert 50 - slack <= ends[-1] <= 50 if kind == packing._DONE else ends[-1] == to_fill
+    assert sorted(k[2] for k in inside if k[0] == packing._DONE) == list(range(sequences))
+    assert {f: sorted(k[2] for k in inside if k[0] == packing._RISES and k[1] == f) for f in rises} == {f: list(range(n)) for f, n in rises.items()}
+
+
+TREES = [{}, {"partition": 20, "fan_in": 2}, {"partition": 30, "fan_in": 3, "slack": 40}]
+
+
+@pytest.mark.parametrize("options", TREES)
 def test_packing(spark, awkward, options):
     texts = awkward + [(100 + k, words(random.Random(k).randint(1, 300), k)) for k in range(200)]
     docs = table(spark, texts, length=7, piece="clash").repartition(7)
@@ -86,7 +110,19 @@ def test_packing(spark, awkward, options):
     assert used <= least * 1.15 + 1
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 20, "fan_in": 2, "carry": 5}])
+@pytest.mark.parametrize("order", ["by length", "shuffled", "one partition"])
+def test_few_sequences_in_any_order(spark, order):
+    """Within a hundredth of the fewest there could be, over several levels of nodes."""
+    r = random.Random(3)
+    texts = [(k, "x " * min(2000, int(r.lognormvariate(3.5, 1.2)))) for k in range(6000)]
+    texts.sort(key=(lambda x: len(x[1])) if order == "by length" else (lambda x: (x[0] * 7919) % 6007))
+    docs = spark.sparkContext.parallelize([(i, t, "", "", 0) for i, t in texts], 1 if order == "one partition" else 6).toDF(SCHEMA)
+    rows = packing.pack_documents(docs, capacity=1024, slack=2, partition=300, fan_in=3).collect()
+    used, least = check_packing(rows, texts, 1024)
+    assert used <= 1.01 * least + 1
+
+
+@pytest.mark.parametrize("options", TREES[:2])
 def test_packing_doesnt_depend_on_order(spark, options):
     """Long documents in some tasks and short ones in others: a long and a short one fill a sequence."""
     texts = [(k, "x " * (39 if k < 300 else 23)) for k in range(600)]
