@@ -537,13 +537,14 @@ def _candidates(table: pa.Table, first: np.ndarray, component: np.ndarray, n: np
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: int = 2, key: str | None = None) -> DataFrame:
-    """A row per document (doc_id, text): doc_id, n_shingles, component_id, and the column ``key`` of docs, a long, if given.
+    """A row per document (doc_id, text): doc_id, n_shingles, component_id, and if ``key`` is given this column of docs, a long, and component.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a set holds the distinct runs of ``width``
     words, or all words as one where there are fewer. Documents link where 100 * overlap >= percent * union;
     component_id is the least doc_id reachable. Null and empty texts have empty sets and link with nothing, also not with
     each other. Repeated rows and equal sets are one class from the start. Null doc_ids stay, and take the component of
-    their class. An empty table gives no rows; other columns are ignored.
+    their class. An empty table gives no rows; other columns are ignored. component tells groups apart that have no doc_id
+    at all; it is null for empty sets.
 
     Each of ``stars`` rounds compares the classes of a cell with one of them, which joins large groups without their
     pairs. All cells choose by the same order, first by the share of a class's cells that others share too, which is
@@ -596,14 +597,15 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, width: int = 5, stars: in
         discard(known, pairs)
         free_shuffles(spark)
     carried = [key] if key else []
+    named_class = ["component"] if key else []
     out = stored(all_docs.select("doc_id", "n", "class", *carried), "documents")  # all that the result reads later
     discard(members, copies, all_docs)
-    empty = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *carried)
+    empty = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *carried, *[F.lit(None).cast("long").alias(c) for c in named_class])
     if labels is None:
-        of_class = classes.select("class", F.col("least").alias("component_id"))
+        of_class = classes.select("class", F.col("least").alias("component_id"), F.col("class").alias("component"))
     else:
         named = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        of_class = named.join(least, "component").select("class", "component_id")
-    linked = out.filter("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *carried)
+        of_class = named.join(least, "component").select("class", "component_id", "component")
+    linked = out.filter("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *carried, *named_class)
     return linked.unionAll(empty)

@@ -1,5 +1,8 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from kinelake.llm.common import stored
 from tests.llm.conftest import table, words
@@ -23,7 +26,8 @@ def test_stages(spark, tmp_path, awkward):
     assert {r["doc_id"] for r in after} == {i for i, _ in before} - {1, 2, 3, 301}
     before, after, _ = seen["jaccard_join"]
     kept = sorted((r["doc_id"] for r in after), key=repr)
-    assert kept == sorted((i for i, _, c in linked_components(before, 80, 5) if i is None or c == i), key=repr)
+    one_each = {c for i, n, c in linked_components(before, 80, 5) if n}  # here each group has an id, or is a text without one
+    assert kept == sorted([*one_each, *(i for i, n, _ in linked_components(before, 80, 5) if not n)], key=repr)
     before, after, _ = seen["decontamination"]
     assert sorted((r["doc_id"] for r in after), key=repr) == sorted((i for i, _, hit, _ in brute(before, [(1, item)]) if not hit), key=repr)
     before, after, _ = seen["secret_scan"]
@@ -45,5 +49,42 @@ def test_rows_are_dropped_by_themselves(spark, tmp_path):
     docs = table(spark, [(None, words(40, 7) + " " + item), (None, null), (1, copied), (2, copied), (2, other), (3, item), (3, clean)])
     kept = pipeline.near_copies(spark, docs, f"file://{tmp_path}")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.filter("text NOT LIKE '%" + item + "'").collect()) == sorted([(0, null), (1, copied), (2, other), (3, clean)])
+    assert kept.count() == 6
     kept = pipeline.benchmark_passages(spark, docs, f"file://{tmp_path}")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, null), (1, copied), (2, copied), (2, other), (3, clean)])
+
+
+@pytest.mark.parametrize("stored_first", [False, True])
+def test_one_row_of_each_group_stays(spark, stored_first):
+    """Equal rows, rows with one id, and rows without an id: one of each group, that with the least id if there is one."""
+    text, other, alone = words(60, 1), words(60, 2), words(60, 3)
+    rows = [(5, text), (5, text), (None, text), (None, other), (None, other + " more"), (None, other), (7, alone), (8, None), (8, None), (9, " "), (None, "")]
+    docs = table(spark, rows).repartition(4)
+    docs = stored(docs, "documents") if stored_first else docs
+    kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_copies(spark, docs, "").collect()), key=repr)
+    assert len(kept) == 7 and (5, text) in kept and (7, alone) in kept
+    assert [t for i, t in kept if i is None and t] in ([other], [other + " more"])
+    assert sorted(repr(k) for k in kept if not (k[1] or "").strip()) == sorted(map(repr, [(8, None), (8, None), (9, " "), (None, "")]))
+
+
+def test_other_columns_stay_as_they_are(spark, tmp_path):
+    """Columns by the names that operators use for their own come back with their values."""
+    spark.createDataFrame([(1, words(30, 4242))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    names = ["score", "lang_pred", "ambiguous", "__row", "number", "row", "c0", "component", "spans", "kind", "clean", "n", "class", "a.b", "segment"]
+    docs = table(spark, [(k, words(60, k) + (" token = abcdef012345678999" if k == 2 else "")) for k in range(4)])
+    docs = stored(docs.select(F.col("doc_id").alias("first"), "*", *[(F.col("doc_id") * 1000 + j).alias(c) for j, c in enumerate(names)]), "documents")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, f"file://{tmp_path}"), name)
+        assert docs.columns == ["first", "doc_id", "text", "lang", "source", "n_chars", *names]
+        assert sorted(tuple(r)[6:] for r in docs.collect()) == [tuple(1000 * k + j for j in range(len(names))) for k in range(4)]
+    assert pipeline.packing(spark, docs, "").count() == 4
+
+
+def test_nothing(spark, tmp_path):
+    """Empty tables go through all stages; so do documents without text."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for rows in ([], [(1, None), (None, "")]):
+        docs = table(spark, rows)
+        for name, stage in pipeline.STAGES:
+            docs = stored(stage(spark, docs, f"file://{tmp_path}"), name)
+        assert docs.collect() == []
