@@ -1,12 +1,15 @@
 """A corpus from documents to packed token sequences, stage by stage.
 
 All stages take empty tables, null values in any column, repeated rows and texts of any length. They read doc_id and text
-(secrets also n_chars) and hand on all other columns as they are, whatever their names; none is sampled or cut.
+(language also lang, secrets also n_chars) and hand on all other columns as they are, whatever their names; none is sampled or cut. Stages
+that drop rows tell them apart by a row number of 64 bits, made of a row's place in its file; of n rows some n x dropped / 2^64
+that aren't meant share one and go too, which is far less than one below 10^9.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm.common import discard, stored
@@ -17,36 +20,60 @@ from kinelake.llm.packing import pack_documents
 from kinelake.llm.secrets import fit, labelled_samples, redact, scan
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a row key: a 64-bit hash of doc_id and text, on which alone stages decide. Null ids and repeated ones are told apart by text."""
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+def _names(docs: DataFrame) -> dict[str, str]:
+    """Names for the columns of docs that no operator's own columns have: c0, c1 and so on, and text."""
+    return {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs whose row key isn't among rows. These are written first, so that Spark knows their size when it plans the join."""
-    return _keyed(docs).join(stored(rows.select("__row").distinct(), "dropped"), "__row", "left_anti").select(docs.columns)
+def _plain(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`").alias(name) for c, name in _names(docs).items()], *more)
+
+
+def _restored(plain: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names, from what an operator made of its plain form."""
+    return plain.select(*[F.col(name).alias(c) for c, name in _names(docs).items()])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The plain form of docs with a row number, the same whenever it's read: of the file and the row's place there."""
+    try:
+        about = docs.metadataColumn("_metadata")
+        return _plain(docs, F.xxhash64(about["file_path"], about["row_index"]).alias("number"))
+    except AnalysisException:  # not a table of files
+        return _numbered(stored(docs, "rows"))
+
+
+def _without(docs: DataFrame, numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows of these numbers, which are written first, so that Spark knows their size when it plans the join."""
+    return _restored(numbered.join(stored(rows.select("number"), "dropped"), "number", "left_anti"), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts, texts without a letter and ambiguous ones go."""
     model = train_codes(docs)
-    return identify(docs, model).filter(~F.col("ambiguous")).select(docs.columns)
+    return _restored(identify(_plain(docs), model).filter(~F.col("ambiguous")), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles, directly or through others, that of the least doc_id.
+    """Of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles, directly or through others, one row.
 
-    Documents without words stay, and so do those without doc_id, of which none is the least, and all rows of the least doc_id.
+    It has the least doc_id (a null one if there is no other); of several such rows, equal ones too, it is that of the
+    least row number. Documents without words link with nothing and stay.
     """
-    groups = jaccard_groups(_keyed(docs), percent=80, width=5, key="__row")
-    return _without(docs, groups.filter(F.col("component_id") != F.col("doc_id")))
+    numbered = _numbered(docs)
+    texts = numbered.select(F.col(_names(docs)["doc_id"]).alias("doc_id"), "text", "number")
+    groups = stored(jaccard_groups(texts, percent=80, width=5, key="number").filter("component IS NOT NULL").select("component", "doc_id", "number"), "groups")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first"))
+    kept = stored(first.select("first.number"), "kept")
+    return _without(docs, numbered, groups.join(kept, "number", "left_anti"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of ten consecutive words (or all, if fewer) of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = phrase_matches(build_index(_keyed(docs).select(F.col("__row").alias("doc_id"), "text")), items, window=10)
-    return _without(docs, found.filter(F.size("matches") > 0).select(F.col("doc_id").alias("__row")))
+    numbered = _numbered(docs)
+    found = phrase_matches(build_index(numbered.select(F.col("number").alias("doc_id"), "text")), items, window=10)
+    return _without(docs, numbered, found.filter(F.size("matches") > 0).select(F.col("doc_id").alias("number")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
