@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,76 +208,71 @@ def match_sides(pose: DataFrame, first: int | None = None) -> DataFrame:
     return with_points(out, ends).select(pose.columns)
 
 
-# Pairs whose sides are told apart, and which pair each is checked against.
+# Pairs whose sides are told apart, and the next inner one of the pairs that are checked against one.
 SIDE_PAIRS = ("HIP", "KNEE", "ANKLE", "HEEL", "FOOT_INDEX", "SHOULDER")
-SIDE_CHAIN = (("KNEE", "HIP"), ("ANKLE", "KNEE"), ("HEEL", "ANKLE"), ("FOOT_INDEX", "HEEL"))
+INNER_PAIR = {"KNEE": "HIP", "ANKLE": "KNEE", "HEEL": "ANKLE", "FOOT_INDEX": "HEEL"}
+#: Frames after which a running mean that keeps nine tenths has lost what came before, to the precision of doubles.
+_MEMORY = 400
 
 
-def _pair_swaps(left: np.ndarray, right: np.ndarray, seen_l: np.ndarray, seen_r: np.ndarray, ratio: float, apart: float, drop: float) -> np.ndarray:
-    """In which frames a pair's sides are exchanged: after an odd number of frames where exchanging them would shorten both ways enough.
+def _square(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return F.pow(ax - bx, F.lit(2.0)) + F.pow(ay - by, F.lit(2.0))
 
-    Where both are seen less than they have been of late, twice the ratio is enough. An odd number of such frames loses the
-    least certain one. More than half of the frames can't be exchanged.
+
+def pair_turns(pose: DataFrame, ratio: float = 0.25, apart: float = 0.03, drop: float = 0.25) -> DataFrame:
+    """trial_id, pos, pair, lx, ly, rx, ry, odd: each pair's points, and whether its sides are the wrong way round by its path alone.
+
+    A pair's last place is that in its last frame in which both points are known and at least ``apart`` from each other.
+    It turns in a frame like that where the two ways from there, taken crosswise, are less than ``ratio`` of the straight
+    ones, or twice that where both points are seen less by ``drop`` than their running mean, which begins at 1 and
+    takes a tenth of each frame. Of an odd number of turns that of the greatest share doesn't count. Frames after an odd
+    number of turns are the wrong way round, or all others, if these are fewer.
+    """
+    seen = lambda n: F.when(F.isnan(F.col("landmarks")[n]["visibility"]), 0.0).otherwise(visibility(n))
+    own = [F.struct(F.lit(n).alias("pair"), *[c.alias(f"{s[0].lower()}{a}") for s in ("LEFT", "RIGHT") for a, c in (("x", x(f"{s}_{n}")), ("y", y(f"{s}_{n}")), ("v", seen(f"{s}_{n}")))]) for n in SIDE_PAIRS]
+    rows = pose.select("trial_id", "pos", F.explode(F.array(*own)).alias("p")).select("trial_id", "pos", "p.*")
+    rows = rows.withColumn("known", F.col("lx").isNotNull() & F.col("ly").isNotNull() & F.col("rx").isNotNull() & F.col("ry").isNotNull())
+    rows = rows.withColumn("used", F.coalesce(F.col("known") & (_square(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")) >= apart * apart), F.lit(False)))
+    known, used, every = (Window.partitionBy("trial_id", "pair", *more).orderBy("pos") for more in (["known"], ["used"], []))
+    mean = lambda c: F.aggregate(F.collect_list(c).over(known.rowsBetween(1 - _MEMORY, 0)), F.lit(1.0), lambda m, v: 0.1 * v + 0.9 * m)
+    rows = rows.withColumns({"ml": mean("lv"), "mr": mean("rv"), **{f"p{c}": F.lag(c).over(used) for c in ("lx", "ly", "rx", "ry")}})
+    to = lambda a, b: _square(F.col(f"p{a}x"), F.col(f"p{a}y"), F.col(f"{b}x"), F.col(f"{b}y"))
+    straight, crosswise = to("l", "l") + to("r", "r"), to("l", "r") + to("r", "l")
+    dim = (F.col("lv") < F.col("ml") - drop) & (F.col("rv") < F.col("mr") - drop)
+    share = F.when(F.col("used") & (straight > 0), crosswise / F.when(straight > 0, straight))
+    rows = rows.withColumn("share", share).withColumn("share", F.when(F.col("share") < F.when(dim, 2 * ratio).otherwise(ratio), F.col("share")))
+    whole = Window.partitionBy("trial_id", "pair")
+    rows = rows.withColumns({"turns": F.count("share").over(whole), "weakest": F.min(F.when(F.col("share").isNotNull(), F.struct(-F.col("share"), "pos"))).over(whole)})
+    counts = F.col("share").isNotNull() & ~((F.col("turns") % 2 == 1) & (F.col("weakest.pos") == F.col("pos")))
+    rows = rows.withColumn("odd", F.sum(F.when(counts, 1).otherwise(0)).over(every.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1)
+    most = 2 * F.sum(F.col("odd").cast("int")).over(whole) > F.count("*").over(whole)
+    return rows.withColumn("odd", F.col("odd") != most).select("trial_id", "pos", "pair", "lx", "ly", "rx", "ry", "odd")
+
+
+def exchanged_pairs(turns: DataFrame) -> DataFrame:
+    """trial_id, pos, exchanged: the pairs of each frame whose names are exchanged, from the pairs' own turns and their inner neighbours.
+
+    From the hips outwards a joint goes with the next inner one: its left is the point that is nearer to the left of that,
+    summed over both sides. Whether two pairs are nearer straight or crosswise doesn't depend on their names, so
+    a joint's names are exchanged as its neighbour's are where it's nearer straight, and the other way where crosswise;
+    where the sums are equal, or a point is missing, its own turns stand.
     """
-    known = ~np.isnan(left).any(axis=1) & ~np.isnan(right).any(axis=1)
-    gap = ((left - right) ** 2).sum(axis=1)
-    found, usual, last = [], np.ones(2), -1
-    for i in np.flatnonzero(known).tolist():
-        usual = 0.1 * np.array([seen_l[i], seen_r[i]]) + 0.9 * usual
-        if gap[i] < apart * apart:
-            continue
-        if last >= 0:
-            stay = ((left[i] - left[last]) ** 2).sum() + ((right[i] - right[last]) ** 2).sum()
-            swap = ((right[i] - left[last]) ** 2).sum() + ((left[i] - right[last]) ** 2).sum()
-            dim = seen_l[i] < usual[0] - drop and seen_r[i] < usual[1] - drop
-            if stay > 0 and swap / stay < (2 * ratio if dim else ratio):
-                found.append((i, swap / stay))
-        last = i
-    if len(found) % 2:
-        found.remove(max(found, key=lambda f: f[1]))
-    turns = np.zeros(len(left), np.int64)
-    turns[[i for i, _ in found]] = 1
-    odd = np.cumsum(turns) % 2 == 1
-    return ~odd if odd.sum() > len(odd) / 2 else odd
+    entry = F.struct("pair", F.struct("lx", "ly", "rx", "ry", "odd").alias("p"))
+    frames = turns.groupBy("trial_id", "pos").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))  # a pair each
+    frames = frames.withColumns({f"e_{n}": F.col("m")[n]["odd"] for n in SIDE_PAIRS})
+    for n, inner in INNER_PAIR.items():
+        p, q = F.col("m")[n], F.col("m")[inner]
+        to = lambda a, b: _square(p[f"{a}x"], p[f"{a}y"], q[f"{b}x"], q[f"{b}y"])  # noqa: B023, E731
+        lead = to("l", "r") + to("r", "l") - to("l", "l") - to("r", "r")
+        frames = frames.withColumn(f"e_{n}", F.when(lead > 0, F.col(f"e_{inner}")).when(lead < 0, ~F.col(f"e_{inner}")).otherwise(F.col(f"e_{n}")))
+    return frames.select("trial_id", "pos", F.array_compact(F.array(*[F.when(F.col(f"e_{n}"), n) for n in SIDE_PAIRS])).alias("exchanged"))
 
 
 def correct_pair_labels(pose: DataFrame, ratio: float = 0.25, apart: float = 0.03, drop: float = 0.25) -> DataFrame:
-    """Sides exchanged pair by pair, where only some landmarks of a frame have them the wrong way round.
-
-    Pairs are followed one by one through a trial; then each joint of a leg goes to the side whose next inner joint it is
-    nearer to, in at most three rounds. Trials are the groups of a grouped map, as a pair's state goes on from frame to
-    frame; it takes only the pairs' coordinates, and gives the names that are exchanged.
-    """
-    names = [f"{s}_{n}" for n in SIDE_PAIRS for s in ("LEFT", "RIGHT")]
-    wide = pose.select("trial_id", "frame_idx", "pos", *[c for n in names for c in (x(n).alias(f"{n}_x"), y(n).alias(f"{n}_y"), F.when(F.isnan(F.col("landmarks")[n]["visibility"]), 0.0).otherwise(visibility(n)).alias(f"{n}_v"))])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        xy = {n: np.column_stack([table.column(f"{n}_{a}").to_numpy().astype(float) for a in "xy"]) for n in names}
-        seen = {n: table.column(f"{n}_v").to_numpy().astype(float) for n in names}
-        swapped = {}
-        for n in SIDE_PAIRS:
-            a, b = f"LEFT_{n}", f"RIGHT_{n}"
-            swapped[n] = _pair_swaps(xy[a], xy[b], seen[a], seen[b], ratio, apart, drop)
-            xy[a], xy[b] = (np.where(swapped[n][:, None], q, p) for p, q in ((xy[a], xy[b]), (xy[b], xy[a])))
-        for _ in range(3):
-            changed = 0
-            for child, parent in SIDE_CHAIN:
-                cl, cr, pl, pr = (xy[f"{s}_{n}"] for n in (child, parent) for s in ("LEFT", "RIGHT"))
-                far = lambda p, q: ((p - q) ** 2).sum(axis=1)
-                cross = far(cl, pr) + far(cr, pl) < far(cl, pl) + far(cr, pr)  # never where one is missing
-                swapped[child] = swapped[child] ^ cross
-                xy[f"LEFT_{child}"], xy[f"RIGHT_{child}"] = np.where(cross[:, None], cr, cl), np.where(cross[:, None], cl, cr)
-                changed += int(cross.sum())
-            if not changed:
-                break
-        lists = [[n for n in SIDE_PAIRS if swapped[n][k]] for k in range(table.num_rows)]
-        return pa.table({"trial_id": table.column("trial_id"), "frame_idx": table.column("frame_idx"), "exchanged": pa.array(lists, pa.list_(pa.string()))})
-
-    kind = dict(pose.dtypes)
-    found = wide.groupBy("trial_id").applyInArrow(run, f"trial_id {kind['trial_id']}, frame_idx {kind['frame_idx']}, exchanged array<string>")
+    """Sides exchanged pair by pair, where only some landmarks of a frame have them the wrong way round (see pair_turns, exchanged_pairs)."""
+    found = exchanged_pairs(pair_turns(pose, ratio, apart, drop))
     other = lambda k: F.when(k.startswith("LEFT_"), F.regexp_replace(k, "^LEFT_", "RIGHT_")).otherwise(F.regexp_replace(k, "^RIGHT_", "LEFT_"))
-    own = pose.join(found, ["trial_id", "frame_idx"])
+    own = pose.join(found, ["trial_id", "pos"])
     own = own.withColumn("landmarks", F.when(F.size("exchanged") > 0, F.transform_keys("landmarks", lambda k, v: F.when(F.array_contains(F.col("exchanged"), F.regexp_replace(k, "^(LEFT|RIGHT)_", "")), other(k)).otherwise(k))).otherwise(F.col("landmarks")))
     return own.select(pose.columns)
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.plans import check_queries, kernel_queries, label_queries, series_queries, walk_queries
+from kinelake.plans import check_queries, feature_queries, kernel_queries, label_queries, series_queries, walk_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (series_queries, walk_queries, kernel_queries, label_queries, check_queries):
+for _module in (series_queries, walk_queries, kernel_queries, label_queries, check_queries, feature_queries):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 
