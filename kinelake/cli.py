@@ -35,7 +35,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     documents = pivot.read_documents(spark, asked.input)
     if asked.command == "info":
-        documents.select("trial_id", "meta.fps", _frames(), "extraction.model").show(truncate=False)
+        documents.select("trial_id", "status.kind", "meta.fps", _frames(), "extraction.model").show(truncate=False)
         return 0
     results = pipeline.run(documents, settings.load(asked.settings) if asked.settings else None)
     if asked.command == "analyze":
@@ -49,6 +49,11 @@ def main(arguments: list[str] | None = None) -> int:
     else:
         for name, df in (tables | {"curves": results.curves, "summary": results.summary, "figures": results.figures, "gvs": results.gvs, "gps": results.gps, "quality": results.quality, "report": results.report, "diagnosis": results.diagnosis, "phases": results.phases}).items():
             df.write.mode("overwrite").parquet(f"{asked.output}/{name}")
+    results.errors.write.mode("overwrite").json(f"{asked.output}/errors")
+    results.outcome.write.mode("overwrite").json(f"{asked.output}/outcome")
+    failed = results.outcome.filter("status = 'error'").count()
+    if failed:
+        print(f"{failed} recordings failed, see errors and outcome")
     results.release()
     return 0
 

@@ -149,18 +149,37 @@ def harmonic_ratios(pose: DataFrame, landmark: str = "LEFT_ANKLE") -> DataFrame:
     return ahead.join(harmonic_ratio(own, ["trial_id"], "y").withColumnRenamed("ratio", "hr_vertical"), "trial_id")
 
 
-def scale(pose: DataFrame, subjects: DataFrame) -> DataFrame:
-    """trial_id, scale: metres per unit from femur and foot lengths, one of them, or the height; 1 without any.
+def scale(pose: DataFrame, subjects: DataFrame, femur_ratio: float = 0.245) -> DataFrame:
+    """trial_id, scale: metres per unit from femur and foot lengths, their mean if both are known, or the height; 1 without any.
 
-    subjects: trial_id, height_m, femur_mm, foot_mm (nullable). Lengths are medians of the first 60 frames.
+    subjects: trial_id, height_m, femur_mm, foot_mm (nullable). Lengths are medians of the first 60 frames: of the left
+    thigh, and of the left foot, or where a frame lacks one of its ends that of the right. The femur is ``femur_ratio`` of the height.
     """
     early = pose.filter("pos < 60")
-    both = lambda a, b: F.array_compact(F.array(*[C.distance(P.x(f"{s}_{a}"), P.y(f"{s}_{a}"), P.x(f"{s}_{b}"), P.y(f"{s}_{b}")) for s in ("LEFT", "RIGHT")]))
-    femur = early.select("trial_id", F.explode(both("HIP", "KNEE")).alias("d")).groupBy("trial_id").agg(F.median("d").alias("femur"))
-    foot = early.select("trial_id", F.explode(both("HEEL", "FOOT_INDEX")).alias("d")).groupBy("trial_id").agg(F.median("d").alias("foot"))
-    j = subjects.join(femur, "trial_id", "left").join(foot, "trial_id", "left")
+    has = lambda n: F.map_contains_key("landmarks", F.lit(n)) & F.col("landmarks")[n].isNotNull()
+    either = lambda part, axis: F.when(has(f"LEFT_{part}"), axis(f"LEFT_{part}")).otherwise(axis(f"RIGHT_{part}"))
+    femur = C.distance(P.x("LEFT_HIP"), P.y("LEFT_HIP"), P.x("LEFT_KNEE"), P.y("LEFT_KNEE"))
+    foot = C.distance(either("HEEL", P.x), either("HEEL", P.y), either("FOOT_INDEX", P.x), either("FOOT_INDEX", P.y))
+    lengths = early.groupBy("trial_id").agg(F.median(femur).alias("femur"), F.median(foot).alias("foot"))
+    j = subjects.join(lengths, "trial_id", "left")
     a, b = C.safe_divide(F.col("femur_mm") / 1000.0, F.col("femur")), C.safe_divide(F.col("foot_mm") / 1000.0, F.col("foot"))
-    return j.select("trial_id", F.coalesce((a + b) / 2, a, b, C.safe_divide(F.col("height_m") * 0.245, F.col("femur")), F.lit(1.0)).alias("scale"))
+    return j.select("trial_id", F.coalesce((a + b) / 2, a, b, C.safe_divide(F.col("height_m") * femur_ratio, F.col("femur")), F.lit(1.0)).alias("scale"))
+
+
+def height_scale(pose: DataFrame, trials: DataFrame, first: int = 30, among: int = 60, least: float = 0.5) -> DataFrame:
+    """trial_id, scale: metres per pixel from the subject's height and the median height from nose to ankles in the picture.
+
+    It is that of the first ``first`` frames that qualify of the trial's first ``among``: with a confidence of at least
+    ``least``, nose and both ankles known, and more than 10 pixels between them. trials: meta.height (1080 if unknown),
+    subject.height_m. Null without a height, or a frame that qualifies.
+    """
+    pixels = F.abs(P.middle(P.y("LEFT_ANKLE"), P.y("RIGHT_ANKLE")) - P.y("NOSE")) * F.coalesce("picture", F.lit(1080))
+    about = trials.select("trial_id", F.col("meta.height").alias("picture"), F.col("subject.height_m").alias("height_m"))
+    early = pose.filter(F.col("pos") < among).join(about.select("trial_id", "picture"), "trial_id").select("trial_id", "pos", F.when((F.coalesce("confidence", F.lit(0.0)) >= least) & (pixels > 10), pixels).alias("pixels"))
+    upto = Window.partitionBy("trial_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = early.withColumn("k", F.count("pixels").over(upto)).filter(F.col("pixels").isNotNull() & (F.col("k") <= first))
+    medians = chosen.groupBy("trial_id").agg(F.median("pixels").alias("pixels"))
+    return about.join(medians, "trial_id", "left").select("trial_id", F.when(F.col("height_m") > 0, F.col("height_m") / F.col("pixels")).alias("scale"))
 
 
 def step_lengths(events: DataFrame, positions: DataFrame) -> DataFrame:
@@ -320,18 +339,100 @@ def derivatives(angles_long: DataFrame, rate: float) -> DataFrame:
     return series.gradient(out, keys, "velocity", "acceleration", 1.0 / rate)
 
 
-def waveform_components(curves: DataFrame, n: int = 3) -> DataFrame:
-    """joint, side, component, explained, loading: principal components of the cycles of each joint and side, three cycles at least."""
+#: Groups of which a task holds sums at a time; more go out and begin anew.
+_HELD_GROUPS = 256
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = np.array(table.column("curve").to_pylist(), float)
-        out = []
-        if len(rows) >= 3:
-            _, parts, _, shares = K.principal_components(rows, n)
-            out = [{"joint": table.column("joint")[0].as_py(), "side": table.column("side")[0].as_py(), "component": k, "explained": float(shares[k]), "loading": parts[k].tolist()} for k in range(len(parts))]
-        return pa.Table.from_pylist(out, schema=pa.schema([("joint", pa.string()), ("side", pa.string()), ("component", pa.int32()), ("explained", pa.float64()), ("loading", pa.list_(pa.float64()))]))
-
-    return curves.select("trial_id", "joint", "side", "curve").groupBy("trial_id", "joint", "side").applyInArrow(run, "joint string, side string, component int, explained double, loading array<double>")
+
+def _merged_moments(a: tuple[int, np.ndarray, np.ndarray] | None, b: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and sum of outer products about the mean of two sets of curves together."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def waveform_moments(curves: DataFrame, keys: tuple[str, ...] = ("joint", "side")) -> DataFrame:
+    """keys, width, n, mean, comoment: number, mean curve and sum of outer products about it (row by row) of the curves (keys, curve) of each length.
+
+    Each task sums up its own curves, and sums are merged twice, by some tasks for a group and then by one; only these
+    fixed-size sums are dealt, so that a group may have any number of curves. Curves that are null, empty or have a
+    missing value don't count.
+    """
+    kinds = dict(curves.dtypes)
+    keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    schema = f"{keyed}, width int, n long, mean array<double>, comoment array<double>"
+    usable = F.col("curve").isNotNull() & (F.size("curve") > 0) & F.forall("curve", lambda v: v.isNotNull() & ~F.isnan(v))
+    own = curves.filter(usable).select(*keys, F.col("curve").cast("array<double>").alias("curve"))
+
+    def rows(held: dict, template: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], template.field(i).type) for i in range(len(keys))]
+        columns += [pa.array([k[-1] for k in held], pa.int32()), pa.array([m[0] for m in held.values()], pa.int64())]
+        columns += [pa.array([m[i].ravel() for m in held.values()], pa.list_(pa.float64())) for i in (1, 2)]
+        return pa.record_batch(columns, names=[*keys, "width", "n", "mean", "comoment"])
+
+    def partial(batches):
+        held: dict = {}
+        template = None
+        for batch in batches:
+            template = batch.schema
+            lists = batch.column(len(keys))
+            groups: dict = {}
+            for k, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True)):
+                groups.setdefault((*key, len(lists[k])), []).append(k)
+            for key, at in groups.items():
+                x = lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), key[-1])
+                mean = x.mean(axis=0)
+                held[key] = _merged_moments(held.get(key), (len(x), mean, (x - mean).T @ (x - mean)))
+            if len(held) > _HELD_GROUPS:
+                yield rows(held, template)
+                held = {}
+        if held:
+            yield rows(held, template)
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for n, mean, comoment in zip(*(table.column(c).to_pylist() for c in ("n", "mean", "comoment")), strict=True):
+            total = _merged_moments(total, (n, np.array(mean), np.array(comoment).reshape(len(mean), -1)))
+        key = tuple(table.column(c)[0].as_py() for c in (*keys, "width"))
+        return pa.Table.from_batches([rows({key: total}, table.schema)])
+
+    parts = own.mapInArrow(partial, schema)
+    by_task = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    return by_task.groupBy(*keys, "width", "salt").applyInArrow(lambda t: merge(t), schema).groupBy(*keys, "width").applyInArrow(lambda t: merge(t), schema)
+
+
+def waveform_components(curves: DataFrame, n: int = 3, keys: tuple[str, ...] = ("joint", "side")) -> DataFrame:
+    """keys, component, explained, mean, loading: principal components of the curves of each group, three curves at least.
+
+    The curves themselves are only summed up (see waveform_moments); a component's largest entry is positive.
+    """
+    kinds = dict(curves.dtypes)
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["n"] < 3:
+                    continue
+                values, vectors = np.linalg.eigh(np.array(row["comoment"]).reshape(row["width"], -1))
+                values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+                total = values.sum()
+                for k in range(min(n, row["width"], row["n"])):
+                    v = vectors[k] * (np.sign(vectors[k][np.abs(vectors[k]).argmax()]) or 1.0)
+                    out.append({c: row[c] for c in keys} | {"component": k, "explained": float(values[k] / total) if total > 0 else 0.0, "mean": row["mean"], "loading": v.tolist()})
+            fields = [*(batch.schema.field(c) for c in keys), pa.field("component", pa.int32()), pa.field("explained", pa.float64()), pa.field("mean", pa.list_(pa.float64())), pa.field("loading", pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
+
+    keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return waveform_moments(curves, keys).mapInArrow(solve, f"{keyed}, component int, explained double, mean array<double>, loading array<double>")
+
+
+def waveform_scores(curves: DataFrame, components: DataFrame, keys: tuple[str, ...] = ("joint", "side")) -> DataFrame:
+    """curves with component and score: each curve's part along each component of its group, of the same length."""
+    dot = F.aggregate(F.zip_with(F.zip_with("curve", "mean", lambda v, m: v - m), "loading", lambda d, w: d * w), F.lit(0.0), lambda s, x: s + x)
+    joined = curves.join(components.select(*keys, "component", "mean", "loading"), list(keys)).filter(F.size("curve") == F.size("mean"))
+    return joined.select(*curves.columns, "component", dot.alias("score"))
 
 
 def time_frequency(angles_long: DataFrame, rate: float, method: str = "cwt", low: float = 0.5, high: float = 15.0, n: int = 50) -> DataFrame:

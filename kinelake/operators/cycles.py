@@ -73,9 +73,26 @@ def mean_curves(curved: DataFrame) -> DataFrame:
     return summary(long_curves(curved)).groupBy("trial_id", "side", "joint").agg(F.transform(points, lambda x: x["mean"]).alias("curve"))
 
 
-def ensemble(summaries: DataFrame) -> DataFrame:
-    """Over trials: side, joint, p, mean of means, their deviation, mean deviation within, trials and cycles."""
-    return summaries.groupBy("side", "joint", "p").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std_between"), F.avg("std").alias("std_within"), F.count("*").alias("n_trials"), F.sum("n_cycles").alias("n_cycles"))
+def common_joints(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, side, joint that every trial of a side (and of ``by``) has: those with as many trials as there are."""
+    keys = [*by, "side"]
+    have = summaries.filter(F.col("mean").isNotNull()).select(*keys, "trial_id", "joint").distinct()
+    of_joint = have.groupBy(*keys, "joint").agg(F.count("*").alias("__n"))
+    of_side = have.select(*keys, "trial_id").distinct().groupBy(*keys).agg(F.count("*").alias("__all"))
+    return of_joint.join(of_side, keys).filter(F.col("__n") == F.col("__all")).select(*keys, "joint")
+
+
+def ensemble(summaries: DataFrame, joints: str | list[str] = "any", by: tuple[str, ...] = ()) -> DataFrame:
+    """Over trials: by, side, joint, p, mean of means, their deviation, mean deviation within, trials and cycles.
+
+    joints: ``any`` takes each joint over the trials that have it, ``all`` only joints that every trial of the side has, a
+    list only those named.
+    """
+    if joints == "all":
+        summaries = summaries.join(common_joints(summaries, by), [*by, "side", "joint"], "left_semi")
+    elif joints != "any":
+        summaries = summaries.filter(F.col("joint").isin(list(joints)))
+    return summaries.groupBy(*by, "side", "joint", "p").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std_between"), F.avg("std").alias("std_within"), F.count("*").alias("n_trials"), F.sum("n_cycles").alias("n_cycles"))
 
 
 def phase_by_frame(cycles: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinelake.exceptions import UnknownName
 from kinelake.functions import kernels as K
 from kinelake.functions import series
-from kinelake.operators import cycles
+from kinelake.operators import cycles, guard
 from kinelake.operators import pose as P
 from kinelake.schemas import EVENTS
 
@@ -128,11 +128,12 @@ def _wide(pose: DataFrame) -> DataFrame:
     return pose.select("trial_id", "frame_idx", "pos", *[c for n in _NEEDED for c in (P.x(n).alias(f"{n}_x"), P.y(n).alias(f"{n}_y"))])
 
 
-def detect_events(pose: DataFrame, trials: DataFrame, method: str = "zeni", least: float = 0.4, cutoff: float = 6.0, adaptive: bool = False) -> DataFrame:
+def detect_events(pose: DataFrame, trials: DataFrame, method: str = "zeni", least: float = 0.4, cutoff: float = 6.0, adaptive: bool = False, report: bool = False) -> DataFrame:
     """Events of every trial: trial_id, side, kind (hs or to), frame, time, confidence, method.
 
     The rate is the trial's meta.fps. With ``adaptive`` the least cycle and the cutoff follow how fast the pelvis moves.
-    Frames are those of the recording, not positions in it.
+    Frames are those of the recording, not positions in it. With ``report`` there is a status too, and a trial for which
+    the detector raises has a row with it and no event.
     """
     if method not in _METHODS:
         raise UnknownName(method)
@@ -151,7 +152,8 @@ def detect_events(pose: DataFrame, trials: DataFrame, method: str = "zeni", leas
                 rows += [{"trial_id": table.column("trial_id")[0].as_py(), "side": side, "kind": kind, "frame": int(frames[p]), "time": round(float(frames[p]) / fps, 4), "confidence": float(q), "method": method} for p, q in found]
         return pa.Table.from_pylist(rows, schema=pa.schema([("trial_id", pa.string()), ("side", pa.string()), ("kind", pa.string()), ("frame", pa.int32()), ("time", pa.float64()), ("confidence", pa.float64()), ("method", pa.string())]))
 
-    return _wide(pose).join(rate, "trial_id").groupBy("trial_id").applyInArrow(run, EVENTS)
+    make, schema = guard.guarded(run, EVENTS, "events", ["trial_id"]) if report else (run, EVENTS)
+    return _wide(pose).join(rate, "trial_id").groupBy("trial_id").applyInArrow(lambda table: make(table), schema)
 
 
 def adapted(s: Series, rate: float) -> tuple[float, float]:

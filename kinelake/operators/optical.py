@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,14 +12,96 @@ from pyspark.sql import functions as F
 from kinelake.exceptions import SyncFailed
 from kinelake.functions import columns as C
 from kinelake.functions import kernels as K
+from kinelake.operators.guard import failures, status
 
-# Marker labels of common conventions by landmark; of several the first that a recording has is used.
+# Marker labels of common conventions by landmark; all that a recording has of a landmark's are averaged.
 CONVENTIONS = {
-    "plug_in_gait": {f"{s}_{n}": [f"{p}{m}" for m in ms] for s, p in (("LEFT", "L"), ("RIGHT", "R")) for n, ms in {"HIP": ["ASI"], "KNEE": ["KNE"], "ANKLE": ["ANK"], "HEEL": ["HEE"], "FOOT_INDEX": ["TOE"], "SHOULDER": ["SHO"], "ELBOW": ["ELB"], "WRIST": ["WRA", "WRB"]}.items()},
-    "isb": {f"{s}_{n}": [f"{p}_{m}" for m in ms] for s, p in (("LEFT", "L"), ("RIGHT", "R")) for n, ms in {"HIP": ["IAS"], "KNEE": ["FLE", "FME"], "ANKLE": ["FAL", "TAM"], "HEEL": ["FCC"], "FOOT_INDEX": ["FM2", "FM5"], "SHOULDER": ["SAE"], "ELBOW": ["HLE"], "WRIST": ["RSP"]}.items()},
+    "plug_in_gait": {
+        "LEFT_HIP": ["LASI", "LPSI", "LHJC"],
+        "RIGHT_HIP": ["RASI", "RPSI", "RHJC"],
+        "LEFT_KNEE": ["LKNE", "LTHI"],
+        "RIGHT_KNEE": ["RKNE", "RTHI"],
+        "LEFT_ANKLE": ["LANK", "LTIB"],
+        "RIGHT_ANKLE": ["RANK", "RTIB"],
+        "LEFT_HEEL": ["LHEE"],
+        "RIGHT_HEEL": ["RHEE"],
+        "LEFT_FOOT_INDEX": ["LTOE"],
+        "RIGHT_FOOT_INDEX": ["RTOE"],
+        "LEFT_SHOULDER": ["LSHO"],
+        "RIGHT_SHOULDER": ["RSHO"],
+        "NOSE": ["C7", "CLAV", "STRN"],
+    },
+    "iso_biomechanics": {
+        "LEFT_HIP": ["LASIS", "LHJC"],
+        "RIGHT_HIP": ["RASIS", "RHJC"],
+        "LEFT_KNEE": ["LLFE", "LMFE"],
+        "RIGHT_KNEE": ["RLFE", "RMFE"],
+        "LEFT_ANKLE": ["LLM", "LMM"],
+        "RIGHT_ANKLE": ["RLM", "RMM"],
+        "LEFT_HEEL": ["LCAL"],
+        "RIGHT_HEEL": ["RCAL"],
+        "LEFT_FOOT_INDEX": ["LTT2"],
+        "RIGHT_FOOT_INDEX": ["RTT2"],
+        "LEFT_SHOULDER": ["LASIS"],
+        "RIGHT_SHOULDER": ["RASIS"],
+        "NOSE": ["LASIS", "RASIS"],
+    },
+    "helen_hayes": {
+        "LEFT_HIP": ["LASI", "LPSI"],
+        "RIGHT_HIP": ["RASI", "RPSI"],
+        "LEFT_KNEE": ["LKNE"],
+        "RIGHT_KNEE": ["RKNE"],
+        "LEFT_ANKLE": ["LANK"],
+        "RIGHT_ANKLE": ["RANK"],
+        "LEFT_HEEL": ["LHEEL", "LHEE"],
+        "RIGHT_HEEL": ["RHEEL", "RHEE"],
+        "LEFT_FOOT_INDEX": ["LFT2", "LMT2", "LTOE"],
+        "RIGHT_FOOT_INDEX": ["RFT2", "RMT2", "RTOE"],
+        "LEFT_SHOULDER": ["LSHO"],
+        "RIGHT_SHOULDER": ["RSHO"],
+        "NOSE": ["C7", "CLAV"],
+    },
+    "bath_biocv": {
+        "LEFT_HIP": ["LEFT_HIP", "ILCREST_L", "ASIS_L"],
+        "RIGHT_HIP": ["RIGHT_HIP", "ILCREST_R", "ASIS_R"],
+        "LEFT_KNEE": ["LEFT_KNEE", "KNEE_LAT_L", "KNEE_MED_L"],
+        "RIGHT_KNEE": ["RIGHT_KNEE", "KNEE_LAT_R", "KNEE_MED_R"],
+        "LEFT_ANKLE": ["LEFT_ANKLE", "MAL_LAT_L", "MAL_MED_L", "LAJC"],
+        "RIGHT_ANKLE": ["RIGHT_ANKLE", "MAL_LAT_R", "MAL_MED_R", "RAJC"],
+        "LEFT_HEEL": ["HEEL_L"],
+        "RIGHT_HEEL": ["HEEL_R"],
+        "LEFT_FOOT_INDEX": ["LEFT_MTP", "TOE_L", "MTP1_L", "MTP5_L", "LTOE"],
+        "RIGHT_FOOT_INDEX": ["RIGHT_MTP", "TOE_R", "MTP1_R", "MTP5_R", "RTOE"],
+        "LEFT_SHOULDER": ["LEFT_SHO", "ACROM_L"],
+        "RIGHT_SHOULDER": ["RIGHT_SHO", "ACROM_R"],
+        "NOSE": ["C7", "CLAV"],
+    },
+    "iso_biomechanics_underscore": {
+        "LEFT_HIP": ["L_ASIS", "L_HJC"],
+        "RIGHT_HIP": ["R_ASIS", "R_HJC"],
+        "LEFT_KNEE": ["L_LFE", "L_MFE"],
+        "RIGHT_KNEE": ["R_LFE", "R_MFE"],
+        "LEFT_ANKLE": ["L_LM", "L_MM"],
+        "RIGHT_ANKLE": ["R_LM", "R_MM"],
+        "LEFT_HEEL": ["L_CAL"],
+        "RIGHT_HEEL": ["R_CAL"],
+        "LEFT_FOOT_INDEX": ["L_TT2"],
+        "RIGHT_FOOT_INDEX": ["R_TT2"],
+        "LEFT_SHOULDER": ["L_SHO"],
+        "RIGHT_SHOULDER": ["R_SHO"],
+        "NOSE": ["L_ASIS", "R_ASIS"],
+    },
+}
+#: Landmarks that a convention is judged by, and of how many of these it has to name a marker.
+REQUIRED, ENOUGH = ("LEFT_HIP", "RIGHT_HIP", "LEFT_KNEE", "RIGHT_KNEE", "LEFT_ANKLE", "RIGHT_ANKLE"), 4
+# Patterns for labels of no known convention, by part, and the prefixes of the sides.
+FUZZY = {
+    "HIP": "ASIS?|HJC|HIP|ILIAC|PELV", "KNEE": "KNE|KJC|LFE|MFE|FEP", "ANKLE": "ANK|AJC|LM$|MM$|MALL", "HEEL": "HEE|HEEL|CAL",
+    "FOOT_INDEX": "TOE|TT2|MT2|MTP|FT2", "SHOULDER": "SHO|AC$|ACR", "NOSE": "CLAV|C7|STRN|NOSE",
 }
-#: Patterns for labels of no known convention.
-FUZZY = {"HIP": "ASI|HIP|IAS|GTR", "KNEE": "KNE|KNEE|FLE", "ANKLE": "ANK|MAL|FAL", "HEEL": "HEE|CAL|FCC", "FOOT_INDEX": "TOE|MT[0-9]|FM[0-9]", "SHOULDER": "SHO|ACR|SAE"}
+FUZZY_SIDES = {"LEFT": "^(L(?![A-Z])|LEFT[_ ]?|L_)", "RIGHT": "^(R(?![A-Z])|RIGHT[_ ]?|R_)"}
+# Angles that two recordings may be synchronised by, the first of equally long ones, and the samples needed.
+SYNC_JOINTS, SYNC_SAMPLES = ("knee_L", "knee_R", "hip_L", "hip_R"), 10
 
 
 def nearest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,28 +181,111 @@ def event_errors(video: DataFrame, optical: DataFrame) -> DataFrame:
     return d.groupBy(*keys).agg((F.avg("distance") * 1000).alias("mae_ms"), (F.median("distance") * 1000).alias("median_ms"))
 
 
+@dataclass
+class OpticalRun:
+    """Tables of a comparison, by trial: choice and offset (sync), who couldn't be synchronised (errors), rows beside each other, and how they differ."""
+
+    sync: DataFrame
+    errors: DataFrame
+    aligned: DataFrame
+    angle_errors: DataFrame
+    event_errors: DataFrame | None
+    blocks: DataFrame
+
+
+def sync_signals(video: DataFrame, optical: DataFrame) -> DataFrame:
+    """trial_id, joint, n, counts: for each trial of video the candidate of SYNC_JOINTS of which both recordings have most samples.
+
+    Both have trial_id, joint, pos, value; n is the smaller of a joint's two numbers of samples, counts those of all candidates.
+    """
+    count = lambda df, name: df.filter(F.col("joint").isin(*SYNC_JOINTS)).groupBy("trial_id", "joint").agg(F.count("*").alias(name))
+    rank = F.array_position(F.array(*map(F.lit, SYNC_JOINTS)), F.col("joint"))
+    both = count(video, "a").join(count(optical, "b"), ["trial_id", "joint"]).select("trial_id", "joint", F.least("a", "b").alias("n"), rank.alias("rank"))
+    best = both.groupBy("trial_id").agg(F.max_by(F.struct("joint", "n"), F.struct("n", -F.col("rank"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("joint", "n"))).alias("counts"))  # four at most
+    none = F.create_map().cast("map<string,bigint>")
+    return video.select("trial_id").distinct().join(best, "trial_id", "left").select("trial_id", "b.joint", F.coalesce("b.n", F.lit(0)).alias("n"), F.coalesce("counts", none).alias("counts"))
+
+
+def optical_run(video: DataFrame, optical: DataFrame, video_rate: float, optical_rate: float, video_events: DataFrame | None = None, optical_events: DataFrame | None = None, longest: float = 10.0, least: int = SYNC_SAMPLES) -> OpticalRun:
+    """Compare angles (trial_id, joint, pos, value) of both recordings, and events (trial_id, side, kind, time), of all trials in one plan.
+
+    Each trial is synchronised by its longest common signal; its rows are put beside the optical ones of the nearest time,
+    and differ by joint. Trials with fewer than ``least`` samples of every candidate are rows of ``errors`` and have
+    no others. ``blocks`` has a struct for each trial of video: status (ok, no_overlap, error), sync, alignment, angles by joint.
+    """
+    chosen = sync_signals(video, optical)
+    enough = chosen.filter(F.col("n") >= least)
+    own = lambda df: df.join(enough.select("trial_id", "joint"), ["trial_id", "joint"], "left_semi").select("trial_id", "pos", "value")
+    offsets = estimate_offset(own(video), own(optical), video_rate, optical_rate, longest)
+    sync = enough.join(offsets, "trial_id").select("trial_id", F.col("joint").alias("signal"), "n", "offset", "r")
+    listed = F.array_join(F.array(*[F.concat(F.lit(f"{j}="), F.coalesce(F.col("counts")[j], F.lit(0)).cast("string")) for j in SYNC_JOINTS]), ", ")
+    failed = chosen.join(sync, "trial_id", "left_anti").select("trial_id", status("sync", "SyncFailed", F.concat(F.lit("too few common samples: "), listed, F.lit(f"; {least} are needed"))).alias("status"))
+    errors = failures(failed)
+    moved = video.join(sync.select("trial_id", F.col("offset").alias("__offset")), "trial_id")
+    aligned = align_nearest(moved, optical.withColumnRenamed("value", "reference"), ["trial_id", "joint"], video_rate, optical_rate, F.col("__offset")).drop("__offset")
+    angle_errors = error_metrics(aligned, ["trial_id", "joint"])
+    events = None
+    if video_events is not None and optical_events is not None:
+        shifted = video_events.join(sync.select("trial_id", "offset"), "trial_id").withColumn("time", F.col("time") + F.col("offset"))
+        events = event_errors(shifted, optical_events)
+    measures = F.struct("n", "rmse", "mae", "bias", "rom_diff", "cmc")
+    by_joint = angle_errors.groupBy("trial_id").agg(F.map_from_entries(F.collect_list(F.struct("joint", measures))).alias("angles"))
+    counts = aligned.groupBy("trial_id").agg(F.countDistinct("pos").alias("n_aligned"))
+    j = video.select("trial_id").distinct().join(sync, "trial_id", "left").join(counts, "trial_id", "left").join(by_joint, "trial_id", "left")
+    state = F.when(F.col("signal").isNull(), "error").when(F.coalesce("n_aligned", F.lit(0)) == 0, "no_overlap").otherwise("ok")
+    part = [state.alias("status"), F.struct("signal", "offset", "r").alias("sync"), F.struct("offset", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned")).alias("alignment"), "angles"]
+    if events is not None:
+        entry = F.struct(F.concat_ws("_", "side", "kind").alias("k"), F.struct("mae_ms", "median_ms").alias("v"))
+        j = j.join(events.groupBy("trial_id").agg(F.map_from_entries(F.collect_list(entry)).alias("events")), "trial_id", "left")
+        part.append("events")
+    return OpticalRun(sync, errors, aligned, angle_errors, events, j.select("trial_id", F.struct(*part).alias("optical")))
+
+
+def attach_blocks(documents: DataFrame, run: OpticalRun) -> DataFrame:
+    """documents with an ``experimental`` struct that holds the trial's block, null for trials that weren't compared."""
+    return documents.join(run.blocks, "trial_id", "left").withColumn("experimental", F.when(F.col("optical").isNotNull(), F.struct("optical"))).drop("optical")
+
+
 def convention_table(spark: SparkSession) -> DataFrame:
-    """convention, landmark, label, rank."""
-    return spark.createDataFrame(pa.Table.from_pylist([{"convention": c, "landmark": n, "label": label, "rank": k} for c, own in CONVENTIONS.items() for n, labels in own.items() for k, label in enumerate(labels)]))
+    """convention, number, landmark, label, rank."""
+    return spark.createDataFrame(pa.Table.from_pylist([{"convention": c, "number": i, "landmark": n, "label": label, "rank": k} for i, (c, own) in enumerate(CONVENTIONS.items()) for n, labels in own.items() for k, label in enumerate(labels)]))
 
 
-def detect_convention(labels: DataFrame, least: int = 4) -> DataFrame:
-    """trial_id, convention, n: of labels (trial_id, label) the convention that names most landmarks, ``fuzzy`` below ``least``."""
-    spark = labels.sparkSession
-    table = convention_table(spark).withColumn("__l", F.upper("label"))
-    bare = labels.select("trial_id", F.upper(F.element_at(F.split("label", ":"), -1)).alias("__l")).distinct()
-    score = bare.join(table, "__l").groupBy("trial_id", "convention").agg(F.countDistinct("landmark").alias("n"))
-    best = score.groupBy("trial_id").agg(F.max_by(F.struct("convention", "n"), F.struct("n", "convention")).alias("b"))
+def _bare(labels: DataFrame) -> DataFrame:
+    return labels.select("trial_id", "label", F.upper(F.element_at(F.split("label", ":"), -1)).alias("__l")).distinct()
+
+
+def detect_convention(labels: DataFrame, least: int = ENOUGH) -> DataFrame:
+    """trial_id, convention, n: of labels (trial_id, label) the convention that names markers of most of the REQUIRED landmarks.
+
+    The first of equal ones; ``fuzzy`` where none has ``least``. Labels may have a subject's prefix before a colon, in any case.
+    """
+    table = convention_table(labels.sparkSession).filter(F.col("landmark").isin(*REQUIRED)).withColumn("__l", F.upper("label")).drop("label")
+    bare = _bare(labels)
+    score = bare.join(F.broadcast(table), "__l").groupBy("trial_id", "convention", "number").agg(F.countDistinct("landmark").alias("n"))
+    best = score.groupBy("trial_id").agg(F.max_by(F.struct("convention", "n"), F.struct("n", -F.col("number"))).alias("b"))
     out = bare.select("trial_id").distinct().join(best, "trial_id", "left")
     return out.select("trial_id", F.when(F.col("b.n") >= least, F.col("b.convention")).otherwise("fuzzy").alias("convention"), F.coalesce("b.n", F.lit(0)).alias("n"))
 
 
 def fuzzy_landmarks(labels: DataFrame) -> DataFrame:
-    """trial_id, label, landmark by the side prefix and a pattern."""
-    bare = F.upper(F.element_at(F.split("label", ":"), -1))
-    side = F.when(bare.rlike("^L"), "LEFT").when(bare.rlike("^R"), "RIGHT")
-    name = F.coalesce(*[F.when(bare.rlike(p), n) for n, p in FUZZY.items()])
-    return labels.select("trial_id", "label", F.concat_ws("_", side, name).alias("landmark"), side.alias("s"), name.alias("n")).filter(F.col("s").isNotNull() & F.col("n").isNotNull()).drop("s", "n")
+    """trial_id, label, landmark by the side's prefix and a part's pattern; a label may stand for several."""
+    bare = _bare(labels)
+    own = []
+    for part, pattern in FUZZY.items():
+        for side in FUZZY_SIDES if part != "NOSE" else [""]:
+            fits = F.col("__l").rlike(pattern) & (F.col("__l").rlike(FUZZY_SIDES[side]) if side else F.lit(True))
+            own.append(F.when(fits, f"{side}_{part}" if side else part))
+    return bare.select("trial_id", "label", F.explode(F.array_compact(F.array(*own))).alias("landmark"))
+
+
+def marker_mapping(labels: DataFrame) -> DataFrame:
+    """trial_id, label, landmark of each trial's labels, by the convention that fits it, or by patterns where none does."""
+    found = detect_convention(labels).select("trial_id", "convention")
+    table = convention_table(labels.sparkSession).withColumn("__l", F.upper("label")).select("convention", "landmark", "__l")
+    known = _bare(labels).join(found, "trial_id").join(F.broadcast(table), ["convention", "__l"]).select("trial_id", "label", "landmark")
+    other = fuzzy_landmarks(labels.join(found.filter("convention = 'fuzzy'"), "trial_id", "left_semi"))
+    return known.unionByName(other)
 
 
 def marker_landmarks(markers: DataFrame, mapping: DataFrame, forward: str = "Y", up: str = "Z") -> DataFrame:

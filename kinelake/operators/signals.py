@@ -16,25 +16,34 @@ from pyspark.sql import functions as F
 from kinelake.exceptions import UnknownName
 from kinelake.functions import kernels as K
 from kinelake.functions import series
+from kinelake.operators import guard
 
 KEYS = ["trial_id", "name"]
 
 
 def per_series(tracks: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...] = ("x", "y"), keys: list[str] | None = None) -> DataFrame:
-    """Each column of each series through a kernel, after gaps are interpolated; a kernel that raises leaves the interpolated series."""
+    """Each column of each series through a kernel, after gaps are interpolated; a kernel that raises leaves the interpolated series.
+
+    Tracks with a status (see guard) get there what was raised first, of any kind.
+    """
     keys = keys or KEYS
     names = tracks.columns
+    tell = "status" in names
+    caught = Exception if tell else (ValueError, np.linalg.LinAlgError)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
+        failed = None
         for c in columns:
             values = K.fill_linear(table.column(c).to_numpy().astype(float))
             if not np.isnan(values).all():
                 try:
                     values = kernel(values)
-                except (ValueError, np.linalg.LinAlgError):
-                    pass
+                except caught as error:
+                    failed = failed or guard.described("normalize", error)
             table = table.set_column(table.column_names.index(c), c, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        if tell and failed and table.column("status")[0].as_py() is None:
+            table = table.set_column(table.column_names.index("status"), "status", pa.array([failed] * table.num_rows, guard.STATUS_ARROW))
         return table.select(names)
 
     return tracks.groupBy(*keys).applyInArrow(run, tracks.schema)

@@ -179,9 +179,8 @@ def stft_dominant(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def waveform_pca(spark: SparkSession, d: str) -> DataFrame:
-    """Principal components of curves."""
-    curves = _as_text(vector_curves(spark, d)).withColumn("trial_id", F.lit("all"))
-    return analysis.waveform_components(curves).select("joint", "side", "component", r6("explained").alias("explained"))
+    """Principal components of the curves of all trials, by joint and side."""
+    return analysis.waveform_components(vector_curves(spark, d)).select("joint", "side", "component", r6("explained").alias("explained"))
 
 
 @_query()

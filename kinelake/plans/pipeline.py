@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import columns as C
-from kinelake.operators import analysis, corrections, cycles, events, normative, pose, quality, scores, signals, validation
+from kinelake.operators import analysis, corrections, cycles, events, guard, normative, pose, quality, scores, signals, validation
 from kinelake.sources import pivot, settings
 
 
@@ -33,10 +33,13 @@ class Results:
     report: DataFrame
     diagnosis: DataFrame
     phases: DataFrame
+    errors: DataFrame
+    outcome: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
         """Give back what run keeps."""
-        for df in (self.poses, self.angles, self.events, self.cycles, self.curves):
+        for df in self.held:
             df.unpersist()
 
 
@@ -45,24 +48,35 @@ def run(documents: DataFrame, options: dict | None = None, keep: bool = True) ->
 
     Tables that later ones read several times are worked out once and kept, in memory and on disk, until ``release`` is
     called; without ``keep`` each result is a plan from the documents on.
+
+    A trial that a stage fails for is a row of ``errors`` (trial_id, stage, kind, message, item) and missing from what
+    comes after; all others go on. ``outcome`` has a row for each document: ok or error, frames, events and cycles.
     """
-    held = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
+    kept: list[DataFrame] = []
+
+    def held(df: DataFrame) -> DataFrame:
+        if keep:
+            kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
     o = settings.merged(settings.DEFAULTS, options or {})
+    every, documents = guard.with_status(documents), guard.good(documents)
     trials = pivot.trials(documents)
     raw = pivot.poses(documents)
-    tracks = pose.to_long(raw)
-    clean = held(pose.to_pose(signals.normalize(tracks, o["normalize"]["steps"], o["normalize"]["gap_max"])))
+    tracks = signals.normalize(guard.with_status(pose.to_long(raw)), o["normalize"]["steps"], o["normalize"]["gap_max"])
+    clean = held(pose.to_pose(tracks))
     angles = pose.canonicalize_signs(pose.compute_angles(clean, **o["angles"]))
     if o["corrections"]["ankle_projection"]:
         angles = pose.correct_ankle_projection(clean, angles)
     if o["corrections"]["drift"]:
         angles = corrections.detrend_angles(angles)
     angles = held(angles)
-    found = held(events.detect_events(clean, trials, **o["events"]))
+    detected = held(events.detect_events(clean, trials, **o["events"], report=True))
+    found = guard.good(detected)
     rates = trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps"))
     cut = held(cycles.segment(found.join(rates, "trial_id"), F.col("fps"), o["cycles"]["shortest"], o["cycles"]["longest"]))
     curves = held(cycles.curves(cut, pose.angles_long(angles), o["cycles"]["points"]))
-    everything = cut
+    all_cuts = cut
     if o["corrections"]["one_direction"]:
         cut = cycles.dominant_direction(cut, clean.select("trial_id", "frame_idx", pose.middle(pose.x("LEFT_HIP"), pose.x("RIGHT_HIP")).alias("x")), curves)
         cut = held(cut)
@@ -74,12 +88,23 @@ def run(documents: DataFrame, options: dict | None = None, keep: bool = True) ->
     gvs = scores.variable_scores(summary, norm)
     gps = scores.profile_score(gvs)
     limits = validation.ranges(documents.sparkSession)
+    errors = guard.together(guard.failures(every), guard.failures(tracks, "name"), guard.failures(detected))
     return Results(
         trials, clean, angles, found, cut, curves, summary, figures, gvs, gps, scores.deviation_index(gps, norm), validation.check_angles(pose.angles_long(angles), limits), quality.quality_score(raw),
-        report(figures, clean, trials, found, cut, curves), diagnose(raw, trials, everything, cut, curves), validation.check_phases(curves, cut, limits),
+        report(figures, clean, trials, found, cut, curves), diagnose(raw, trials, all_cuts, cut, curves), validation.check_phases(curves, cut, limits),
+        errors, outcome(every, errors, found, cut), kept,
     )
 
 
+def outcome(documents: DataFrame, errors: DataFrame, found: DataFrame, cut: DataFrame) -> DataFrame:
+    """trial_id, status (ok or error), n_frames, n_events, n_cycles, error of each document; a landmark's failure alone is no error of its trial."""
+    count = lambda df, name: df.groupBy("trial_id").agg(F.count("*").alias(name))
+    first = errors.filter("item IS NULL").groupBy("trial_id").agg(F.min(F.concat_ws(": ", "stage", "kind", "message")).alias("error"))
+    frames = documents.select("trial_id", F.greatest(F.coalesce(F.size("frames"), F.lit(0)), F.lit(0)).alias("n_frames"))
+    out = frames.join(first, "trial_id", "left").join(count(found, "n_events"), "trial_id", "left").join(count(cut, "n_cycles"), "trial_id", "left").fillna(0, ["n_events", "n_cycles"])
+    return out.select("trial_id", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "n_frames", "n_events", "n_cycles", "error")
+
+
 def report(figures: DataFrame, poses: DataFrame, trials: DataFrame, found: DataFrame, cut: DataFrame, curves: DataFrame) -> DataFrame:
     """A row per trial with all figures: spatiotemporal, symmetry, variability, harmonics, steps, speed, flags, patterns, and their short names.
 

@@ -11,16 +11,37 @@ from pyspark.sql import types as T
 
 from kinelake.exceptions import InvalidData
 from kinelake.functions import columns as C
+from kinelake.operators.guard import status
 from kinelake.schemas import DOCUMENT, MEDIAPIPE_33, POSE
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents, one a file, NaN tokens allowed. Documents without meta or frames are refused; trial_id defaults to the file's name."""
-    rows = spark.read.schema(DOCUMENT).option("multiLine", True).option("allowNonNumericNumbers", True).json(path).withColumn("__file", F.col("_metadata.file_name"))
-    bad = rows.filter(F.col("meta").isNull() | F.col("frames").isNull()).select("__file").limit(3).collect()
-    if bad:
-        raise InvalidData(f"no meta or frames in {', '.join(r[0] for r in bad)}")
-    return rows.withColumn("trial_id", F.coalesce("trial_id", F.regexp_replace("__file", r"\.json$", ""))).drop("__file")
+def parse_documents(files: DataFrame) -> DataFrame:
+    """Documents of files (name, content), NaN tokens allowed, with a status: null, or why a file can't be worked on.
+
+    Kinds are malformed (no JSON), no_meta and no_frames (missing or empty). A field of another type is null. trial_id
+    defaults to the file's name without its ending.
+    """
+    schema = T.StructType([*DOCUMENT.fields, T.StructField("__broken", T.StringType())])
+    options = {"allowNonNumericNumbers": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}
+    rows = files.select("name", F.from_json(F.col("content").cast("string"), schema, options).alias("d")).select("name", "d.*")
+    nothing = F.col("meta").isNull() & F.col("frames").isNull()
+    failed = (
+        F.when(nothing & F.col("__broken").isNotNull() | nothing & F.col("trial_id").isNull() & F.col("extraction").isNull() & F.col("subject").isNull(), status("read", "malformed", "not a JSON document"))
+        .when(F.col("meta").isNull(), status("read", "no_meta", "no meta")).when(F.coalesce(F.size("frames"), F.lit(0)) < 1, status("read", "no_frames", "no frames"))
+    )
+    own = F.coalesce("trial_id", F.regexp_replace("name", r"\.json$", ""))
+    return rows.select(own.alias("trial_id"), *[c for c in DOCUMENT.names if c != "trial_id"], failed.alias("status"))
+
+
+def read_documents(spark: SparkSession, path: str, refuse: bool = False) -> DataFrame:
+    """JSON documents, one a file, with a status (see parse_documents). With ``refuse`` any that failed are an error at once."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    rows = parse_documents(files)
+    if refuse:
+        bad = rows.filter("status IS NOT NULL").select("trial_id", "status.message").limit(3).collect()
+        if bad:
+            raise InvalidData(", ".join(f"{r[0]}: {r[1]}" for r in bad))
+    return rows
 
 
 def trials(documents: DataFrame) -> DataFrame:

@@ -36,7 +36,9 @@ def test_round_trip_of_documents(spark, walk, tmp_path):
     assert pivot.poses(again).filter(F.exists(F.map_values("landmarks"), lambda p: p["x"].isNull())).count() == 2
     (tmp_path / "bad.json").write_text('{"meta": {}}')
     with pytest.raises(InvalidData):
-        pivot.read_documents(spark, f"file://{tmp_path}/*.json")
+        pivot.read_documents(spark, f"file://{tmp_path}/*.json", refuse=True)
+    kept = {r["trial_id"]: r["status"] for r in pivot.read_documents(spark, f"file://{tmp_path}/*.json").collect()}
+    assert kept["a"] is None and kept["bad"]["kind"] == "no_frames"
 
 
 def test_standing_has_straight_legs(spark):
