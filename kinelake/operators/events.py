@@ -16,7 +16,8 @@ from kinelake.operators import cycles, guard
 from kinelake.operators import pose as P
 from kinelake.schemas import EVENTS
 
-_NEEDED = [f"{s}_{n}" for s in ("LEFT", "RIGHT") for n in ("HIP", "KNEE", "ANKLE", "HEEL", "FOOT_INDEX")]
+#: Landmarks that detectors look at.
+NEEDED = [f"{s}_{n}" for s in ("LEFT", "RIGHT") for n in ("HIP", "KNEE", "ANKLE", "HEEL", "FOOT_INDEX")]
 Series = dict[str, np.ndarray]
 Found = dict[tuple[str, str], list[tuple[int, float]]]
 
@@ -124,8 +125,13 @@ def list_event_methods() -> list[str]:
     return list(_METHODS)
 
 
-def _wide(pose: DataFrame) -> DataFrame:
-    return pose.select("trial_id", "frame_idx", "pos", *[c for n in _NEEDED for c in (P.x(n).alias(f"{n}_x"), P.y(n).alias(f"{n}_y"))])
+def methods() -> dict[str, Callable[[Series, float, float, float], Found]]:
+    return dict(_METHODS)
+
+
+def wide_tracks(pose: DataFrame) -> DataFrame:
+    """trial_id, frame_idx, pos and the coordinates that detectors look at, a column each."""
+    return pose.select("trial_id", "frame_idx", "pos", *[c for n in NEEDED for c in (P.x(n).alias(f"{n}_x"), P.y(n).alias(f"{n}_y"))])
 
 
 def detect_events(pose: DataFrame, trials: DataFrame, method: str = "zeni", least: float = 0.4, cutoff: float = 6.0, adaptive: bool = False, report: bool = False) -> DataFrame:
@@ -153,7 +159,7 @@ def detect_events(pose: DataFrame, trials: DataFrame, method: str = "zeni", leas
         return pa.Table.from_pylist(rows, schema=pa.schema([("trial_id", pa.string()), ("side", pa.string()), ("kind", pa.string()), ("frame", pa.int32()), ("time", pa.float64()), ("confidence", pa.float64()), ("method", pa.string())]))
 
     make, schema = guard.guarded(run, EVENTS, "events", ["trial_id"]) if report else (run, EVENTS)
-    return _wide(pose).join(rate, "trial_id").groupBy("trial_id").applyInArrow(lambda table: make(table), schema)
+    return wide_tracks(pose).join(rate, "trial_id").groupBy("trial_id").applyInArrow(lambda table: make(table), schema)
 
 
 def adapted(s: Series, rate: float) -> tuple[float, float]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.functions import tables
 from kinelake.functions.columns import r6
-from kinelake.operators import analysis, cycles, optical, pose
+from kinelake.operators import analysis, cycles, events, optical, pose
 from kinelake.plans.series_queries import _S, RATE
 from kinelake.plans.walk_queries import _PO, _v, _xy
 from kinelake.sources import pivot
@@ -151,3 +152,12 @@ def optical_comparison(spark: SparkSession, d: str) -> DataFrame:
     worst = F.array_max(F.transform(F.map_values("optical.angles"), lambda m: m["rmse"]))
     o = F.col("optical")
     return run.blocks.select("trial_id", o["status"].alias("status"), o["sync"]["signal"].alias("signal"), r6(o["sync"]["offset"]).alias("offset"), o["alignment"]["n_aligned"].alias("n_aligned"), (F.round(worst, 5) + 0.0).alias("worst_rmse"))
+
+
+@_query()
+def detect_events_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The detectors as a table function: contacts and lift-offs by two methods in one statement."""
+    tables.register(spark)
+    events.wide_tracks(vector_pose(spark, d)).createOrReplaceTempView("kinelake_tracks")
+    call = "SELECT * FROM detect_events(TABLE(kinelake_tracks) PARTITION BY trial_id ORDER BY pos, method => '{0}', rate => {1}D, least => 0.5D, cutoff => 1.5D)"
+    return spark.sql(" UNION ALL ".join(call.format(m, RATE) for m in ("zeni", "velocity")))

@@ -10,7 +10,7 @@ from kinelake.plans.registry import QUERIES
 from kinelake.plans.series_queries import RATE
 from tests.conftest import DATA, requires_data
 
-TESTED = {"lowess_smooth", "wavelet_denoise", "spline_smooth", "spline_gap_fill", "normalize_chain", "residual_cutoff", "find_peaks", "morlet_dominant", "waveform_pca", "procrustes", "detect_events"}
+TESTED = {"lowess_smooth", "wavelet_denoise", "spline_smooth", "spline_gap_fill", "normalize_chain", "residual_cutoff", "find_peaks", "morlet_dominant", "waveform_pca", "procrustes", "detect_events", "detect_events_in_sql"}
 pytestmark = requires_data
 
 
