@@ -403,6 +403,38 @@ def principal_components(rows: np.ndarray, n: int = 3) -> tuple[np.ndarray, np.n
     return mean, (vt * sign[:, None])[:n], (u * s * sign)[:, :n], (s * s / total if total > 0 else s * 0)[:n]
 
 
+def regularity(y: np.ndarray, rate: float, shortest: float = 0.3, longest: float = 1.5) -> tuple[float, float] | tuple[float, None] | tuple[None, None]:
+    """Autocorrelation at the first peak from ``shortest`` to ``longest`` seconds, and at the first from there and ``shortest`` more to three times that lag."""
+    known = ~np.isnan(y)
+    if len(y) < 30 or known.sum() < 30:
+        return None, None
+    v = fill_linear(y)
+    v = v - v.mean()
+    r = np.correlate(v, v, "full")[len(v) - 1 :]
+    if r[0] <= 0:
+        return None, None
+    r = r / r[0]
+    least, most = max(1, int(shortest * rate)), min(len(r) - 1, int(longest * rate))
+
+    def first(a: int, b: int) -> int | None:
+        """The first place within r[a:b], its ends excluded, above both neighbours; of a level top the middle."""
+        k = a + 1
+        while k < b - 1:
+            end = k
+            while end < b - 1 and r[end + 1] == r[k]:
+                end += 1
+            if r[k] > r[k - 1] and end < b - 1 and r[end + 1] < r[k]:
+                return (k + end) // 2
+            k = end + 1
+        return None
+
+    step = first(least, most) if most > least else None
+    if step is None:
+        return None, None
+    stride = first(step + least, min(len(r) - 1, 3 * step))
+    return float(r[step]), None if stride is None else float(r[stride])
+
+
 def procrustes(points: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
     """Points moved, turned and scaled onto target in the plane, and the distance left; rows with NaN are left out of the fit."""
     known = ~(np.isnan(points).any(axis=1) | np.isnan(target).any(axis=1))

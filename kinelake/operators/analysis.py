@@ -123,6 +123,21 @@ def regularity(tracks: DataFrame, keys: list[str], value: str, rate: float, shor
     return ranked.groupBy(*keys).agg(pick(1, "lag").alias("step_lag"), pick(1, "r").alias("step"), pick(2, "lag").alias("stride_lag"), pick(2, "r").alias("stride"))
 
 
+def regularity_index(pose: DataFrame, trials: DataFrame, landmark: str = "LEFT_ANKLE") -> DataFrame:
+    """trial_id, step_regularity, stride_regularity, symmetry_ratio: of a landmark's height, at each trial's own rate (see kernels.regularity)."""
+    kind = dict(pose.dtypes)["trial_id"]
+    rates = trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        step, stride = K.regularity(table.column("y").to_numpy().astype(float), table.column("fps")[0].as_py())
+        return pa.table({"trial_id": table.column("trial_id")[:1], "step_regularity": pa.array([step], pa.float64()), "stride_regularity": pa.array([stride], pa.float64())})
+
+    own = pose.select("trial_id", "pos", P.y(landmark).alias("y")).join(rates, "trial_id")
+    out = own.groupBy("trial_id").applyInArrow(run, f"trial_id {kind}, step_regularity double, stride_regularity double")
+    return out.withColumn("symmetry_ratio", F.when(F.col("stride_regularity") > 0, F.col("step_regularity") / F.col("stride_regularity")))
+
+
 def harmonic_ratio(tracks: DataFrame, keys: list[str], value: str, forward: bool = False, harmonics: int = 20, least: int = 30, rows: int = 60, pos: str = "pos") -> DataFrame:
     """keys, ratio: even over odd harmonics of the whole series, or odd over even ones for the ``forward`` axis.
 

@@ -13,6 +13,7 @@ from kinelake.exceptions import SyncFailed
 from kinelake.functions import columns as C
 from kinelake.functions import kernels as K
 from kinelake.operators.guard import failures, status
+from kinelake.schemas import DOCUMENT, FRAME
 
 # Marker labels of common conventions by landmark; all that a recording has of a landmark's are averaged.
 CONVENTIONS = {
@@ -302,6 +303,22 @@ def marker_landmarks(markers: DataFrame, mapping: DataFrame, forward: str = "Y",
     return named.select("trial_id", "frame_idx", "name", C.safe_divide(F.col("a") - low_a, reach).alias("x"), (1.0 - C.safe_divide(F.col("b") - low_b, reach)).alias("y"))
 
 
+def marker_documents(markers: DataFrame, mapping: DataFrame, forward: str = "Y", up: str = "Z") -> DataFrame:
+    """Documents (see schemas.DOCUMENT) of markers (trial_id, frame_idx, time_s, name, X, Y, Z) seen from the side; the rate follows from times."""
+    times = markers.groupBy("trial_id", "frame_idx").agg(F.min("time_s").alias("time_s"))
+    rate = times.groupBy("trial_id").agg(F.count("*").alias("n"), ((F.max("frame_idx") - F.min("frame_idx")) / F.nullif(F.max("time_s") - F.min("time_s"), F.lit(0.0))).alias("fps"))
+    point = F.struct("x", "y", F.lit(1.0).alias("visibility"))
+    frames = marker_landmarks(markers, mapping, forward, up).groupBy("trial_id", "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("name", point.alias("p")))).alias("landmarks"))
+    empty = F.create_map().cast("map<string,struct<x:double,y:double,visibility:double>>")
+    whole = times.join(frames, ["trial_id", "frame_idx"], "left").select("trial_id", F.struct(F.col("frame_idx").cast("int").alias("frame_idx"), "time_s", F.when(F.col("landmarks").isNotNull(), 1.0).otherwise(0.0).alias("confidence"), F.coalesce("landmarks", empty).alias("landmarks")).alias("f"))
+    body = whole.groupBy("trial_id").agg(F.array_sort(F.collect_list("f"), lambda a, b: a["frame_idx"] - b["frame_idx"]).alias("frames"))  # a recording
+    meta = F.struct(F.lit("optical").alias("source"), F.lit(None).cast("string").alias("video_path"), "fps", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.col("n").cast("int").alias("n_frames"), (F.col("n") / F.col("fps")).alias("duration_s"))
+    out = body.join(rate, "trial_id").withColumn("meta", meta)
+    kinds = {f.name: f.dataType for f in DOCUMENT.fields}
+    fill = F.transform("frames", lambda f: F.struct(f["frame_idx"].alias("frame_idx"), f["time_s"].alias("time_s"), f["confidence"].alias("confidence"), f["landmarks"].alias("landmarks"), *[F.lit(None).cast(x.dataType).alias(x.name) for x in FRAME.fields[4:]]))
+    return out.select("trial_id", F.col("meta").cast(kinds["meta"]).alias("meta"), F.lit(None).cast(kinds["extraction"]).alias("extraction"), F.lit(None).cast(kinds["subject"]).alias("subject"), fill.alias("frames"))
+
+
 def spatial_angles(markers: DataFrame) -> DataFrame:
     """trial_id, frame_idx, side, knee, ankle from points in space (trial_id, frame_idx, name, X, Y, Z)."""
     pick = lambda n, s, c: F.max(F.when(F.col("name") == F.concat(F.col("side"), F.lit(f"_{n}")), F.col(c))).alias(f"{n}{c}")

@@ -463,7 +463,43 @@ def depth_ratio(a: str, b: str) -> Column:
     """How much longer a segment is in space than in the picture, 2 at most."""
     flat = C.distance(x(a), y(a), x(b), y(b))
     dz = F.col("landmark_depths")[b] - F.col("landmark_depths")[a]
-    return F.least(F.lit(2.0), C.safe_divide(F.sqrt(flat * flat + dz * dz), flat))
+    ratio = C.safe_divide(F.sqrt(flat * flat + dz * dz), flat)
+    return F.when(ratio.isNotNull(), F.least(F.lit(2.0), ratio))
+
+
+# The segment by whose depth an angle is judged.
+DEPTH_SEGMENTS = {"hip": ("HIP", "KNEE"), "knee": ("KNEE", "ANKLE"), "ankle": ("ANKLE", "FOOT_INDEX")}
+
+
+def depth_factors(pose: DataFrame) -> DataFrame:
+    """trial_id, frame_idx, pos, and hip_L to ankle_R: how much longer each angle's segment is in space than in the picture.
+
+    From 1, also where a point or a depth is missing, to 2. Frames without any depths have null factors.
+    """
+    has = F.col("landmark_depths").isNotNull()
+    own = {f"{joint}_{s[0]}": F.when(has, F.coalesce(depth_ratio(f"{s}_{a}", f"{s}_{b}"), F.lit(1.0))) for s in ("LEFT", "RIGHT") for joint, (a, b) in DEPTH_SEGMENTS.items()}
+    return pose.select("trial_id", "frame_idx", "pos", *[c.alias(n) for n, c in own.items()])
+
+
+def depth_corrected(pose: DataFrame, angles: DataFrame) -> DataFrame:
+    """angles with hip, knee and ankle multiplied by their segments' factors, where frames have depths."""
+    factors = depth_factors(pose).drop("pos")
+    names = [c for c in factors.columns if c not in ("trial_id", "frame_idx") and c in angles.columns]
+    j = angles.join(factors.select("trial_id", "frame_idx", *[F.col(c).alias(f"__f_{c}") for c in names]), ["trial_id", "frame_idx"], "left")
+    return j.withColumns({c: F.col(c) * F.coalesce(f"__f_{c}", F.lit(1.0)) for c in names}).select(angles.columns)
+
+
+# Joints of the frontal plane, and the column of each side.
+FRONTAL_JOINTS = {"pelvis_list": ("pelvis_list", "pelvis_list"), "hip_adduction": ("hip_adduction_L", "hip_adduction_R"), "knee_valgus": ("knee_valgus_L", "knee_valgus_R")}
+
+
+def frontal_long(angles: DataFrame) -> DataFrame:
+    """trial_id, frame_idx, pos, side, joint, value of the frontal joints whose columns angles has; frames without a value have no row."""
+    rows = [F.struct(F.lit(side).alias("side"), F.lit(joint).alias("joint"), F.col(columns[k]).alias("value")) for joint, columns in FRONTAL_JOINTS.items() for k, side in enumerate(("left", "right")) if columns[k] in angles.columns]
+    keys = ["trial_id", "frame_idx", "pos"]
+    if not rows:
+        return angles.select(*keys, F.lit("").alias("side"), F.lit("").alias("joint"), F.lit(0.0).alias("value")).limit(0)
+    return angles.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*").filter(F.col("value").isNotNull())
 
 
 def correct_ankle_swaps(pose: DataFrame, angles: DataFrame, threshold: float = 8.0) -> DataFrame:

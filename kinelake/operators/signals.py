@@ -21,10 +21,11 @@ from kinelake.operators import guard
 KEYS = ["trial_id", "name"]
 
 
-def per_series(tracks: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...] = ("x", "y"), keys: list[str] | None = None) -> DataFrame:
+def per_series(tracks: DataFrame, kernel: Callable[..., np.ndarray], columns: tuple[str, ...] = ("x", "y"), keys: list[str] | None = None, rated: bool = False) -> DataFrame:
     """Each column of each series through a kernel, after gaps are interpolated; a kernel that raises leaves the interpolated series.
 
-    Tracks with a status (see guard) get there what was raised first, of any kind.
+    Tracks with a status (see guard) get there what was raised first, of any kind. A ``rated`` kernel is given the series'
+    rate too, from a column of that name.
     """
     keys = keys or KEYS
     names = tracks.columns
@@ -34,11 +35,12 @@ def per_series(tracks: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], co
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         failed = None
+        more = (table.column("rate")[0].as_py(),) if rated else ()
         for c in columns:
             values = K.fill_linear(table.column(c).to_numpy().astype(float))
             if not np.isnan(values).all():
                 try:
-                    values = kernel(values)
+                    values = kernel(values, *more)
                 except caught as error:
                     failed = failed or guard.described("normalize", error)
             table = table.set_column(table.column_names.index(c), c, pa.array(values, pa.float64(), mask=np.isnan(values)))
@@ -49,8 +51,11 @@ def per_series(tracks: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], co
     return tracks.groupBy(*keys).applyInArrow(run, tracks.schema)
 
 
-def butterworth(tracks: DataFrame, cutoff: float = 4.0, order: int = 2, rate: float = 30.0) -> DataFrame:
-    b, a = K.butterworth(order, cutoff, rate)
+def butterworth(tracks: DataFrame, cutoff: float = 4.0, order: int = 2, rate: float | None = None) -> DataFrame:
+    """A low-pass forward and backward; without a rate that of the tracks' column ``rate`` holds, or else 30."""
+    if rate is None and "rate" in tracks.columns:
+        return per_series(tracks, lambda v, own: K.zero_phase(*K.butterworth(order, cutoff, own), v), rated=True)
+    b, a = K.butterworth(order, cutoff, rate or 30.0)
     return per_series(tracks, lambda v: K.zero_phase(b, a, v))
 
 

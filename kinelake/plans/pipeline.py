@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import columns as C
-from kinelake.operators import analysis, corrections, cycles, events, guard, normative, pose, quality, scores, signals, validation
+from kinelake.operators import analysis, corrections, cycles, events, guard, normative, optical, pose, quality, scores, signals, validation
 from kinelake.sources import pivot, settings
 
 
@@ -43,12 +43,16 @@ class Results:
             df.unpersist()
 
 
-def run(documents: DataFrame, options: dict | None = None, keep: bool = True) -> Results:
+def run(documents: DataFrame, options: dict | None = None, keep: bool = True, preset: str = "defaults", lengths: DataFrame | None = None, spatial: DataFrame | None = None) -> Results:
     """All stages over documents (see sources.pivot); options are merged over the defaults. Rates are the trials' own.
 
     Tables that later ones read several times are worked out once and kept, in memory and on disk, until ``release`` is
     called; without ``keep`` each result is a plan from the documents on.
 
+    ``preset`` names the settings that options change, of which ``recipe`` is the validated one. lengths: trial_id, femur_mm,
+    foot_mm of subjects that were measured. spatial: trial_id, frame_idx, side, ankle, angles in space that replace those of
+    the picture (see run_markers). Angles of the frontal plane, where poses have depths, get cycles and scores too.
+
     A trial that a stage fails for is a row of ``errors`` (trial_id, stage, kind, message, item) and missing from what
     comes after; all others go on. ``outcome`` has a row for each document: ok or error, frames, events and cycles.
     """
@@ -59,13 +63,18 @@ def run(documents: DataFrame, options: dict | None = None, keep: bool = True) ->
             kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
-    o = settings.merged(settings.DEFAULTS, options or {})
+    o = settings.merged(settings.preset(preset), options or {})
     every, documents = guard.with_status(documents), guard.good(documents)
     trials = pivot.trials(documents)
     raw = pivot.poses(documents)
-    tracks = signals.normalize(guard.with_status(pose.to_long(raw)), o["normalize"]["steps"], o["normalize"]["gap_max"])
+    rates = trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps"))
+    rated = pose.to_long(raw).join(rates.withColumnRenamed("fps", "rate"), "trial_id")
+    tracks = signals.normalize(guard.with_status(rated), o["normalize"]["steps"], o["normalize"]["gap_max"])
     clean = held(pose.to_pose(tracks))
-    angles = pose.canonicalize_signs(pose.compute_angles(clean, **o["angles"]))
+    angles = pose.compute_angles(clean, **o["angles"])
+    if spatial is not None:
+        angles = with_spatial_ankles(angles, spatial)
+    angles = pose.canonicalize_signs(angles)
     if o["corrections"]["ankle_projection"]:
         angles = pose.correct_ankle_projection(clean, angles)
     if o["corrections"]["drift"]:
@@ -73,9 +82,9 @@ def run(documents: DataFrame, options: dict | None = None, keep: bool = True) ->
     angles = held(angles)
     detected = held(events.detect_events(clean, trials, **o["events"], report=True))
     found = guard.good(detected)
-    rates = trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps"))
     cut = held(cycles.segment(found.join(rates, "trial_id"), F.col("fps"), o["cycles"]["shortest"], o["cycles"]["longest"]))
-    curves = held(cycles.curves(cut, pose.angles_long(angles), o["cycles"]["points"]))
+    deep = clean.join(raw.filter("landmark_depths IS NOT NULL").select("trial_id", "pos", "landmark_depths"), ["trial_id", "pos"])
+    curves = held(cycles.curves(cut, pose.angles_long(angles).unionByName(pose.frontal_long(pose.frontal_angles(deep))), o["cycles"]["points"]))
     all_cuts = cut
     if o["corrections"]["one_direction"]:
         cut = cycles.dominant_direction(cut, clean.select("trial_id", "frame_idx", pose.middle(pose.x("LEFT_HIP"), pose.x("RIGHT_HIP")).alias("x")), curves)
@@ -84,14 +93,14 @@ def run(documents: DataFrame, options: dict | None = None, keep: bool = True) ->
         curves = held(curves)
     summary = cycles.summary(cycles.long_curves(curves))
     figures = analysis.variability(cut).join(_figures(cut, found, rates), "trial_id", "full_outer").join(analysis.symmetry(cut, analysis.rom_table(curves)), "trial_id", "full_outer")
-    norm = normative.table(documents.sparkSession).filter(F.col("stratum") == o["scores"]["stratum"]).filter(F.col("joint").isin("hip", "knee", "ankle", "trunk"))
+    norm = normative.table(documents.sparkSession).filter(F.col("stratum") == o["scores"]["stratum"]).filter(F.col("joint").isin("hip", "knee", "ankle", "trunk", *pose.FRONTAL_JOINTS))
     gvs = scores.variable_scores(summary, norm)
     gps = scores.profile_score(gvs)
     limits = validation.ranges(documents.sparkSession)
     errors = guard.together(guard.failures(every), guard.failures(tracks, "name"), guard.failures(detected))
     return Results(
-        trials, clean, angles, found, cut, curves, summary, figures, gvs, gps, scores.deviation_index(gps, norm), validation.check_angles(pose.angles_long(angles), limits), quality.quality_score(raw),
-        report(figures, clean, trials, found, cut, curves), diagnose(raw, trials, all_cuts, cut, curves), validation.check_phases(curves, cut, limits),
+        trials, clean, angles, found, cut, curves, summary, figures, gvs, gps, scores.deviation_index(gps, norm, gvs), validation.check_angles(pose.angles_long(angles), limits), quality.quality_score(raw),
+        report(figures, clean, trials, found, cut, curves, lengths), diagnose(raw, trials, all_cuts, cut, curves), validation.check_phases(curves, cut, limits),
         errors, outcome(every, errors, found, cut), kept,
     )
 
@@ -105,19 +114,43 @@ def outcome(documents: DataFrame, errors: DataFrame, found: DataFrame, cut: Data
     return out.select("trial_id", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "n_frames", "n_events", "n_cycles", "error")
 
 
-def report(figures: DataFrame, poses: DataFrame, trials: DataFrame, found: DataFrame, cut: DataFrame, curves: DataFrame) -> DataFrame:
-    """A row per trial with all figures: spatiotemporal, symmetry, variability, harmonics, steps, speed, flags, patterns, and their short names.
+def with_spatial_ankles(angles: DataFrame, spatial: DataFrame) -> DataFrame:
+    """angles with ankle_L and ankle_R of spatial (trial_id, frame_idx, side, ankle) where there are any."""
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("ankle")))
+    wide = spatial.groupBy("trial_id", "frame_idx").agg(of("left").alias("__l"), of("right").alias("__r"))
+    j = angles.join(wide, ["trial_id", "frame_idx"], "left")
+    return j.withColumns({"ankle_L": F.coalesce("__l", "ankle_L"), "ankle_R": F.coalesce("__r", "ankle_R")}).select(angles.columns)
+
+
+def run_markers(markers: DataFrame, options: dict | None = None, keep: bool = True, preset: str = "recipe", mapping: DataFrame | None = None) -> Results:
+    """The same over markers in space (trial_id, frame_idx, time_s, name, X, Y, Z, as read_c3d gives), with the ankle's angle in space.
+
+    Labels are understood by the convention that fits a trial, or by ``mapping`` (trial_id, label, landmark). Rates follow
+    from the frames' times.
+    """
+    known = mapping if mapping is not None else optical.marker_mapping(markers.select("trial_id", F.col("name").alias("label")).distinct())
+    named = markers.join(known.withColumnRenamed("label", "name"), ["trial_id", "name"]).groupBy("trial_id", "frame_idx", F.col("landmark").alias("name")).agg(*[F.avg(a).alias(a) for a in "XYZ"])
+    return run(optical.marker_documents(markers, known), options, keep, preset, spatial=optical.spatial_angles(named).select("trial_id", "frame_idx", "side", "ankle"))
+
+
+def report(figures: DataFrame, poses: DataFrame, trials: DataFrame, found: DataFrame, cut: DataFrame, curves: DataFrame, lengths: DataFrame | None = None, femur_ratio: float = 0.245) -> DataFrame:
+    """A row per trial with all figures: spatiotemporal, symmetry, variability, clinical markers, regularity, harmonics, steps, speed, flags, patterns, and their short names.
 
-    Lengths are in metres where the subject's height is known, else in units of the picture's width.
+    Lengths are in metres where the subject's thigh or foot (lengths: trial_id, femur_mm, foot_mm) or height is known, else
+    in units of the picture's width.
     """
-    subjects = trials.select("trial_id", "subject.height_m", F.lit(None).cast("double").alias("femur_mm"), F.lit(None).cast("double").alias("foot_mm"))
-    scaled = poses.join(analysis.scale(poses, subjects), "trial_id")
+    measured = lengths.select("trial_id", F.col("femur_mm").cast("double").alias("femur_mm"), F.col("foot_mm").cast("double").alias("foot_mm")) if lengths is not None else trials.select("trial_id", F.lit(None).cast("double").alias("femur_mm"), F.lit(None).cast("double").alias("foot_mm"))
+    subjects = trials.select("trial_id", "subject.height_m").join(measured, "trial_id", "left")
+    scaled = poses.join(analysis.scale(poses, subjects, femur_ratio), "trial_id")
     ankles = scaled.select("trial_id", "frame_idx", F.explode(F.array(*[F.struct(F.lit(s.lower()).alias("side"), (pose.x(f"{s}_ANKLE") * F.col("scale")).alias("x")) for s in ("LEFT", "RIGHT")])).alias("a")).select("trial_id", "frame_idx", "a.*")
     by_side = lambda df, value: df.groupBy("trial_id").pivot("side", ["left", "right"]).agg(F.first(value)).select("trial_id", *[F.col(s).alias(f"{value}_{s}") for s in ("left", "right")])
     speed = analysis.walking_speed(cut, ankles).filter("side = 'overall'").select("trial_id", F.col("speed").alias("speed_mean"))
     signs = analysis.patterns(cycles.mean_curves(curves)).groupBy("trial_id").agg(F.array_sort(F.collect_list(F.struct("pattern", "side", "severity"))).alias("patterns"))  # at most three a side
+    clinical = analysis.clinical_markers(curves)
+    own = [c for c in clinical.columns if c not in ("trial_id", "side")]
+    both = clinical.groupBy("trial_id").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for c in own for s in ("left", "right")])
     out = figures
-    for part in (analysis.harmonic_ratios(poses), by_side(analysis.step_lengths(found, ankles), "step_length"), speed, analysis.flags(figures), signs):
+    for part in (both, analysis.regularity_index(poses, trials), analysis.harmonic_ratios(poses), by_side(analysis.step_lengths(found, ankles), "step_length"), speed, analysis.flags(figures), signs):
         out = out.join(part, "trial_id", "left")
     stance = F.array_compact(F.array("stance_pct_left", "stance_pct_right"))
     mean = F.when(F.size(stance) > 0, F.aggregate(stance, F.lit(0.0), lambda a, v: a + v) / F.size(stance))

@@ -6,6 +6,8 @@ import copy
 import json
 from pathlib import Path
 
+from kinelake.exceptions import UnknownName
+
 DEFAULTS: dict = {
     "normalize": {"steps": [{"type": "butterworth", "cutoff": 4.0, "order": 2}], "gap_max": 10},
     "angles": {"method": "sagittal_vertical_axis", "factor": 0.8, "calibrate": True},
@@ -24,6 +26,20 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
+#: Settings by name. ``recipe`` is the one that was validated against optical recordings: no calibration, cycles of 0.8 to
+#: 1.6 s, contacts 0.6 s apart; ``defaults`` are those of the steps by themselves.
+PRESETS: dict[str, dict] = {
+    "defaults": DEFAULTS,
+    "recipe": merged(DEFAULTS, {"angles": {"calibrate": False}, "events": {"least": 0.6}, "cycles": {"shortest": 0.8, "longest": 1.6}}),
+}
+
+
+def preset(name: str) -> dict:
+    if name not in PRESETS:
+        raise UnknownName(name)
+    return PRESETS[name]
+
+
 def load(path: str | Path) -> dict:
     """The defaults with the values of a JSON file, or of a YAML file where that library is there."""
     text = Path(path).read_text(encoding="utf-8")

@@ -6,11 +6,15 @@ Tables are written by Spark. Formats of one file per trial or frame become rows
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from functools import reduce
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.exceptions import UnknownName
@@ -79,12 +83,17 @@ def mot_files(angles: DataFrame, trials: DataFrame) -> DataFrame:
     return lines.select(F.concat("trial_id", F.lit(".mot")).alias("name"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("content"))
 
 
-def trc_files(pose: DataFrame, trials: DataFrame, names: list[str], model: str | None = None, scale: float = 1.0, units: str = "m") -> DataFrame:
-    """name, content: marker files of landmarks, y upward, blank where missing."""
+def trc_files(pose: DataFrame, trials: DataFrame, names: list[str], model: str | None = None, scale: float | DataFrame = 1.0, units: str = "m") -> DataFrame:
+    """name, content: marker files of landmarks, y upward, blank where missing.
+
+    scale is a number, or a table (trial_id, scale) of metres per unit, such as analysis.height_scale gives for pixels; trials without one have 1.
+    """
     if model is not None and model not in OPENSIM_MARKERS:
         raise UnknownName(model)
     shown = [OPENSIM_MARKERS[model].get(n, n) if model else n for n in names]
-    factor = scale * (1000.0 if units == "mm" else 1.0)
+    if isinstance(scale, DataFrame):
+        pose = pose.join(scale.select("trial_id", F.coalesce("scale", F.lit(1.0)).alias("__scale")), "trial_id", "left").withColumn("__scale", F.coalesce("__scale", F.lit(1.0)))
+    factor = (F.col("__scale") if isinstance(scale, DataFrame) else F.lit(float(scale))) * (1000.0 if units == "mm" else 1.0)
     rate = trials.select("trial_id", F.coalesce("meta.fps", F.lit(30.0)).alias("fps"))
     cells = [c for n in names for c in (_number(P.x(n) * factor, 6, ""), _number((1.0 - P.y(n)) * factor, 6, ""), F.when(P.x(n).isNotNull(), F.format_string("%.6f", F.coalesce(F.col("landmark_depths")[n], F.lit(0.0)) * factor if "landmark_depths" in pose.columns else F.lit(0.0))).otherwise(""))]
     row = F.concat_ws("\t", (F.col("frame_idx") + 1).cast("string"), F.format_string("%.6f", F.col("frame_idx") / F.col("fps")), *cells)
@@ -98,17 +107,63 @@ def trc_files(pose: DataFrame, trials: DataFrame, names: list[str], model: str |
     return lines.select(F.concat("trial_id", F.lit(".trc")).alias("name"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("content"))
 
 
-def scale_setup(trials: DataFrame, model: str = "gait2392") -> DataFrame:
-    """name, content: a scaling setup for each trial with its subject's mass and height."""
+# Measurements of a scaling setup: name, pairs of landmarks, bodies, and between which points or middles its length is.
+MEASUREMENTS = (
+    ("femur_length", (("LEFT_HIP", "LEFT_KNEE"), ("RIGHT_HIP", "RIGHT_KNEE")), ("femur_l", "femur_r"), ((("LEFT_HIP",), ("LEFT_KNEE",)), (("RIGHT_HIP",), ("RIGHT_KNEE",)))),
+    ("tibia_length", (("LEFT_KNEE", "LEFT_ANKLE"), ("RIGHT_KNEE", "RIGHT_ANKLE")), ("tibia_l", "tibia_r"), ((("LEFT_KNEE",), ("LEFT_ANKLE",)), (("RIGHT_KNEE",), ("RIGHT_ANKLE",)))),
+    ("trunk_height", (("LEFT_SHOULDER", "LEFT_HIP"), ("RIGHT_SHOULDER", "RIGHT_HIP")), ("torso",), ((("LEFT_SHOULDER", "RIGHT_SHOULDER"), ("LEFT_HIP", "RIGHT_HIP")),)),
+)
+
+
+def _between(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
+    """Distance between two points, or the middles of pairs of points; null where one isn't known."""
+    at = lambda names, axis: axis(names[0]) if len(names) == 1 else P.middle(axis(names[0]), axis(names[1]))
+    return F.hypot(at(a, P.x) - at(b, P.x), at(a, P.y) - at(b, P.y))
+
+
+def measurements(pose: DataFrame) -> DataFrame:
+    """trial_id, measurement, part, length, n: mean lengths of the MEASUREMENTS over the frames that know their points; part numbers those of a measurement."""
+    own = [F.struct(F.lit(name).alias("measurement"), F.lit(k).alias("part"), _between(a, b).alias("d")) for name, _, _, parts in MEASUREMENTS for k, (a, b) in enumerate(parts)]
+    rows = pose.select("trial_id", F.explode(F.array(*own)).alias("m")).select("trial_id", "m.*").filter(F.col("d").isNotNull())
+    return rows.groupBy("trial_id", "measurement", "part").agg(F.avg("d").alias("length"), F.count("*").alias("n"))
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def scale_setup(trials: DataFrame, model: str = "gait2392", lengths: DataFrame | None = None, frames: tuple[int, int] = (0, 30), model_file: str = "gait2392_simbody.osim", output_model: str = "scaled_model.osim") -> DataFrame:
+    """name, content: a scaling setup for each trial, with its subject's mass and height, marker pairs and bodies of each measurement, and a static time range.
+
+    With ``lengths`` (see measurements) a measurement whose points a trial never has isn't applied, and each has a note of its
+    lengths. Subjects without mass or height have 75 kg and 1.75 m.
+    """
     if model not in OPENSIM_MARKERS:
         raise UnknownName(model)
-    tag = lambda name, value: F.concat(F.lit(f"    <{name}>"), value.cast("string"), F.lit(f"</{name}>\n"))
-    body = [
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<OpenSimDocument Version="30000">\n  <ScaleTool name="'), F.col("trial_id"), F.lit('">\n'),
-        tag("mass", F.coalesce("subject.weight_kg", F.lit(70.0))), tag("height", F.coalesce("subject.height_m", F.lit(1.7)) * 1000.0), tag("age", F.coalesce("subject.age", F.lit(-1))),
-        F.lit(f"    <GenericModelMaker>\n      <model_file>{model}.osim</model_file>\n    </GenericModelMaker>\n    <MarkerPlacer>\n      <marker_file>"), F.col("trial_id"), F.lit(".trc</marker_file>\n    </MarkerPlacer>\n  </ScaleTool>\n</OpenSimDocument>\n"),
-    ]
-    return trials.select(F.concat("trial_id", F.lit("_scale.xml")).alias("name"), reduce(lambda a, b: F.concat(a, b), body).alias("content"))
+    own = trials
+    if lengths is not None:
+        entry = F.struct(F.concat_ws(".", "measurement", F.col("part").cast("string")).alias("k"), "length")
+        own = trials.join(lengths.groupBy("trial_id").agg(F.map_from_entries(F.collect_list(entry)).alias("__lengths")), "trial_id", "left")
+    rate, name = F.coalesce("meta.fps", F.lit(30.0)), _escaped(F.col("trial_id").cast("string"))
+    text = lambda tag, value, depth: [F.lit(f"{' ' * depth}<{tag}>"), value if isinstance(value, Column) else F.lit(value), F.lit(f"</{tag}>\n")]
+    body: list[Column] = [F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<OpenSimDocument Version="40000">\n  <ScaleTool name="'), name, F.lit('">\n')]
+    body += text("mass", F.coalesce("subject.weight_kg", F.lit(75.0)).cast("string"), 4) + text("height", F.coalesce("subject.height_m", F.lit(1.75)).cast("string"), 4)
+    body += [F.lit(f"    <GenericModelMaker>\n      <model_file>{model_file}</model_file>\n    </GenericModelMaker>\n    <ModelScaler>\n      <apply>true</apply>\n      <scaling_order>measurements</scaling_order>\n      <MeasurementSet>\n        <objects>\n")]
+    for what, pairs, bodies, parts in MEASUREMENTS:
+        marker = lambda n: OPENSIM_MARKERS[model].get(n, n)
+        markers = "".join(f"                <MarkerPair><markers>{marker(a)} {marker(b)}</markers></MarkerPair>\n" for a, b in pairs)
+        scaled = "".join(f'                <BodyScale name="{n}"><axes>X Y Z</axes></BodyScale>\n' for n in bodies)
+        apply, note = F.lit("true"), F.lit("")
+        if lengths is not None:
+            known = [F.col("__lengths")[f"{what}.{k}"] for k in range(len(parts))]
+            apply = F.when(F.coalesce(*known).isNotNull(), "true").otherwise("false")
+            note = F.concat(F.lit("            <notes>"), F.array_join(F.array_compact(F.array(*[F.when(c.isNotNull(), F.format_string("%.6f", c)) for c in known])), " "), F.lit("</notes>\n"))
+        body += [F.lit(f'          <Measurement name="{what}">\n'), note, *text("apply", apply, 12)]
+        body += [F.lit(f"            <MarkerPairSet>\n              <objects>\n{markers}              </objects>\n            </MarkerPairSet>\n            <BodyScaleSet>\n              <objects>\n{scaled}              </objects>\n            </BodyScaleSet>\n          </Measurement>\n")]
+    body += [F.lit("        </objects>\n      </MeasurementSet>\n"), *text("output_scale_file", F.concat(name, F.lit("_scale_factors.xml")), 6), F.lit("    </ModelScaler>\n    <MarkerPlacer>\n      <apply>true</apply>\n")]
+    body += text("marker_file", F.concat(name, F.lit(".trc")), 6) + text("time_range", F.concat_ws(" ", *[F.format_string("%.6f", F.lit(float(k)) / rate) for k in frames]), 6)
+    body += [F.lit(f"      <output_model_file>{output_model}</output_model_file>\n"), *text("output_marker_file", F.concat(name, F.lit("_markers_adjusted.xml")), 6), *text("output_motion_file", F.concat(name, F.lit("_static_output.mot")), 6), F.lit("    </MarkerPlacer>\n  </ScaleTool>\n</OpenSimDocument>\n")]
+    return own.select(F.concat("trial_id", F.lit("_scale.xml")).alias("name"), F.concat(*body).alias("content"))
 
 
 def ik_setup(trials: DataFrame, markers: list[str]) -> DataFrame:
@@ -178,20 +233,97 @@ def c3d_files(pose: DataFrame, trials: DataFrame, names: list[str]) -> DataFrame
     return pose.select("trial_id", "pos", *cells).join(rate, "trial_id").groupBy("trial_id").applyInArrow(run, "name string, content binary")
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, rows: int = 100_000) -> None:
-    """A workbook with a sheet per table, for a few trials' results; tables of more than ``rows`` rows are refused. Needs openpyxl."""
-    from openpyxl import Workbook
-
-    book = Workbook()
-    book.remove(book.active)
-    for name, df in sheets.items():
-        if df.limit(rows + 1).count() > rows:
-            raise ValueError(f"{name} has more than {rows} rows; write it as CSV")
-        sheet = book.create_sheet(name[:31])
-        sheet.append(df.columns)
-        for r in df.collect():
-            sheet.append([v if isinstance(v, (int, float, str, type(None))) else str(v) for v in r])
-    book.save(path)
+def workbook_files(sheets: dict[str, DataFrame], key: str = "trial_id") -> DataFrame:
+    """name, content: a workbook for each trial, with a sheet for each table that has rows of it; every table has the column ``key``.
+
+    Rows become one table of (key, sheet, order, cells) and are gathered by trial; each group's task writes its sheets' XML into a
+    zip as it goes through its rows, so nothing passes through the driver, and no library is needed. Rows are in the order of
+    their cells; numbers and truth values are cells of their kind, all else is text, null is an empty cell.
+    """
+    if not sheets:
+        raise UnknownName("no sheets")
+    parts = []
+    for k, (sheet, df) in enumerate(sheets.items()):
+        columns = [c for c in df.columns if c != key]
+        kinds = dict(df.dtypes)
+        number = lambda c: kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal")  # noqa: B023, E731
+        plain = lambda c: F.col(f"`{c}`").cast("string") if kinds[c] in ("string", "boolean", "date", "timestamp") or number(c) else F.to_json(F.struct(F.col(f"`{c}`").alias("v")))  # noqa: B023, E731
+        cells = F.array(*[plain(c) for c in columns]) if columns else F.array().cast("array<string>")
+        order = [F.col(f"`{c}`") for c in columns if "map" not in kinds[c]]
+        head = F.array(*[F.struct(F.lit(c).alias("name"), F.lit("n" if number(c) else "b" if kinds[c] == "boolean" else "s").alias("kind")) for c in columns]) if columns else F.array().cast("array<struct<name:string,kind:string>>")
+        ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))) if order else df.withColumn("__r", F.lit(1))
+        parts.append(ranked.select(F.col(key).cast("string").alias("key"), F.lit(k).alias("sheet"), F.col("__r").alias("row"), F.lit(sheet[:31]).alias("title"), head.alias("head"), cells.alias("cells")))
+
+    def run(table: pa.Table) -> pa.Table:
+        name = table.column("key")[0].as_py()
+        return pa.table({"name": pa.array([f"{name}.xlsx"]), "content": pa.array([_workbook(table.sort_by([("sheet", "ascending"), ("row", "ascending")]))], pa.binary())})
+
+    return reduce(DataFrame.unionByName, parts).groupBy("key").applyInArrow(run, "name string, content binary")
+
+
+_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def _cell(value: str | None, kind: str) -> str:
+    if value is None or kind == "n" and value in ("NaN", "Infinity", "-Infinity"):
+        return "<c/>"
+    if kind == "n":
+        return f"<c><v>{value}</v></c>"
+    if kind == "b":
+        return f'<c t="b"><v>{int(value == "true")}</v></c>'
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_NOT_XML.sub("", value)[:32767])}</t></is></c>'
+
+
+def _workbook(rows: pa.Table) -> bytes:
+    """A workbook of rows (title, head, cells) in order of sheet and row; sheets are written one after the other."""
+    out = io.BytesIO()
+    titles: list[str] = []
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+
+        def add(path: str, text: str) -> None:
+            book.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+
+        last, sheet = None, None
+        for batch in rows.select(["sheet", "title", "head", "cells"]).to_batches(max_chunksize=1000):
+            for r in batch.to_pylist():
+                if r["sheet"] != last:
+                    if sheet is not None:
+                        sheet.write(b"</sheetData></worksheet>")
+                        sheet.close()
+                    titles.append(r["title"])
+                    last, kinds = r["sheet"], [c["kind"] for c in r["head"]]
+                    sheet = book.open(zipfile.ZipInfo(f"xl/worksheets/sheet{len(titles)}.xml", (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True)
+                    sheet.write(f"{_XML}<worksheet {_MAIN}><sheetData><row>{''.join(_cell(c['name'], 's') for c in r['head'])}</row>".encode())
+                sheet.write(f"<row>{''.join(_cell(v, k) for v, k in zip(r['cells'], kinds, strict=True))}</row>".encode())
+        if sheet is not None:
+            sheet.write(b"</sheetData></worksheet>")
+            sheet.close()
+        n = range(1, len(titles) + 1)
+        relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        add("xl/workbook.xml", f'{_XML}<workbook {_MAIN} xmlns:r="{relation}"><sheets>' + "".join(f'<sheet name="{escape(t, {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, t in zip(n, titles, strict=True)) + "</sheets></workbook>")
+        add("xl/_rels/workbook.xml.rels", f'{_XML}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{relation}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n) + "</Relationships>")
+        add("_rels/.rels", f'{_XML}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{relation}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        add("[Content_Types].xml", f'{_XML}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in n) + "</Types>")
+    return out.getvalue()
+
+
+def result_sheets(results) -> dict[str, DataFrame]:
+    """The tables of a run (see plans.pipeline) that make a workbook: eight sheets."""
+    events = results.events.orderBy("frame")
+    mean = results.summary.select("trial_id", "side", "joint", "p", "mean", "std", "n_cycles")
+    return {
+        "Summary": statistics_long(results.figures), "Angles": results.angles, "Events": events.select("trial_id", "frame", "side", "kind", "time", "confidence"), "Cycles": results.cycles, "Curves": mean,
+        "Scores": results.gvs, "Quality": results.diagnosis, "Trial": results.trials.select("trial_id", "meta.*"),
+    }
+
+
+def landmark_sheets(pose: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """Sheets of landmarks by frame: X, Y and Visibility, a column for each name."""
+    own = lambda f: pose.select("trial_id", "frame_idx", *[f(n).alias(n) for n in names])
+    return {"X": own(P.x), "Y": own(P.y), "Visibility": own(P.visibility)}
 
 
 def moco_setup(trials: DataFrame, model: str = "scaled_model.osim") -> DataFrame:
