@@ -126,7 +126,8 @@ def run_markers(markers: DataFrame, options: dict | None = None, keep: bool = Tr
     """The same over markers in space (trial_id, frame_idx, time_s, name, X, Y, Z, as read_c3d gives), with the ankle's angle in space.
 
     Labels are understood by the convention that fits a trial, or by ``mapping`` (trial_id, label, landmark). Rates follow
-    from the frames' times.
+    from the frames' times. Documents that many tables read are best written once: optical.marker_documents, then run with
+    ``spatial``.
     """
     known = mapping if mapping is not None else optical.marker_mapping(markers.select("trial_id", F.col("name").alias("label")).distinct())
     named = markers.join(known.withColumnRenamed("label", "name"), ["trial_id", "name"]).groupBy("trial_id", "frame_idx", F.col("landmark").alias("name")).agg(*[F.avg(a).alias(a) for a in "XYZ"])
