@@ -18,12 +18,15 @@ from kinelake.schemas import DOCUMENT, MEDIAPIPE_33, POSE
 def parse_documents(files: DataFrame) -> DataFrame:
     """Documents of files (name, content), NaN tokens allowed, with a status: null, or why a file can't be worked on.
 
-    Kinds are malformed (no JSON), no_meta and no_frames (missing or empty). A field of another type is null. trial_id
-    defaults to the file's name without its ending.
+    Kinds are malformed (no JSON), no_meta and no_frames (missing or empty). A field of another type is null, and so are
+    all fields of a malformed document, those before the break too. trial_id defaults to the file's name without its ending.
     """
     schema = T.StructType([*DOCUMENT.fields, T.StructField("__broken", T.StringType())])
     options = {"allowNonNumericNumbers": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}
-    rows = files.select("name", F.from_json(F.col("content").cast("string"), schema, options).alias("d")).select("name", "d.*")
+    rows = files.select("name", F.col("content").cast("string").alias("__text")).withColumn("d", F.from_json("__text", schema, options))
+    # A break and a field of another type both count as broken there; without fields of the document only a break does.
+    whole = F.from_json("__text", T.StructType([T.StructField(n, T.StringType()) for n in ("__none", "__broken")]), options)["__broken"].isNull()
+    rows = rows.select("name", F.when(F.col("d.__broken").isNull() | whole, F.col("d")).alias("d")).select("name", "d.*")
     nothing = F.col("meta").isNull() & F.col("frames").isNull()
     failed = (
         F.when(nothing & F.col("__broken").isNotNull() | nothing & F.col("trial_id").isNull() & F.col("extraction").isNull() & F.col("subject").isNull(), status("read", "malformed", "not a JSON document"))

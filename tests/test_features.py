@@ -73,6 +73,17 @@ def test_documents_parse_with_a_status(spark):
     assert got == {"x": None, "b": "malformed", "c": "malformed", "d": "malformed", "e": "no_frames", "f": "malformed", "g": None}
 
 
+def test_a_document_that_breaks_off_anywhere_is_malformed(spark):
+    """Wherever a text ends too early; a field of another type or a number that isn't one breaks nothing."""
+    text = json.dumps(walking(2, trial="x") | {"meta": {"fps": 4.0, "source": 'a " b'}}).replace('"confidence": 0.9', '"confidence": NaN')
+    files = [(f"{k}.json", text[:k]) for k in range(len(text))] + [("other.json", text.replace('"fps": 4.0', '"fps": [1]')), ("whole.json", text)]
+    got = pivot.parse_documents(spark.createDataFrame(files, "name string, content string")).collect()
+    cut = [r for r in got if r["trial_id"] != "x"]
+    assert len(cut) == len(text) and {r["status"]["kind"] for r in cut} == {"malformed"}
+    assert all(r["frames"] is None and r["meta"] is None for r in cut)
+    assert [(r["status"], len(r["frames"])) for r in got if r["trial_id"] == "x"] == [(None, 2)] * 2
+
+
 def test_pooled_components(spark, rng):
     """Sums merged over tasks give what one decomposition of all curves gives; few or broken curves are left out."""
     base = rng.normal(size=(3, 101)).cumsum(axis=1)
