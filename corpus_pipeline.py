@@ -8,11 +8,12 @@ that aren't meant share one and go too, which is far less than one below 10^9.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import discard, stored
+from kinelake.llm.common import FILTER_BITS, bit_filter, discard, maybe, stored
 from kinelake.llm.decontamination import build_index, phrase_matches
 from kinelake.llm.jaccard import jaccard_groups
 from kinelake.llm.language import identify, train_codes
@@ -44,8 +45,23 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows of these numbers, which are written first, so that Spark knows their size when it plans the join."""
-    return _restored(numbered.join(stored(rows.select("number"), "dropped"), "number", "left_anti"), docs)
+    """docs without the rows of these numbers.
+
+    Rows that a filter of fixed size tells apart from these stay where they are. Only the others, which are these and a
+    few more, are joined to the numbers, so that texts needn't be shuffled however many rows go.
+    """
+    dropped = stored(rows.select("number"), "dropped")
+    place = lambda c: F.col(c).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(dropped.select(place("number").alias("place"))))
+
+    @F.pandas_udf("boolean")
+    def unsure(places: pd.Series) -> pd.Series:
+        return pd.Series(maybe(bits.value, places.to_numpy()))
+
+    marked = numbered.withColumn("unsure", unsure(place("number")))
+    staying = marked.filter(~F.col("unsure")).drop("unsure", "number")
+    others = marked.filter("unsure").drop("unsure").join(dropped, "number", "left_anti").drop("number")
+    return _restored(staying.unionAll(others), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ _own_folder: list[str] = []
 FILTER_BITS = 1 << 27
 #: Bytes of an Arrow batch between Spark and Python, at most about; the session's setting if that is smaller.
 BATCH_BYTES = 8 << 20
+#: Bytes of a row group of stored tables, about.
+ROW_GROUP = 128 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -45,14 +47,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
+def stored(df: DataFrame, name: str, row_group: int = ROW_GROUP) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing.
 
-    Tables of large rows take a small ``row_group`` (bytes), as readers hold a group at a time.
+    Tables of large rows take a small ``row_group`` (bytes), as readers hold a group at a time; their writers look at the
+    size after each row instead of after a hundred, which could hold hundreds of megabytes.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", row_group)
+    (writer if row_group >= ROW_GROUP else writer.option("parquet.page.size.row.check.min", 1)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

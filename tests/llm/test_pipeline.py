@@ -67,6 +67,42 @@ def test_one_row_of_each_group_stays(spark, stored_first):
     assert sorted(repr(k) for k in kept if not (k[1] or "").strip()) == sorted(map(repr, [(8, None), (8, None), (9, " "), (None, "")]))
 
 
+def _shuffled(plan) -> int:
+    """Rows with a text that the exchanges of a plan that has run wrote."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _shuffled(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" and "text" in list(plan.schema().fieldNames()) else 0
+    return own + sum(_shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_rows_that_stay_are_not_shuffled(spark, tmp_path):
+    """Where too many rows go to send them to all tasks, the texts of the others still aren't moved."""
+    item = words(30, 4242)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = stored(table(spark, [(k, words(40, k) + (" " + item if k % 10 == 0 else "")) for k in range(300)]), "documents")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = pipeline.benchmark_passages(spark, docs, f"file://{tmp_path}")
+        assert sorted(r["doc_id"] for r in kept.collect()) == [k for k in range(300) if k % 10]
+        assert 30 <= _shuffled(kept._jdf.queryExecution().executedPlan()) < 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_rows_are_written_in_small_groups(spark, tmp_path):
+    """Row groups of few large rows keep to their size, though Parquet's writers look at it every hundred rows by default."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 40, 1, 1).select(F.sha2(F.col("id").cast("string"), 512).alias("k")).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8000)), lambda i: F.sha2(F.concat("k", i.cast("string")), 512)), "").alias("text"))
+    [file] = glob.glob(f"{stored(rows, 'large', 4 << 20).stored_at.removeprefix('file://')}/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 40 and max(meta.row_group(k).column(0).total_compressed_size for k in range(meta.num_row_groups)) < 6 << 20
+
+
 def test_other_columns_stay_as_they_are(spark, tmp_path):
     """Columns by the names that operators use for their own come back with their values."""
     spark.createDataFrame([(1, words(30, 4242))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
